@@ -18,7 +18,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles. A similarity of 0.8 moves about one bit in ten of those that hang on a narrow vote; see the README for the radius."""
+    """Five-word shingles and a similarity of 0.8, by the module's radii; one document of each group stays."""
     return simhash.survivors(docs)
 
 

@@ -60,7 +60,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+    found = simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2, lanes=1, wide_radius=None)
     return found.select("doc_id", simhash.unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
