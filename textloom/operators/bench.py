@@ -1,0 +1,40 @@
+"""Measuring transforms on samples: specifications, cache, summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def specs(listing: Column) -> Column:
+    """array<struct<label, base, stride>> of "name,name@3,...": repeats of a label go."""
+    labels = F.array_distinct(F.filter(F.transform(F.split(listing, ","), lambda s: F.trim(s)), lambda s: s != ""))
+    return F.transform(labels, lambda s: F.struct(s.alias("label"), F.split_part(s, F.lit("@"), F.lit(1)).alias("base"), F.nullif(F.split_part(s, F.lit("@"), F.lit(2)), F.lit("")).try_cast("int").alias("stride")))
+
+
+def options_digest(*options: Column) -> Column:
+    """Twelve hex digits over every option that changes the output, in the order given."""
+    return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(o.cast("string"), F.lit("")) for o in options]).cast("binary")), 1, 12)
+
+
+def probe(samples: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
+    """samples with cached: whether the cache holds their transform, id and options for the very text."""
+    keyed = samples.withColumn("text_sha1", F.sha1(F.col(text).cast("binary")))
+    hit = cache.select("transform", "id", "digest", "text_sha1").distinct().withColumn("hit", F.lit(True))
+    return keyed.join(hit, ["transform", "id", "digest", "text_sha1"], "left").withColumn("cached", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+def summary(rows: DataFrame, keys: list[str], threshold: float = 4.0) -> DataFrame:
+    """Means skip nulls and errors; tokens per 1,000 words is a ratio of sums; the share below the threshold is strict."""
+    ok = F.col("error").isNull()
+    z = F.when(ok, F.col("z_after"))
+    return rows.groupBy(*keys).agg(
+        F.count_if(ok).alias("n"), F.count_if(~ok).alias("errors"), F.avg(z).alias("z_mean"), F.percentile(z, F.lit(0.5)).alias("z_median"), F.max(z).alias("z_max"),
+        F.avg(F.when(z < threshold, 1.0).when(z.isNotNull(), 0.0)).alias("share_below"),
+        F.try_divide(F.sum(F.when(ok, F.col("tokens"))) * 1000.0, F.sum(F.when(ok, F.col("words")))).alias("tokens_per_1000_words"),
+    )
+
+
+def limit_per_group(rows: DataFrame, group: str, n: int, order: str) -> DataFrame:
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("rn") <= n).drop("rn")
