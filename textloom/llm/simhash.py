@@ -31,7 +31,7 @@ RADIUS = 15
 LANES = 4
 WIDE_RADIUS = 48
 SEED = 42
-TILE = 4096
+TILE = 16384
 
 
 def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
