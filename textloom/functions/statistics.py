@@ -19,7 +19,7 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     p = k / m
     mid, d = p + z * z / (2 * m), 1 + z * z / m
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
-    return F.greatest(F.lit(0.0), (mid - half) / d), F.least(F.lit(1.0), (mid + half) / d)
+    return F.when(n > 0, F.greatest(F.lit(0.0), (mid - half) / d)), F.when(n > 0, F.least(F.lit(1.0), (mid + half) / d))
 
 
 def binomial_cdf(k: Column, n: Column, p: Column) -> Column:

@@ -237,11 +237,11 @@ def excerpt_cut(spark, sf_dir):
 # ---- facts
 
 
-@query(r"""SELECT doc_id, len(l) AS n, round(coalesce(list_sum(list_transform(l, lambda t: CAST(replace(replace(t, '%', ''), ',', '') AS DOUBLE))), 0), 6) AS total FROM
+@query(r"""SELECT doc_id, len(l) AS n, list_max(list_transform(l, lambda t: CAST(replace(replace(t, '%', ''), ',', '') AS DOUBLE))) AS largest FROM
     (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]{3})*(?:[.,][0-9]+)?%?|[\p{L}\p{Nl}\p{No}]+(?:[''’-][\p{L}\p{Nl}\p{No}]+)*'), lambda t: regexp_matches(t, '^[0-9]') AND TRY_CAST(replace(replace(t, '%', ''), ',', '') AS DOUBLE) IS NOT NULL) AS l FROM documents)""")
 def digit_facts(spark, sf_dir):
     df = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", facts.digit_numbers(F.col("text")).alias("l"))
-    return df.select("doc_id", F.size("l").cast("long").alias("n"), r6(F.aggregate("l", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return df.select("doc_id", F.size("l").cast("long").alias("n"), F.array_max("l").alias("largest"))
 
 
 NEG_SQL = ", ".join(f"'{w}'" for w in facts.NEGATIONS["en"])
