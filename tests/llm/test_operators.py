@@ -1,0 +1,294 @@
+"""Each operator against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.llm import exact_dedup, html_text, packing, pieces, pii, sharding, simhash, topk, toxicity, warc
+from textloom.llm.queries import tokenizer_file
+
+ODD = "doc_id long, text string, key int, fps string, _text string, spans int, rank int"
+TEXTS = ["", None, " ", "Hello, World.", "hello, world.", "É x É", "é x é", "a b c d e f g h", "a b c d e f g h", "word " * 3000, "日本語 <|endoftext|> ok", "x" * 5000, "It's 5 o'clock now\tand\nthen"]
+
+
+def docs(spark, texts=TEXTS):
+    return spark.createDataFrame([(k, t, k, "z", "q", 1, 2) for k, t in enumerate(texts)], ODD)
+
+
+def empty(spark):
+    return spark.createDataFrame([], ODD)
+
+
+def test_packing_is_the_tokenizers_ids_gapless_and_tight(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    got = packing.pack(docs(spark).union(docs(spark).limit(3)), path).collect()
+    for k, t in enumerate(TEXTS):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        want = sorted((i // 2048, i, len(ids[i : i + 2048]), zlib.crc32(np.array(ids[i : i + 2048], "<u4").tobytes())) for i in range(0, len(ids), 2048))
+        assert sorted({(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == k}) == want
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(empty(spark), path).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_fit_over_counts_is_best_fit_over_pieces(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([5, 10, 30])
+    counts = {n: rng.randint(0, 12) for n in range(1, capacity + 1)}
+    counts = {n: c for n, c in counts.items() if c}
+    room = []
+    for n in sorted(counts, reverse=True):
+        for _ in range(counts[n]):
+            fit = [k for k, r in enumerate(room) if r >= n]
+            if fit:
+                room[min(fit, key=lambda k: room[k])] -= n
+            else:
+                room.append(capacity - n)
+    filled = {}
+    for length, a, b, each, first, offset in packing.best_fit_plan(counts, capacity):
+        for rank in range(b - a):
+            filled.setdefault(first + rank // each, []).append((offset + rank % each * length, length))
+    assert sum(len(v) for v in filled.values()) == sum(counts.values()) and len(filled) == len(room)
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+
+
+def test_sharding_is_even_gapless_and_moves_little(spark):
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("é"), F.col("id").cast("string"))).alias("text"), F.lit(1).alias("place"))
+    got = sharding.shard_rows(many).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    sizes = [len(v) for v in by.values()]
+    assert len(got) == 3000 and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert all(r["size"] == 1 and r["text_crc32"] == 0 for r in got if r["size"] == 1)
+    distinct = sharding.shard_rows(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))).collect()
+    assert sum(r["shard"] != r["home_shard"] for r in distinct) < 600
+    assert sharding.shard_rows(empty(spark)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/">Home</a></nav><!-- <p>no</p> -->
+<div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p><b>The first of the paragraphs is long enough to be decided by its words, and it is in the article.<br><p>Short one.</p>
+<form><input name=q><button>Go</button></form><aside>Related</aside></article><section id="comments"><p>The reader says that this is what the reader says and it is long enough to pass.</p></section><footer>&copy; x</footer>"""
+
+
+def test_html(spark):
+    rows = [(1, "u", PAGE, "c"), (2, None, None, "c"), (3, "u", "", "c"), (4, "u", PAGE[: PAGE.index("Short")] + "<p cut", "c"), (1, "u", PAGE, "c")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).orderBy("page_id").collect()
+    want = "Head & line The first of the paragraphs is long enough to be decided by its words, and it is in the article. Short one."
+    assert [r["text"] for r in got] == [want, want, "", "", want.removesuffix(" Short one.")]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    plain = "<div><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div><p>" + "This is the text of a page that has no article and it is what we want to keep. " * 4 + "</p><p>Short.</p></div>"
+    assert html_text.main_text(plain).startswith("This is the text") and html_text.main_text(plain).endswith("Short.")
+
+
+BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def base_spans(text):
+    def luhn(x):
+        return sum(v if k % 2 == 0 else v * 2 - 9 * (v > 4) for k, v in enumerate(map(int, reversed(x)))) % 10 == 0
+
+    def fine(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else False, "card": 14 <= len(d) <= 19 and luhn(d or "0"), "phone": 10 <= len(d) <= 15}[kind]
+
+    return sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(BASE) for m in re.finditer(p, text) if fine(kind, m[0]))
+
+
+def test_pii_matches_the_plain_patterns(spark):
+    rng = random.Random(5)
+    parts = ["a@b.c_d@e.f", "😀 x.y%z@m-1.example.com.", "1.2.3.4.5", "0255.1.2.003", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (415) 555-0100", "+1 2", "é", " ", "..", "@", "+", "-", "12", "mail me: "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(150)] + [None, "", "a" * 60000, "1 " * 20000, "+" * 5000 + "1234567890 +49 (0) 30-123456"]
+    got = {r["doc_id"]: r for r in pii.digest(pii.detect(docs(spark, texts))).collect()}
+    for k, t in enumerate(texts):
+        want = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in base_spans(t or ""))
+        assert got[k]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), t
+        assert set(want.split(",")) <= set(got[k]["spans"].split(",")) | {""}
+    assert pii.digest(pii.detect(empty(spark))).count() == 0
+
+
+def test_pii_redacts_and_keeps_columns(spark):
+    df = docs(spark, ["😀 mail jo@example.com now", None, "clean"])
+    out = pii.redact(df)
+    assert out.columns == df.columns and [r["text"] for r in out.orderBy("doc_id").collect()] == ["😀 mail <EMAIL> now", None, "clean"]
+
+
+def test_expectation_maximisation_tells_good_from_bad_labellers():
+    counts = {}
+    rng = random.Random(0)
+    for _ in range(2000):
+        truth = rng.random() < 0.6
+        votes = tuple((1 if truth == (rng.random() < a) else -1) for a in (0.95, 0.9, 0.85, 0.55))
+        counts["k", votes] = counts.get(("k", votes), 0) + 1
+    _, accuracy = pii.expectation_maximisation(counts, 4)
+    assert accuracy[0] > 0.88 and accuracy[2] > 0.78 and accuracy[3] < 0.65
+
+
+def test_pieces_are_the_librarys(spark):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model(path)
+    texts = [*TEXTS[:9], "a  b   c ", " lead", "tab\there\nline", "naïve café 😀👍🏽", "Hetunconstitutionalities " * 3, "y" * 70 + " z", "<s> </s> <0x41>", "aaaaaaa bbbb"]
+    got = pieces.encode(docs(spark, texts).drop("_text"), model, keep=("doc_id",)).withColumn("back", pieces.decode(F.col("ids"), model)).collect()
+    for r in got:
+        t = texts[r["doc_id"]]
+        assert r["ids"] == (None if t is None else lib.encode(t)) and r["back"] == t
+
+
+def test_viterbi_is_the_best_path(spark):
+    rows = [("▁", -2.0), ("a", -1.5), ("b", -1.0), ("ab", -2.2), ("ba", -2.6), ("▁a", -3.0), ("aba", -3.0)]
+    table = spark.createDataFrame([(p, k, s) for k, (p, s) in enumerate(rows)], "piece string, id int, score double")
+    score = dict(rows)
+    words = ["▁ab", "▁abab", "▁aabba", "▁"]
+    got = pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), table, 3).select("word", pieces.viterbi(F.col("word"), F.col("edges"), [0] * 256, -20.0).alias("ids")).collect()
+
+    def best(w):
+        return 0.0 if not w else max((score[w[:n]] + best(w[n:]) for n in (1, 2, 3) if w[:n] in score and len(w) >= n), default=-1e9)
+
+    for r in got:
+        path = [rows[k][0] for k in r["ids"]]
+        assert "".join(path) == r["word"] and sum(score[p] for p in path) == pytest.approx(best(r["word"]))
+
+
+def test_warc_round_trip_and_look_up(spark, tmp_path):
+    big = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 80
+    rows = [(1, "http://www.Example.com/a b", big, 0), (2, "https://example.com:80/?q", big, 0), (3, None, "", 0), (4, "http://x.org/\n", None, 0), (5, "http://www.example.com/a b", "small", 0), (6, "http://y.org", "small", 0), (9, "http://z.org", big, 0)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, digest int")
+    got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: ("revisit", 9), 2: ("revisit", 9), 9: ("response", None)} | {k: ("response", None) for k in (3, 4, 5, 6)}
+    assert all(got[k]["payload_digest"] == hashlib.sha1((t or "").encode()).hexdigest() and got[k]["payload_bytes"] == len((t or "").encode()) for k, _, t, _ in rows)
+    assert got[9]["payload"] == big
+    path = f"file://{tmp_path}/w"
+    warc.write(pages, path)
+    index = warc.build_index(spark, path, lines_per_block=2)
+    for most in (100, 0):
+        lines = warc.look_up(index, spark.createDataFrame([("http://www.example.com/a b",), ("http://none.org",)], "url string"), most=most)
+        assert sorted(r["page_id"] for r in warc.read_ranges(lines).collect()) == [1, 5]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_exact_dedup(spark):
+    df = docs(spark).union(docs(spark, ["Hello, World."]))
+    got = exact_dedup.decide(df, capacity=2, max_depth=4).collect()
+    norm = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    all_ = [(k, norm(t)) for k, t in enumerate(TEXTS)] + [(0, "hello, world.")]
+    for r in got:
+        text = next(t for k, t in all_ if k == r["doc_id"] and hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"])
+        group = [k for k, t in all_ if t == text]
+        assert (r["keep_id"], r["group_size"]) == (max(group), len(group))
+    assert len(got) == len(all_) and sum(r["kept"] for r in got) == len({t for _, t in all_})
+    out = exact_dedup.survivors(df)
+    assert out.columns == df.columns and out.count() == len({t for _, t in all_})
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id int, text string")
+    assert sorted(r["kept"] for r in exact_dedup.decide(twice).collect()) == [False, False, True]
+    assert exact_dedup.decide(empty(spark)).count() == 0
+
+
+def test_directory_splits_only_what_is_overfull():
+    entries = exact_dedup.directory({0: 50, 1: 50, 15: 500}, 60, 4)
+    assert len(entries) == 16 and entries[0] == (4, 0) and entries[1] == (4, 1) and entries[15][0] == 4 and [b for _, b in entries] == sorted(b for _, b in entries)
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 16))
+    x[100:140] = x[100]
+    rows = [(k, [float(v) for v in x[k]]) for k in range(400)] + [(400, None), (450, [float("nan")] * 16), (500, [None] * 16), (550, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, block=64, query_block=3).collect()}
+    q = np.floor(256 * x).astype(int)
+    for k in range(0, 400, 50):
+        s = q @ q[k]
+        order = [j for j in np.lexsort((np.arange(400), -s)).tolist() if j != k][:5]
+        assert [got[k, i + 1] for i in range(5)] == [(j, int(s[j])) for j in order]
+    assert len(got) == 40 and topk.top_k(df.limit(0)).count() == 0
+
+
+def naive_print(text, words):
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode().lower().split()
+    sh = [b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))] if w else []
+    h = [xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_components(spark):
+    rng = random.Random(1)
+    base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)) for _ in range(40)]
+    texts = TEXTS + base + [b + " tail" for b in base[:20]] + [" "]
+    got = {r["doc_id"]: r for r in simhash.near_groups(docs(spark, texts), words=3, radius=8, lanes=1, wide_radius=None).collect()}
+    prints = [naive_print(t, 3) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(texts)):
+        assert got[a]["fp"] % (1 << 64) == prints[a]
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 8 and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert [got[k]["component_id"] for k in range(len(texts))] == [root(k) for k in range(len(texts))]
+    assert simhash.near_groups(empty(spark)).count() == 0
+
+
+def test_simhash_keeps_one_of_near_copies_and_all_others(spark):
+    rng = random.Random(2)
+    base = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)) for _ in range(30)]
+    near = [b.replace(b.split()[70], "changed") for b in base[:10]]
+    df = docs(spark, base + near)
+    out = simhash.survivors(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == list(range(30))
+
+
+def test_chain_components_of_long_paths(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, 101), (102, 101), (-5, 102)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[k] == 0 for k in range(1, 61)) and {got[k] for k in (100, 101, 102)} == {-5}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for k in range(600):
+        toxic = k % 5 == 0
+        extra = [rng.choice(["scumbag", "vequ" + rng.choice("abcd") + "x", "moron"]) for _ in range(4)] if toxic else []
+        rows.append((k, " ".join(rng.sample([word() for _ in range(60)] + extra, 60 + len(extra))), int(toxic), int(k % 7 > 0)))
+    rows += [(900, None, None, None), (901, "", 0, 1)]
+    full = spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int")
+    labels = full.where("doc_id < 400 or doc_id > 800").select("doc_id", "quality", "toxic")
+    df = full.select("doc_id", "text", F.lit("x").alias("toxic"))
+    kept = toxicity.keep_clean(df, labels)
+    ids = {r["doc_id"] for r in kept.collect()}
+    held = range(400, 600)
+    assert kept.columns == df.columns and {900, 901} <= ids
+    assert sum(k % 5 == 0 and k in ids for k in held) <= 2 and sum(k % 5 > 0 and k not in ids for k in held) <= 2
+    assert toxicity.keep_clean(df, labels.limit(0)).count() == len(rows) and toxicity.keep_clean(df.limit(0), labels).count() == 0
