@@ -32,6 +32,8 @@ RECORDS_PER_FILE = 4000
 LINES_PER_BLOCK = 512
 #: Directories of more rows than this are searched by joining on ranges instead of being sent to the tasks (about 100 bytes a row).
 DIRECTORY_ROWS = 200_000
+#: Groups of equal payloads up to this number are sent to every task (about 70 bytes a row), so that pages are not shuffled.
+GROUP_ROWS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -51,6 +53,9 @@ def typed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     groups = rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first")
+    groups = store(groups, "warc-groups")
+    if groups.count() <= GROUP_ROWS:  # else the pages are shuffled, and a group with many copies is split by the adaptive join
+        groups = F.broadcast(groups)
     joined = rows.join(groups, ["digest", "bytes"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
