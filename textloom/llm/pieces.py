@@ -128,16 +128,31 @@ def viterbi(word: Column, edges: Column, byte_ids: list[int], unknown_score: flo
 
 def merges(word: Column, edges: Column, byte_ids: list[int]) -> Column:
     """Ids of the BPE path: of the neighbours whose union is a piece, the pair of the best score merges, the leftmost among equals."""
+    bind = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computes a value once that fn uses often
     cuts = F.transform(F.sequence(F.lit(0), F.length(word)), lambda k: k.cast("int"))
+    STATE = f"struct<at:array<int>,live:{EDGE}>"
+    none = F.array().cast(EDGE)
 
-    def step(at: Column, _: Column) -> Column:
-        # An edge can be made by one merge if exactly one cut lies inside and both its ends are cuts.
-        able = F.filter(edges, lambda e: (e["end"] - e["start"] > 1) & F.array_contains(at, e["start"]) & F.array_contains(at, e["end"]) & (F.array_position(at, e["end"]) - F.array_position(at, e["start"]) == 2))
+    def step(acc: Column, _: Column) -> Column:
+        """Live edges have both ends at cuts and at least one cut inside; one merge makes those with exactly one."""
+        able = F.filter(acc["live"], lambda e: F.array_position(acc["at"], e["end"]) - F.array_position(acc["at"], e["start"]) == 2)
         best = F.array_max(F.transform(able, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
-        inner = F.element_at(at, (F.array_position(at, -best["left"]) + 1).cast("int"))
-        return F.when(best.isNull(), at).otherwise(F.array_remove(at, inner))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), cuts, step)
+        def merged(b: Column) -> Column:
+            inner = F.element_at(acc["at"], (F.array_position(acc["at"], -b["left"]) + 1).cast("int"))
+            left = lambda c: F.filter(acc["live"], lambda e: (e["start"] != c) & (e["end"] != c) & ~((e["start"] == -b["left"]) & (e["end"] == b["end"])))
+            joined = bind(inner, lambda c: F.struct(F.array_remove(acc["at"], c).alias("at"), left(c).alias("live")).cast(STATE))
+            return F.when(b.isNull(), F.struct(acc["at"].alias("at"), none.alias("live")).cast(STATE)).otherwise(joined)
+
+        return F.when(F.size(acc["live"]) == 0, acc).otherwise(bind(best, merged))
+
+    start = F.struct(cuts.alias("at"), F.filter(edges, lambda e: e["end"] - e["start"] > 1).alias("live")).cast(STATE)
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, step, lambda acc: acc["at"])
+    return bind(done, lambda at: path_ids(word, edges, at, byte_ids))
+
+
+def path_ids(word: Column, edges: Column, done: Column, byte_ids: list[int]) -> Column:
+    """The ids of the steps between cuts."""
     return F.flatten(
         F.transform(
             F.arrays_zip(F.slice(done, F.lit(1), F.size(done) - 1).alias("a"), F.slice(done, F.lit(2), F.size(done) - 1).alias("b")),
