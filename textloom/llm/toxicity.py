@@ -29,7 +29,7 @@ FEATURES = 256
 SLOTS = 1 << 22
 MIN_DOCS = 3
 MIN_ROOT_G = 3.5
-THRESHOLD = 0.4
+THRESHOLD = 0.5
 #: Order of the chain. The column of labels and whether its 0 or its 1 is the category.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
