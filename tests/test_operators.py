@@ -119,3 +119,26 @@ def test_stream_counts_across_batches(spark, tmp_path):
         counter.start_upsert(stream, ["e"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {(r["day"], r["n"]) for r in counter.read_counters(spark, str(tmp_path / "out"), ["e"]).collect()}
     assert got == {("2024-01-01", 3), ("2024-01-02", 1)}
+
+
+def test_tails_and_logistic_fit_are_those_of_plain_code(spark):
+    import numpy as np
+
+    from textloom.operators import assess
+
+    rng = np.random.default_rng(1)
+    humans = [(b, float(v)) for b in ("short", "long") for v in rng.choice([1.0, 2.0, 2.5, *rng.normal(size=300)], 900)]
+    asked = [(b, float(v)) for b in ("short", "long", "none") for v in [2.0, -99.0, 99.0, *rng.normal(size=40)]]
+    got = assess.tails(spark.createDataFrame(asked, "bucket string, score double"), spark.createDataFrame([(*h, 1) for h in humans], "bucket string, score double, n long")).collect()
+    found = {(r["bucket"], r["score"]): r["tail_k"] for r in got}
+    assert all(found[b, s] == sum(c == b and v >= s for c, v in humans) for b, s in asked if b != "none")
+    x, z = rng.normal(size=400), rng.normal(size=400)
+    y = rng.random(400) < 1 / (1 + np.exp(-(2 * x - z + 1)))
+    rows = [("short", float(a), None if k % 9 == 0 else float(b), bool(c)) for k, (a, b, c) in enumerate(zip(x, z, y))]
+    fit = assess.logistic_fit(spark.createDataFrame(rows, "bucket string, nll double, burstiness double, positive boolean")).first()
+    fill = np.mean([r[2] for r in rows if r[2] is not None])
+    design = np.column_stack([x, [fill if r[2] is None else r[2] for r in rows], np.ones(400)])
+    weight = np.where(y, 400 / (2 * y.sum()), 400 / (2 * (~y).sum()))
+    w = np.array([fit["w_nll"], fit["w_burst"], fit["bias"]])
+    slope = design.T @ (weight * (y - 1 / (1 + np.exp(-design @ w)))) - np.array([1, 1, 0]) * w
+    assert abs(fit["fill"] - fill) < 1e-9 and np.abs(slope).max() < 1e-4

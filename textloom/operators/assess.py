@@ -2,33 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import statistics, tokens
 
 LANGUAGES = ("en", "it", "es")
-#: A bucket's calibration is an array of scores of a few hundred texts; three buckets are sent to every task.
-MOST_SCORES = 10_000
+#: Calibration scores are cut into this many ranges a bucket at most; their counts and edges are all that is sent to every task.
+RANGES = 256
 
 
 def calibration(rows: DataFrame, q: float = 0.99) -> DataFrame:
-    """(bucket, threshold, human_scores) of negatives."""
-    return rows.where(~F.col("positive")).groupBy("bucket").agg(F.percentile("score", F.lit(q)).alias("threshold"), F.sort_array(F.collect_list("score")).alias("human_scores"))
+    """(bucket, human_score, n, threshold) of negatives: a row per distinct score and how often it comes, with its bucket's threshold."""
+    counted = rows.where(~F.col("positive") & F.col("score").isNotNull()).groupBy("bucket", F.col("score").alias("human_score")).agg(F.count("*").alias("n"))
+    limits = counted.groupBy("bucket").agg(F.percentile("human_score", F.lit(q), F.col("n")).alias("threshold"))
+    return counted.join(F.broadcast(limits), "bucket")  # a row per bucket
+
+
+def tails(scores: DataFrame, humans: DataFrame) -> DataFrame:
+    """(bucket, score, tail_k) of the distinct (bucket, score) of scores: how many of humans (bucket, score, n) are at or over it.
+
+    Equal scores are summed first, so no score is too frequent. Approximate quantiles only cut a bucket into ranges; the counts are
+    exact: those of the higher ranges, and a running sum within the score's own range."""
+    h = humans.where("score is not null").groupBy("bucket", "score").agg(F.sum("n").alias("n"))
+    asked = scores.where("score is not null").select("bucket", "score").distinct().withColumn("n", F.lit(0).cast("long"))
+    points = h.unionByName(asked).groupBy("bucket", "score").agg(F.sum("n").alias("n"))
+    edges = h.groupBy("bucket").agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("edges"))
+    cut = points.join(F.broadcast(edges), "bucket").withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("score")))).drop("edges")
+    above = Window.partitionBy("bucket").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    higher = cut.groupBy("bucket", "part").agg(F.sum("n").alias("n")).select("bucket", "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("higher"))
+    within = Window.partitionBy("bucket", "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = cut.withColumn("within", F.sum("n").over(within)).join(F.broadcast(higher), ["bucket", "part"])  # RANGES rows a bucket
+    return found.select("bucket", "score", (F.col("higher") + F.col("within")).alias("tail_k"))
 
 
 def assess(texts: DataFrame, calib: DataFrame, language: str = "language") -> DataFrame:
-    """texts (words, language, sentences, score) with bucket, refused, human_tail and verdict. Scores at or over the text's count to its tail; a verdict needs
-    a score strictly over the threshold."""
+    """texts (words, language, sentences, score) with bucket, refused, human tail and verdict, by calibration()'s
+    table. Scores at or over the text's count to its tail; a verdict needs a score strictly over the threshold."""
     bucket = tokens.assess_bucket(F.col("words"))
     refused = (
         F.when(F.col("words") < tokens.BUCKETS[0][1], "too short")
         .when(~F.coalesce(F.col(language).isin(*LANGUAGES), F.lit(False)), "language not measured")
         .when(F.col("sentences") < 2, "too few sentences")
     )
-    rows = texts.withColumn("bucket", bucket).withColumn("refused", refused).join(F.broadcast(calib), "bucket", "left")
-    tail = F.size(F.filter("human_scores", lambda v: v >= F.col("score")))
-    rows = rows.withColumn("tail_k", F.when(F.col("refused").isNull(), tail).cast("long")).withColumn("tail_n", F.when(F.col("refused").isNull(), F.size("human_scores")).cast("long"))
+    rows = texts.withColumn("bucket", bucket).withColumn("refused", refused)
+    rows = rows.join(F.broadcast(calib.groupBy("bucket").agg(F.first("threshold").alias("threshold"), F.sum("n").alias("tail_n"))), "bucket", "left")  # a row per bucket
+    rows = rows.join(tails(rows.where("refused is null"), calib.select("bucket", F.col("human_score").alias("score"), "n")), ["bucket", "score"], "left")
+    measured = F.col("refused").isNull()
+    rows = rows.withColumn("tail_k", F.when(measured, F.col("tail_k"))).withColumn("tail_n", F.when(measured, F.col("tail_n")))
     low, high = statistics.wilson(F.col("tail_k"), F.col("tail_n"))
-    verdict = F.when(F.col("refused").isNull() & F.col("threshold").isNotNull(), F.when(F.col("score") > F.col("threshold"), "machine-like").otherwise("no evidence"))
-    return rows.withColumn("tail_low", low).withColumn("tail_high", high).withColumn("verdict", verdict).drop("human_scores")
+    verdict = F.when(measured & F.col("threshold").isNotNull(), F.when(F.col("score") > F.col("threshold"), "machine-like").otherwise("no evidence"))
+    return rows.withColumn("tail_low", low).withColumn("tail_high", high).withColumn("verdict", verdict)
+
+
+#: Detectors whose lower values are the more machine-like.
+LOWER_IS_MACHINE = ("binoculars", "nll_obs", "burstiness")
+
+
+def oriented(detector: Column, score: Column) -> Column:
+    """The score such that higher is more machine-like."""
+    return F.when(detector.isin(*LOWER_IS_MACHINE), -score).otherwise(score)
+
+
+def logistic_score(nll: Column, burstiness: Column, w_nll: Column, w_burst: Column, bias: Column, fill: Column) -> Column:
+    """The linear score; a missing burstiness counts as fill."""
+    return w_nll * nll + w_burst * F.coalesce(burstiness, fill) + bias
+
+
+def logistic_fit(rows: DataFrame, by: str = "bucket", rounds: int = 8) -> DataFrame:
+    """(by, w_nll, w_burst, bias, fill) of rows (nll, burstiness, positive): balanced classes, a ridge of 1 on both weights, Newton's method.
+    Each round is one aggregation to ten sums a group, whose groups are length buckets. A group without both classes is left out."""
+    import numpy as np
+
+    spark = rows.sparkSession
+    y = F.col("positive").cast("double")
+    base = rows.where("nll is not null and positive is not null")
+    facts = base.groupBy(by).agg(F.count("*").alias("n"), F.sum(y).alias("pos"), F.coalesce(F.avg("burstiness"), F.lit(0.0)).alias("fill")).where("pos > 0 and pos < n").collect()
+    state = {r[by]: np.zeros(3) for r in facts}
+    for _ in range(rounds if facts else 0):
+        given = spark.createDataFrame([(r[by], r["n"] / (2 * r["pos"]), r["n"] / (2 * (r["n"] - r["pos"])), r["fill"], *map(float, state[r[by]])) for r in facts], f"`{by}` string, c1 double, c0 double, fill double, a double, b double, c double")
+        x = (F.col("nll").cast("double"), F.coalesce(F.col("burstiness").cast("double"), F.col("fill")), F.lit(1.0))
+        p = 1 / (1 + F.exp(-logistic_score(x[0], x[1], F.col("a"), F.col("b"), F.col("c"), F.col("fill"))))
+        weight = F.when(F.col("positive"), F.col("c1")).otherwise(F.col("c0"))
+        slope = [F.sum(weight * (y - p) * v).alias(f"g{i}") for i, v in enumerate(x)]
+        bend = [F.sum(weight * p * (1 - p) * x[i] * x[j]).alias(f"h{i}{j}") for i in range(3) for j in range(i, 3)]
+        for r in base.join(F.broadcast(given), by).groupBy(by).agg(*slope, *bend).collect():
+            w, ridge = state[r[by]], np.array([1.0, 1.0, 1e-9])
+            h = np.array([[r[f"h{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+            state[r[by]] = w + np.linalg.solve(h + np.diag(ridge), np.array([r[f"g{i}"] for i in range(3)]) - ridge * w)
+    return spark.createDataFrame([(r[by], *map(float, state[r[by]]), float(r["fill"])) for r in facts], f"`{by}` string, w_nll double, w_burst double, bias double, fill double")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from textloom.functions import tokens
 from pyspark.sql.window import Window
 
 
@@ -38,3 +40,14 @@ def summary(rows: DataFrame, keys: list[str], threshold: float = 4.0) -> DataFra
 
 def limit_per_group(rows: DataFrame, group: str, n: int, order: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("rn") <= n).drop("rn")
+
+
+def model_summary(rows: DataFrame, key: str = "model", below: float = 4.0) -> DataFrame:
+    """Means and extremes of rows' z per model, and how many are below the limit."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("z").alias("z_mean"), F.max("z").alias("z_max"), F.count_if(F.col("z") < below).alias("n_below"))
+
+
+def usage(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls and tokens of calls (prompt, reply, prompt_tokens, completion_tokens); counts that are absent are estimated from the text."""
+    counted = lambda n, text: F.sum(F.coalesce(F.col(n).cast("long"), tokens.estimated_tokens(F.col(text)).cast("long"), F.lit(0)))
+    return calls.groupBy(*keys).agg(F.count("*").alias("calls"), counted("prompt_tokens", "prompt").alias("prompt_tokens"), counted("completion_tokens", "reply").alias("completion_tokens"))

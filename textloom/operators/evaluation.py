@@ -101,3 +101,16 @@ def precision_recall(pairs: DataFrame, keys: list[str], tool: str = "tool", ref:
 
 def majority(a: Column, b: Column, settled: Column) -> Column:
     return F.when(a == b, a).otherwise(settled)
+
+
+def outside_share(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of pairs that both annotators changed otherwise (other_a, other_b) and that have no change of a kind (ref), with its interval."""
+    outside = F.col("other_a") & F.col("other_b") & ~F.col("ref")
+    counts = pairs.groupBy(*keys).agg(F.count_if(outside).alias("outside"), F.count("*").alias("n"))
+    low, high = statistics.wilson(F.col("outside"), F.col("n"))
+    return counts.select("*", F.try_divide("outside", "n").alias("share"), low.alias("low"), high.alias("high"))
+
+
+def mean_of_cells(cells: DataFrame, expected: int, value: str = "auroc") -> DataFrame:
+    """The mean over exactly the expected number of cells with a value, else NaN."""
+    return cells.agg(F.when(F.count(value) == expected, F.avg(value)).otherwise(F.lit(float("nan"))).alias("mean"))

@@ -430,6 +430,32 @@ def assess_verdict(spark, sf_dir):
     return assess.assess(texts, assess.calibration(rows)).select("doc_id", "bucket", "refused", "tail_k", "verdict")
 
 
+@query(f"""WITH {SCORED_SQL} SELECT lang, count(*) AS n, count_if(toxic = 1 AND positive AND words <= 300) AS outside, round(count_if(toxic = 1 AND positive AND words <= 300) / count(*), 6) AS share FROM s GROUP BY lang""")
+def outside_share(spark, sf_dir):
+    pairs = scored(spark, sf_dir).select("lang", (F.col("toxic") == 1).alias("other_a"), F.col("positive").alias("other_b"), (F.col("words") > 300).alias("ref"))
+    return evaluation.outside_share(pairs, ["lang"]).select("lang", "n", "outside", r6("share").alias("share"))
+
+
+@query(f"SELECT round(avg(auroc), 6) AS mean FROM ({ORACLE['auroc_by_cell']}) WHERE bucket IN ('medium', 'long') AND lang IN ('en', 'fr', 'es') HAVING count(auroc) = 6 UNION ALL SELECT 'nan'::DOUBLE FROM ({ORACLE['auroc_by_cell']}) WHERE bucket IN ('medium', 'long') AND lang IN ('en', 'fr', 'es') HAVING count(auroc) <> 6")
+def six_cell_mean(spark, sf_dir):
+    cells = auroc_by_cell(spark, sf_dir).where(F.col("bucket").isin("medium", "long") & F.col("lang").isin("en", "fr", "es"))
+    return evaluation.mean_of_cells(cells, 6).select(r6("mean").alias("mean"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT doc_id, round(-score, 6) AS binoculars, round(score, 6) AS fast_detectgpt, round(0.5 * score + 0.25 * coalesce(CASE WHEN words >= 100 THEN words END, 80) - 1, 6) AS logistic FROM s")
+def detector_scores(spark, sf_dir):
+    """Scores turned so that higher is more machine-like, and the linear score with a missing second feature."""
+    s, f = F.col("score"), F.lit
+    linear = assess.logistic_score(s, F.when(F.col("words") >= 100, F.col("words")), f(0.5), f(0.25), f(-1.0), f(80))
+    return scored(spark, sf_dir).select("doc_id", *[r6(assess.oriented(f(d), s)).alias(d) for d in ("binoculars", "fast_detectgpt")], r6(linear).alias("logistic"))
+
+
+@query()
+def logistic_fit(spark, sf_dir):
+    rows = scored(spark, sf_dir).where("bucket is not null")
+    return assess.logistic_fit(rows.select("bucket", F.col("score").alias("nll"), F.when(F.col("words") % 7 > 0, F.log("words")).alias("burstiness"), "positive"))
+
+
 # ---- text marks and model outputs
 
 GRAMS_SQL = rf"""t AS (SELECT doc_id, regexp_extract_all(lower(text), {LETTERS}) AS t FROM documents), n AS (SELECT doc_id, unnest(range(1, len(t) - 3)) AS k, t FROM t WHERE len(t) >= 5),
@@ -601,6 +627,19 @@ def event_validate(spark, sf_dir):
 COUNTS_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"
 
 
+@query("SELECT event_type AS model, count(*) AS n, round(avg(value), 6) AS z_mean, max(value) AS z_max, count_if(value < 4) AS n_below FROM events GROUP BY event_type")
+def model_summary(spark, sf_dir):
+    rows = read(spark, sf_dir, "events", "event_type", "value").select(F.col("event_type").alias("model"), F.col("value").alias("z"))
+    return bench.model_summary(rows).withColumn("z_mean", r6("z_mean"))
+
+
+@query("""SELECT role, count(*) AS calls, sum(coalesce(CASE WHEN turn % 2 = 0 THEN turn END, (length(text) + 3) // 4))::BIGINT AS prompt_tokens, sum((length(text) + 3) // 4)::BIGINT AS completion_tokens
+    FROM (SELECT role, turn, coalesce(text, '') AS text FROM conversations) GROUP BY role""")
+def usage_totals(spark, sf_dir):
+    calls = read(spark, sf_dir, "conversations", "role", "turn", "text").select("role", F.col("text").alias("prompt"), F.col("text").alias("reply"), F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("prompt_tokens"), F.lit(None).cast("long").alias("completion_tokens"))
+    return bench.usage(calls, ["role"])
+
+
 @query(COUNTS_SQL)
 def event_counts_daily(spark, sf_dir):
     return counter.daily(read(spark, sf_dir, "events", "ts", "event_type"), ["event_type"])
