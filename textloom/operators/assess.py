@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions import statistics, tokens
+from textloom.operators import ranks
 
 LANGUAGES = ("en", "it", "es")
-#: Calibration scores are cut into this many ranges a bucket at most; their counts and edges are all that is sent to every task.
-RANGES = 256
 
 
 def calibration(rows: DataFrame, q: float = 0.99) -> DataFrame:
@@ -22,19 +20,13 @@ def calibration(rows: DataFrame, q: float = 0.99) -> DataFrame:
 
 def tails(scores: DataFrame, humans: DataFrame) -> DataFrame:
     """(bucket, score, tail_k) of the distinct (bucket, score) of scores: how many of humans (bucket, score, n) are at or over it.
-
-    Equal scores are summed first, so no score is too frequent. Approximate quantiles only cut a bucket into ranges; the counts are
-    exact: those of the higher ranges, and a running sum within the score's own range."""
+    Equal scores are summed first, so no score is too frequent; buckets without humans are left out."""
     h = humans.where("score is not null").groupBy("bucket", "score").agg(F.sum("n").alias("n"))
     asked = scores.where("score is not null").select("bucket", "score").distinct().withColumn("n", F.lit(0).cast("long"))
     points = h.unionByName(asked).groupBy("bucket", "score").agg(F.sum("n").alias("n"))
-    edges = h.groupBy("bucket").agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("edges"))
-    cut = points.join(F.broadcast(edges), "bucket").withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("score")))).drop("edges")
-    above = Window.partitionBy("bucket").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    higher = cut.groupBy("bucket", "part").agg(F.sum("n").alias("n")).select("bucket", "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("higher"))
-    within = Window.partitionBy("bucket", "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = cut.withColumn("within", F.sum("n").over(within)).join(F.broadcast(higher), ["bucket", "part"])  # RANGES rows a bucket
-    return found.select("bucket", "score", (F.col("higher") + F.col("within")).alias("tail_k"))
+    total = h.groupBy("bucket").agg(F.sum("n").alias("total"))
+    found = ranks.sum_below(points, ["bucket"], "score", "n").join(F.broadcast(total), "bucket")  # a row per bucket
+    return found.select("bucket", "score", (F.col("total") - F.col("below")).alias("tail_k"))
 
 
 def assess(texts: DataFrame, calib: DataFrame, language: str = "language") -> DataFrame:

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import statistics
+from textloom.operators import ranks
 
 FPR_BOUND, LEAST_AUROC, LEAST_TPR, LEAST_CLASS = 0.02, 0.85, 0.5, 5
 
 
 def auroc(scores: DataFrame, keys: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
-    """Mann-Whitney with average ranks, per group of keys; null if a class is empty. Equal scores are summed first, so a group of any size or
-    a score shared by a third of all rows reaches the running sum as one row per distinct score and key."""
+    """Mann-Whitney with average ranks, per group of keys; null if a class is empty. Equal scores are summed first, so a
+    score shared by a third of all rows is one row, and the running sum cuts large groups into ranges."""
     by_score = scores.groupBy(*keys, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by_score.withColumn("wins", F.col("p") * (below + F.col("q") / 2.0))
+    wins = ranks.sum_below(by_score, keys, score, "q").withColumn("wins", F.col("p") * (F.col("below") + F.col("q") / 2.0))
     total = wins.groupBy(*keys).agg(F.sum("wins").alias("wins"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return total.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("wins"), F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
