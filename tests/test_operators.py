@@ -142,3 +142,17 @@ def test_tails_and_logistic_fit_are_those_of_plain_code(spark):
     w = np.array([fit["w_nll"], fit["w_burst"], fit["bias"]])
     slope = design.T @ (weight * (y - 1 / (1 + np.exp(-design @ w)))) - np.array([1, 1, 0]) * w
     assert abs(fit["fill"] - fill) < 1e-9 and np.abs(slope).max() < 1e-4
+
+
+def test_mean_of_cells_needs_them_all(spark):
+    cells = spark.createDataFrame([(0.5,), (0.75,), (None,)], "auroc double")
+    assert evaluation.mean_of_cells(cells, 2).first()["mean"] == 0.625
+    assert evaluation.mean_of_cells(cells, 3).where("isnan(mean)").count() == 1
+
+
+def test_sum_below_takes_null_groups_and_null_scores(spark):
+    from textloom.operators import ranks
+
+    points = spark.createDataFrame([(g, s, 2) for g in ("a", None) for s in (None, *map(float, range(700)))], "g string, score double, v long")
+    got = ranks.sum_below(points, ["g"], "score", "v").collect()
+    assert len(got) == 1402 and all(r["below"] == (0 if r["score"] is None else 2 * (r["score"] + 1)) for r in got)
