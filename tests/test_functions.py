@@ -62,7 +62,7 @@ def test_digit_values(spark):
 def test_fact_difference(spark):
     df = spark.createDataFrame([("We met Ann in 1999 and saw three cats.", "We met Ann in 2001 and saw two cats. Not Bob.")], "a string, b string")
     r = facts.diff(df, "a", "b").first()
-    assert r["numbers_missing"] == ["1999.0", "3.0"] and r["numbers_added"] == ["2.0", "2001.0"]
+    assert r["numbers_missing"] == ["1999", "3"] and r["numbers_added"] == ["2", "2001"]
     assert r["names_missing"] == [] and r["names_added"] == ["Bob"] and r["altered"] == 5 and r["negations_after"] == 1
 
 

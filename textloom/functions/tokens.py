@@ -75,3 +75,19 @@ def sentences(text: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     return F.floor((F.length(text) + 3) / 4).cast("long")
+
+
+# Words that carry no content.
+STOP_WORDS = (
+    "a an the and or but nor so yet of to in on at for with by from as is are was were be been being it its this that these those he she they we you i me him her them us his their our your my not no do does did done "
+    "have has had having will would can could should shall may might must than then if when while where which who whom whose what how why there here also just very too only own same such into onto over under up down "
+    "out off again further once all any both each few more most other some because until about above below between through during before after per via "
+    "il lo la i gli le un uno una di da con su tra fra e o ma se che chi cui non più anche come dove quando mentre questo questa questi queste quello quella quelli quelle sono è era erano essere avere ha hanno "
+    "del della dei delle dal dalla nel nella nei nelle al alla ai alle sul sulla sui sulle"
+).split()
+
+
+def content_score(word: Column) -> Column:
+    """How much a word says: 0 if it is a stop word or not all letters, 1 from four letters on, else 0.3. From 1 on it is a content word."""
+    w = F.lower(word)
+    return F.when(~w.rlike(r"^\p{L}+$") | w.isin(STOP_WORDS), 0.0).when(F.length(w) >= 4, 1.0).otherwise(0.3)

@@ -51,3 +51,21 @@ def usage(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Calls and tokens of calls (prompt, reply, prompt_tokens, completion_tokens); counts that are absent are estimated from the text."""
     counted = lambda n, text: F.sum(F.coalesce(F.col(n).cast("long"), tokens.estimated_tokens(F.col(text)).cast("long"), F.lit(0)))
     return calls.groupBy(*keys).agg(F.count("*").alias("calls"), counted("prompt_tokens", "prompt").alias("prompt_tokens"), counted("completion_tokens", "reply").alias("completion_tokens"))
+
+
+def verdict(coverage: Column, z: Column) -> Column:
+    """How a rewriter did: good if it changed 95% of the wording and the score is that of unmarked text, poor under 90%, else close."""
+    return F.when((coverage >= 0.95) & (z.isNull() | (F.abs(z) < 4)), "good").when(coverage < 0.9, "poor").otherwise("close")
+
+
+# Parts of the names of models whose own output is marked.
+MARKING = ("claude", "gemini", "anthropic")
+
+
+def marks_its_output(model: Column) -> Column:
+    return F.lower(model).rlike("|".join(MARKING))
+
+
+def marked(scored: Column, z: Column) -> Column:
+    """Whether a text carries the mark: at least 50 scored positions and a z over 4."""
+    return (scored >= 50) & (z > 4)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions import statistics
+from textloom.functions import cleaning, statistics, tokens
 from textloom.operators import ranks
 
 FPR_BOUND, LEAST_AUROC, LEAST_TPR, LEAST_CLASS = 0.02, 0.85, 0.5, 5
@@ -114,3 +114,41 @@ def outside_share(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def mean_of_cells(cells: DataFrame, expected: int, value: str = "auroc") -> DataFrame:
     """The mean over exactly the expected number of cells with a value, else NaN."""
     return cells.agg(F.when(F.count(value) == expected, F.avg(value)).otherwise(F.lit(float("nan"))).alias("mean"))
+
+
+def changed_kinds(numbers: Column, names: Column, negation_flip: Column, quantifiers: Column) -> dict[str, Column]:
+    """Which kinds an annotation says changed. numbers and names: struct<missing, added> of arrays; a quantifier listed as (same) is none."""
+    some = lambda s: F.size(F.coalesce(s["missing"], F.array())) + F.size(F.coalesce(s["added"], F.array())) > 0
+    real = F.exists(quantifiers, lambda q: ~F.lower(q).contains("(same)"))
+    return {"numbers": some(numbers), "names": some(names), "negation": F.coalesce(negation_flip, F.lit(False)), "quantifiers": F.coalesce(real, F.lit(False))}
+
+
+def disputes(pairs: DataFrame, settled: DataFrame, key: str = "id") -> DataFrame:
+    """pairs (key, kind, a, b) on which the annotators differ and that settled (key) does not decide. References need this to be empty."""
+    return pairs.where(F.col("a") != F.col("b")).join(settled.select(key), key, "left_anti")
+
+
+def paragraph_pairs(rows: DataFrame, before: str, after: str, least_words: int = 30) -> DataFrame:
+    """rows by paragraph (paragraph, original, rewrite), of texts with equally many paragraphs, if the original has least_words words."""
+    both = rows.withColumns({"_b": cleaning.paragraphs(F.col(before)), "_a": cleaning.paragraphs(F.col(after))}).where(F.size("_b") == F.size("_a"))
+    each = both.select(*rows.columns, F.posexplode(F.arrays_zip(F.col("_b").alias("original"), F.col("_a").alias("rewrite"))).alias("paragraph", "_p"))
+    return each.select(*rows.columns, "paragraph", "_p.original", "_p.rewrite").where(tokens.word_count(F.col("original")) >= least_words)
+
+
+def calibration_export(humans: DataFrame, limits: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row that assessments ship with: buckets and cells as maps. humans (bucket, score), limits (bucket, threshold), cells (cell, allowed, why, ...), a row each.
+    The humans are the calibration's: a bounded sample per bucket."""
+    tails = humans.where("score is not null").groupBy("bucket").agg(F.array_sort(F.collect_list("score")).alias("human_scores"))
+    entry = limits.join(tails, "bucket", "left").select("bucket", F.struct("threshold", F.coalesce("human_scores", F.array().cast("array<double>")).alias("human_scores")).alias("entry"))
+    buckets = entry.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "entry")))).alias("buckets"))
+    rest = F.struct(*[c for c in cells.columns if c != "cell"])
+    return buckets.join(cells.agg(F.map_from_entries(F.collect_list(F.struct("cell", rest.alias("entry")))).alias("cells")), F.lit(True), "inner")  # one row each
+
+
+def publish(export: DataFrame, path: str, verdicts_before: int, dry_run: bool = False) -> bool:
+    """Writes export if it allows more cells than the calibration before it; says whether it did."""
+    verdicts = export.select(F.size(F.filter(F.map_values("cells"), lambda c: c["allowed"]))).first()[0]
+    if verdicts > verdicts_before and not dry_run:
+        export.write.mode("overwrite").json(path)
+        return True
+    return False

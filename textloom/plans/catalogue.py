@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions import cleaning, facts, marks, rewriting, statistics, tokens
+from textloom.functions import cleaning, facts, marks, rewriting, spans, statistics, tokens
 from textloom.operators import assess, bench, corpus, evaluation
 from textloom.streaming import counter
 
@@ -277,7 +277,9 @@ def adjacent(spark, sf_dir):
 
 @query()
 def fact_diff_adjacent(spark, sf_dir):
-    return facts.diff(adjacent(spark, sf_dir), "before", "text").drop("before", "text")
+    """With its sentences."""
+    found = facts.diff(adjacent(spark, sf_dir), "before", "text")
+    return found.withColumn("said", facts.sentences(found)).drop("before", "text")
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
@@ -670,3 +672,86 @@ def clean_reply(spark, sf_dir):
     df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").where(~F.contains("text", F.lit('"')))
     raw = F.concat(F.lit("<think>a plan</think>\nHere is the text:\n\n"), "text")
     return df.select("conv_id", "turn", F.sha2(cleaning.clean_reply(raw).cast("binary"), 256).alias("digest"))
+
+
+# ---- spans, pairs of paragraphs, disputes, verdicts
+
+#: The texts of the tables have no marks, so some are put in front and behind, in the oracle as well.
+MARKED_UP = ("# A heading\n```\ncode ", "\n```\nsee `x` at https://example.org/a_(b) or ~/notes.txt\n- ")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, length(replace(text, '`', '')) AS n FROM conversations)
+    SELECT conv_id, turn, 12 AS fence_start, CAST(12 + 9 + n + 5 AS BIGINT) AS fence_end, 11 AS heading_end, 3 AS inside_tail FROM t""")
+def span_kinds(spark, sf_dir):
+    head, tail = MARKED_UP
+    flat = F.concat(F.lit(head), F.replace("text", F.lit("`")), F.lit(tail))
+    df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.length(flat).alias("n"), spans.fence_spans(flat).alias("f"), spans.protected_spans(flat).alias("p"), spans.heading_spans(flat).alias("h"))
+    # The tail holds code, an address and a path.
+    inside = F.size(F.array_distinct(F.transform(F.filter("p", lambda s: s["start"] >= F.col("f")[0]["end"]), lambda s: s["start"])))
+    return df.select("conv_id", "turn", F.col("f")[0]["start"].alias("fence_start"), F.col("f")[0]["end"].cast("long").alias("fence_end"), F.col("h")[0]["end"].alias("heading_end"), inside.alias("inside_tail"))
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+    SELECT conv_id, turn, CAST(len(regexp_extract_all(before, {LETTERS})) AS BIGINT) AS words FROM a WHERE before IS NOT NULL AND text IS NOT NULL
+    AND trim(before) <> '' AND trim(text) <> '' AND NOT regexp_matches(before || text, '\n\s*\n') AND len(regexp_extract_all(before, {LETTERS})) >= 30""")
+def paragraph_pairs(spark, sf_dir):
+    """Of turns with one paragraph."""
+    pairs = evaluation.paragraph_pairs(adjacent(spark, sf_dir).where(~F.concat("before", "text").rlike(r"\n\s*\n")), "before", "text")
+    return pairs.select("conv_id", "turn", tokens.word_count(F.col("original")).cast("long").alias("words"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT doc_id, quality = 0 AS a, toxic = 1 AS b FROM s WHERE (quality = 0) <> (toxic = 1) AND doc_id % 3 <> 0")
+def disputes(spark, sf_dir):
+    """Where two judgements differ and none of those settled, here every third document, decides."""
+    pairs = scored(spark, sf_dir).select("doc_id", (F.col("quality") == 0).alias("a"), (F.col("toxic") == 1).alias("b"))
+    settled = read(spark, sf_dir, "documents", "doc_id").where("doc_id % 3 = 0")
+    return evaluation.disputes(pairs, settled, "doc_id")
+
+
+@query(f"""SELECT lang, source, sum(CASE WHEN length(w) >= 4 THEN 10 ELSE 3 END) AS tenths, count(*) AS n FROM
+    (SELECT lang, source, lower(unnest(regexp_extract_all(text, '[\\p{{L}}]+'))) AS w FROM documents) WHERE w NOT IN ({", ".join(repr(w) for w in tokens.STOP_WORDS)}) GROUP BY ALL""")
+def content_words(spark, sf_dir):
+    """Scores of words in tenths, summed by word first."""
+    w = read(spark, sf_dir, "documents", "lang", "source", "text").select("lang", "source", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
+    score = tokens.content_score(F.col("w"))
+    return w.where(score > 0).groupBy("lang", "source").agg(F.sum(F.round(score * 10).cast("long")).alias("tenths"), F.count("*").alias("n"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, {WORDS_SQL} AS n, length(text) AS l FROM documents)
+    SELECT CASE WHEN v >= 0.95 AND abs(z) < 4 THEN 'good' WHEN v < 0.9 THEN 'poor' ELSE 'close' END AS verdict, count_if(n >= 50 AND z > 4) AS marked, count(*) AS n FROM
+    (SELECT n, (doc_id % 21) / 20.0 AS v, l / greatest(n, 1) - 2 AS z FROM c) GROUP BY 1""")
+def rewriter_verdicts(spark, sf_dir):
+    """Coverage and z are stand-ins."""
+    df = documents(spark, sf_dir).select("words", (F.pmod("doc_id", F.lit(21)) / 20.0).alias("v"), (F.length("text") / F.greatest("words", F.lit(1)) - 2).alias("z"))
+    return df.groupBy(bench.verdict(F.col("v"), F.col("z")).alias("verdict")).agg(F.count_if(bench.marked(F.col("words"), F.col("z"))).alias("marked"), F.count("*").alias("n"))
+
+
+@query()
+def calibration_export(spark, sf_dir):
+    """By length; a cell is allowed from 20 humans on."""
+    rows = split(spark, sf_dir).where("part = 'calib' and not positive and bucket is not null")
+    limits = evaluation.thresholds(rows, ["bucket"])
+    cells = rows.groupBy(F.concat_ws("/", "lang", "bucket").alias("cell")).agg(F.count("*").alias("n_human")).withColumn("allowed", F.col("n_human") >= 20)
+    out = evaluation.calibration_export(rows.select("bucket", "score"), limits.select("bucket", "threshold"), cells)
+    return out.select(F.to_json("buckets").alias("buckets"), F.to_json("cells").alias("cells"))
+
+
+@query()
+def facts_by_language(spark, sf_dir):
+    """Facts of whole documents in their language; null for those without a lexicon."""
+    df = read(spark, sf_dir, "documents", "doc_id", "lang", "text").withColumn("f", facts.facts(F.col("text"), F.col("lang")))
+    sized = {k: facts.size_of(F.col(f"f.{k}")) for k in ("numbers", "names", "quantifiers")}
+    return df.select("doc_id", "lang", *[v.alias(k) for k, v in sized.items()], F.col("f.negations").alias("negations"), F.col("f.words").alias("words"))
+
+
+@query()
+def changed_word_share(spark, sf_dir):
+    """Of each turn, the share of words that no run kept from the turn before."""
+    pairs = adjacent(spark, sf_dir).select("conv_id", "turn", F.size(spans.changed_words(F.col("before"), F.col("text"))).alias("changed"), F.size(tokens.words(F.col("text"))).alias("n"))
+    return pairs.select("conv_id", "turn", "changed", F.try_divide("changed", "n").alias("share"))
+
+
+@query("SELECT conv_id, turn, md5('- ' || ltrim(text, ' ' || chr(9))) AS kept FROM conversations WHERE NOT contains(text, chr(10)) AND NOT regexp_matches(text, '^[ \t]*(?:[-*+]|[0-9]+[.)]|#{1,6}|>)[ \t]+')")
+def layout_kept(spark, sf_dir):
+    df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").where(~F.contains("text", F.lit("\n")) & ~F.col("text").rlike(spans.MARKER))
+    return df.select("conv_id", "turn", F.md5(spans.keep_layout(F.lit("- a line"), F.concat(F.lit("# "), "text")).cast("binary")).alias("kept"))
