@@ -285,7 +285,7 @@ def test_toxicity_on_held_out_rows(spark):
     rows += [(900, None, None, None), (901, "", 0, 1)]
     full = spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int")
     labels = full.where("doc_id < 400 or doc_id > 800").select("doc_id", "quality", "toxic")
-    df = full.select("doc_id", "text", F.lit("x").alias("toxic"))
+    df = full.select("doc_id", "text", F.lit("x").alias("toxic"), F.lit(1).alias("_p"), F.lit(2).alias("_id"))
     kept = toxicity.keep_clean(df, labels)
     ids = {r["doc_id"] for r in kept.collect()}
     held = range(400, 600)

@@ -228,11 +228,12 @@ def probabilities(text: Column, models: list[Linear]) -> Column:
     return of(text)
 
 
-def score(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _p, the probabilities of the chain's categories."""
-    return docs.withColumn("_p", probabilities(F.col(text_col), train(docs, labels, chain, sample_rows, id_col, text_col)))
+def score(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", out: str = "_p") -> DataFrame:
+    """docs with out, the probabilities of the chain's categories."""
+    return docs.withColumn(out, probabilities(F.col(text_col), train(docs, labels, chain, sample_rows, id_col, text_col)))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs that the last category of the chain does not hold, with their own columns."""
-    return score(docs, labels, id_col=id_col, text_col=text_col).where(F.element_at("_p", -1) < threshold).drop("_p")
+    out = "_p" + "_" * max(map(len, docs.columns))  # longer than any name there
+    return score(docs, labels, id_col=id_col, text_col=text_col, out=out).where(F.element_at(out, -1) < threshold).drop(out)
