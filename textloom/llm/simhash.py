@@ -31,7 +31,10 @@ RADIUS = 15
 LANES = 4
 WIDE_RADIUS = 48
 SEED = 42
-TILE = 16384
+#: Rows of a tile, 40 bytes each with four lanes. Copies of tiles grow with rows / TILE.
+TILE = 65536
+#: Pairs that numpy compares at once.
+BLOCK = 1 << 20
 
 
 def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
@@ -94,7 +97,7 @@ def forest(a, b, same: bool, radius: int, wide_radius: int | None = None) -> lis
     count_a, count_b = np.bitwise_count(a[:, 0]).astype(int), np.bitwise_count(b[:, 0]).astype(int)
     order_a, order_b = np.argsort(count_a, kind="stable"), np.argsort(count_b, kind="stable")
     sorted_a, sorted_b, count_a, count_b = a[order_a, 0], b[order_b, 0], count_a[order_a], count_b[order_b]
-    step = 64
+    step = min(64, max(1, BLOCK // max(1, len(b))))
     for at in range(0, len(a), step):
         low, high = np.searchsorted(count_b, [count_a[at] - radius, count_a[min(at + step, len(a)) - 1] + radius + 1])
         near = np.bitwise_count(sorted_a[at : at + step, None] ^ sorted_b[None, low:high]) <= radius
