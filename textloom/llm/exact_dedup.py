@@ -49,12 +49,14 @@ def directory(histogram: dict[int, int], capacity: int, max_depth: int) -> list[
 
 
 def index_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """The stored pages: (_row, doc_id, key, norm, text_sha256[, _carried])."""
-    columns = [F.col(id_col).cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")]
-    if carry:
-        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_carried"))
-    pages = docs.select(F.monotonically_increasing_id().alias("_row"), *columns)
-    return store(pages.withColumn("key", F.xxhash64("norm")).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)), "dedup-pages")
+    """The stored pages: (_row, doc_id, key, norm, text_sha256[, _carried]). With _carried, norm is not stored beside the text in it but made on reading."""
+    norm = lambda text: ascii_lower(F.coalesce(text, F.lit("")))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_carried")] if carry else []
+    pages = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), norm(F.col(text_col)).alias("norm"), *carried)
+    pages = pages.withColumn("key", F.xxhash64("norm")).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
+    if not carry:
+        return store(pages, "dedup-pages")
+    return store(pages.drop("norm"), "dedup-pages").withColumn("norm", norm(F.col("_carried")[text_col]))
 
 
 def with_bucket(pages: DataFrame, capacity: int = BUCKET_ROWS, max_depth: int = MAX_DEPTH) -> DataFrame:
