@@ -18,7 +18,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles and a similarity of 0.8, by the module's radii; one document of each group stays."""
+    """Five-word shingles and a similarity of 0.8, confirmed on the sets of shingles; one document of each group stays."""
     return simhash.survivors(docs)
 
 

@@ -268,6 +268,37 @@ def test_simhash_keeps_one_of_near_copies_and_all_others(spark):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == list(range(30))
 
 
+@pytest.mark.parametrize("part_rows", [1024, 7])
+def test_near_copies_are_linked_by_the_similarity_of_their_shingles(spark, part_rows):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = ["", None, " ", "one", "one two three four five six"]
+    for n in (40, 120, 400):
+        for share in (0.01, 0.02, 0.03, 0.04, 0.05, 0.06):
+            base = [word() for _ in range(n)]
+            texts += [" ".join(w if k and rng.random() > share else word() for w in base) for k in range(6)]
+    line = " ".join(word() for _ in range(12))
+    texts += [f"{line}\n" * 40 + " ".join(word() for _ in range(60)) for _ in range(3)]  # alike by counts, not as sets
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    between = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            between += 0.5 <= both / max(1, either) < 0.8
+            if 5 * both >= 4 * either and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, texts), similarity=0.8, part_rows=part_rows).collect()}
+    assert between > 50 and [got[k] for k in range(len(texts))] == [root(k) for k in range(len(texts))]
+    assert sorted(r["doc_id"] for r in simhash.survivors(docs(spark, texts)).collect()) == sorted({root(k) for k in range(len(texts))})
+
+
 def test_chain_components_of_long_paths(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (102, 101), (-5, 102)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

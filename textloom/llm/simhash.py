@@ -7,6 +7,11 @@ exclusive-or and bit counts over whole tiles. A tile pair returns a spanning for
 every connection and at most one row per fingerprint. Components come from alternating star contractions over
 stored tables until nothing changes.
 
+With a similarity, fingerprints only admit pairs. A link of the Jaccard similarity asked for lies within a component of admitted pairs,
+so the texts of these are brought together, large components cut into parts that meet pair by pair, and each
+link is confirmed on the sets of shingles before components are formed again. Fingerprints are then those of the
+sets, and equal sets meet first.
+
 Defined cases: null equals empty; a text without words has fingerprint zero and is linked like any other; texts with
 fewer words than a shingle are one shingle; repeated rows are linked to each other; ids that repeat with other texts are
 other documents; null ids take part and name no component unless it holds nothing else; an empty table gives an empty result;
@@ -23,37 +28,54 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import store
 
-#: Near-duplicates proper: a similarity of 0.8 of the sets of five-word shingles turns 9.7 of 64 bits and 39 of 256 on average. The first lane alone
-#: would link unrelated texts by chance from some 12 bits on, so it only admits a pair to the count over four lanes, where 48 bits are
-#: 1.6 deviations above the mean at 0.8 and ten below that of unrelated texts.
+#: Near-duplicates proper: a similarity of 0.8 of the sets of five-word shingles turns 9.7 of 64 bits and 39 of 256 on average. The radii
+#: only admit pairs to the comparison of the sets, so they are wide: 22 and 64 are more than four deviations above these means, and
+#: 64 is eight below that of unrelated texts.
 SHINGLE_WORDS = 5
-RADIUS = 15
+SIMILARITY = 0.8
+RADIUS = 22
 LANES = 4
-WIDE_RADIUS = 48
+WIDE_RADIUS = 64
 SEED = 42
+#: Rows and bytes of text of a part of a component whose sets are compared in one task with those of another part.
+PART_ROWS = 1024
+PART_BYTES = 8 << 20
 #: Rows of a tile, 40 bytes each with four lanes. Copies of tiles grow with rows / TILE.
 TILE = 65536
 #: Pairs that numpy compares at once.
 BLOCK = 1 << 20
 
 
-def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
-    """`lanes` signed 64-bit fingerprints. The first is of the shingles' XXH64, the others of bijective mixes of it. White space
-    is the six ASCII characters at which bytes.split() splits."""
+def shingle_hashes(text: bytes, words: int) -> list[int]:
+    """XXH64 of the shingles, in order. White space is the six ASCII characters at which bytes.split() splits."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     parts = text.lower().split()
     if not parts:
-        return [0] * lanes
+        return []
     if len(parts) <= words:
-        h = [xxh64_intdigest(b" ".join(parts), SEED)]
-    else:
-        line = b" ".join(parts)
-        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        starts = [0, *stops[:-1].tolist()]
-        ends = (stops - 1).tolist()
-        h = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]
+        return [xxh64_intdigest(b" ".join(parts), SEED)]
+    line = b" ".join(parts)
+    stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = [0, *stops[:-1].tolist()]
+    ends = (stops - 1).tolist()
+    return [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]
+
+
+def shingle_set(text: bytes, words: int):
+    """Their sorted distinct hashes."""
+    import numpy as np
+
+    return np.unique(np.array(shingle_hashes(text, words), "<u8"))
+
+
+def fold(h, lanes: int) -> list[int]:
+    """`lanes` signed 64-bit fingerprints. The first is of the hashes, the others of bijective mixes of them."""
+    import numpy as np
+
+    if not len(h):
+        return [0] * lanes
     counts = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(h), 1 << 15):
         part = np.array(h[at : at + (1 << 15)], "<u8")
@@ -67,11 +89,27 @@ def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
     return np.packbits(2 * counts > len(h), axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprint_column(text, words: int, lanes: int):
+def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
+    """Of the shingles as often as they occur."""
+    return fold(shingle_hashes(text, words), lanes)
+
+
+def set_fingerprint(text: bytes, words: int, lanes: int) -> list[int]:
+    """Of the set of shingles, and behind it a hash of the whole set."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    h = shingle_set(text, words)
+    return [*fold(h, lanes), int(np.uint64(xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64))]
+
+
+def fingerprint_column(text, words: int, lanes: int, of_set: bool = False):
+    make = set_fingerprint if of_set else fingerprint
+
     @F.arrow_udf("array<long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([fingerprint(t or b"", words, lanes) for t in batch.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([make(t or b"", words, lanes) for t in batch.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
     return of(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -158,6 +196,82 @@ def links(prints: DataFrame, radius: int, wide_radius: int | None = None, tile:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def jaccard(x, y) -> float:
+    """Of two sorted arrays of distinct hashes."""
+    import numpy as np
+
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both / (len(x) + len(y) - both)
+
+
+def confirmed_forest(sets, prints, parts, radius: int, wide_radius: int | None, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of rows, of the links of at least the similarity among admitted pairs: those within the part if all rows
+    are of one, else those across the two. Close pairs come first, so that few of a group of near copies are compared."""
+    import numpy as np
+
+    one = bool((parts == parts[0]).all())
+    left = np.arange(len(sets)) if one else np.nonzero(parts == parts.min())[0]
+    right = left if one else np.nonzero(parts != parts.min())[0]
+    sizes = np.array([len(x) for x in sets])
+    found = []
+    for k, i in enumerate(left.tolist()):
+        others = right[k + 1 :] if one else right
+        # No two sets are more alike than the smaller is in size to the larger.
+        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 1e-6]
+        bits = np.bitwise_count(prints[others] ^ prints[i])
+        far = bits.sum(axis=1, dtype=np.int32)
+        near = (bits[:, 0] <= radius) & (far <= (wide_radius if wide_radius is not None else 64 * prints.shape[1]))
+        found.append(np.stack([np.full(int(near.sum()), i), others[near], far[near]], axis=1))
+    pairs = np.concatenate(found)
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
+        if (p := root(i)) != (q := root(j)) and jaccard(sets[i], sets[j]) >= similarity:
+            parent[p] = q
+            links.append((i, j))
+    return links
+
+
+def confirmed(
+    texts: DataFrame, prints: DataFrame, roots: DataFrame, words: int, radius: int, wide_radius: int | None, similarity: float, part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """(a, b) of nodes: links of the similarity within the components of admitted pairs, as forests. texts: (_row, text)."""
+    members = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
+    members = store(members.join(prints, "node").select("node", "fps", "root", F.col("first._row").alias("_row")), "simhash-members")
+    # Texts of the members alone are moved, by a broadcast of their row numbers.
+    held = texts.join(F.broadcast(members.select("_row", "node", "root")), "_row").select("node", "root", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    held = store(held.join(members.select("node", "fps"), "node"), "simhash-members")
+    parts = F.ceil(F.greatest(F.count("*") / part_rows, F.sum(F.octet_length("text")) / part_bytes)).cast("int")
+    large = held.groupBy("root").agg(parts.alias("parts")).where("parts > 1")  # one row for part_bytes or part_rows at most
+    cut = held.join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = cut.groupBy("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("node", "part", "fps", "text")).alias("t")).where(F.size("t") > 1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                t = batch.column(0)[k].values
+                node, part = (t.field(c).to_numpy(zero_copy_only=False) for c in ("node", "part"))
+                prints = t.field("fps").flatten().to_numpy(zero_copy_only=False).view("<u8").reshape(len(t), -1)
+                sets = [shingle_set(x.as_py(), words) for x in t.field("text")]
+                found = np.array(confirmed_forest(sets, prints, part, radius, wide_radius, similarity), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]], pa.int64()), pa.array(node[found[:, 1]], pa.int64())], names=["a", "b"])
+
+    return met.select("t").mapInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node of the component. Large and small star by turns; each round is stored, so that a
     lost executor costs one round at most. A star with a third of all nodes is summed before it is joined."""
@@ -182,20 +296,30 @@ def same_rows(x: DataFrame, y: DataFrame) -> bool:
 
 
 def near_groups(
-    docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, lanes: int = LANES, wide_radius: int | None = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
-) -> DataFrame:
+    docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, lanes: int = LANES, wide_radius: int | None = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", carry: bool = False,
+    similarity: float | None = None, part_rows: int = PART_ROWS,
+) -> DataFrame:
     """(_row, doc_id, fp, component, component_id, keeper[, _carried]) of every row: component names the group,
-    component_id is its smallest id and keeper the _row of one document with that id."""
-    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_carried")] if carry else []
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), words, lanes).alias("fps"), *carried)
-    rows = store(rows, "simhash").withColumn("node", F.col("fps")[0] if lanes == 1 else F.xxhash64("fps"))
+    component_id is its smallest id and keeper the _row of one document with that id. Links are those of the fingerprints or, with a
+    similarity, those admitted pairs whose sets of shingles have at least that Jaccard similarity."""
+    exact = similarity is not None
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_carried")] if carry else [F.col(text_col).alias("_text")] if exact else []
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), words, lanes, exact).alias("fps"), *carried)
+    rows = store(rows, "simhash")
+    if exact:
+        rows = rows.withColumn("node", F.element_at("fps", -1)).withColumn("fps", F.slice("fps", 1, lanes))
+    else:
+        rows = rows.withColumn("node", F.col("fps")[0] if lanes == 1 else F.xxhash64("fps"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))).alias("first")
     prints = store(rows.groupBy("node", "fps").agg(first), "simhash-prints")
     roots = components(links(prints.select("node", "fps"), radius, wide_radius))
+    if exact:
+        texts = rows.select("_row", (F.col("_carried").getField(text_col) if carry else F.col("_text")).alias("text"))
+        roots = components(confirmed(texts, prints, roots, words, radius, wide_radius, similarity, part_rows))
     named = prints.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("component"))
     best = named.groupBy("component").agg(F.min("first").alias("first"))
     labels = named.select("node", "component").join(best, "component").select("node", "component", F.col("first.doc_id").alias("component_id"), F.col("first._row").alias("keeper"))
-    return rows.join(labels, "node").withColumn("fp", F.col("fps")[0]).drop("node", "fps")
+    return rows.drop("_text").join(labels, "node").withColumn("fp", F.col("fps")[0]).drop("node", "fps")
 
 
 def unsigned_hex(fp):
@@ -203,5 +327,5 @@ def unsigned_hex(fp):
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group, with its own columns."""
-    return near_groups(docs, id_col=id_col, text_col=text_col, carry=True).where(F.col("_row") == F.col("keeper")).select("_carried.*")
+    """docs with one document of each group of near copies, with its own columns."""
+    return near_groups(docs, id_col=id_col, text_col=text_col, carry=True, similarity=SIMILARITY).where(F.col("_row") == F.col("keeper")).select("_carried.*")
