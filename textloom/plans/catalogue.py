@@ -178,7 +178,17 @@ def rule_typography(spark, sf_dir):
 @query(r"SELECT doc_id, sha256(regexp_replace(replace(text, ' the ', ', and '), '\b([\p{L}\p{N}_]+), ([\p{L}\p{N}_]+), (and|or) ([\p{L}\p{N}_]+)\b', '\1, \2 \3 \4', 'g')) AS digest FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')")
 def rule_serial_comma(spark, sf_dir):
     ascii_only = read(spark, sf_dir, "documents", "doc_id", "text").where(F.octet_length("text") == F.length("text"))
-    return hashed(ascii_only, cleaning.serial_comma(F.replace("text", F.lit(" the "), F.lit(", and "))))
+    return hashed(ascii_only, listed_with_commas())
+
+
+def listed_with_commas():
+    return cleaning.serial_comma(F.replace("text", F.lit(" the "), F.lit(", and ")))
+
+
+@query()
+def whole_rule_serial_comma(spark, sf_dir):
+    """Every document; DuckDB's word boundary knows ASCII only."""
+    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), listed_with_commas())
 
 
 @query("SELECT doc_id, sha256(replace(replace(text, ' of ', ' 1234567 '), ' the ', ' 12.5% ')) AS digest FROM documents")
@@ -190,8 +200,17 @@ def rule_numbers(spark, sf_dir):
 @query("SELECT doc_id, sha256(regexp_replace(text, '([^ \t\n\r\x0b\x0c\\d,;:(\\[]) the ([^ \t\n\r\x0b\x0c\\d,;:)\\]])', '\\1, \\2', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, ' the (. )?the ') AND NOT contains(text, '–') AND NOT contains(text, '—')")
 def rule_dashes(spark, sf_dir):
     df = read(spark, sf_dir, "documents", "doc_id", "text").where(~F.col("text").rlike(" the (. )?the ") & ~F.contains("text", F.lit("–")) & ~F.contains("text", F.lit("—")))
-    text = F.regexp_replace("text", r"(?<=[^\s\d,;:(\[]) the (?=[^\s\d,;:)\]])", " — ")
-    return hashed(df, cleaning.dashes(text))
+    return hashed(df, without_dashes())
+
+
+def without_dashes():
+    return cleaning.dashes(F.regexp_replace("text", r"(?<=[^\s\d,;:(\[]) the (?=[^\s\d,;:)\]])", " — "))
+
+
+@query()
+def whole_rule_dashes(spark, sf_dir):
+    """Every document, those with dashes of their own and with neighbouring matches too, which DuckDB cannot look around."""
+    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), without_dashes())
 
 
 @query()
@@ -209,14 +228,33 @@ def prose_lines(spark, sf_dir):
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(text, ' the ', ' the '), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '**')")
 def tidy_text(spark, sf_dir):
     df = read(spark, sf_dir, "documents", "doc_id", "text").where(~F.contains("text", F.lit("#")) & ~F.contains("text", F.lit("**")))
-    marked = F.concat(F.lit("# A heading\n\n\n\n"), F.replace("text", F.lit(" the "), F.lit(" **the** ")))
-    return hashed(df, cleaning.tidy(marked))
+    return hashed(df, tidied())
+
+
+def tidied():
+    return cleaning.tidy(F.concat(F.lit("# A heading\n\n\n\n"), F.replace("text", F.lit(" the "), F.lit(" **the** "))))
+
+
+@query()
+def whole_tidy_text(spark, sf_dir):
+    """Every document, those with marks of their own too."""
+    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), tidied())
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+([,.;:!?)»%])', '\1', 'g'), '([(«])\s+', '\1', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents WHERE NOT contains(text, '''')")
 def detokenize_text(spark, sf_dir):
     df = read(spark, sf_dir, "documents", "doc_id", "text").where(~F.contains("text", F.lit("'")))
-    return hashed(df, cleaning.detokenize(F.replace(F.replace("text", F.lit(","), F.lit(" ,")), F.lit("."), F.lit(" ."))))
+    return hashed(df, detokenized())
+
+
+def detokenized():
+    return cleaning.detokenize(F.replace(F.replace("text", F.lit(","), F.lit(" ,")), F.lit("."), F.lit(" .")))
+
+
+@query()
+def whole_detokenize_text(spark, sf_dir):
+    """Every document, those with apostrophes too."""
+    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), detokenized())
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n\s*\n'), lambda s: trim(s) <> '')) AS paragraphs FROM documents")
@@ -670,8 +708,18 @@ def json_fields(spark, sf_dir):
 @query(r"SELECT conv_id, turn, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM conversations WHERE NOT contains(text, chr(34))")
 def clean_reply(spark, sf_dir):
     df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").where(~F.contains("text", F.lit('"')))
+    return replies(df)
+
+
+def replies(turns):
     raw = F.concat(F.lit("<think>a plan</think>\nHere is the text:\n\n"), "text")
-    return df.select("conv_id", "turn", F.sha2(cleaning.clean_reply(raw).cast("binary"), 256).alias("digest"))
+    return turns.select("conv_id", "turn", F.sha2(cleaning.clean_reply(raw).cast("binary"), 256).alias("digest"))
+
+
+@query()
+def whole_clean_reply(spark, sf_dir):
+    """Every turn, those with quotes too."""
+    return replies(read(spark, sf_dir, "conversations", "conv_id", "turn", "text"))
 
 
 # ---- spans, pairs of paragraphs, disputes, verdicts
@@ -700,6 +748,13 @@ def paragraph_pairs(spark, sf_dir):
     return pairs.select("conv_id", "turn", tokens.word_count(F.col("original")).cast("long").alias("words"))
 
 
+@query()
+def whole_paragraph_pairs(spark, sf_dir):
+    """Of all neighbouring turns, by paragraph."""
+    pairs = evaluation.paragraph_pairs(adjacent(spark, sf_dir), "before", "text")
+    return pairs.select("conv_id", "turn", "paragraph", tokens.word_count(F.col("original")).cast("long").alias("words"))
+
+
 @query(f"WITH {SCORED_SQL} SELECT doc_id, quality = 0 AS a, toxic = 1 AS b FROM s WHERE (quality = 0) <> (toxic = 1) AND doc_id % 3 <> 0")
 def disputes(spark, sf_dir):
     """Where two judgements differ and none of those settled, here every third document, decides."""
@@ -755,3 +810,11 @@ def changed_word_share(spark, sf_dir):
 def layout_kept(spark, sf_dir):
     df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").where(~F.contains("text", F.lit("\n")) & ~F.col("text").rlike(spans.MARKER))
     return df.select("conv_id", "turn", F.md5(spans.keep_layout(F.lit("- a line"), F.concat(F.lit("# "), "text")).cast("binary")).alias("kept"))
+
+
+@query()
+def whole_layout_kept(spark, sf_dir):
+    """Every turn, by lines: each takes the mark of a list item from a text of as many lines."""
+    items = F.array_join(F.transform(F.split("text", "\n", -1), lambda _: F.lit("- a line")), "\n")
+    df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    return df.select("conv_id", "turn", F.md5(spans.keep_layout(items, F.concat(F.lit("# "), "text")).cast("binary")).alias("kept"))
