@@ -228,6 +228,20 @@ def test_top_k(spark):
     assert len(got) == 40 and topk.top_k(df.limit(0)).count() == 0
 
 
+def test_pieces_query_is_over_all_documents(spark, tmp_path):
+    import sentencepiece
+
+    from textloom.llm.queries import QUERIES
+
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    got = {r["doc_id"]: (r["ids"], r["n_tokens"]) for r in QUERIES["op5_sentencepiece"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(len(TEXTS)))
+    for k, t in enumerate(TEXTS):
+        if t and not t.isspace():
+            assert got[k] == (lib.encode(t), len(lib.encode(t))), t
+
+
 def naive_print(text, words):
     from xxhash import xxh64_intdigest
 

@@ -41,10 +41,19 @@ def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of `conversations`, whose whole texts are encoded and decoded again."""
+    """Every text of `documents`, encoded whole and decoded again."""
+    return pieces_of(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op5_sentencepiece_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every turn of `conversations`."""
+    return pieces_of(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+def pieces_of(rows: DataFrame, *keys: str) -> DataFrame:
     model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
-    coded = pieces.encode(table(spark, sf_dir, "conversations"), model, keep=("conv_id", "turn"))
-    return coded.select("conv_id", "turn", "ids", F.size("ids").cast("long").alias("n_tokens"), pieces.decode(F.col("ids"), model).eqNullSafe(F.col("_text")).alias("round_trip"))
+    coded = pieces.encode(rows, model, keep=keys)
+    return coded.select(*keys, "ids", F.size("ids").cast("long").alias("n_tokens"), pieces.decode(F.col("ids"), model).eqNullSafe(F.col("_text")).alias("round_trip"))
 
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +81,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *named, toxic.alias("toxic"), (~toxic).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ring_sharding, op3_html_main_text, op4_pii_weak_supervision, op5_sentencepiece, op6_warc_index, op7_exact_dedup, op8_exact_top_k, op9_simhash, op10_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ring_sharding, op3_html_main_text, op4_pii_weak_supervision, op5_sentencepiece, op5_sentencepiece_turns, op6_warc_index, op7_exact_dedup, op8_exact_top_k, op9_simhash, op10_toxicity_chain)}
 
 ORACLE_SQL = {
     "op6_warc_index": """
