@@ -102,6 +102,22 @@ def test_html(spark):
     assert html_text.main_text(plain).startswith("This is the text") and html_text.main_text(plain).endswith("Short.")
 
 
+LONG_TEXT = "This is the text of the page and it is what we want to keep for all of the readers. " * 4
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<html class='cookies'><body class='has-sidebar'><article><p>{t}</p></article></body></html>", True),
+    ("<div id='page' class='right-sidebar'><article><p>{t}</p></article><div class='comments'><p>It is the note of a reader and that is not for us to keep, as it is of no use to the rest.</p></div></div>", True),
+    ("<div class='right-sidebar'><div id='menu-page'><p>{t}</p></div></div>", True),
+    ("<datalist><option value=x></datalist><div><p>{t}</p></div>", True), ("<select><option>A<option>B</select><div><p>{t}</p></div>", True),
+    ("<div><option>A</div><div><p>{t}</p></div>", True),
+    ("<article><p>{t}</p></article><div class='comments'><p>" + LONG_TEXT.replace("page", "reader") * 3 + "</p></div>", True),
+    ("<article><a href=x>More of it</a></article><div><p>{t}</p></div><article><p>Read on.</p></article>", True), ("<div class='sidebar' hidden><p>{t}</p></div>", False),
+])
+def test_html_names_options_and_teasers(page, want):
+    assert html_text.main_text(page.format(t=LONG_TEXT)).removesuffix(" Read on.") == (LONG_TEXT.strip() if want else "")
+
+
 BASE = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )

@@ -7,6 +7,10 @@ neighbours: their common label where both agree, that of the nearer one where th
 element the neighbours are those of the same element, and a tie or the absence of decided ones is good; elsewhere it
 is bad.
 
+A class or id speaks for its element unless that is html or body, or wraps the page: while no article stands free and a named
+container holds at least as much good text as stands outside all of them, the largest such is opened. An article is the
+whole of the main text only if it holds the main share of the good text.
+
 Defined cases: null or empty pages, and pages without main text, give an empty text; cut-off pages are read as
 far as they go, an unfinished tag at the end is dropped; references are decoded once; every run of white space,
 Unicode's too, is one space; repeated rows give repeated results; other columns are ignored.
@@ -42,6 +46,8 @@ BOILERPLATE_NAMES = re.compile(
     r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reviews|share|sharing|social|related|recommended|"
     r"widget|toolbar|pagination|pager|tags|skip|copyright|legal|disclaimer)(?:$|[\s_-]|\d)", re.I,
 )
+#: Names of what readers wrote, or of other pages: opened only where nothing else has good text.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reviews|related|recommended|ads?|sponsored)(?:$|[\s_-]|\d)", re.I)
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 TAG_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
@@ -117,29 +123,43 @@ def tag_end(page: str, at: int) -> int:
 
 
 def is_boilerplate(name: str, attributes: str) -> bool:
+    """By tag, role or hiding."""
     if name in BOILERPLATE_TAGS:
         return True
     if not attributes:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id"):
-            if BOILERPLATE_NAMES.search(value):
-                return True
-        elif key == "role" and value.lower() in BOILERPLATE_ROLES:
+        if key == "role" and value.lower() in BOILERPLATE_ROLES:
             return True
-        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, int]]:
-    """(text, link density, boilerplate, number of the enclosing article or main element or 0)."""
-    found: list[tuple[str, float, bool, int]] = []
+def boilerplate_name(name: str, attributes: str) -> str:
+    """The class or id that names boilerplate, or nothing."""
+    if attributes and name not in ("html", "body"):
+        for m in ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in ("class", "id") and BOILERPLATE_NAMES.search(value := (m[2] or "").strip("\"'")):
+                return value
+    return ""
+
+
+Block = tuple[str, float, bool, int]
+
+
+def blocks(page: str, opened: frozenset[int] = frozenset()) -> tuple[list[Block], list[int], dict[int, tuple[bool, bool]]]:
+    """Blocks (text, link density, boilerplate, number of the enclosing article or main element or 0); for each, the number of the outermost
+    named container that is not opened and in nothing else that is boilerplate, or 0; and of these containers whether they hold an article or main element, and whether their names are of OTHERS."""
+    found: list[Block] = []
+    outer: list[int] = []
+    holders: dict[int, tuple[bool, bool]] = {}
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open containers: name, boilerplate at or above, core
-    in_link, skip, cores = 0, 0, 0
+    stack: list[tuple[str, bool, int, int]] = []  # open containers: name, boilerplate at or above, core, outermost named container
+    skipped: list[str] = []
+    in_link, cores, number = 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, link_parts
@@ -148,17 +168,25 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             if text:
                 linked = " ".join(htmllib.unescape("".join(link_parts)).split())
                 found.append((text, len(linked) / len(text), stack[-1][1] if stack else False, stack[-1][2] if stack else 0))
+                outer.append(stack[-1][3] if stack else 0)
         parts, link_parts = [], []
 
     for text, name, closing, attributes in tags(page):
-        if text and not skip:
+        if text and not skipped:
             parts.append(text)
             if in_link:
                 link_parts.append(text)
         if not name:
             break
-        if name in SKIPPED:
-            skip = max(0, skip - 1) if closing else skip + (not attributes.endswith("/"))
+        if name in SKIPPED or name == "optgroup":
+            if closing:
+                if name in skipped:
+                    del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
+            else:
+                if skipped and skipped[-1] == "option" and name in ("option", "optgroup"):  # its end tag may be left out
+                    skipped.pop()
+                if name != "optgroup" and not attributes.endswith("/"):
+                    skipped.append(name)
             if name in ("title", "option", "button"):
                 flush()
             continue
@@ -167,6 +195,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             continue
         if name not in BLOCK_TAGS:
             continue
+        if skipped == ["option"]:
+            skipped.clear()
         flush()
         if name in VOID:
             continue
@@ -179,25 +209,33 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             continue
         if name == "p":
             in_link = 0
-        above = stack[-1] if stack else ("", False, 0)
-        own = is_boilerplate(name, attributes)
+        above = stack[-1] if stack else ("", False, 0, 0)
+        own, named, within = is_boilerplate(name, attributes), boilerplate_name(name, attributes), above[3]
+        if named:
+            number += 1
+            if number in opened:
+                named = ""
+            elif not within and not above[1] and not own:
+                within = number
+                holders[within] = (False, bool(OTHERS.search(named)))
         if name in CORE_TAGS:
             # An article that an unclosed menu or header would swallow is an article all the same; reader comments may be articles too.
-            named = any(BOILERPLATE_NAMES.search((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
-            nested = named or above[2] and above[1] or any(n not in BOILERPLATE_TAGS and b for n, b, _ in stack)
+            nested = bool(named) or above[2] and above[1] or any(n not in BOILERPLATE_TAGS and b for n, b, _, _ in stack)
             if not nested:
                 cores += not above[2]
-            stack.append((name, bool(nested), above[2] or (0 if nested else cores)))
-        elif name in ("p", "li", "dt", "dd", "tr", "td", "th") and not own:
+            if within:
+                holders[within] = (True, holders[within][1])
+            stack.append((name, bool(nested), above[2] or (0 if nested else cores), within))
+        elif name in ("p", "li", "dt", "dd", "tr", "td", "th") and not own and not named:
             if stack and stack[-1][0] == name:
                 stack.pop()
-            stack.append((name, stack[-1][1] if stack else False, stack[-1][2] if stack else 0))
+            stack.append((name, stack[-1][1] if stack else False, stack[-1][2] if stack else 0, stack[-1][3] if stack else 0))
         else:
             # A header within an article holds its headline.
-            own = own and not (name == "header" and above[2] and not above[1])
-            stack.append((name, above[1] or own, above[2]))
+            own = (own or bool(named)) and not (name == "header" and above[2] and not above[1])
+            stack.append((name, above[1] or own, above[2], within if above[1] or own else 0))
     flush()
-    return found
+    return found, outer, holders
 
 
 def first_pass(text: str, links: float, boilerplate: bool, core: int) -> int:
@@ -239,11 +277,38 @@ def second_pass(labels: list[int], cores: list[int]) -> list[int]:
     return out
 
 
+def good_length(block: Block) -> int:
+    return len(block[0]) if first_pass(*block) == GOOD else 0
+
+
+def page_blocks(page: str) -> list[Block]:
+    """The page's blocks, with the named containers opened that wrap its text."""
+    opened: set[int] = set()
+    while True:
+        found, outer, holders = blocks(page, frozenset(opened))
+        if not holders or any(core and not boiler for _, _, boiler, core in found):
+            return found
+        free = sum(good_length(b) for b in found if not b[2])
+        held = dict.fromkeys(holders, 0)
+        for (text, links, _, _), k in zip(found, outer):
+            if k:
+                held[k] += good_length((text, links, False, 0))
+        cores = any(core for core, _ in holders.values())
+        able = [(n, -k) for k, n in held.items() if n and n >= free and (holders[k][0] or not cores) and not (free and holders[k][1])]
+        if not able:
+            return found
+        # What readers wrote comes after all else.
+        opened.add(-max(able, key=lambda x: (not holders[-x[1]][1], x))[1])
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
-    if any(core and not boiler for _, _, boiler, core in found):
+    found = page_blocks(page)
+    inside, outside = (sum(good_length(b) for b in found if not b[2] and bool(b[3]) == core) for core in (True, False))
+    if inside < outside:
+        found = [(*b[:3], 0) for b in found]  # teasers beside the text
+    elif any(core and not boiler for _, _, boiler, core in found):
         found = [b if b[3] else (b[0], b[1], True, 0) for b in found]  # a page that names its article has no more of it elsewhere
     labels = [first_pass(*b) for b in found]
     # Boilerplate inside an article says nothing about the blocks beside it.
