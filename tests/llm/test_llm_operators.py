@@ -258,6 +258,13 @@ def test_pieces_query_is_over_all_documents(spark, tmp_path):
             assert got[k] == (lib.encode(t), len(lib.encode(t))), t
 
 
+def test_top_k_drops_no_huge_vectors_silently(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [float(1 << 40), 0.0]), (2, [float("inf"), 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2\\*\\*40"):
+        topk.top_k(df).collect()
+    assert topk.top_k(df.where("vec_id <> 1")).count() == 0
+
+
 def naive_print(text, words):
     from xxhash import xxh64_intdigest
 

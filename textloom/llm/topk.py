@@ -9,7 +9,7 @@ residual lengths drop more, with room for rounding, and only the rest is scored,
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do empty ones; vectors of another
 dimension than a query are no candidates of it; ties go to the smaller id; repeated ids are separate queries and candidates, except that a
 query never meets rows of its own id; an empty table gives an empty result; other columns are ignored. Integer scores are
-exact while they fit 63 bits.
+exact while they fit 63 bits. A finite component of 2**40 or more is an error, as its scores would not fit: such rows are not dropped.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ BITS = 40
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(row, vec_id, v array<long>, norm2 double, dim) of the vectors that take part."""
     v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x)
-    fine = F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << BITS)))
+    fine = F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    huge = F.exists(v, lambda x: F.abs(x) >= float(1 << BITS))
+    fine = F.when(F.coalesce(fine, F.lit(False)) & huge, F.raise_error(F.lit(f"a finite component of 2**{BITS} or more in {vector_col}")).cast("boolean")).otherwise(fine)
     whole = vectors.where(F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
     return whole.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).withColumn("dim", F.size("v"))
 
