@@ -207,6 +207,14 @@ def test_warc_round_trip_and_look_up(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_round_trip_searches_the_index(spark, monkeypatch):
+    urls = ["http://a.org/x\u00a0", "\u2003http://b.org", "http://c.org/\u0085y", None, "", "http://é.org/ü?q= 1", "http://a.org/x", "HTTP://A.org:80/x#f"]
+    pages = spark.createDataFrame([(k, u, f"page {k % 5}") for k, u in enumerate(urls * 3)], "page_id int, url string, html string")
+    asked = []
+    monkeypatch.setattr(warc, "look_up", lambda *a, f=warc.look_up, **b: asked.append(1) or f(*a, **b))
+    assert sorted(r["page_id"] for r in warc.round_trip(pages).collect()) == list(range(len(urls) * 3)) and asked
+
+
 def test_exact_dedup(spark):
     df = docs(spark).union(docs(spark, ["Hello, World."]))
     got = exact_dedup.decide(df, capacity=2, max_depth=4).collect()

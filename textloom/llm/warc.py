@@ -101,7 +101,7 @@ def open_file(path: str):
 
 
 def headers(raw: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in raw.decode("utf-8", "replace").split(CRLF)[1:]) if k}
+    return {k.strip().lower(): v.strip(" \t") for k, _, v in (line.partition(":") for line in raw.decode("utf-8", "replace").split(CRLF)[1:]) if k}
 
 
 def scan(file) -> Iterator[tuple[int, int, dict[str, str]]]:
@@ -251,8 +251,8 @@ def read_ranges(lines: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Writes the pages, indexes the archive and reads every capture back through the index."""
+    """Writes the pages, indexes the archive, looks the pages' urls up and reads every capture back."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path, **columns)
-    return read_ranges(lines_of(build_index(spark, path)))
+    return read_ranges(look_up(build_index(spark, path), pages, columns.get("url_col", "url")))
