@@ -3,7 +3,8 @@
 The texts, normalised, are written once to the shared folder with a 64-bit hash key: the index pages. A histogram of
 the keys' first `max_depth` bits drives directory doubling: a bucket that holds more than `capacity` rows splits into
 two of one bit more, until it fits or cannot be told apart at the deepest level; such a bucket chains. The directory
-has at most 2**max_depth entries. Owner tasks then take buckets by key range. Rows first meet by bucket, key and the
+has at most 2**max_depth entries. The bucket is one more key of the grouping, which is a hash aggregate: Spark deals rows by the
+hash of all keys, and no task owns a range of buckets. Rows first meet by bucket, key and the
 normalised bytes themselves within each task that reads pages, so that a group that holds a third of all rows reaches its
 owner as one entry per task; two texts that collide in a key stay apart because their bytes are compared.
 
