@@ -266,11 +266,41 @@ def test_pieces_query_is_over_all_documents(spark, tmp_path):
             assert got[k] == (lib.encode(t), len(lib.encode(t))), t
 
 
-def test_top_k_drops_no_huge_vectors_silently(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [float(1 << 40), 0.0]), (2, [float("inf"), 0.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="2\\*\\*40"):
-        topk.top_k(df).collect()
-    assert topk.top_k(df.where("vec_id <> 1")).count() == 0
+def brute_top_k(rows, every=50, k=5):
+    """By unbounded integers."""
+    q = [(i, [int(x) * 256 if abs(x) > 1e15 else int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, a in q:
+        if i % every == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in q if j != i and len(a) == len(b))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
+def test_top_k_of_lengths_dimensions_copies_and_huge_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(v) for v in rng.normal(size=8) * 10 ** rng.uniform(-3, 3)]) for k in range(600)]
+    rows += [(k, [float(v) for v in rng.normal(size=3)]) for k in range(600, 760)] + [(800, [1.0])]
+    rows += [(7, rows[7][1]), (50, rows[50][1]), (850, [0.0] * 8), (None, [1.0] * 8), (900, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit(1))
+    got = sorted(tuple(r) for r in topk.top_k(df, block=16, query_block=4).collect())
+    assert got == brute_top_k(rows)
+    huge = [(0, [1.0, 2.0]), (1, [float(1 << 41), 0.0]), (2, [float("inf"), 0.0]), (50, [float(1 << 38), 3.0]), (51, [3.0, -float(1 << 41)]), (100, [2.0**-8, 0.0])]
+    df = spark.createDataFrame(huge[:3] + huge[4:], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == brute_top_k(huge[:3] + huge[4:])
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()
+
+
+def test_top_k_does_not_join_what_lengths_rule_out(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(v) for v in rng.normal(size=4) * (100 if k < 60 else 0.01)]) for k in range(2000)]
+    rounds = []
+    plain = topk.armed
+    monkeypatch.setattr(topk, "armed", lambda *a: rounds.append(1) or plain(*a))
+    df = spark.createDataFrame([r for r in rows if r[0] % 50 or r[0] < 60], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, block=16, query_block=4).collect())
+    assert got == brute_top_k([r for r in rows if r[0] % 50 or r[0] < 60]) and len(rounds) < 4
 
 
 def naive_print(text, words):
