@@ -217,7 +217,7 @@ def test_warc_round_trip_searches_the_index(spark, monkeypatch):
 
 def test_exact_dedup(spark):
     df = docs(spark).union(docs(spark, ["Hello, World."]))
-    got = exact_dedup.decide(df, capacity=2, max_depth=4).collect()
+    got = exact_dedup.decide(df, capacity=2, owner_bytes=1, max_depth=4).collect()
     norm = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     all_ = [(k, norm(t)) for k, t in enumerate(TEXTS)] + [(0, "hello, world.")]
     for r in got:
@@ -232,9 +232,50 @@ def test_exact_dedup(spark):
     assert exact_dedup.decide(empty(spark)).count() == 0
 
 
-def test_directory_splits_only_what_is_overfull():
-    entries = exact_dedup.directory({0: 50, 1: 50, 15: 500}, 60, 4)
-    assert len(entries) == 16 and entries[0] == (4, 0) and entries[1] == (4, 1) and entries[15][0] == 4 and [b for _, b in entries] == sorted(b for _, b in entries)
+@pytest.mark.parametrize("hot_rows,bits", [(10**6, 64), (2, 64), (10**6, 1), (2, 1), (10**6, 0)])
+def test_exact_dedup_in_hot_groups_and_chains_of_collisions(spark, hot_rows, bits):
+    """Keys cut down to a few bits collide: only bytes tell texts apart."""
+    rng = random.Random(bits)
+    rows = [(k if k % 9 else None, rng.choice(["A copy", "a COPY", "other", "é", None, "", f"text {k}"]), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    key_of = lambda norm: F.xxhash64(norm) if bits == 64 else F.shiftleft(F.pmod(F.xxhash64(norm), F.lit(1 << bits)), 60)
+    got = exact_dedup.decide(df, capacity=200, owner_bytes=300, max_depth=6, hot_rows=hot_rows, key_of=key_of).collect()
+    groups = {}
+    for d, t, _ in rows:
+        groups.setdefault((t or "").lower(), []).append(d)
+    want = sorted(((d, max((x for x in g if x is not None), default=None), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g), key=str)
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == want
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
+
+
+def test_the_directory_drives_the_exchange_of_exact_dedup(spark):
+    df = spark.range(4000).select((F.col("id")).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 1500).cast("string")).alias("text"))
+    got = exact_dedup.decide(df, capacity=500, owner_bytes=2000, max_depth=10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "direct_shuffle_partition_id(owner" in plan
+    after = plan[: plan.index("direct_shuffle_partition_id(owner")]
+    assert "Window" in after and "hashpartitioning" not in after
+    assert got.where("kept").count() == 1500
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_directory_doubles_until_buckets_fit(seed):
+    rng = random.Random(seed)
+    histogram = {slot: rng.choice([1, 5, 80]) for slot in range(64) if rng.random() < 0.7}
+    for capacity in (1, 60, 300, 10**6):
+        entries = exact_dedup.directory(histogram, capacity, 6)
+        shift = 6 - (len(entries).bit_length() - 1)
+        loads, spans = {}, {}
+        for slot, n in histogram.items():
+            loads.setdefault(entries[slot >> shift], []).append(n)
+        for e in entries:
+            spans[e] = spans.get(e, 0) + 1
+        assert len(entries) == 1 << (6 - shift) and [b for _, b in entries] == sorted(b for _, b in entries)
+        assert all(n == 1 << (6 - shift - depth) for (depth, _), n in spans.items())
+        assert all(sum(found) <= capacity or depth == 6 for (depth, _), found in loads.items())
+        of = exact_dedup.owners(entries, histogram, 6, 100)
+        assert of == sorted(of) and set(of) == set(range(of[-1] + 1))
 
 
 def test_top_k(spark):
