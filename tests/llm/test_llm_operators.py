@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -353,6 +354,53 @@ def naive_print(text, words):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def same_groups(n, links):
+    p = list(range(n))
+
+    def root(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for i, j in links:
+        p[root(i)] = root(j)
+    return [[root(x) == root(y) for y in range(n)] for x in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_forest_connects_what_all_links_connect(seed):
+    rng = np.random.default_rng(seed)
+    n, m = (int(x) for x in rng.integers(1, 50, 2))
+    a, b = (rng.integers(0, 64, (k, 2)).astype("<u8") for k in (n, m))
+    for same in (True, False):
+        for wide in (None, 3):
+            other, shift = (a, 0) if same else (b, n)
+            got = simhash.forest(a, other, same, 1, wide)
+            far = lambda i, j: [int(x ^ y).bit_count() for x, y in zip(a[i], other[j])]  # noqa: B023, E731
+            want = [(i, j) for i in range(n) for j in range(len(other)) if (not same or i < j) and far(i, j)[0] <= 1 and (wide is None or sum(far(i, j)) <= wide)]
+            size = shift + len(other)
+            assert set(got) <= set(want) and len(got) < max(size, 1)
+            assert same_groups(size, [(i, j + shift) for i, j in got]) == same_groups(size, [(i, j + shift) for i, j in want])
+
+
+def test_forest_of_a_tile_full_of_near_copies():
+    a = (1 << np.random.default_rng(0).integers(0, 60, 20_000).astype("<u8"))[:, None]
+    began = time.time()
+    assert len(simhash.forest(a, a, True, 2)) == 19_999 and time.time() - began < 30
+
+
+def test_simhash_with_hot_nodes_and_hot_components(spark, monkeypatch):
+    """Keys of more rows than HOT_ROWS are sent to their rows."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    rng = random.Random(5)
+    texts = ["a b c d e f g h"] * 40 + [f"{a} {b}" for a in "ab" for b in "cdefgh"] + [" ".join(rng.choice("abcd") for _ in range(8)) for _ in range(60)] + ["", None]
+    got = {r["doc_id"]: r for r in simhash.near_groups(docs(spark, texts), words=3, radius=14, lanes=1, wide_radius=None).collect()}
+    prints = [naive_print(t, 3) for t in texts]
+    n = len(texts)
+    same = same_groups(n, [(i, j) for i in range(n) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 14])
+    assert [got[k]["component_id"] for k in range(n)] == [same[k].index(True) for k in range(n)]
+
+
 def test_simhash_components(spark):
     rng = random.Random(1)
     base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)) for _ in range(40)]

@@ -42,6 +42,8 @@ PART_ROWS = 1024
 PART_BYTES = 8 << 20
 #: Rows of a tile, 40 bytes each with four lanes. Copies of tiles grow with rows / TILE.
 TILE = 65536
+#: Rows of a key from which on it may be hot.
+HOT_ROWS = 1000
 #: Pairs that numpy compares at once.
 BLOCK = 1 << 20
 
@@ -123,13 +125,14 @@ def forest(a, b, same: bool, radius: int, wide_radius: int | None = None) -> lis
     taken by bit count, and only the stretch of the other tile whose counts are within the radius is compared."""
     import numpy as np
 
-    parent: dict[int, int] = {}
+    shift = 0 if same else len(a)
+    parent = np.arange(shift + len(b))
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def roots(x):
+        found = parent[x]
+        while not np.array_equal(found, above := parent[found]):
+            found = above
+        return found
 
     links = []
     count_a, count_b = np.bitwise_count(a[:, 0]).astype(int), np.bitwise_count(b[:, 0]).astype(int)
@@ -138,7 +141,12 @@ def forest(a, b, same: bool, radius: int, wide_radius: int | None = None) -> lis
     step = min(64, max(1, BLOCK // max(1, len(b))))
     for at in range(0, len(a), step):
         low, high = np.searchsorted(count_b, [count_a[at] - radius, count_a[min(at + step, len(a)) - 1] + radius + 1])
+        # What is joined already needs no link, so that a tile full of near copies costs no loop over its links.
+        tops_a, tops_b = roots(order_a[at : at + step]), roots(order_b[low:high] + shift)
+        if (tops_b == tops_a[0]).all() and (tops_a == tops_a[0]).all():
+            continue
         near = np.bitwise_count(sorted_a[at : at + step, None] ^ sorted_b[None, low:high]) <= radius
+        near &= tops_a[:, None] != tops_b[None, :]
         rows, cols = np.nonzero(near)
         rows, cols = order_a[rows + at], order_b[cols + low]
         if same:
@@ -147,11 +155,13 @@ def forest(a, b, same: bool, radius: int, wide_radius: int | None = None) -> lis
         if wide_radius is not None and len(rows):
             fits = np.bitwise_count(a[rows] ^ b[cols]).sum(axis=1, dtype=int) <= wide_radius
             rows, cols = rows[fits], cols[fits]
-        shift = 0 if same else len(a)
-        for i, j in zip(rows.tolist(), cols.tolist()):
-            if (p := root(i)) != (q := root(j + shift)):
-                parent[p] = q
-                links.append((i, j))
+        for i in np.unique(rows).tolist():
+            others = cols[rows == i]
+            tops, first = np.unique(roots(others + shift), return_index=True)
+            own = int(roots(np.array([i]))[0])
+            new = tops != own
+            parent[tops[new]] = own
+            links += [(i, j) for j in others[first[new]].tolist()]
     return links
 
 
@@ -166,18 +176,23 @@ def links(prints: DataFrame, radius: int, wide_radius: int | None = None, tile:
     sizes = cells.groupBy("high", "low").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))  # at most 33 * 33 rows
     cut = cells.join(F.broadcast(sizes), ["high", "low"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = cut.groupBy("high", "low", "part").agg(F.sort_array(F.collect_list(F.struct("node", "fps"))).alias("t"))
-    tiles = store(tiles, "simhash-tiles")
+    tiles = store(tiles.withColumn("tile", F.monotonically_increasing_id()), "simhash-tiles")
     # Each unordered pair of cells that may hold links once: offsets in the upper half plane, and the cell itself.
     far = range(-radius - 1, radius + 2)
     offsets = [(i, j) for i in far for j in far if (i, j) >= (0, 0) and gap(i) + gap(j) <= radius]
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
-    left = tiles.select("high", "low", F.col("part").alias("part_a"), F.col("t").alias("a"), near.alias("o")).select(
+    # Pairs are made of tiles' numbers, so that a cell of many tiles deals out rows of 17 bytes, and meet their arrays tile by tile.
+    numbers = tiles.select("high", "low", "part", "tile")
+    left = numbers.select("high", "low", F.col("part").alias("part_a"), F.col("tile").alias("a"), near.alias("o")).select(
         (F.col("high") + F.col("o.i")).alias("high"), (F.col("low") + F.col("o.j")).alias("low"), "part_a", "a", ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("home")
     )
-    pairs = left.join(tiles.select("high", "low", F.col("part").alias("part_b"), F.col("t").alias("b")), ["high", "low"]).where(~F.col("home") | (F.col("part_a") <= F.col("part_b")))
-    same = F.col("home") & (F.col("part_a") == F.col("part_b"))
-    pairs = pairs.select("a", F.when(~same, F.col("b")).alias("b"), same.alias("same"))
-    dealt = pairs.repartition(F.xxhash64(F.col("a")[0]["node"], F.col("b")[0]["node"]))
+    pairs = left.join(numbers.select("high", "low", F.col("part").alias("part_b"), F.col("tile").alias("b")), ["high", "low"]).where(~F.col("home") | (F.col("part_a") <= F.col("part_b")))
+    pairs = pairs.select("a", "b").repartition("a", "b")
+    arrays = lambda name, t: tiles.select(F.col("tile").alias(name), F.col("t").alias(t))
+    met_a = pairs.join(arrays("a", "ta"), "a")
+    dealt = met_a.where("a <> b").join(arrays("b", "tb"), "b").select("ta", "tb", F.lit(False).alias("same"))
+    dealt = dealt.unionByName(met_a.where("a = b").select("ta", F.lit(None).cast(tiles.schema["t"].dataType).alias("tb"), F.lit(True).alias("same")))
+    dealt = dealt.repartition(F.xxhash64(F.col("ta")[0]["node"], F.col("tb")[0]["node"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(column, k):
@@ -272,17 +287,32 @@ def confirmed(
     return met.select("t").mapInArrow(compare, "a long, b long")
 
 
+def hot_rows(total: int) -> int:
+    """A key with more rows than this is hot: at least a hundred-thousandth of all, so that there are at most 100,000 such keys."""
+    return max(HOT_ROWS, total // 100_000)
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, hot: int) -> DataFrame:
+    """rows with the columns of table, which has one row a key and in n how many rows have it. Rows of hot keys stay where they are: their
+    keys are sent to them."""
+    large, rest = table.where(F.col("n") > hot).drop("n"), table.where(F.col("n") <= hot).drop("n")
+    if large.isEmpty():
+        return rows.join(rest, key)
+    return rows.join(F.broadcast(large), key).unionByName(rows.join(F.broadcast(large.select(key)), key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node of the component. Large and small star by turns; each round is stored, so that a
     lost executor costs one round at most. A star with a third of all nodes is summed before it is joined."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     edges = store(edges, "components")
+    hot = hot_rows(2 * edges.count())
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+        least = store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "components")
+        large = store(met(both, least, "a", hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "components")
+        least = store(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "components")
+        small = met(large, least, "a", hot).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         after = store(small, "components")
         if same_rows(edges, after):
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -311,15 +341,21 @@ def near_groups(
     else:
         rows = rows.withColumn("node", F.col("fps")[0] if lanes == 1 else F.xxhash64("fps"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))).alias("first")
-    prints = store(rows.groupBy("node", "fps").agg(first), "simhash-prints")
+    prints = store(rows.groupBy("node", "fps").agg(first, F.count("*").alias("n")), "simhash-prints")
     roots = components(links(prints.select("node", "fps"), radius, wide_radius))
     if exact:
         texts = rows.select("_row", (F.col("_carried").getField(text_col) if carry else F.col("_text")).alias("text"))
         roots = components(confirmed(texts, prints, roots, words, radius, wide_radius, similarity, part_rows))
-    named = prints.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("component"))
-    best = named.groupBy("component").agg(F.min("first").alias("first"))
-    labels = named.select("node", "component").join(best, "component").select("node", "component", F.col("first.doc_id").alias("component_id"), F.col("first._row").alias("keeper"))
-    return rows.drop("_text").join(labels, "node").withColumn("fp", F.col("fps")[0]).drop("node", "fps")
+    # Components of one node name themselves; those of more are named by the least id among their nodes.
+    hot = hot_rows(prints.agg(F.sum("n")).first()[0] or 0)
+    leads = roots.select(F.col("root").alias("node")).distinct().withColumn("leads", F.lit(True))
+    named = prints.join(roots, "node", "left").join(leads, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("component"), F.coalesce(F.col("root").isNotNull() | F.col("leads"), F.lit(False)).alias("joint"))
+    named = store(named, "simhash-named")
+    joint = named.where("joint").drop("joint", "first")
+    best = store(named.where("joint").groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("n")), "simhash-best")
+    names = named.where("not joint").select("node", "n", "component", F.col("first").alias("best")).unionByName(met(joint, best, "component", hot).select("node", "n", "component", "best"))
+    names = store(names.select("node", "n", "component", F.col("best.doc_id").alias("component_id"), F.col("best._row").alias("keeper")), "simhash-names")
+    return met(rows.drop("_text"), names, "node", hot).withColumn("fp", F.col("fps")[0]).drop("node", "fps")
 
 
 def unsigned_hex(fp):
