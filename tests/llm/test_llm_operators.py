@@ -204,10 +204,24 @@ def test_warc_round_trip_and_look_up(spark, tmp_path):
     index = warc.build_index(spark, path, lines_per_block=2)
     for most in (100, 0):
         lines = warc.look_up(index, spark.createDataFrame([("http://www.example.com/a b",), ("http://none.org",)], "url string"), most=most)
-        assert sorted(r["page_id"] for r in warc.read_ranges(lines).collect()) == [1, 5]
+        assert sorted(r["page_id"] for r in warc.read_ranges(lines, 2).collect()) == [1, 5]
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_null_ids_whole_copies_and_long_payloads(spark):
+    long = "é<p>" * 800_000
+    rows = [(None, "u", long), (3, "u", long), (3, "u", long), (2, None, long), (None, None, None), (4, "u\x00 v", "x" * 999), (5, "u", "x" * 999), (6, "", "\r\n\r\n" * 300), (6, "", "\r\n\r\n" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("path", F.lit("p"))
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()), key=str)
+    want = []
+    for page, _, html in rows:
+        raw = (html or "").encode()
+        first = max(p for p, _, h in rows if h == html and p is not None) if html else None
+        again = len(raw) >= 1000 and page != first
+        want.append((page, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert got == sorted(want, key=str)
+
+
 def test_warc_round_trip_searches_the_index(spark, monkeypatch):
     urls = ["http://a.org/x\u00a0", "\u2003http://b.org", "http://c.org/\u0085y", None, "", "http://é.org/ü?q= 1", "http://a.org/x", "HTTP://A.org:80/x#f"]
     pages = spark.createDataFrame([(k, u, f"page {k % 5}") for k, u in enumerate(urls * 3)], "page_id int, url string, html string")

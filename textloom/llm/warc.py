@@ -30,6 +30,8 @@ END = CRLF + CRLF
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 4000
 LINES_PER_BLOCK = 512
+#: Bytes of archives that a task reads, where there are many.
+TASK_BYTES = 128 << 20
 #: Directories of more rows than this are searched by joining on ranges instead of being sent to the tasks (about 100 bytes a row).
 DIRECTORY_ROWS = 200_000
 #: Groups of equal payloads up to this number are sent to every task (about 70 bytes a row), so that pages are not shuffled.
@@ -121,9 +123,15 @@ def scan(file) -> Iterator[tuple[int, int, dict[str, str]]]:
         at += length + 4
 
 
+def archive_tasks(spark: SparkSession, path: str) -> int:
+    """How many tasks read the archive: by its files' number and bytes, which say more than the small rows that name them."""
+    files, size = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).agg(F.count("*"), F.sum("length")).first()
+    return max(1, min(files, max(4 * spark.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES)))
+
+
 def index_lines(spark: SparkSession, path: str) -> DataFrame:
     """(key, page_id, path, offset, length) of each record of the archive."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").repartition(F.col("path"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").repartition(archive_tasks(spark, path), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +149,8 @@ def index_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def build_index(spark: SparkSession, path: str, lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
     """The stored blocks: (first_key, last_key, lines, block). Without the column block it is the directory."""
-    dealt = index_lines(spark, path).repartitionByRange("key", "page_id", "path", "offset").sortWithinPartitions("key", "page_id", "path", "offset")
+    lines = store(index_lines(spark, path), "warc-lines")  # else the sample for the ranges would read the archives once more
+    dealt = lines.repartitionByRange("key", "page_id", "path", "offset").sortWithinPartitions("key", "page_id", "path", "offset")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(rows):
@@ -207,10 +216,10 @@ def look_up(index: DataFrame, urls: DataFrame, url_col: str = "url", most: int =
 CAPTURE = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 
 
-def read_ranges(lines: DataFrame) -> DataFrame:
-    """The captures at the lines' byte ranges: (page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload). Digests of
+def read_ranges(lines: DataFrame, tasks: int) -> DataFrame:
+    """By so many tasks, the captures at the lines' byte ranges: (page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload). Digests of
     responses are computed from what was read and must be those in the header."""
-    dealt = lines.select("path", "offset", "length").repartition(F.col("path")).sortWithinPartitions("path", "offset")
+    dealt = lines.select("path", "offset", "length").repartition(tasks, "path").sortWithinPartitions("path", "offset")
     types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
 
@@ -255,4 +264,4 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path, **columns)
-    return read_ranges(look_up(build_index(spark, path), pages, columns.get("url_col", "url")))
+    return read_ranges(look_up(build_index(spark, path), pages, columns.get("url_col", "url")), archive_tasks(spark, path))
