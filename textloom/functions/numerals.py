@@ -4,7 +4,7 @@ are numbers, and a run is added up from the left."""
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 from textloom.functions import lexicon as lex
 
@@ -52,7 +52,7 @@ def italian_parts() -> re.Pattern:
     return re.compile("|".join(sorted((w for w, (kind, _) in kinds("it").items() if kind != "J"), key=len, reverse=True)))
 
 
-@cache
+@lru_cache(maxsize=1 << 16)
 def italian(word: str) -> float | None:
     """The value of a number in one word (duemila, ventitré), or None."""
     if word in lex.IT_NOT_ALONE or word in lex.IT_SCALES or word == lex.IT_THOUSANDS or not word:
@@ -68,7 +68,7 @@ def kind_of(word: str, lang: str) -> tuple[str, float]:
         return "S", lex.IT_SCALES[word]
     if word == lex.JOINER["it"]:
         return "J", 0
-    value = italian(word) if len(word) < 80 else None
+    value = italian(word)
     return ("N", value) if value is not None else ("O", 1) if word in lex.IT_ONE else (".", 0)
 
 
