@@ -164,16 +164,52 @@ def test_expectation_maximisation_tells_good_from_bad_labellers():
     assert accuracy[0] > 0.88 and accuracy[2] > 0.78 and accuracy[3] < 0.65
 
 
-def test_pieces_are_the_librarys(spark):
+PIECE_TEXTS = [
+    *TEXTS, "a  b   c ", " lead", "tab\there\nline", "naïve café 😀👍🏽", "Hetunconstitutionalities " * 3, "y" * 70 + " z", "<s> </s> <0x41>", "aaaaaaa bbbb", " " * 15, " " * 16 + "x", " " * 37, "x" + " " * 300 + "y",
+    "▁▁ literal▁", "x²+½y_3 Ⅷ٣", "¿Qué?—«sí»…", "a\u0301e\u0300", "\n\n\n  \n", "the-word/with.marks" * 400, "日本語テキスト" * 60, "1234567890" * 30,
+]
+
+
+def test_pieces_are_the_librarys(spark, tmp_path):
     import sentencepiece
 
     path = tokenizer_file("piece_bpe_32k.model")
     lib, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model(path)
-    texts = [*TEXTS[:9], "a  b   c ", " lead", "tab\there\nline", "naïve café 😀👍🏽", "Hetunconstitutionalities " * 3, "y" * 70 + " z", "<s> </s> <0x41>", "aaaaaaa bbbb"]
-    got = pieces.encode(docs(spark, texts).drop("_text"), model, keep=("doc_id",)).withColumn("back", pieces.decode(F.col("ids"), model)).collect()
-    for r in got:
-        t = texts[r["doc_id"]]
-        assert r["ids"] == (None if t is None else lib.encode(t)) and r["back"] == t
+    texts = [*PIECE_TEXTS, PIECE_TEXTS[3], PIECE_TEXTS[3]]
+    df = docs(spark, texts).withColumn("part", F.lit("p"))
+    df.write.parquet(f"{tmp_path}/t")
+    for given, stored, rows in ((df, False, 4), (df, False, 10**6), (spark.read.parquet(f"{tmp_path}/t"), True, 4)):
+        got = pieces.encode(given, model, keep=("doc_id", "part"), stored=stored, part_rows=rows).withColumn("back", pieces.decode(F.col("ids"), model)).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            t = texts[r["doc_id"]]
+            assert r["ids"] == (None if t is None else lib.encode(t)), t
+            assert r["part"] == "p" and (r["back"] == t or "▁" in t)
+    assert pieces.encode(empty(spark), model, keep=("doc_id",)).count() == 0
+
+
+def test_merges_in_any_order_are_the_librarys(spark):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model(path)
+    rng = random.Random(2)
+    made = ["".join(rng.choice(["th", "e", "in", "ing", "qu", "er", "Z", "é", "ß"]) for _ in range(rng.randint(1, 8))) for _ in range(200)] + [" " * 20]
+    table = spark.createDataFrame(model.pieces, "piece string, id int, score double")
+    found = pieces.lattice(spark.createDataFrame([(pieces.marked(t),) for t in set(made)], "word string"), table, 16)
+    late = [k for piece, k, _ in model.pieces if piece in model.late]
+    w, e = F.col("word"), F.col("edges")
+    got = found.select("word", pieces.merges(w, e, model.byte_ids).alias("x"), pieces.in_order(w, e, model.byte_ids, late).alias("y")).collect()
+    assert len(got) == len(set(made)) and all(r["x"] == r["y"] == lib.encode(r["word"][1:].replace("▁", " ")) for r in got)
+
+
+def test_units_are_not_reached_across():
+    model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
+    unit = re.compile(model.units)
+    for t in PIECE_TEXTS:
+        if t:
+            assert "".join(unit.findall(pieces.marked(t))) == pieces.marked(t)
+    assert all(len(unit.findall(piece)) == 1 for piece, _, _ in model.pieces)
 
 
 def test_viterbi_is_the_best_path(spark):

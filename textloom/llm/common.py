@@ -32,6 +32,24 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(path: str):
+    """(file system, path in it) by which Python tasks read files of the shared folder."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        path = "file:///" + rest.lstrip("/")
+    elif scheme in ("s3a", "s3n"):
+        path = "s3:" + rest
+    return fs.FileSystem.from_uri(path)
+
+
+def selector(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(folder, allow_not_found=True)
+
+
 def rows_per_cell_salt(total: int, rows_per_cell: int = 200_000, least: int = 16) -> int:
     """How many salted cells hold about rows_per_cell rows each."""
     return max(least, -(-total // rows_per_cell))

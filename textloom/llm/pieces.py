@@ -1,13 +1,18 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are split before each run of white-space marks, across which no piece reaches. The distinct words explode into their substrings
-of at most the longest piece's length, an equi-join with the piece table (a few ten thousand rows, broadcast) keeps those that are
-pieces, and the edges are grouped by word. A fold with aggregate() then picks the path: for a unigram model Viterbi, the best
-sum of scores up to each position; for a BPE model, whose ids are not those of the best sum, the merges in order of
-their scores, the leftmost first, over the same edges. Words meet their ids again by an equi-join on the word.
+Texts are split into units that no piece of the model reaches across: before each run of white-space marks and, if the model's pieces keep
+letters and other characters apart, between these. The distinct units explode into their substrings of at most the longest piece's
+length, an equi-join with the piece table (a few ten thousand rows, broadcast) keeps those that are pieces, and the edges are grouped by unit. A
+fold with aggregate() then picks the path: for a unigram model Viterbi, the best sum of scores up to each position; for a BPE model, whose
+ids are not those of the best sum, the merges over the same edges, in order of their scores and the leftmost first. One pass over the ordered edges
+does all merges if each piece comes out of its own characters by such a pass, which is tested when the model is read;
+else every step looks for the best merge anew.
 
-Characters without a piece become their UTF-8 bytes' pieces. Words longer than `longest_word` characters are
-encoded by the library itself, which is exact and linear.
+Texts are neither copied nor shuffled. Their table is read twice, by file and row number: a part is a run of rows of a file. The first pass gives each part's distinct
+units, so that a frequent unit is one row a part; units meet once, are encoded, and go back as one dictionary a part, which is written to the shared
+folder. The second pass puts each text together from its part's dictionary. Docs that are no plain table of files are stored first.
+
+Characters without a piece become their UTF-8 bytes' pieces. Units of any length take the same way.
 
 Defined cases: null gives null ids, empty text no ids; repeated rows give repeated results; an empty table gives an empty result; other columns
 are ignored unless named in keep; a literal U+2581 reads as a space, as in the library.
@@ -15,20 +20,32 @@ are ignored unless named in keep; a literal U+2581 reads as a space, as in the l
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.llm.common import store
+from textloom.llm.common import filesystem, new_path, selector, store
 
 MARK = "▁"
-LONGEST_WORD = 64
+#: Rows of a part.
+PART_ROWS = 32768
+#: Units that a task takes through the lattice.
+TASK_UNITS = 40_000
+#: Units of the dictionaries that a task writes.
+BOOK_UNITS = 400_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
+#: A letter: of the word characters neither digits and the underscore nor other numbers, such as superscripts.
+LETTER = r"[^\W\d_" + "".join(chr(c) for c in range(0x10000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()) + "]"
+
+
 class Model:
     """The table of pieces and what else a model file says."""
 
@@ -45,6 +62,32 @@ class Model:
     def pieces(self) -> list[tuple[str, int, float]]:
         return [(piece, k, score) for k, piece, score, kind in self.rows if kind == NORMAL]
 
+    @functools.cached_property
+    def units(self) -> str:
+        """The pattern of a unit: pieces have marks in front alone, or are of marks, and it is checked whether they mix letters and others."""
+        bodies = [body for piece, _, _ in self.pieces if (body := piece.lstrip(MARK))]
+        if any(MARK in body for body in bodies):
+            return "(?s:.+)"
+        mixed = re.compile(f"{LETTER}(?!{LETTER}).|(?!{LETTER}).{LETTER}", re.DOTALL)
+        if any(mixed.search(body) for body in bodies):
+            return f"{MARK}*[^{MARK}]+|{MARK}+"
+        return f"{MARK}*{LETTER}+|{MARK}*(?:(?!{LETTER})[^{MARK}])+|{MARK}+"
+
+    @functools.cached_property
+    def late(self) -> list[str] | None:
+        """The pieces that do not come out of their characters when edges are taken once, by descending score and from the left; null if one holds another."""
+        score = {piece: x for piece, _, x in self.pieces}
+
+        def whole(piece: str) -> bool:
+            n, cuts = len(piece), [True] * (len(piece) + 1)
+            for _, a, b in sorted((-score[piece[a:b]], a, b) for a in range(n) for b in range(a + 2, n + 1) if piece[a:b] in score):
+                if cuts[a] and cuts[b] and sum(cuts[a + 1 : b]) == 1:
+                    cuts[a + 1 : b] = [False] * (b - a - 1)
+            return sum(cuts) == 2
+
+        found = [piece for piece in score if not whole(piece)]
+        return found if len(found) <= 50 and not any(x in y and x != y for x in found for y in found) else None
+
     @property
     def byte_ids(self) -> list[int]:
         """Ids of the bytes 0 to 255, or the unknown id for each."""
@@ -61,23 +104,23 @@ class Model:
         return out
 
 
-def words(text: Column) -> Column:
-    """array<string>: the text with marks for spaces and one in front, split before each run of marks."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def marked(text: str) -> str:
+    """With marks for spaces and one in front."""
+    return MARK + text.replace(" ", MARK) if text else ""
 
 
 EDGE = "array<struct<start:int,end:int,id:int,score:double>>"
 
 
 def lattice(distinct: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges) of every word: the occurrences of pieces in it; words without any keep an empty list."""
-    starts = distinct.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-    parts = starts.select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("at") + 1))).alias("n"))
-    parts = parts.select("word", F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"), F.substring("word", F.col("at"), F.col("n")).alias("piece"))
+    """(word, edges, and other columns of distinct) of every word: the occurrences of pieces in it by their places, and each character without a piece, whose id is null."""
+    others = [c for c in distinct.columns if c != "word"]
+    starts = distinct.select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    parts = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("at") + 1))).alias("n"))
+    parts = parts.select("word", *others, F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"), F.substring("word", F.col("at"), F.col("n")).alias("piece"))
     found = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
-    edge = F.when(F.col("id").isNotNull(), F.struct((F.col("at") - 1).alias("start"), (F.col("at") + F.col("n") - 1).alias("end"), "id", "score"))
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).cast(EDGE).alias("edges"))
+    edge = F.struct((F.col("at") - 1).alias("start"), (F.col("at") + F.col("n") - 1).alias("end"), "id", "score")
+    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).cast(EDGE).alias("edges"), *[F.first(c).alias(c) for c in others])
 
 
 def piece_or_bytes(word: Column, start: Column, end: Column, id_: Column, byte_ids: list[int]) -> Column:
@@ -89,13 +132,9 @@ def piece_or_bytes(word: Column, start: Column, end: Column, id_: Column, byte_i
     )
 
 
-def edge_id(edges: Column, start: Column, end: Column) -> Column:
-    return F.try_element_at(F.filter(edges, lambda e: (e["start"] == start) & (e["end"] == end)), F.lit(1))["id"]
-
-
 def viterbi(word: Column, edges: Column, byte_ids: list[int], unknown_score: float) -> Column:
     """Ids of the path with the best sum of scores; a character without a piece costs unknown_score. Ties go to the longer last piece."""
-    n = F.length(word)
+    n, edges = F.length(word), F.filter(edges, lambda e: e["id"].isNotNull())
     start = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(-1).alias("from"), F.lit(None).cast("int").alias("id")))
     STATE = "array<struct<best:double,from:int,id:int>>"
 
@@ -126,73 +165,187 @@ def viterbi(word: Column, edges: Column, byte_ids: list[int], unknown_score: flo
     return back
 
 
+def in_order(word: Column, edges: Column, byte_ids: list[int], late: list[int]) -> Column:
+    """Ids of the BPE path by one pass over the edges, best score and leftmost first. The state is a string of a 1 for each place that is cut
+    and a 0 for each that is not; an edge merges if it spans two cut places with one between. A merge makes no edge of a better score able, but for
+    those of late pieces around it, which are asked right after it."""
+    EDGES = "array<struct<order:double,start:int,end:int>>"
+    sized = lambda es: F.array_sort(F.transform(es, lambda e: F.struct((-e["score"]).alias("order"), e["start"].alias("start"), e["end"].alias("end")))).cast(EDGES)
+    by_score = sized(F.filter(edges, lambda e: e["end"] - e["start"] > 1))
+    if late:
+        around = sized(F.filter(edges, lambda e: e["id"].isin(late)))
+        asked = lambda e: F.concat(F.array(e), F.filter(around, lambda u: (u["order"] <= e["order"]) & (u["start"] <= e["start"]) & (u["end"] >= e["end"])))
+        by_score = F.when(F.exists(edges, lambda e: e["id"].isin(late)), F.flatten(F.transform(by_score, asked))).otherwise(by_score)
+
+    def step(cuts: Column, e: Column) -> Column:
+        able = F.substring(cuts, e["start"] + 1, e["end"] - e["start"] + 1).rlike("^10*10*1$")
+        return F.when(able, F.concat(F.substring(cuts, F.lit(1), e["start"] + 1), F.repeat(F.lit("0"), e["end"] - e["start"] - 1), F.substring(cuts, e["end"] + 1, F.length(cuts)))).otherwise(cuts)
+
+    return path_ids(word, edges, F.aggregate(by_score, F.repeat(F.lit("1"), F.length(word) + 1), step), byte_ids)
+
+
 def merges(word: Column, edges: Column, byte_ids: list[int]) -> Column:
-    """Ids of the BPE path: of the neighbours whose union is a piece, the pair of the best score merges, the leftmost among equals."""
-    bind = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computes a value once that fn uses often
-    cuts = F.transform(F.sequence(F.lit(0), F.length(word)), lambda k: k.cast("int"))
-    STATE = f"struct<at:array<int>,live:{EDGE}>"
-    none = F.array().cast(EDGE)
-
-    def step(acc: Column, _: Column) -> Column:
-        """Live edges have both ends at cuts and at least one cut inside; one merge makes those with exactly one."""
-        able = F.filter(acc["live"], lambda e: F.array_position(acc["at"], e["end"]) - F.array_position(acc["at"], e["start"]) == 2)
-        best = F.array_max(F.transform(able, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
-
-        def merged(b: Column) -> Column:
-            inner = F.element_at(acc["at"], (F.array_position(acc["at"], -b["left"]) + 1).cast("int"))
-            left = lambda c: F.filter(acc["live"], lambda e: (e["start"] != c) & (e["end"] != c) & ~((e["start"] == -b["left"]) & (e["end"] == b["end"])))
-            joined = bind(inner, lambda c: F.struct(F.array_remove(acc["at"], c).alias("at"), left(c).alias("live")).cast(STATE))
-            return F.when(b.isNull(), F.struct(acc["at"].alias("at"), none.alias("live")).cast(STATE)).otherwise(joined)
-
-        return F.when(F.size(acc["live"]) == 0, acc).otherwise(bind(best, merged))
-
-    start = F.struct(cuts.alias("at"), F.filter(edges, lambda e: e["end"] - e["start"] > 1).alias("live")).cast(STATE)
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, step, lambda acc: acc["at"])
-    return bind(done, lambda at: path_ids(word, edges, at, byte_ids))
-
-
-def path_ids(word: Column, edges: Column, done: Column, byte_ids: list[int]) -> Column:
-    """The ids of the steps between cuts."""
-    return F.flatten(
-        F.transform(
-            F.arrays_zip(F.slice(done, F.lit(1), F.size(done) - 1).alias("a"), F.slice(done, F.lit(2), F.size(done) - 1).alias("b")),
-            lambda s: piece_or_bytes(word, s["a"], s["b"], edge_id(edges, s["a"], s["b"]), byte_ids),
-        )
-    )
+    """Ids of the BPE path of any table of pieces: every step merges the edge of the best score, the leftmost among equals, of all that are able then."""
 
+    def step(cuts: Column, _: Column) -> Column:
+        able = F.filter(edges, lambda e: F.substring(cuts, e["start"] + 1, e["end"] - e["start"] + 1).rlike("^10*10*1$"))
+        best = F.array_min(F.transform(able, lambda e: F.struct((-e["score"]).alias("order"), e["start"].alias("start"), e["end"].alias("end"))))
+        joined = F.concat(F.substring(cuts, F.lit(1), best["start"] + 1), F.repeat(F.lit("0"), best["end"] - best["start"] - 1), F.substring(cuts, best["end"] + 1, F.length(cuts)))
+        return F.coalesce(joined, cuts)
 
-def library_ids(long_words: DataFrame, path: str) -> DataFrame:
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
+    return path_ids(word, edges, F.aggregate(F.sequence(F.lit(1), F.length(word)), F.repeat(F.lit("1"), F.length(word) + 1), step), byte_ids)
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in batches:
-            ids = [model.encode(w[1:].replace(MARK, " ")) if len(w) > 1 else [] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    return long_words.select("word").mapInArrow(encode, "word string, ids array<int>")
+def path_ids(word: Column, edges: Column, cuts: Column, byte_ids: list[int]) -> Column:
+    """The ids of the edges, sorted by place, between neighbouring cuts."""
+    bind = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computes a value once that fn uses often
+    path = bind(cuts, lambda c: F.filter(edges, lambda e: F.substring(c, e["start"] + 1, e["end"] - e["start"] + 1).rlike("^10*1$")))
+    return F.flatten(F.transform(path, lambda e: piece_or_bytes(word, e["start"], e["end"], e["id"], byte_ids)))
 
 
-def word_ids(distinct: DataFrame, model: Model, longest_word: int = LONGEST_WORD) -> DataFrame:
-    """(word, ids) of each distinct word."""
-    spark = distinct.sparkSession
-    table = spark.createDataFrame(model.pieces, "piece string, id int, score double")
-    longest = max(len(p[0]) for p in model.pieces)
-    short = lattice(distinct.where(F.length("word") <= longest_word), table, longest)
+def word_ids(distinct: DataFrame, model: Model) -> DataFrame:
+    """distinct (word, ...) with ids."""
+    table = distinct.sparkSession.createDataFrame(model.pieces, "piece string, id int, score double")
+    found = lattice(distinct, table, max(len(p[0]) for p in model.pieces))
     w, e = F.col("word"), F.col("edges")
-    unknown = min(p[2] for p in model.pieces) - 10.0  # as the library has it
-    ids = viterbi(w, e, model.byte_ids, unknown) if model.kind == UNIGRAM else merges(w, e, model.byte_ids)
-    return short.select("word", ids.alias("ids")).unionByName(library_ids(distinct.where(F.length("word") > longest_word), model.path))
-
-
-def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), longest_word: int = LONGEST_WORD) -> DataFrame:
-    """keep's columns with text (as `_text`) and ids of every row."""
-    rows = store(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), *keep), "pieces-rows")
-    split = rows.select("_row", F.posexplode(words(F.coalesce("_text", F.lit("")))).alias("pos", "word"))
-    known = store(word_ids(split.select("word").distinct(), model, longest_word), "pieces-words")
-    found = split.join(known, "word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
-    ids = F.when(F.col("_text").isNotNull(), F.coalesce(F.flatten(F.transform("found", lambda x: x["ids"])), F.array().cast("array<int>")))
-    return rows.join(found, "_row", "left").select(*keep, "_text", ids.alias("ids"))
+    if model.kind == UNIGRAM:
+        ids = viterbi(w, e, model.byte_ids, min(p[2] for p in model.pieces) - 10.0)  # the cost of the unknown is the library's
+    elif model.late is None:
+        ids = merges(w, e, model.byte_ids)
+    else:
+        at = {piece: k for piece, k, _ in model.pieces}
+        ids = in_order(w, e, model.byte_ids, [at[piece] for piece in model.late])
+    return found.select(*distinct.columns, ids.alias("ids"))
+
+
+def by_part(table: DataFrame, text_col: str, keep: tuple[str, ...], part_rows: int) -> DataFrame:
+    """(_keep, _text, part) of a table of files; part names a run of rows of a file."""
+    block = F.concat_ws("#", "_metadata.file_path", F.floor(F.col("_metadata.row_index") / part_rows).cast("string"))
+    return table.select(F.struct(F.lit(0).alias("_"), *keep).alias("_keep"), F.col(text_col).alias("_text"), F.md5(block.cast("binary")).alias("part"))
+
+
+class Splitter:
+    """The units of texts. A text whose spaces stand one by one between other characters is cut at these, and each distinct chunk is cut into units once."""
+
+    def __init__(self, pattern: str):
+        self.unit = re.compile(pattern)
+        self.by_chunk = self.unit.findall(f"a{MARK}b") == ["a", f"{MARK}b"]  # a mark begins a unit
+
+    def chunks(self, text: str) -> list[str] | None:
+        if not self.by_chunk or "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+            return None
+        return text.split(" ")
+
+    def of_chunk(self, chunk: str) -> list[str]:
+        return self.unit.findall(MARK + chunk)
+
+    def of_text(self, text: str) -> list[str]:
+        return self.unit.findall(marked(text))
+
+
+class Book(dict):
+    """Ids by chunk, made from those of units when a chunk is first met."""
+
+    def __init__(self, known: dict[str, bytes], splitter: Splitter):
+        super().__init__()
+        self.known, self.splitter = known, splitter
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self[chunk] = b"".join(map(self.known.__getitem__, self.splitter.of_chunk(chunk)))
+        return found
+
+    def ids(self, text: str) -> bytes:
+        if (chunks := self.splitter.chunks(text)) is not None:
+            return b"".join(map(self.__getitem__, chunks))
+        return b"".join(map(self.known.__getitem__, self.splitter.of_text(text)))
+
+
+def part_units(texts: DataFrame, pattern: str) -> DataFrame:
+    """(part, word): the distinct units of each part. A part that two tasks read may list a unit twice."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, part, chunks, seen = Splitter(pattern), None, set(), set()
+
+        def flush():
+            for chunk in chunks:
+                seen.update(splitter.of_chunk(chunk))
+            listed = list(seen)
+            for at in range(0, len(listed), 1 << 16):
+                some = listed[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), pa.array(some, pa.string())], names=["part", "word"])
+
+        for batch in batches:
+            for now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now != part:
+                    yield from flush()
+                    part, chunks, seen = now, set(), set()
+                if text:
+                    if (found := splitter.chunks(text)) is not None:
+                        chunks.update(found)
+                    else:
+                        seen.update(splitter.of_text(text))
+        yield from flush()
+
+    return texts.select("part", "_text").mapInArrow(split, "part string, word string")
+
+
+def write_books(texts: DataFrame, model: Model, path: str) -> None:
+    """The dictionary of each part, in a folder of its name: (word, ids)."""
+    listed = store(part_units(texts, model.units), "pieces-units")
+    total = listed.count()
+    tasks = max(1, total // TASK_UNITS)
+    # A number of tasks of its own, as few bytes become many edges. A unit's parts go along with it through the lattice.
+    units = listed.repartition(tasks, "word").groupBy("word").agg(F.collect_set("part").alias("parts"))
+    rows = word_ids(units, model).select(F.explode("parts").alias("part"), "word", "ids")
+    rows.repartition(max(1, total // BOOK_UNITS), "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+
+
+def put_together(texts: DataFrame, pattern: str, path: str, schema: T.StructType) -> DataFrame:
+    """The texts with their ids from their parts' dictionaries."""
+
+    def book_of(part: str) -> dict[str, bytes]:
+        import numpy as np
+        import pyarrow.parquet as pq
+
+        system, root = filesystem(path)
+        known: dict[str, bytes] = {}
+        for found in system.get_file_info(selector(f"{root}/part={part}")):
+            if found.path.endswith(".parquet"):
+                with system.open_input_file(found.path) as f:
+                    for batch in pq.ParquetFile(f).iter_batches(columns=["word", "ids"]):
+                        lists = batch.column(1)
+                        raw, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+                        known.update(zip(batch.column(0).to_pylist(), map(raw.__getitem__, map(slice, ends, ends[1:]))))
+        return known
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        splitter, part, book = Splitter(pattern), None, None
+        for batch in batches:
+            out = []
+            for now, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
+                if text and now != part:
+                    part, book = now, Book(book_of(now), splitter)
+                out.append(None if text is None else book.ids(text) if text else b"")
+            offsets = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in out])]).astype("<i4")
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(x or b"" for x in out), "<i4")), mask=pa.array([x is None for x in out], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), batch.column(1), ids], names=schema.names)
+
+    return texts.select("_keep", "_text", "part").mapInArrow(encode, schema)
+
+
+def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), stored: bool = False, part_rows: int = PART_ROWS) -> DataFrame:
+    """keep's columns with text (as `_text`) and ids of every row. stored: docs is a table of files as read, which does not change."""
+    spark = docs.sparkSession
+    kept = docs.select(*keep).schema
+    if not stored:
+        docs = store(docs.select(F.struct(*keep, F.lit(0).alias("_")).alias("k"), F.col(text_col).alias("_text")), "pieces-rows")
+        docs, keep, text_col = docs, tuple(f"k.`{c}`" for c in keep), "_text"
+    texts, path = by_part(docs, text_col, keep, part_rows), new_path(spark, "pieces-books")
+    write_books(texts, model, path)
+    out = T.StructType([T.StructField("_", T.IntegerType()), *kept.fields, T.StructField("_text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return put_together(texts, model.units, path, out).drop("_")
 
 
 def decode(ids: Column, model: Model) -> Column:

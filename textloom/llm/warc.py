@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import new_path, store
+from textloom.llm.common import filesystem, new_path, store
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -91,14 +91,7 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE,
 
 
 def open_file(path: str):
-    from pyarrow import fs
-
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        path = "file:///" + rest.lstrip("/")
-    elif scheme in ("s3a", "s3n"):
-        path = "s3:" + rest
-    system, at = fs.FileSystem.from_uri(path)
+    system, at = filesystem(path)
     return system.open_input_file(at)
 
 
