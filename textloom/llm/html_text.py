@@ -5,7 +5,7 @@ stop words and of link text, and whether it stands under an element that by its
 boilerplate. It is decided good or bad, or left short. Pass two gives each short block the label of its nearest decided
 neighbours: their common label where both agree, that of the nearer one where they don't. Within an article or main
 element the neighbours are those of the same element, and a tie or the absence of decided ones is good; elsewhere it
-is bad.
+is bad. Where neither elements nor stop words decide any block as good, lengths and links alone do.
 
 A class or id speaks for its element unless that is html or body, or wraps the page: while no article stands free and a named
 container holds at least as much good text as stands outside all of them, the largest such is opened. An article is the
@@ -35,19 +35,41 @@ STOP_WORDS = frozenset(
 )
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select option button textarea title datalist".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg"))
+CONTAINERS = frozenset(("noscript", "template", "svg"))
+#: Elements that hold no blocks: one that begins ends them.
+WITHOUT_BLOCKS = frozenset(("select", "option", "datalist"))
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 CORE_TAGS = frozenset(("article", "main"))
 BLOCK_TAGS = BOILERPLATE_TAGS | CORE_TAGS | frozenset(
     "address blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 head hr html legend li ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsored|promo(?:tion)?|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|"
-    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reviews|share|sharing|social|related|recommended|"
-    r"widget|toolbar|pagination|pager|tags|skip|copyright|legal|disclaimer)(?:$|[\s_-]|\d)", re.I,
-)
-#: Names of what readers wrote, or of other pages: opened only where nothing else has good text.
-OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reviews|related|recommended|ads?|sponsored)(?:$|[\s_-]|\d)", re.I)
+#: Parts of class and id names that name boilerplate; those of OTHERS name what readers wrote, or other pages, and are opened only where nothing else has good text.
+NAMED = frozenset(
+    "ad ads advert adverts advertisement adsense banner sponsored promo promotion cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login sidebar side menu nav navbar "
+    "navigation breadcrumb breadcrumbs foot footer header masthead comment comments commentlist disqus replies reviews share sharing social related recommended widget toolbar pagination pager "
+    "tags skip copyright legal disclaimer".split()
+)
+OTHERS = frozenset("comment comments commentlist disqus replies reviews related recommended ad ads sponsored".split())
+#: Parts that say where or how, beside which a name keeps its meaning: site-header, cookie-box, menu2.
+NEUTRAL = frozenset(
+    "site page main top bottom left right upper lower bar box list item items wrap wrapper container inner outer area section block blocks global primary secondary mobile desktop sticky fixed default "
+    "links link panel content row column col group form button btn overlay text message title policy post posts article articles user thread slot unit zone google js the my".split()
+)
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def named_parts(value: str) -> set[str]:
+    """The boilerplate parts of the names in a class or id. A name of any other word besides is taken for one of its own, as in post-side-effects."""
+    found: set[str] = set()
+    for name in value.split():
+        parts = {x.lower() for x in NAME_PARTS.findall(name)}
+        if parts <= NAMED | NEUTRAL:
+            found |= parts & NAMED
+    return found
+
+
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 TAG_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
@@ -98,7 +120,10 @@ def tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
         text, at = [], end + 1
         if name in RAW and not closing and not page.endswith("/", 0, end):
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-            at = close.start() if close else n
+            if close:
+                at = close.start()
+            elif name not in CONTAINERS:  # the rest of the page is its text
+                at = n
 
 
 def tag_end(page: str, at: int) -> int:
@@ -137,13 +162,14 @@ def is_boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def boilerplate_name(name: str, attributes: str) -> str:
-    """The class or id that names boilerplate, or nothing."""
-    if attributes and name not in ("html", "body"):
+def boilerplate_name(name: str, attributes: str) -> set[str]:
+    """What its class or id calls an element; page wrappers and headings are not called names."""
+    found: set[str] = set()
+    if attributes and name not in UNNAMED:
         for m in ATTRIBUTE.finditer(attributes):
-            if m[1].lower() in ("class", "id") and BOILERPLATE_NAMES.search(value := (m[2] or "").strip("\"'")):
-                return value
-    return ""
+            if m[1].lower() in ("class", "id"):
+                found |= named_parts((m[2] or "").strip("\"'"))
+    return found
 
 
 Block = tuple[str, float, bool, int]
@@ -158,7 +184,7 @@ def blocks(page: str, opened: frozenset[int] = frozenset()) -> tuple[list[Block]
     parts: list[str] = []
     link_parts: list[str] = []
     stack: list[tuple[str, bool, int, int]] = []  # open containers: name, boilerplate at or above, core, outermost named container
-    skipped: list[str] = []
+    skipped: list[tuple[str, int]] = []  # open elements without text of the page, and how many containers were open around each
     in_link, cores, number = 0, 0, 0
 
     def flush() -> None:
@@ -180,13 +206,14 @@ def blocks(page: str, opened: frozenset[int] = frozenset()) -> tuple[list[Block]
             break
         if name in SKIPPED or name == "optgroup":
             if closing:
-                if name in skipped:
-                    del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
+                at = next((k for k in range(len(skipped) - 1, -1, -1) if skipped[k][0] == name), -1)
+                if at >= 0:
+                    del skipped[at:]
             else:
-                if skipped and skipped[-1] == "option" and name in ("option", "optgroup"):  # its end tag may be left out
+                if skipped and skipped[-1][0] == "option" and name in ("option", "optgroup"):  # its end tag may be left out
                     skipped.pop()
                 if name != "optgroup" and not attributes.endswith("/"):
-                    skipped.append(name)
+                    skipped.append((name, len(stack)))
             if name in ("title", "option", "button"):
                 flush()
             continue
@@ -195,8 +222,9 @@ def blocks(page: str, opened: frozenset[int] = frozenset()) -> tuple[list[Block]
             continue
         if name not in BLOCK_TAGS:
             continue
-        if skipped == ["option"]:
-            skipped.clear()
+        if not closing:
+            while skipped and skipped[-1][0] in WITHOUT_BLOCKS:
+                skipped.pop()
         flush()
         if name in VOID:
             continue
@@ -204,6 +232,8 @@ def blocks(page: str, opened: frozenset[int] = frozenset()) -> tuple[list[Block]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
+                    while skipped and skipped[-1][1] > k:  # the end of what holds an element is its end too
+                        skipped.pop()
                     in_link = 0
                     break
             continue
@@ -214,10 +244,10 @@ def blocks(page: str, opened: frozenset[int] = frozenset()) -> tuple[list[Block]
         if named:
             number += 1
             if number in opened:
-                named = ""
+                named = set()
             elif not within and not above[1] and not own:
                 within = number
-                holders[within] = (False, bool(OTHERS.search(named)))
+                holders[within] = (False, bool(OTHERS & named))
         if name in CORE_TAGS:
             # An article that an unclosed menu or header would swallow is an article all the same; reader comments may be articles too.
             nested = bool(named) or above[2] and above[1] or any(n not in BOILERPLATE_TAGS and b for n, b, _, _ in stack)
@@ -247,7 +277,8 @@ def first_pass(text: str, links: float, boilerplate: bool, core: int) -> int:
         return OPEN if not links or core else BAD
     if stops >= (STOP_LOW if core or len(text) > LONG else STOP_HIGH):
         return GOOD
-    return OPEN if core or stops >= STOP_LOW else BAD
+    # A long text without links is no menu, whatever its words: its neighbours decide.
+    return OPEN if core or stops >= STOP_LOW or not links else BAD
 
 
 def second_pass(labels: list[int], cores: list[int]) -> list[int]:
@@ -277,6 +308,13 @@ def second_pass(labels: list[int], cores: list[int]) -> list[int]:
     return out
 
 
+def by_length(found: list[Block], labels: list[int]) -> list[int]:
+    """Labels where neither an element nor stop words say what the text is, as in a language that has none of them here: blocks with few links are good if they are long, or are all that there is."""
+    plain = [not boiler and links <= MOST_LINKS for _, links, boiler, _ in found]
+    long = [fits and len(text) >= SHORT for fits, (text, _, _, _) in zip(plain, found)]
+    return [GOOD if x else label for x, label in zip(long if any(long) else plain, labels)]
+
+
 def good_length(block: Block) -> int:
     return len(block[0]) if first_pass(*block) == GOOD else 0
 
@@ -313,6 +351,8 @@ def main_text(page: str | None) -> str:
     labels = [first_pass(*b) for b in found]
     # Boilerplate inside an article says nothing about the blocks beside it.
     keep = [k for k, b in enumerate(found) if not b[2]]
+    if not any(found[k][3] or labels[k] == GOOD for k in keep):
+        labels = by_length(found, labels)
     final = second_pass([labels[k] for k in keep], [found[k][3] for k in keep])
     return " ".join(found[k][0] for k, label in zip(keep, final) if label == GOOD)
 
