@@ -1,9 +1,10 @@
 """Personal data by weak supervision. DataFrame operations only.
 
-Candidate spans come from patterns: the four base kinds in their strict form, which are always reported, and looser
-forms (a spelled-out address, a national telephone number, a bracketed one), which are reported only if
-the final classifier accepts them. Labelling functions vote on every candidate: patterns (form and checksum), gazetteers
-(mail and network words, top-level domains) and the context around the span. Expectation-maximisation over the
+Candidate spans come from patterns: the four base kinds in their strict form, which are always reported; looser
+forms (a bracketed or spelled-out address, national and 00-prefixed telephone numbers, a full IPv6 address), which are reported only if
+the final classifier accepts them; and long matches of a base pattern that fail its check, which are never reported but are the negative examples that any corpus
+has. Labelling functions vote for or against every candidate: checksums and structure, gazetteers (top-level domains, telephone prefixes), the words
+around the span, its edges and how it is written. Expectation-maximisation over the
 counts of vote patterns, which are at most 3**labellers a kind, estimates each labeller's reliability without labels.
 Its posteriors then train a logistic span classifier on features of the span and its context, again over counts
 of feature patterns. Counts cover all documents; only they reach the driver.
@@ -36,9 +37,14 @@ BASE = {
 #: A cheap test that must hold where the pattern has a match.
 HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 EXTRA = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+){1,4}+",
-    "phone": r"(?<![0-9+.(-])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9-])|(?<![0-9+.-] ?)(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+){1,4}+"
+    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ at [A-Za-z0-9-]{2,63}+ dot [A-Za-z]{2,10}+(?![A-Za-z0-9])",
+    "ip": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:.])",
+    "phone": r"(?<![0-9+.(-])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9-])|(?<![0-9+.-] ?)(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])"
+    r"|(?<![0-9+.-])00[1-9][0-9]{0,2}(?:[ /-][0-9]{2,8}){2,4}(?![0-9])|(?<![0-9+.-])0[1-9][0-9]{1,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,5}){0,2}(?![0-9-])",
 }
+#: Digits from which on a match that fails its check is an example of what is no personal data.
+FAILED_DIGITS = 9
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 40
 
@@ -50,7 +56,9 @@ CONTEXT_WORDS = {
     "card": "card|visa|mastercard|amex|credit|pay|karte|carte|tarjeta|iban|account",
     "phone": "phone|tel|call|fax|mobile|cell|ruf|appel|llam",
 }
-CODE_WORDS = r"version|isbn|issn|sku|order|serial|build|v\.|no\.|section|chapter|\$|€|#"
+CODE_WORDS = r"version|isbn|issn|sku|order|serial|build|invoice|article|part|reference|ref|v\.|no\.|nr\.|section|chapter|\$|€|#"
+#: Telephone prefixes of the countries of the gazetteer's domains.
+CALLING_CODES = "1 7 30 31 32 33 34 39 41 43 44 45 46 47 48 49 52 54 55 56 57 61 81 86 91 351 353 358".split()
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -103,18 +111,18 @@ def hint(kind: str, text: Column) -> Column:
 
 
 LOCATED = "array<struct<start:int,m:string>>"
-SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,m:string,left:string,right:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,able:boolean,m:string,left:string,right:string>>"
 
 
 def with_candidates(rows: DataFrame, text: Column) -> DataFrame:
     """rows with found, all candidate spans of the text with their context. Each step is a column of its own, computed once."""
     none = F.array().cast(SPAN)
 
-    def spans(kind: str, found: Column, base: bool) -> Column:
+    def spans(kind: str, found: Column, base: bool, able: bool = True) -> Column:
         return F.transform(
             found,
             lambda s: F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["m"])).cast("int").alias("end"), F.lit(base).alias("base"), s["m"].alias("m"),
+                F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["m"])).cast("int").alias("end"), F.lit(base).alias("base"), F.lit(able).alias("able"), s["m"].alias("m"),
                 F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))).alias("left"),
                 F.substring(text, s["start"] + F.length(s["m"]) + 1, F.lit(CONTEXT)).alias("right"),
             ),
@@ -123,41 +131,57 @@ def with_candidates(rows: DataFrame, text: Column) -> DataFrame:
     def passing(kind: str) -> Column:
         return F.filter(f"_b_{kind}", lambda s: passes(kind, s["m"]))
 
-    loose = {"email": F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")), "phone": text.rlike(r"[0-9]{3}[ .-][0-9]{4}")}
+    def failing(kind: str) -> Column:
+        return F.filter(f"_b_{kind}", lambda s: (F.length(digits(s["m"])) >= FAILED_DIGITS) & ~passes(kind, s["m"]))
+
+    loose = {
+        "email": F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")) | F.contains(text, F.lit(" dot ")), "ip": text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"),
+        "phone": text.rlike(r"[0-9]{3}[ .-][0-9]{4}|[0-9][ /-][0-9]{2}"),
+    }
     nothing = F.array().cast(LOCATED)
     rows = rows.withColumns({f"_b_{k}": F.when(hint(k, text), located(text, BASE[k])).otherwise(nothing) for k in KINDS} | {f"_x_{k}": F.when(loose[k], located(text, EXTRA[k])).otherwise(nothing) for k in EXTRA})
     rows = rows.withColumn("_strict", F.concat(*[F.when(F.size(f"_b_{k}") > 0, spans(k, passing(k), True)).otherwise(none) for k in KINDS]))
+    rows = rows.withColumn("_failed", F.concat(*[F.when(F.size(f"_b_{k}") > 0, spans(k, failing(k), False, False)).otherwise(none) for k in KINDS if k != "email"]))
     rows = rows.withColumn("_extra", F.concat(*[F.when(F.size(f"_x_{k}") > 0, spans(k, F.col(f"_x_{k}"), False)).otherwise(none) for k in EXTRA]))
-    # A loose candidate that touches a strict span is that span.
-    apart = F.filter("_extra", lambda e: ~F.exists("_strict", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return rows.withColumn("found", F.when(F.size("_extra") > 0, F.concat("_strict", apart)).otherwise(F.col("_strict")))
+    touches = lambda others: lambda e: ~F.exists(others, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
+    # A loose candidate that touches a strict span is that span, and a failed match that touches a candidate is no example of its own.
+    apart = F.when(F.size("_extra") > 0, F.filter("_extra", touches("_strict"))).otherwise(none)
+    rows = rows.withColumn("_extra", apart).withColumn("_failed", F.when(F.size("_failed") > 0, F.filter(F.filter("_failed", touches("_strict")), touches("_extra"))).otherwise(none))
+    return rows.withColumn("found", F.concat("_strict", "_extra", "_failed"))
 
 
 def votes(s: Column) -> list[Column]:
     """Each labeller's vote on a span: 1 for personal data, -1 against, 0 none."""
-    kind, m, n = s["kind"], s["m"], F.length(digits(s["m"]))
-    say = lambda yes, no: F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
+    kind, m = s["kind"], s["m"]
+    number, n = digits(m), F.length(digits(m))
+    say = lambda yes, no: F.when(no, F.lit(-1)).when(yes, F.lit(1)).otherwise(F.lit(0))
     near = F.lower(F.concat(s["left"], F.lit(" "), s["right"]))
     context = F.lit(False)
     for k in KINDS:
         context = context | ((kind == k) & near.rlike(CONTEXT_WORDS[k]))
+    code = F.lower(s["left"]).rlike(rf"(?:{CODE_WORDS})[\s:.#]*(?:no|nr|number)?[\s:.#]*$")
     tld = F.lower(F.regexp_extract(m, r"([A-Za-z]+)[\])]?$", 1))
+    same = number.rlike(r"^([0-9])\1*$")  # one digit over and over
+    bare = m.rlike("^[0-9]+$")
+    sound = F.when(kind == "card", passes("card", m)).when(kind == "ip", m.contains(":") | passes("ip", m)).when(kind == "phone", n.between(9, 15) & ~same).otherwise(m.rlike(r"^[^@]*[A-Za-z]"))
+    calling = F.when(m.startswith("+") | m.startswith("00"), F.regexp_replace(number, "^00", "").rlike(f"^(?:{'|'.join(CALLING_CODES)})")).otherwise(F.lit(None))
     return [
-        say(s["base"], F.lit(False)),  # the strict pattern
-        say((kind == "card") | (kind == "ip") & ~m.rlike(r"^[0.]+$") | (kind == "phone") & (n >= 10) | (kind == "email") & m.rlike(r"[A-Za-z]"), F.lit(True)),  # form
-        say((kind == "email") & tld.isin(TOP_LEVEL), (kind == "email") & ~tld.isin(TOP_LEVEL)),  # gazetteer of domains
-        say(context, F.lit(False)),  # context words
-        say(F.lit(False), F.lower(s["left"]).rlike(rf"(?:{CODE_WORDS})[\s:#]*$")),  # context of codes
-        say(F.lit(False), s["left"].rlike(r"[\p{L}\p{N}_]$") | s["right"].rlike(r"^[\p{L}\p{N}_]")),  # not a token of its own
-        say(m.rlike(r"[A-Za-z]\.?[0-9]") | m.contains("(") | (m.rlike("^[0-9]+$") & (kind == "card")), F.lit(False)),  # how people write it
-    ]
+        say(sound, ~sound),  # checksum and structure
+        F.when(kind == "email", say(tld.isin(TOP_LEVEL), ~tld.isin(TOP_LEVEL))).when((kind == "phone") & calling.isNotNull(), say(calling, ~calling)).when(kind == "card", say(m.rlike("^[3-6]"), ~m.rlike("^[2-6]"))).otherwise(F.lit(0)),  # gazetteers
+        say(context, code),  # the words around it
+        say(s["left"].rlike(r"(?:^|[\s(\[<:,;])$") & s["right"].rlike(r"^(?:$|[\s.,;:!?)\]>])"), s["left"].rlike(r"[\p{L}\p{N}_/#=-]$") | s["right"].rlike(r"^[\p{L}\p{N}_/=]")),  # a token of its own
+        say(m.rlike(r"[A-Za-z]\.?[0-9]|[A-Za-z]{3}") | m.contains("(") | m.contains("+") | m.rlike("^[0-9]{4}(?:[ -][0-9]{4}){2,3}"), same | bare & (kind != "card") | bare & ~passes("card", m)),  # how people write it
+        say(s["base"], ~s["able"]),  # the strict pattern
+    ]
 
 
 def features(s: Column) -> list[Column]:
+    """What the classifier sees. Which pattern found a span is not among it, as that would tell the examples apart without a look at them."""
     m, n = s["m"], F.length(digits(s["m"]))
     return [
-        s["base"], s["left"].rlike(r"(?:^|\s)$"), s["right"].rlike(r"^(?:$|[\s.,;:!?)])"), n.between(10, 16), F.length(m) >= 12,
-        m.rlike("[a-z]"), m.rlike("[ ()-]"), F.lower(F.concat(s["left"], s["right"])).rlike("|".join(CONTEXT_WORDS.values())),
+        s["left"].rlike(r"(?:^|\s)$"), s["right"].rlike(r"^(?:$|[\s.,;:!?)])"), n.between(10, 16), m.rlike("[A-Za-z]"), m.rlike("[ ()/-]"),
+        F.lower(F.concat(s["left"], s["right"])).rlike("|".join(CONTEXT_WORDS.values())), F.lower(s["left"]).rlike(rf"(?:{CODE_WORDS})[\s:.#]*(?:no|nr|number)?[\s:.#]*$"),
+        s["left"].rlike(r"[\p{L}\p{N}_/#=-]$") | s["right"].rlike(r"^[\p{L}\p{N}_/=]"), digits(m).rlike(r"^([0-9])\1*$"),
     ]
 
 
@@ -175,10 +199,19 @@ def code(of: list[Column]) -> Column:
     return total
 
 
+#: By the last character of a group, what share of it is taken for personal data at first: loose forms and failed matches have groups of their own.
+LOOSE, FAILED = "~", "!"
+PRIOR = {LOOSE: 0.5, FAILED: 0.2}
+
+
+def group_of(s: Column) -> Column:
+    return F.concat(s["kind"], F.when(s["base"], "").when(s["able"], LOOSE).otherwise(FAILED))
+
+
 def expectation_maximisation(counts: dict[tuple[str, tuple[int, ...]], int], labellers: int, rounds: int = 30) -> tuple[dict[tuple[str, tuple[int, ...]], float], list[float]]:
-    """Posterior of each vote pattern and each labeller's accuracy, where it votes. Prior per kind; accuracies start at 0.75 and stay in [0.05, 0.97],
+    """Posterior of each vote pattern and each labeller's accuracy, where it votes. Priors are those of groups, a kind and how its spans were found; accuracies start at 0.75 and stay in [0.05, 0.97],
     a labeller being taken to be better than chance at first, which fixes which side is which."""
-    accuracy, prior = [0.75] * labellers, {kind: 0.8 for kind, _ in counts}
+    accuracy, prior = [0.75] * labellers, {group: PRIOR.get(group[-1], 0.8) for group, _ in counts}
     posterior: dict[tuple[str, tuple[int, ...]], float] = {}
     for _ in range(rounds):
         for key in counts:
@@ -220,27 +253,27 @@ def train(spans: DataFrame) -> tuple[list[float], list[float]]:
     """(classifier weights over features + kinds + constant, labeller accuracies) from a DataFrame with a column s of candidate spans."""
     s = F.col("s")
     labellers, width = len(votes(s)), len(features(s))
-    found = spans.select(s["kind"].alias("kind"), code(votes(s)).alias("votes"), bits(features(s)).alias("features")).groupBy("kind", "votes", "features").count().collect()
-    # At most kinds * 3**labellers * 2**features rows, whatever the corpus; in practice some dozens.
+    found = spans.select(group_of(s).alias("group"), code(votes(s)).alias("votes"), bits(features(s)).alias("features")).groupBy("group", "votes", "features").count().collect()
+    # At most 3 * kinds * 3**labellers * 2**features rows, whatever the corpus; in practice some dozens.
     unpack = lambda v: tuple(v // 3**k % 3 - 1 for k in range(labellers))
     counts: dict[tuple[str, tuple[int, ...]], int] = {}
     for r in found:
-        key = (r["kind"], unpack(r["votes"]))
+        key = (r["group"], unpack(r["votes"]))
         counts[key] = counts.get(key, 0) + r["count"]
     posterior, accuracy = expectation_maximisation(counts, labellers)
-    rows = [([float(r["features"] >> k & 1) for k in range(width)] + [float(r["kind"] == k) for k in KINDS], posterior[r["kind"], unpack(r["votes"])], float(r["count"])) for r in sorted(found, key=str)]
+    rows = [([float(r["features"] >> k & 1) for k in range(width)] + [float(r["group"].rstrip(LOOSE + FAILED) == k) for k in KINDS], posterior[r["group"], unpack(r["votes"])], float(r["count"])) for r in sorted(found, key=str)]
     return logistic(rows), accuracy
 
 
 def accepted(s: Column, weights: list[float]) -> Column:
     """Base spans stay; others need the classifier's consent."""
-    if not weights:
+    if not weights:  # nothing was found
         return s["base"]
     terms = features(s) + [s["kind"] == k for k in KINDS]
     score = F.lit(weights[-1])
     for w, t in zip(weights, terms):
         score = score + F.when(t, F.lit(w)).otherwise(F.lit(0.0))
-    return s["base"] | (score > 0)
+    return s["base"] | s["able"] & (score > 0)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
