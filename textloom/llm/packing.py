@@ -26,7 +26,8 @@ from textloom.llm.common import rows_per_cell_salt, store
 
 CAPACITY = 2048
 END_ID = 0
-#: A plan of more rows than this is joined by shuffle with salted copies instead of being broadcast (24 bytes a row).
+#: A plan of more rows than this is joined by shuffle instead of being broadcast (48 bytes a row). A plan has some rows for each length and each kind of room that is filled, at most
+#: capacity * capacity / 2, however many documents there are.
 BROADCAST_PLAN_ROWS = 200_000
 #: Distinct words whose ids a Python worker keeps; beyond it the memo starts anew, which costs time only.
 MEMO_WORDS = 700_000
@@ -183,18 +184,19 @@ PLAN = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "rank_fr
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """pieces with rank, from 0 and gapless within each length; any one length is spread over many cells."""
     cells = rows_per_cell_salt(total)
-    salted = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)).cast("int"))
+    salted = pieces.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int"))
     sizes = salted.groupBy("length", "cell").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("length", "cell", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32"))
-    return salted.withColumn("inside", inside).join(starts, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("inside") - 1).drop("cell", "before", "inside")
+    inside = F.row_number().over(Window.partitionBy("length", "cell").orderBy("row"))
+    return salted.withColumn("inside", inside).join(starts, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("inside") - 1).drop("row", "cell", "before", "inside")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of docs with (sequence_id, offset): as few sequences as best-fit decreasing makes of them."""
     spark: SparkSession = docs.sparkSession
-    pieces = store(token_pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
+    # The row number tells pieces of repeated rows apart, so that they are dealt over all cells.
+    pieces = store(token_pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     plan = best_fit_plan(counts, capacity)
     slots = spark.createDataFrame(plan, PLAN)

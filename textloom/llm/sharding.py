@@ -88,18 +88,18 @@ def shard_rows(docs: DataFrame, shards: int = 8, slack: float = 0.0, replicas: i
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = store(rows.withColumn("place", place_of("doc_id", positions)), "ring")
+    rows = store(rows.withColumns({"place": place_of("doc_id", positions), "row": F.monotonically_increasing_id()}), "ring")
     counts = {int(r["place"]): int(r["count"]) for r in rows.groupBy("place").count().collect()}  # at most positions rows
     order, total = ring(shards, replicas, positions), sum(counts.values())
     plan = placement(counts, order, bounds(total, shards, slack))
     slots = F.broadcast(spark.createDataFrame(plan, PLAN))  # at most positions * shards rows
 
-    # Ranks within a place: salted, as one place may be hot when one id is repeated.
-    cells = rows_per_cell_salt(total, 200_000 * positions, 4)
-    salted = rows.withColumn("cell", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(cells)).cast("int"))
+    # Ranks within a place. The fullest place says how many cells there are, and rows go to cells by their number, so that neither a hot place nor rows repeated whole meet in one task.
+    cells = rows_per_cell_salt(max(counts.values(), default=0), 100_000, 4)
+    salted = rows.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int"))
     before = F.sum("count").over(Window.partitionBy("place").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     starts = salted.groupBy("place", "cell").count().select("place", "cell", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("place", "cell").orderBy("doc_id", "text_crc32", "size"))
+    inside = F.row_number().over(Window.partitionBy("place", "cell").orderBy("row"))
     r = salted.withColumn("inside", inside).join(starts, ["place", "cell"]).withColumn("rank", F.col("before") + F.col("inside") - 1).alias("r")
     s = slots.alias("s")
     homes = F.array(*[F.lit(o[0]) for o in order])

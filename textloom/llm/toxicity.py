@@ -8,7 +8,7 @@ over all rows without a shuffle.
 
 Defined cases: null equals empty and is scored by the constant alone; labels that are null or without a document are left out, repeated labels
 count once with the larger value; without labels of both classes a category's probability is its share (0 without labels);
-repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
+repeated rows get equal scores, and of an id that repeats one row is fitted; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -177,7 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: int = SA
     one = labels.select(F.col(id_col).alias("_id"), *columns).where(" and ".join(f"{c} is not null" for c in sorted(columns)) + " and _id is not null").groupBy("_id").agg(*[F.max(c).alias(c) for c in sorted(columns)])
     picked = one.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")  # the sample is bounded
-    found = sorted(texts.select("_id", *sorted(columns), features_blob(F.col("_text")).alias("f")).collect(), key=lambda r: (r["_id"], r["f"]))
+    # One row an id, as documents may repeat theirs: the features of the repeat that comes first by them.
+    once = texts.select("_id", *sorted(columns), features_blob(F.col("_text")).alias("f")).groupBy("_id", *sorted(columns)).agg(F.min("f").alias("f"))
+    found = sorted(once.collect(), key=lambda r: r["_id"])
     order = np.random.default_rng(0).permutation(len(found))
     found = [found[k] for k in order]
     parts = [np.frombuffer(r["f"], "<i4") for r in found]
