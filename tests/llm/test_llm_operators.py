@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -106,6 +107,40 @@ def test_html(spark):
 LONG_TEXT = "This is the text of the page and it is what we want to keep for all of the readers. " * 4
 
 
+def test_html_odd_pages(spark):
+    rows = [(1, "u", None, "c"), (2, "u", "<p", "c"), (3, "u", "<article><p>" + "The words of it and of the rest. " * 60_000 + "</article>", "c"), (4, "u", "plain words & no tags at all", "c"), (4, "u", "plain words & no tags at all", "c")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, n_chars string")
+    got = html_text.extract(df).collect()
+    assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, 0), (2, 0), (3, 60_000 * 33 - 1), (4, 28), (4, 28)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,times", [
+    ("<article><h2 id='legal'>Head line</h2><div class='post-side-effects'><p>{t}</p></div><section id='reviews-of-2020'><p>{t}</p></section></article>", 2),
+    ("<div class='siteHeader'>Home of all</div><h2 id='legal'>Head line</h2><p>{t}</p><p>{t}</p><div class='cookie-box'><p>{t}</p></div><div class='postComments'><p>{t}</p></div>", 2),
+    ("<article><h2>Head line</h2><p>{t}</p><form><button>Go</form><p>{t}</p></article>", 2),
+    ("<nav><a href=/>Home</a></nav><h2>Head line</h2><p>{t}</p><p>{t}</p><footer>{t}</footer>", 2),
+])
+def test_html_names_are_taken_whole(page, times):
+    assert html_text.main_text(page.format(t=LONG_TEXT)) == "Head line " + " ".join([LONG_TEXT.strip()] * times)
+
+
+def test_html_without_elements_or_stop_words_goes_by_length():
+    long = "漢字かな交じり文の長い段落はここにあります。" * 12
+    page = f"<div><a href=x>メニュー</a> <a href=y>リンク</a></div><div><p>{long}</p><p>短い。</p><p>{long}</p></div><div><a href=z>次へ</a></div>"
+    assert html_text.main_text(page) == f"{long} 短い。 {long}"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_html_finds_the_text_without_its_element():
+    """The block rules alone agree with the element that the tables' pages have."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    bare = lambda p: re.sub(r"(?i)<(/?)(?:article|main)\b[^>]*>", r"<\1div>", p)
+    assert sum(html_text.main_text(bare(p)) != html_text.main_text(p) for p in pages) <= len(pages) // 50
+
+
 @pytest.mark.parametrize("page,want", [
     ("<html class='cookies'><body class='has-sidebar'><article><p>{t}</p></article></body></html>", True),
     ("<div id='page' class='right-sidebar'><article><p>{t}</p></article><div class='comments'><p>It is the note of a reader and that is not for us to keep, as it is of no use to the rest.</p></div></div>", True),
@@ -153,6 +188,27 @@ def test_pii_redacts_and_keeps_columns(spark):
     assert out.columns == df.columns and [r["text"] for r in out.orderBy("doc_id").collect()] == ["😀 mail <EMAIL> now", None, "clean"]
 
 
+def test_pii_classifier_accepts_and_refuses_loose_forms(spark):
+    """What is sound, named and apart is accepted; what stands behind a code word and is joined to more is refused, as long failed numbers are."""
+    texts = ["write to jo@example.com or call +44 20 7946 0958 now", "card 4111 1111 1111 1111 from server 10.0.0.1 ok"] * 20
+    texts += [f'token = "ab{k}41122922{k:02d}cd" and order no. 70866383198460{k % 10}{9 - k % 7} done' for k in range(10, 40)]
+    texts = [t for t in texts if not base_spans(t)] + [t for t in texts if base_spans(t)]
+    plain = sum(not base_spans(t) for t in texts)
+    loose = ["please call (415) 555-0100 today", "tel 0049 30 901820 if late", "mail ann [at] example [dot] org soon", "mail ann at example dot com soon", "address 2001:0db8:0000:0000:0000:ff00:0042:8329 here"]
+    codes = ["serial no. 415-555-0100/77", "invoice 415-555-0100=x", "order no 0301 55501/2"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(docs(spark, texts + loose + codes))).collect()}
+    at = len(texts)
+    want = {"please call (415) 555-0100 today": "phone:12:26", loose[1]: "phone:4:18", loose[2]: "email:5:31", loose[3]: "email:5:27", loose[4]: "ip:8:47"}
+    assert [got[at + k] for k in range(len(loose))] == [want[t] for t in loose]
+    assert all(got[at + len(loose) + k] == "" for k in range(len(codes)))
+    assert plain > 20 and all(got[k] == "" for k in range(plain))
+    twice = docs(spark, texts + loose).union(docs(spark, texts + loose))
+    again = {}
+    for r in pii.digest(pii.detect(twice)).collect():
+        again.setdefault(r["doc_id"], set()).add(r["spans"])
+    assert all(again[k] == {got[k]} for k in again)
+
+
 def test_expectation_maximisation_tells_good_from_bad_labellers():
     counts = {}
     rng = random.Random(0)
