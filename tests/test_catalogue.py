@@ -5,10 +5,11 @@ import os
 
 import pytest
 
+import textloom.plans.workflow  # noqa: F401  joins its queries
 from textloom.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings pages benchmark labels conversations".split()
+TABLES = "part events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import cleaning, facts, marks, rewriting, statistics, tokens
+from textloom.functions import cleaning, facts, guarded, marks, rewriting, spans, statistics, tokens
 
 
 def one(spark, column, **values):
@@ -81,12 +81,72 @@ def test_wilson_and_tail(spark):
 def test_marks(spark):
     words = ["a", "b", "c", "d", "e", "a", "b", "c", "d", "x"]
     df = spark.createDataFrame([(words, words[:5] + ["q"] * 5)], "a array<string>, b array<string>")
-    r = df.select(marks.ngrams(F.col("a")).alias("g"), marks.first_contexts(F.col("a")).alias("f"), marks.intact_fraction()("a", "a").alias("all"), marks.intact_fraction()("a", "b").alias("some")).first()
-    assert len(r["g"]) == 6 and r["f"] == [True] * 5 + [False] and r["all"] == 1.0 and r["some"] == pytest.approx(1 / 6)
+    r = df.select(marks.ngrams(F.col("a")).alias("g"), marks.mark_score(F.array_join("a", " "), "k").alias("f"), marks.intact_fraction()("a", "a").alias("all"), marks.intact_fraction()("a", "b").alias("some")).first()
+    assert len(r["g"]) == 6 and (r["f"]["grams"], r["f"]["scored"], r["f"]["tokens"]) == (6, 5, 10) and r["all"] == 1.0 and r["some"] == pytest.approx(1 / 6)
     pair = spark.createDataFrame([("a b c d", "a x c y"), (None, "x")], "a string, b string")
     assert [x["r"] for x in pair.select(marks.word_edit_ratio("a", "b").alias("r")).collect()] == [0.5, 0.0]
 
 
+def test_short_texts_are_neutral(spark):
+    df = spark.createDataFrame([("",), ("a b c d e",), (None,), ("a b c d e f",)], "t string")
+    got = [r[0] for r in df.select(marks.mark_score(F.col("t"), "k")).collect()]
+    assert [(r["scored"], r["mean_g"], r["z"], r["p"]) for r in got[:2]] == [(0, 0.5, 0.0, 0.5)] * 2 and got[2] is None and got[3]["scored"] == 2
+
+
+def test_sequence_features_of_uniform_logits(spark):
+    uniform = [-math.log(10)] * 10
+    df = spark.createDataFrame([(1, 3, uniform, uniform), (1, 4, uniform, uniform)], "k int, token int, o array<double>, p array<double>")
+    r = marks.sequence_features(df, ["k"]).first()
+    assert r["nll_obs"] == pytest.approx(math.log(10)) and r["binoculars"] == pytest.approx(1) and r["perplexity"] == pytest.approx(10) and r["fdg_oo"] == pytest.approx(0, abs=1e-6)
+
+
+PATHS = ["C:\\Users\\color\\favorite (final).docx", "D:\\Program Files (x86)\\center\\organize.exe", "~/Library/Application Support/color/center.txt", "/usr/local/color/organize.sh", "\\\\server\\color\\favorite.txt", "../color/dir/file.md", "/etc/color"]
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_rules_and_rewriters_leave_paths_of_every_shape(path):
+    text = f"The colour report is at {path} and the theatre programme follows."
+    out, edits = rewriting.outside_guarded(text, rewriting.spelling)
+    assert path in out and edits == 2
+    assert any(text[a:b].startswith(path) for scan in guarded.FROM_REWRITERS for a, b in guarded.every(scan, text))
+
+
+def test_places_between_paths_stay_prose():
+    text = "Run ./scripts/build.sh and ../other/file.md today."
+    assert [text[a:b] for a, b in guarded.leftmost(text, guarded.FROM_RULES)] == ["./scripts/build.sh", "../other/file.md"]
+    text = "a@b c@d.ef. `x` ``` y ``` www. https://e.org/(a) ](q(w)e) `` z`` /"
+    assert [text[a:b] for a, b in guarded.leftmost(text, guarded.FROM_RULES)] == ["c@d.ef.", "`x`", "``` y ```", "https://e.org/(a)", "` z`"]
+    assert [[text[a:b] for a, b in guarded.every(scan, text)] for scan in (guarded.code_run, guarded.mail_in_prose, guarded.link_target)] == [["`x`", "``` y ```", "`` z``"], ["c@d.ef"], ["](q(w)e)"]]
+
+
+def test_rules_count_what_they_change(spark):
+    df = spark.createDataFrame([("Don't use the color red.",), ("See https://x.y/a—b, `don't` and me@x.org from 2019–2021",), (None,), ("",)], "text string")
+    got = rewriting.apply_rules(df, counts="ruled").select("text_out", "ruled.edits", "ruled.counts", rewriting.density(F.col("ruled.edits"), F.lit(5)).alias("d")).collect()
+    assert got[0]["text_out"] == "Do not use the colour red." and got[0]["edits"] == 2 and got[0]["counts"]["contractions"] == 1 and got[0]["d"] == 40.0
+    assert got[1]["edits"] == 0 and got[1]["text_out"] == df.collect()[1][0] and got[2]["text_out"] is None and got[3]["edits"] == 0
+    assert rewriting.contractions("I'd say he's fine and that's it.")[1] == 0 and rewriting.contractions("DON'T. Can't we? i am")[0] == "DO NOT. Cannot we? i'm"
+    both = df.select(rewriting.ruled(F.lit("Non c’è — davvero. Additionally, color."), language="it")["text"]).first()[0]
+    assert both == "Non c'è, davvero. Additionally, color."
+
+
+@pytest.mark.parametrize("edit,column,text", [(rewriting.dashes, cleaning.dashes, "one — two – three, 1–2"), (rewriting.typography, cleaning.typography, "“a”… b‑c"), (rewriting.serial_comma, cleaning.serial_comma, "a, b, and c, d, or é"), (rewriting.numbers, cleaning.numbers, "5 percent of 1,234,567 not 1,23")])
+def test_both_forms_of_a_rule_agree(spark, edit, column, text):
+    assert one(spark, column(F.col("t")), t=text) == edit(text)[0]
+
+
+def test_replies_are_cleaned(spark):
+    text = '<think>x</think>\n\nOkay, here is a revised version:\nOne line.\n\nTEXT:\nTwo.\n---\nI hope this helps!\n'
+    assert one(spark, cleaning.clean_reply(F.col("t")), t=text) == "One line.\n\nTwo."
+    assert one(spark, cleaning.clean_reply(F.col("t")), t="“quoted”") == "quoted" and one(spark, cleaning.clean_reply(F.col("t")), t="") == "" and one(spark, cleaning.clean_reply(F.col("t")), t="Here:") == "Here:"
+
+
+def test_helpers(spark):
+    assert one(spark, tokens.file_name(F.col("t")), t="infill@3 / x!") == "infill@3_x" and one(spark, tokens.gigabytes(F.col("n")), n=3 << 29) == "1.5 GB" and one(spark, tokens.head(F.col("t"), 3), t="abcd") == "abc…"
+    parts = one(spark, F.struct(cleaning.paragraphs_as_they_are(F.col("t")).alias("p"), cleaning.paragraph_parts(F.col("t")).alias("s")), t="a\n \n\n b\n\nc")
+    assert "".join(x for pair in zip(parts["p"], [*parts["s"], ""]) for x in pair) == "a\n \n\n b\n\nc" and len(parts["p"]) == 3
+    assert spans.sentences_at("One. Two? Three", [0, 5, 12]) == [0, 1, 2] and spans.first_json("<think>{broken") is None
+
+
 def test_uniform_logits(spark):
     df = spark.createDataFrame([([1.0] * 20,)], "x array<double>").select(marks.log_softmax(F.col("x")).alias("p"))
     r = df.select(F.element_at("p", 1).alias("nll"), marks.expected(F.col("p"), F.col("p")).alias("h")).first()

@@ -72,7 +72,7 @@ def test_quota_makes_up_for_a_scarce_genre(spark):
 def test_cut_overshoot_is_null(spark):
     df = spark.createDataFrame([("One two three. Four five six seven. Eight.",)], "t string")
     cut = lambda a, b: df.select(corpus.cut(F.col("t"), F.lit(a), F.lit(b)).alias("c")).first()["c"]
-    assert cut(4, 8) == (7, 2) and cut(4, 6) is None and cut(50, 60) is None
+    assert cut(4, 8) == (7, 2, "One two three. Four five six seven.") and cut(4, 6) is None and cut(50, 60) is None
 
 
 def test_bench_summary_skips_errors(spark):

@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, against brute force on a small fixture of the rows that the SQL leaves out."""
+"""Queries over whole tables against brute force on a small fixture of odd rows."""
 
 import hashlib
 import re
@@ -21,7 +21,7 @@ def serial_comma(t):
 
 def dashes(t):
     left, right = r"(?<=[^ \t\n\x0b\f\r0-9,;:(\[])", r"(?=[^ \t\n\x0b\f\r0-9,;:)\]])"
-    return re.sub(rf"{left}[ \t]*[—–][ \t]*{right}", ", ", re.sub(f"{left} the {right}", " — ", t))
+    return re.sub(rf"{left}[ \t]*[—–][ \t]*{right}", ", ", t.replace(" the ", " — "))
 
 
 def tidy(t):
@@ -37,7 +37,15 @@ def detokenize(t):
 
 
 def clean_reply(t):
-    t = t.strip() or "Here is the text:"  # an announcement of nothing stays
+    """Of the text between an announcement and a closing remark."""
+    lines = ["Here is the text:", "", *t.split("\n")]
+    lines = lines[1:]
+    echo = re.compile(r"previous attempt|negation.{0,40}quantifier|quantifier.{0,40}negation|^\s*TEXT:\s*$", re.I)
+    lines = [s for s in lines if not echo.search(s)]
+    coda = re.compile(r"^\s*(\*\*)?(i hope|hope this|let me know|would you like|do you want|feel free|note:|this version|this rewrite|i've|i have)|^\s*(-{3,}|\*{3,})\s*$", re.I)
+    while len(lines) > 1 and (not lines[-1].strip() or coda.search(lines[-1])):
+        lines.pop()
+    t = "\n".join(lines).strip()
     return t[1:-1].strip() if len(t) > 1 and t[0] == t[-1] == '"' and '"' not in t[1:-1] else t
 
 
@@ -55,11 +63,11 @@ def folder(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name,rule", [("rule_serial_comma", serial_comma), ("rule_dashes", dashes), ("tidy_text", tidy), ("detokenize_text", detokenize), ("clean_reply", clean_reply), ("layout_kept", layout)])
 def test_every_row_by_brute_force(spark, folder, name, rule):
-    key, digest, kind = ("doc_id", "digest", "sha256") if "conv_id" not in (df := QUERIES[f"whole_{name}"](spark, folder)).columns else ("turn", df.columns[-1], "md5" if name == "layout_kept" else "sha256")
+    key, digest, kind = ("doc_id", "digest", "sha256") if "conv_id" not in (df := QUERIES[name](spark, folder)).columns else ("turn", df.columns[-1], "md5" if name == "layout_kept" else "sha256")
     got = {r[key]: r[digest] for r in df.collect()}
     assert got == {k: None if t is None else hashlib.new(kind, rule(t).encode()).hexdigest() for k, t in enumerate(TEXTS)}
 
 
 def test_paragraphs_of_all_turns(spark, folder):
-    got = sorted((r["turn"], r["paragraph"], r["words"]) for r in QUERIES["whole_paragraph_pairs"](spark, folder).collect())
+    got = sorted((r["turn"], r["paragraph"], r["words"]) for r in QUERIES["paragraph_pairs"](spark, folder).collect())
     assert got == [(12, 0, 35), (12, 1, 31)]

@@ -1,16 +1,37 @@
-"""python -m textloom.cli check FILE | diff A B [--lang L] [--json] | run FILE [--rules a,b] [--lang L] | rules. Paths are any that Spark reads."""
+"""python -m textloom.cli COMMAND ...; paths are any that Spark reads.
+
+    check FILE                                   invisible and exotic characters by name
+    diff A B [--lang L] [--json]                 facts that differ
+    run FILE [--transform T] [--rules a,b] [--lang L] [-o OUT]
+    transforms [--json]                          what can be run, and which files of the folder failed
+    rules                                        the wording rules and their languages
+    detect FILE --calibration TABLES --features TABLE [--lang L] [--json]
+    mark FILE --key K                            the text mark's score
+    bench SAMPLES --transforms a,b --out OUT [--limit N] [--lang L] [--threshold Z] [--no-cache]
+    corpus {requests,ingest,status,manifest} ... building corpora
+    facts-eval {sample,disagree,score} ...       annotated pairs
+
+An answer is 0, a question that has none 2, a failure one line and 1.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import cleaning, facts, lexicon, rewriting, tokens
+from textloom.functions import cleaning, facts, lexicon, marks, registry, rewriting, tokens
+from textloom.operators import assess, corpus, evaluation, runs
+from textloom.sources import files, requests
 from textloom.sources.files import read_text
 
+FOLDER = "TEXTLOOM_TRANSFORMS"
+
 
 def language(text, hint: str | None):
     """The guess if it holds three of five votes, else the hint."""
@@ -18,52 +39,184 @@ def language(text, hint: str | None):
     return F.when(share >= 0.6, guess).otherwise(F.lit(hint).cast("string"))
 
 
-def check(files: DataFrame) -> DataFrame:
+def check(texts: DataFrame) -> DataFrame:
     """(path, name, n): invisible and exotic characters by name."""
-    found = files.select("path", F.explode(cleaning.targets(F.col("text"))).alias("ch"))
+    found = texts.select("path", F.explode(cleaning.targets(F.col("text"))).alias("ch"))
     return found.groupBy("path", cleaning.character_name(F.col("ch")).alias("name")).agg(F.count("*").alias("n")).orderBy("path", F.desc("n"), "name")
 
 
 def diff(before: DataFrame, after: DataFrame, hint: str | None) -> DataFrame:
-    pair = before.select(F.col("text").alias("before")).join(after.select("text"), F.lit(True))  # one row each
+    """Of two texts: each side must be one file."""
+    for side in (before, after):
+        if side.limit(2).count() != 1:
+            raise ValueError("diff takes one file on each side")
+    pair = before.select(F.col("text").alias("before"), F.lit(1).alias("_k")).join(after.select("text", F.lit(1).alias("_k")), "_k").drop("_k")
     return facts.diff(pair.withColumn("lang", language(F.col("before"), hint)), "before", "text", F.col("lang"))
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="textloom")
-    sub = parser.add_subparsers(dest="command", required=True)
-    sub.add_parser("check").add_argument("file")
-    sub.add_parser("rules")
-    p = sub.add_parser("diff")
-    p.add_argument("before")
-    p.add_argument("after")
-    p.add_argument("--lang", choices=lexicon.LANGUAGES)
-    p.add_argument("--json", action="store_true")
-    p = sub.add_parser("run")
-    p.add_argument("file")
-    p.add_argument("--rules", default="")
-    p.add_argument("--lang", default="en")
-    args = parser.parse_args(argv)
-    if args.command == "rules":
-        print("\n".join(f"{name}\t{','.join(langs)}" for name, _, langs in rewriting.RULES))
-        return 0
-    spark = spark or SparkSession.builder.getOrCreate()
-    if args.command == "check":
-        for r in check(read_text(spark, args.file)).toLocalIterator():
-            print(f"{r['n']}\t{r['name']}")
-    elif args.command == "run":
-        names = tuple(x for x in args.rules.split(",") if x)
-        for r in rewriting.apply_rules(read_text(spark, args.file), names=names, language=args.lang).toLocalIterator():
-            sys.stdout.write(r["text_out"])
+def shown(rows: DataFrame) -> None:
+    for r in rows.toJSON().toLocalIterator():
+        print(r)
+
+
+def add_commands(sub) -> None:
+    def command(name: str, *arguments: tuple, **defaults):
+        p = sub.add_parser(name)
+        for names, options in arguments:
+            p.add_argument(*names.split(), **options)
+        p.set_defaults(**defaults)
+
+    flag = {"action": "store_true"}
+    lang = ("--lang", {"choices": lexicon.LANGUAGES})
+    command("check", ("file", {}), do=do_check)
+    command("rules", do=do_rules)
+    command("transforms", ("--json", flag), do=do_transforms)
+    command("diff", ("before", {}), ("after", {}), lang, ("--json", flag), do=do_diff)
+    command("run", ("file", {}), ("--transform", {"default": "rules"}), ("--rules", {"default": ""}), ("--lang", {"default": "en"}), ("-o --out", {}), do=do_run)
+    command("mark", ("file", {}), ("--key", {"required": True}), do=do_mark)
+    command("detect", ("file", {}), ("--calibration", {"required": True}), ("--features", {"required": True}), lang, ("--json", flag), do=do_detect)
+    command(
+        "bench", ("samples", {}), ("--transforms", {"default": "none,unicode,rules"}), ("--out", {"required": True}), ("--limit", {"type": int}), ("--lang", {}), ("--threshold", {"type": float, "default": 4.0}),
+        ("--key", {"default": "key"}), ("--no-cache", flag), do=do_bench,
+    )
+    command("corpus", ("what", {"choices": ("requests", "ingest", "status", "manifest")}), ("--requests", {}), ("--answers", {}), ("--parts", {}), ("--done", {}), ("--generator", {}), ("--model", {}), ("--rows", {}), ("--out", {}), do=do_corpus)
+    command("facts-eval", ("what", {"choices": ("sample", "disagree", "score")}), ("--pairs", {}), ("--settled", {}), ("--per", {"type": int, "default": 30}), ("--out", {}), do=do_facts_eval)
+
+
+def do_check(spark, args) -> int:
+    for r in check(read_text(spark, args.file)).toLocalIterator():
+        print(f"{r['n']}\t{r['name']}")
+    return 0
+
+
+def do_rules(spark, args) -> int:
+    print("\n".join(f"{name}\t{','.join(langs)}" for name, _, langs in rewriting.RULES))
+    return 0
+
+
+def do_transforms(spark, args) -> int:
+    known = registry.transforms
+    print(json.dumps({"v": 1, "transforms": known.names(), "failed": known.failed}) if args.json else "\n".join([*known.names(), *(f"{n}: {why}" for n, why in known.failed.items())]))
+    return 0
+
+
+def do_diff(spark, args) -> int:
+    found = diff(read_text(spark, args.before), read_text(spark, args.after), args.lang)
+    r = found.select("*", facts.sentences(found).alias("said"), F.to_json(F.struct(*[c for c in found.columns if c not in ("before", "text")])).alias("json")).first()
+    if r["said"] is None:
+        print("The language is not known; name it with --lang.", file=sys.stderr)
+        return 2
+    print(r["json"] if args.json else "\n".join(r["said"]))
+    return 0
+
+
+def do_run(spark, args) -> int:
+    options = registry.Options(rules=tuple(x for x in args.rules.split(",") if x), language=args.lang)
+    done = read_text(spark, args.file).select(registry.transforms.get(args.transform)(F.col("text"), options)["text"].alias("value"))
+    if args.out:
+        done.write.mode("overwrite").text(args.out)
     else:
-        found = diff(read_text(spark, args.before), read_text(spark, args.after), args.lang)
-        r = found.select("*", facts.sentences(found).alias("said"), F.to_json(F.struct(*[c for c in found.columns if c not in ("before", "text")])).alias("json")).first()
-        if r["said"] is None:
-            print("The language is not known; name it with --lang.", file=sys.stderr)
-            return 2
-        print(r["json"] if args.json else "\n".join(r["said"]))
+        for r in done.toLocalIterator():
+            sys.stdout.write(r["value"])
     return 0
 
 
+def do_mark(spark, args) -> int:
+    shown(read_text(spark, args.file).select("path", marks.mark_score(F.col("text"), args.key).alias("score")))
+    return 0
+
+
+def do_detect(spark, args) -> int:
+    """--calibration: a folder of the tables calibration, cells and learners; --features: (path, score) of the chosen detector, higher being more machine-like."""
+    table = lambda name: spark.read.parquet(f"{args.calibration}/{name}")
+    t = read_text(spark, args.file)
+    t = t.withColumn("language", F.lit(args.lang) if args.lang else language(F.col("text"), None)).withColumn("words", tokens.word_count(F.col("text"))).withColumn("sentences", F.size(tokens.sentences(F.col("text"))))
+    found = assess.with_cells(assess.assess(t.join(spark.read.parquet(args.features), "path"), table("calibration")), table("cells"), table("learners"))
+    if args.json:
+        shown(found.drop("text"))
+    else:
+        for r in found.select(F.explode(assess.spoken(found)).alias("line")).toLocalIterator():
+            print(r["line"])
+    return 0
+
+
+def do_bench(spark, args) -> int:
+    """SAMPLES: JSON lines (id, text, lang, watermarked). OUT gets rows, summary and cache."""
+    rows = files.read_jsonl(spark, args.samples, "id string, text string, lang string, watermarked boolean")
+    rows = rows.where(F.col("lang") == args.lang) if args.lang else rows
+    if args.limit:
+        rows = corpus.first_per_group(rows, ["watermarked"], args.limit, ["id"]).drop("rn")
+    todo, unknown = runs.asked(rows.where("watermarked"), args.transforms, registry.transforms)
+    for label in unknown:
+        print(f"{label} is not known and is skipped", file=sys.stderr)
+    empty = spark.createDataFrame([], f"transform string, id string, digest string, text_sha1 string, entry {runs.ENTRY}")
+    cache = f"{args.out}/cache"
+    try:
+        held = empty if args.no_cache else spark.read.schema(empty.schema).parquet(cache)
+    except PySparkException:
+        held = empty
+    results = runs.run(todo, registry.transforms, held)
+    plain = runs.controls(rows.where("not watermarked")).withColumns({"digest": F.lit(None).cast("string"), "text_sha1": F.lit(None).cast("string")})
+    none = {c: F.lit(None).cast("double") for c in ("seconds", "prompt_tokens", "completion_tokens")}
+    runs.measured(results.unionByName(plain), args.key).withColumns(none).write.mode("overwrite").json(f"{args.out}/rows")
+    if not args.no_cache:
+        runs.append_cache(results, cache)
+    measured = spark.read.json(f"{args.out}/rows")
+    for c, kind in {**{m: "double" for m in runs.MEANS}, "prompt_tokens": "double", "completion_tokens": "double", "zw_after": "double", "error": "string"}.items():
+        measured = measured if c in measured.columns else measured.withColumn(c, F.lit(None).cast(kind))
+    found = runs.summary(measured, threshold=args.threshold)
+    found.coalesce(1).write.mode("overwrite").json(f"{args.out}/summary")
+    print(files.markdown(found))
+    return 0
+
+
+def do_corpus(spark, args) -> int:
+    asked = lambda: files.read_jsonl(spark, args.requests, "id string, lang string, genre string, topic string, prompt string, generator string")
+    text_rows = "id string, kind string, lang string, genre string, bucket string, words long, generator string, model string, topic string, text string"
+    if args.what == "requests":
+        requests.prompts_of(asked(), args.generator).write.mode("overwrite").partitionBy("lang").json(args.out)
+    elif args.what == "ingest":
+        answers = requests.read_parts(spark, args.answers, args.parts)
+        files.append_jsonl(requests.ingest(answers, asked(), files.read_jsonl(spark, args.done, text_rows), args.generator, args.model), args.out)
+    elif args.what == "status":
+        shown(files.read_jsonl(spark, args.rows, text_rows).groupBy("kind", "lang", "bucket", "genre", "generator").agg(F.count("*").alias("n")).orderBy("kind", "lang", "bucket", "genre", "generator"))
+    else:
+        files.write_manifest(files.read_jsonl(spark, args.rows, text_rows), args.out)
+    return 0
+
+
+def do_facts_eval(spark, args) -> int:
+    """sample: --pairs (id, stratum, ...); disagree and score: --pairs (id, kind, a, b, tool) with --settled (id, kind, value)."""
+    if args.what == "sample":
+        picked = corpus.halves(spark.read.json(args.pairs), ["stratum"], args.per, "s", "id")
+        picked.write.mode("overwrite").json(args.out)
+        return 0
+    pairs = files.read_jsonl(spark, args.pairs, "id string, kind string, a boolean, b boolean, tool boolean").withColumn("key", F.concat_ws("/", "id", "kind"))
+    settled = files.read_jsonl(spark, args.settled, "id string, kind string, value boolean").withColumn("key", F.concat_ws("/", "id", "kind"))
+    open_ = evaluation.disputes(pairs, settled, "key")
+    if args.what == "disagree":
+        shown(open_.drop("key").orderBy("id", "kind"))
+        return 0
+    if not open_.isEmpty():
+        print("Some disputes are not settled; see disagree.", file=sys.stderr)
+        return 2
+    judged = pairs.join(settled.select("key", "value"), "key", "left").withColumn("ref", evaluation.majority(F.col("a"), F.col("b"), F.col("value")))
+    shown(evaluation.precision_recall(judged, ["kind"]).join(evaluation.agreement(pairs, ["kind"]).select("kind", "kappa"), "kind").orderBy("kind"))
+    return 0
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    parser = argparse.ArgumentParser(prog="textloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    add_commands(parser.add_subparsers(dest="command", required=True))
+    args = parser.parse_args(argv)
+    if folder := os.environ.get(FOLDER):
+        registry.transforms.read_folder(folder)
+    try:
+        return args.do(spark or (None if args.do in (do_rules, do_transforms) else SparkSession.builder.getOrCreate()), args)
+    except (PySparkException, KeyError, ValueError, OSError) as e:
+        print(" ".join(str(e).split())[:300], file=sys.stderr)
+        return 1
+
+
 if __name__ == "__main__":
     sys.exit(main())

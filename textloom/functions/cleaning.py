@@ -99,15 +99,54 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def paragraphs_as_they_are(text: Column) -> Column:
+    """With their own white space around them, empty ones too, so that joined by what parts() gives they are the text again."""
+    return F.split(text, r"\n[ \t]*\n\s*", -1)
+
+
+def paragraph_parts(text: Column) -> Column:
+    """What stands between them."""
+    return F.regexp_extract_all(text, F.lit(r"\n[ \t]*\n\s*"), F.lit(0))
+
+
+def paragraphs_on_blank_lines(text: Column) -> Column:
+    """Split by runs of two line ends or more alone."""
+    return F.filter(F.split(text, r"\n{2,}", -1), lambda s: F.trim(s) != "")
+
+
 def name_key(word: Column) -> Column:
     """Case, a possessive and a plural s do not make another name."""
     k = F.regexp_replace(F.lower(word), "'s?$", "")
     return F.when((F.length(k) > 3) & k.endswith("s") & ~k.endswith("ss"), F.substring(k, F.lit(1), F.length(k) - 1)).otherwise(k)
 
 
+# What announces a rewrite, echoes its instruction, or follows it.
+ANNOUNCES = r"(?i)\b(here|version|rewrit|revised|paraphras|reworded|text)\w*"
+ECHOES = r"(?i)previous attempt|negation.{0,40}quantifier|quantifier.{0,40}negation|^\s*TEXT:\s*$"
+CLOSES = r"(?i)^\s*(\*\*)?(i hope|hope this|let me know|would you like|do you want|feel free|note:|this version|this rewrite|i've|i have)"
+RULE_LINE = r"^\s*(-{3,}|\*{3,})\s*$"
+
+
 def clean_reply(text: Column) -> Column:
-    """A model's reply without its thinking block, announcement line and outer quotes."""
+    """A model's reply without its thinking blocks, an opening line that announces it, lines that echo the instruction, remarks and rules at its end, and outer quotes."""
+    bind = lambda value, fn: F.transform(F.array(value), fn)[0]
     ends = r"(?U)^\s+|\s+$"
-    out = F.regexp_replace(F.regexp_replace(text, r"(?s)^\s*<think>.*?</think>", ""), ends, "")
-    out = F.regexp_replace(out, r"(?i)^(?:sure|certainly|of course|here(?:'s| is))[^\n]{0,120}:\s*\n+", "")
-    return F.regexp_replace(F.regexp_replace(out, r'(?s)^"([^"]*)"$', "$1"), ends, "")
+    blank = lambda s: ~s.rlike(r"(?U)\S")
+    told = F.split(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), "\n", -1)
+
+    def from_first(lines: Column) -> Column:
+        """Behind the blank lines in front and an announcement."""
+        at = F.array_position(F.transform(lines, lambda s: ~blank(s)), F.lit(True)).cast("int")
+        first = F.get(lines, at - 1)
+        announced = first.rlike(r"(?U):\s*$") & first.rlike(ANNOUNCES) & (F.length(first) < 200) & (F.size(lines) > at)
+        return F.when(at == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.when(announced, at + 1).otherwise(at), F.size(lines)))
+
+    def up_to_last(lines: Column) -> Column:
+        """Up to the last line that is neither blank nor a remark or a rule; the first line stays whatever it is."""
+        ends_there = lambda s: blank(s) | s.rlike(CLOSES) | s.rlike(RULE_LINE)
+        last = F.array_max(F.transform(lines, lambda s, k: F.when((k == 0) | ~ends_there(s), k + 1)))
+        return F.slice(lines, F.lit(1), F.coalesce(last, F.lit(0)))
+
+    kept = bind(bind(told, from_first), lambda lines: bind(F.filter(lines, lambda s: ~s.rlike(ECHOES)), up_to_last))
+    body = F.regexp_replace(F.array_join(kept, "\n"), ends, "")
+    return F.regexp_replace(F.regexp_replace(body, r'(?s)^["\x{201C}]([^"\x{201C}\x{201D}]*)["\x{201D}]$', "$1"), ends, "")

@@ -6,6 +6,7 @@ functions that read a text once.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import json
 import re
@@ -62,6 +63,32 @@ def fact_spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
         yield pa.array([[{"start": a, "end": b} for a, b in fact.fact_spans_of(t, lang)] if t is not None and lang in lexicon.LANGUAGES else None for t, lang in rows], to_arrow_type(SPANS))
 
 
+STOPS = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
+
+
+def sentence_bounds(text: str) -> list[Span]:
+    """Of the sentences that hold more than white space."""
+    ends = [m.end() for m in STOPS.finditer(text)] + [len(text)]
+    return [(a, b) for a, b in zip([0, *ends], ends) if text[a:b].strip()]
+
+
+def sentences_at(text: str, places: list[int]) -> list[int]:
+    """For each of the ascending places the sentence in which it is; the last, if it is behind all."""
+    bounds = sentence_bounds(text)
+    ends = [b for _, b in bounds[:-1]]
+    return [bisect.bisect_right(ends, at) for at in places]
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def sentence_of_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """For each letter word of a text the sentence in which it begins."""
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{Nl}\p{No}]+")
+    for batch in batches:
+        yield pa.array([None if t is None else sentences_at(t, [m.start() for m in word.finditer(t)]) for t in batch.to_pylist()], pa.list_(pa.int32()))
+
+
 def overlaps(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
 

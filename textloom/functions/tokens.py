@@ -10,6 +10,13 @@ WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 SENTENCE = r"[.!?…]+[\"'”’»)\]]*(?=\s|$)"
 
+#: Other places at which texts are cut, for facts and for rewriters. Results depend on their differences.
+OTHER_SPLITS = {
+    "clauses": r"[.!?…:]+[\"'”»)\]]*\s+|\n",
+    "after_stops": r"(?<=[.!?…])\s+",
+    "with_quotes": r"[.!?…]+[\"'”’)\]]*(?=\s|$)|\n",
+}
+
 #: The stop words that vote for a language, in the order in which ties are decided.
 LANGUAGE_VOTES = {
     "en": "the and of to is in that it was for with as on are this be by have not but from at which".split(),
@@ -77,6 +84,23 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor((F.length(text) + 3) / 4).cast("long")
 
 
+def one_line(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def head(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
+
+
+def file_name(label: Column) -> Column:
+    """With an underscore for each run of characters that file names should not have, and none at its ends."""
+    return F.regexp_replace(F.regexp_replace(label, r"[^\p{L}\p{N}_.@-]+", "_"), "^_+|_+$", "")
+
+
+def gigabytes(size: Column) -> Column:
+    return F.concat(F.format_number(size / (1 << 30), 1), F.lit(" GB"))
+
+
 # Words that carry no content.
 STOP_WORDS = (
     "a an the and or but nor so yet of to in on at for with by from as is are was were be been being it its this that these those he she they we you i me him her them us his their our your my not no do does did done "

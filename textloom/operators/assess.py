@@ -14,7 +14,7 @@ LANGUAGES = ("en", "it", "es")
 def calibration(rows: DataFrame, q: float = 0.99) -> DataFrame:
     """(bucket, human_score, n, threshold) of negatives: a row per distinct score and how often it comes, with its bucket's threshold."""
     counted = rows.where(~F.col("positive") & F.col("score").isNotNull()).groupBy("bucket", F.col("score").alias("human_score")).agg(F.count("*").alias("n"))
-    limits = counted.groupBy("bucket").agg(F.percentile("human_score", F.lit(q), F.col("n")).alias("threshold"))
+    limits = ranks.quantile(rows.where(~F.col("positive")), ["bucket"], "score", q, "threshold")
     return counted.join(F.broadcast(limits), "bucket")  # a row per bucket
 
 
@@ -48,8 +48,40 @@ def assess(texts: DataFrame, calib: DataFrame, language: str = "language") -> Da
     return rows.withColumn("tail_low", low).withColumn("tail_high", high).withColumn("verdict", verdict)
 
 
+def with_cells(assessed: DataFrame, cells: DataFrame, learners: DataFrame, language: str = "language") -> DataFrame:
+    """assessed with what its cell (language, bucket, allowed, why, fpr_upper) and the learners' (language, bucket, fp, n, fpr, fpr_upper) say, a row a cell each. A cell that is not
+    allowed, or not measured, refuses the verdict; the tail stays."""
+    known = cells.select(F.col("language").alias(language), "bucket", F.struct("allowed", "why", "fpr_upper").alias("cell"))
+    writers = learners.select(F.col("language").alias(language), "bucket", F.struct("fp", "n", "fpr", "fpr_upper").alias("learners"))
+    rows = assessed.join(F.broadcast(known), [language, "bucket"], "left").join(F.broadcast(writers), [language, "bucket"], "left")
+    shut = F.col("refused").isNull() & ~F.coalesce(F.col("cell.allowed"), F.lit(False))
+    why = F.concat(F.lit("cell not allowed: "), F.coalesce("cell.why", F.lit("not measured")))
+    return rows.withColumn("verdict", F.when(~shut, F.col("verdict"))).withColumn("refused", F.when(shut, why).otherwise(F.col("refused")))
+
+
+def percent(x: Column) -> Column:
+    return F.concat(F.format_number(100 * x, 1), F.lit("%"))
+
+
+def spoken(rows: DataFrame) -> Column:
+    """array<string>: what with_cells() found, as a person reads it."""
+    tail = F.when(
+        F.col("tail_k").isNotNull(),
+        F.concat(F.lit("Of "), F.col("tail_n").cast("string"), F.lit(" measured human texts of this length, "), F.col("tail_k").cast("string"), F.lit(" scored at least as machine-like ("),
+                 percent(F.try_divide("tail_k", "tail_n")), F.lit("; 95% interval "), percent(F.col("tail_low")), F.lit(" to "), percent(F.col("tail_high")), F.lit(")."),),
+    )
+    verdict = F.when(F.col("verdict") == "machine-like", F.concat(F.lit("Verdict: machine-like. The threshold flagged at most "), percent(F.col("cell.fpr_upper")), F.lit(" of human texts here."))).when(
+        F.col("verdict") == "no evidence", F.lit("Verdict: no evidence of machine writing, which is no proof of a person's.")
+    )
+    writers = F.when(
+        F.col("learners").isNotNull(),
+        F.concat(F.lit("Second-language writers crossed the threshold "), F.col("learners.fp").cast("string"), F.lit(" times in "), F.col("learners.n").cast("string"), F.lit(" ("), percent(F.col("learners.fpr")), F.lit(").")),
+    )
+    return F.array_compact(F.array(tail, verdict, F.concat(F.lit("No verdict: "), F.col("refused"), F.lit(".")), writers))
+
+
 #: Detectors whose lower values are the more machine-like.
-LOWER_IS_MACHINE = ("binoculars", "nll_obs", "burstiness")
+LOWER_IS_MACHINE = ("binoculars", "nll_obs", "perplexity", "burstiness")
 
 
 def oriented(detector: Column, score: Column) -> Column:

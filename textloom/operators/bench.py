@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import tokens
-from pyspark.sql.window import Window
+from textloom.operators import ranks
 
 
 def specs(listing: Column) -> Column:
@@ -31,11 +32,13 @@ def summary(rows: DataFrame, keys: list[str], threshold: float = 4.0) -> DataFra
     """Means skip nulls and errors; tokens per 1,000 words is a ratio of sums; the share below the threshold is strict."""
     ok = F.col("error").isNull()
     z = F.when(ok, F.col("z_after"))
-    return rows.groupBy(*keys).agg(
-        F.count_if(ok).alias("n"), F.count_if(~ok).alias("errors"), F.avg(z).alias("z_mean"), F.percentile(z, F.lit(0.5)).alias("z_median"), F.max(z).alias("z_max"),
+    middle = ranks.quantile(rows.withColumn("_z", z), keys, "_z", 0.5, "z_median")
+    out = rows.groupBy(*keys).agg(
+        F.count_if(ok).alias("n"), F.count_if(~ok).alias("errors"), F.avg(z).alias("z_mean"), F.max(z).alias("z_max"),
         F.avg(F.when(z < threshold, 1.0).when(z.isNotNull(), 0.0)).alias("share_below"),
         F.try_divide(F.sum(F.when(ok, F.col("tokens"))) * 1000.0, F.sum(F.when(ok, F.col("words")))).alias("tokens_per_1000_words"),
     )
+    return out.join(middle, keys, "left")
 
 
 def limit_per_group(rows: DataFrame, group: str, n: int, order: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.tokens import letter_words, sentences
+from textloom.functions import cleaning
+from textloom.functions.tokens import BUCKETS, letter_words, sentences
+from textloom.operators import ranks
 
 
 def hash_order(seed: str, id_col: str) -> list[Column]:
@@ -14,12 +16,17 @@ def hash_order(seed: str, id_col: str) -> list[Column]:
 
 
 def cut(text: Column, target: Column, most: Column) -> Column:
-    """struct<words, sentences> of the first sentences that reach target words; null if they overshoot most or the text is too short."""
-    counts = F.transform(sentences(text), lambda s: F.size(letter_words(s)))
+    """struct<words, sentences, excerpt> of the first sentences that reach target words; null if they overshoot most or the text is too short."""
+    bind = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computes a value once that fn uses often
     state = F.struct(F.lit(0).alias("words"), F.lit(0).alias("sentences"))
     step = lambda acc, n: F.when(acc["words"] >= target, acc).otherwise(F.struct((acc["words"] + n).alias("words"), (acc["sentences"] + 1).alias("sentences")))
-    got = F.aggregate(counts, state, step)
-    return F.when((got["words"] >= target) & (got["words"] <= most), got)
+
+    def taken(found: Column) -> Column:
+        got = F.aggregate(F.transform(found, lambda s: F.size(letter_words(s))), state, step)
+        whole = lambda g: F.when((g["words"] >= target) & (g["words"] <= most), F.struct(g["words"].alias("words"), g["sentences"].alias("sentences"), F.array_join(F.slice(found, F.lit(1), g["sentences"]), " ").alias("excerpt")))
+        return bind(got, whole)
+
+    return bind(sentences(text), taken)
 
 
 def first_per_group(rows: DataFrame, keys: list[str], n: int, order: list) -> DataFrame:
@@ -27,17 +34,68 @@ def first_per_group(rows: DataFrame, keys: list[str], n: int, order: list) -> Da
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
 
 
+def digest_of(seed: str, id_col: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + "-"), F.col(id_col).cast("string")).cast("binary"))
+
+
 def quota(rows: DataFrame, cells: list[str], genre: str, each: int, seed: str = "q", id_col: str = "doc_id") -> DataFrame:
     """Up to `each` of every cell and genre; what a genre lacks is made up by others of the cell, whose number of genres sets the total."""
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*cells, genre).orderBy(*hash_order(seed, id_col))))
+    ranked = ranks.numbered(rows, [*cells, genre], digest_of(seed, id_col), [id_col], "rn")
     first, rest = ranked.where(F.col("rn") <= each), ranked.where(F.col("rn") > each)
     have = first.groupBy(*cells).agg((F.count_distinct(genre) * each - F.count("*")).alias("lacking"))
-    more = rest.withColumn("rm", F.row_number().over(Window.partitionBy(*cells).orderBy("rn", *hash_order(seed, id_col)))).join(have, cells).where(F.col("rm") <= F.col("lacking"))
+    # No more of a cell is wanted than it lacks, and Spark keeps each task's first of these only; the bound is the number of genres times `each`.
+    open_ = rest.join(F.broadcast(have.where("lacking > 0")), cells)
+    more = open_.withColumn("rm", F.row_number().over(Window.partitionBy(*cells).orderBy("rn", *hash_order(seed, id_col)))).where(F.col("rm") <= F.col("lacking"))
     return first.withColumn("pass", F.lit(1)).unionByName(more.drop("rm", "lacking").withColumn("pass", F.lit(2))).drop("rn")
 
 
-def round_robin(rows: DataFrame, ways: int, order: list, by: list[str]) -> DataFrame:
-    return rows.withColumn("way", F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1, F.lit(ways)).cast("long"))
+def longest_open(rows: DataFrame, cell: str, genre: str, words: str, each: int, seed: str = "l", id_col: str = "doc_id") -> DataFrame:
+    """rows that find a place, with bucket and pass. Taken in the order of a digest, a document goes to the longest bucket that it can fill and that is still open
+    for its cell and genre. As all that can fill a long bucket try it before any shorter one, that is: the first `each` of them get it, of
+    the rest the first of the next bucket, and so on. In a second pass what a genre lacks of a bucket is added to the room of the cell's other genres."""
+
+    def deal(left: DataFrame, room: DataFrame | None) -> DataFrame:
+        left = left.withColumn("bucket", F.lit(None).cast("string"))
+        for name, low, _ in reversed(BUCKETS):
+            left = ranks.numbered(left.withColumn("_able", F.col("bucket").isNull() & (F.col(words) >= low)), [cell, genre, "_able"], digest_of(seed, id_col), [id_col], "_rn")
+            if room is None:
+                limit = F.lit(each)
+            else:
+                left = left.join(F.broadcast(room.where(F.col("_in") == name).drop("_in")), [cell, genre], "left")
+                limit = F.coalesce("_room", F.lit(0))
+            left = left.withColumn("bucket", F.when(F.col("_able") & (F.col("_rn") <= limit), name).otherwise(F.col("bucket"))).drop("_able", "_rn", "_room")
+        return left
+
+    first = deal(rows, None)
+    genres = rows.select(cell, genre).distinct().withColumn("_in", F.explode(F.array(*[F.lit(b) for b, _, _ in BUCKETS])))
+    taken = first.where("bucket is not null").groupBy(cell, genre, F.col("bucket").alias("_in")).agg(F.count("*").alias("_n"))
+    lacks = genres.join(taken, [cell, genre, "_in"], "left").withColumn("_lacks", each - F.coalesce("_n", F.lit(0)))
+    whole = F.sum("_lacks").over(Window.partitionBy(cell, "_in"))
+    room = lacks.select(cell, genre, "_in", F.when(F.col("_lacks") == 0, whole).otherwise(F.lit(0)).alias("_room"))  # a row a cell, genre and bucket
+    second = deal(first.where("bucket is null").drop("bucket"), room)
+    return first.where("bucket is not null").withColumn("pass", F.lit(1)).unionByName(second.where("bucket is not null").withColumn("pass", F.lit(2)))
+
+
+def round_robin(rows: DataFrame, ways: int, order: str, by: list[str]) -> DataFrame:
+    """rows, whose order column is numeric, dealt in turn."""
+    below = ranks.sum_below(rows.groupBy(*by, order).agg(F.count("*").alias("_n")), by, order, "_n", "_below").drop("_n")
+    here = F.row_number().over(Window.partitionBy(*by, order).orderBy(F.monotonically_increasing_id()))
+    return rows.withColumn("_here", here).join(below, [*by, order]).withColumn("way", F.pmod(F.col("_below") + F.col("_here") - 1, F.lit(ways)).cast("long")).drop("_below", "_here")
+
+
+def alternate(rows: DataFrame, cell: str, group: str, each: int, seed: str = "a", id_col: str = "doc_id") -> DataFrame:
+    """The first `each` of every cell, its groups taken in turn: the first of each by digest, then the second of each, and so on."""
+    turn = ranks.numbered(rows, [cell, group], digest_of(seed, id_col), [id_col], "_turn").where(F.col("_turn") <= each)
+    place = F.row_number().over(Window.partitionBy(cell).orderBy("_turn", group))
+    return turn.withColumn("place", place).where(F.col("place") <= each).drop("_turn")
+
+
+def halves(rows: DataFrame, strata: list[str], each: int, seed: str, id_col: str = "doc_id") -> DataFrame:
+    """`each` of every stratum, the first half of them development and the others held out, under numbers of one order over all."""
+    picked = ranks.numbered(rows, strata, digest_of(seed, id_col), [id_col], "_rn").where(F.col("_rn") <= each)
+    part = F.when(F.col("_rn") <= each // 2, "dev").otherwise("heldout")
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(digest_of(seed + "2", id_col), id_col))  # of the few that annotators read
+    return picked.withColumn("part", part).withColumn("number", number).drop("_rn")
 
 
 def regroup(rows: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
@@ -46,10 +104,18 @@ def regroup(rows: DataFrame, key: str, order: str, text: str = "text") -> DataFr
     return rows.groupBy(key).agg(F.array_join(parts, " ").alias(text), F.count("*").alias("parts"))
 
 
-def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """Of each key the row of the last version, without errors."""
+def regroup_sentences(rows: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+    """(doc, text, parts) of rows whose ids are a document's name, a hyphen and the sentence's number: joined in order and detokenised."""
+    cut_at = F.instr(F.col(id_col), "-")
+    named = rows.select(F.expr(f"substring(`{id_col}`, 1, instr(`{id_col}`, '-') - 1)").alias("doc"), F.expr(f"try_cast(substring(`{id_col}`, instr(`{id_col}`, '-') + 1) as int)").alias("_k"), text, cut_at.alias("_at"))
+    whole = regroup(named.where("_at > 0 and _k is not null"), "doc", "_k", text)
+    return whole.withColumn(text, cleaning.detokenize(F.col(text)))
+
+
+def latest(rows: DataFrame, key: str, version: str, error: str | None = None) -> DataFrame:
+    """Of each key the row of the last version. Rows with an error are no version."""
     best = F.max_by(F.struct(*rows.columns), F.col(version)).alias("r")
-    return rows.groupBy(F.col(key).alias("_k")).agg(best).select("r.*")
+    return (rows.where(F.col(error).isNull()) if error else rows).groupBy(F.col(key).alias("_k")).agg(best).select("r.*")
 
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:

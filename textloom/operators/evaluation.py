@@ -21,17 +21,29 @@ def auroc(scores: DataFrame, keys: list[str], score: str = "score", positive: st
     return total.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("wins"), F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
-def split_half(rows: DataFrame, strata: list[str], id_col: str, most: int | None = None, seed: str = "0") -> DataFrame:
-    """rows with part calib or test: of each stratum half, `most` at most, in the order of an MD5 of seed and id."""
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(seed + "-"), F.col(id_col).cast("string"))), id_col))
-    n = F.count("*").over(Window.partitionBy(*strata))
-    half = F.floor(n / 2)
-    return rows.withColumn("part", F.when(rank <= (F.least(half, F.lit(most)) if most else half), "calib").otherwise("test"))
+def seeded(seed: str, id_col: str) -> Column:
+    """The digest by whose order rows are taken at random, the same in any engine."""
+    return F.md5(F.concat(F.lit(seed + "-"), F.col(id_col).cast("string")).cast("binary"))
+
+
+def split_half(rows: DataFrame, strata: list[str], id_col: str, most: int | None = None, seed: str = "0", capped: Column | None = None, test_only: Column | None = None) -> DataFrame:
+    """rows with part calib or test: of each stratum half, in the order of a digest of seed and id; where `capped` holds (everywhere, if it is
+    not given) `most` rows at most. Rows of which test_only holds are all test and count for no stratum."""
+    apart = F.coalesce(test_only, F.lit(False)) if test_only is not None else F.lit(False)
+    rows = rows.withColumn("_apart", apart)
+    sizes = rows.where("not _apart").groupBy(*strata).agg(F.count("*").alias("_size"))
+    group = F.struct(F.lit(0).alias("_"), *[F.col(k) for k in strata])
+    ranked = ranks.numbered(rows, [*strata, "_apart"], seeded(seed, id_col), [id_col], "_rn").withColumn("_stratum", group)
+    found = ranked.join(sizes.select(group.alias("_of"), "_size"), F.col("_stratum").eqNullSafe(F.col("_of")), "left")
+    half = F.floor(F.col("_size") / 2)
+    if most is not None:
+        half = F.when(capped if capped is not None else F.lit(True), F.least(half, F.lit(most))).otherwise(half)
+    return found.withColumn("part", F.when(~F.col("_apart") & (F.col("_rn") <= half), "calib").otherwise("test")).drop("_apart", "_rn", "_of", "_size", "_stratum")
 
 
 def thresholds(rows: DataFrame, keys: list[str], q: float = 0.99, score: str = "score") -> DataFrame:
     """Linear-interpolated quantile of the negatives' scores."""
-    return rows.where(~F.col("positive")).groupBy(*keys).agg(F.percentile(score, F.lit(q)).alias("threshold"))
+    return ranks.quantile(rows.where(~F.col("positive")), keys, score, q, "threshold")
 
 
 def rates(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -59,14 +71,13 @@ def gate(auroc_low: Column, tpr: Column, fpr_upper: Column) -> tuple[Column, Col
 
 def bootstrap(scores: DataFrame, keys: list[str], replicates: int, id_col: str = "id") -> DataFrame:
     """AUROC of each replicate: as many draws as there are rows of each class, by MD5 of key, class, replicate and draw, so that any engine draws the same."""
-    rank = F.row_number().over(Window.partitionBy(*keys, "positive").orderBy(id_col)) - 1
-    n = F.count("*").over(Window.partitionBy(*keys, "positive"))
-    rows = scores.withColumn("ordinal", rank.cast("long")).withColumn("n", n)
-    draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    ordered = ranks.numbered(scores, [*keys, "positive"], seeded("o", id_col), [id_col], "_rn").withColumn("ordinal", (F.col("_rn") - 1).cast("long")).drop("_rn")
+    sizes = scores.groupBy(*keys, "positive").agg(F.count("*").alias("n"))
+    draws = ordered.join(sizes, [*keys, "positive"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     name = F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.col("positive").cast("int").cast("string"), F.col("rep").cast("string"), F.col("ordinal").cast("string"))
     pick = F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long"), F.col("n"))
     drawn = draws.select(*keys, "positive", "rep", pick.alias("ordinal"))
-    return auroc(drawn.join(rows.select(*keys, "positive", "ordinal", "score"), [*keys, "positive", "ordinal"]), [*keys, "rep"])
+    return auroc(drawn.join(ordered.select(*keys, "positive", "ordinal", "score"), [*keys, "positive", "ordinal"]), [*keys, "rep"])
 
 
 def interval(replicates: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,6 +88,31 @@ def interval(replicates: DataFrame, keys: list[str]) -> DataFrame:
     return ordered.select(*keys, at(F.floor(n * 0.025)).alias("auroc_low"), at(F.floor(n * 0.975) - 1).alias("auroc_high"))
 
 
+def families(rows: DataFrame, generators: list[str]) -> DataFrame:
+    """rows (kind: human, ai or rewritten, lang, bucket, generator, genre) once for each group in which they are evaluated, with family, of and by_threshold. Humans
+    of a length stand against each of the generators, and against the rewritten texts; languages leave out short texts and have no threshold."""
+    human, machine, rewritten = (F.col("kind") == k for k in ("human", "ai", "rewritten"))
+    plain = human | machine
+    one = lambda name, of, when, limit=True: F.when(when & of.isNotNull(), F.array(F.struct(F.lit(name).alias("family"), of.alias("of"), F.lit(limit).alias("by_threshold"))))
+    at = lambda c: F.concat(c, F.lit("/"), F.col("bucket"))
+    against = F.when(human & F.col("bucket").isNotNull(), F.transform(F.array(*[F.lit(g) for g in generators]), lambda g: F.struct(F.lit("generator").alias("family"), at(g).alias("of"), F.lit(True).alias("by_threshold"))))
+    groups = [
+        one("cell", at(F.col("lang")), plain), one("bucket", F.col("bucket"), plain), one("language", F.col("lang"), plain & (F.col("bucket") != "short"), False),
+        against, one("generator", at(F.col("generator")), machine), one("genre", at(F.col("genre")), plain), one("rewritten", F.col("bucket"), human | rewritten),
+    ]
+    none = F.array().cast("array<struct<family:string,of:string,by_threshold:boolean>>")
+    return rows.select("*", F.explode(F.concat(*[F.coalesce(g, none) for g in groups])).alias("_g")).select(*rows.columns, "_g.*")
+
+
+def block(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: counts and, from five texts of each class on, AUROC and, where rows have a threshold, rates with their intervals."""
+    enough = (F.col("n_pos") >= LEAST_CLASS) & (F.col("n_neg") >= LEAST_CLASS)
+    known = rates(rows.where("threshold is not null"), keys)
+    shown = [c for c in known.columns if c not in (*keys, "n_pos", "n_neg")]
+    out = auroc(rows, keys).join(known.drop("n_pos", "n_neg"), keys, "left")
+    return out.select(*keys, "n_pos", "n_neg", *[F.when(enough, F.col(c)).alias(c) for c in ("auroc", *shown)])
+
+
 def choose(candidates: DataFrame, prefer: str, margin: float = 0.005) -> DataFrame:
     """The candidate (pair, name, value) of the best value, or the best of the preferred pair if it is within the margin."""
     best = Window.partitionBy(F.lit(1))
@@ -137,7 +173,7 @@ def paragraph_pairs(rows: DataFrame, before: str, after: str, least_words: int =
 
 def calibration_export(humans: DataFrame, limits: DataFrame, cells: DataFrame) -> DataFrame:
     """One row that assessments ship with: buckets and cells as maps. humans (bucket, score), limits (bucket, threshold), cells (cell, allowed, why, ...), a row each.
-    The humans are the calibration's: a bounded sample per bucket."""
+    At most CALIBRATION_HUMANS of a bucket are shipped, which the caller's split sees to."""
     tails = humans.where("score is not null").groupBy("bucket").agg(F.array_sort(F.collect_list("score")).alias("human_scores"))
     entry = limits.join(tails, "bucket", "left").select("bucket", F.struct("threshold", F.coalesce("human_scores", F.array().cast("array<double>")).alias("human_scores")).alias("entry"))
     buckets = entry.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "entry")))).alias("buckets"))

@@ -1,8 +1,8 @@
-"""Running sums in the order of a score, for groups of any size: no group is sorted in one task."""
+"""Running sums, row numbers and quantiles for groups of any size: no group is sorted, or buffered, in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,3 +26,25 @@ def sum_below(points: DataFrame, keys: list[str], score: str, value: str, out: s
     within = cut.withColumn("_within", F.coalesce(F.sum(value).over(before("_group", "_part").orderBy(score)), F.lit(0)))
     found = within.join(lower, F.col("_group").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in")))
     return found.withColumn(out, F.col("_lower") + F.col("_within")).drop("_group", "_part", "_of", "_in", "_lower", "_within")
+
+
+def numbered(rows: DataFrame, keys: list[str], digest: Column, ties: list[str], out: str = "rn") -> DataFrame:
+    """rows with out, their number from 1 in their group by hexadecimal digest and ties. The digest's first two digits cut a group into 256 ranges of near equal size."""
+    rows = rows.withColumns({"_group": F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keys]), "_digest": digest}).withColumn("_cell", F.substring("_digest", 1, 2))
+    lower = F.sum("count").over(Window.partitionBy("_group").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    before = rows.groupBy("_group", "_cell").count().select(F.col("_group").alias("_of"), F.col("_cell").alias("_in"), F.coalesce(lower, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_group", "_cell").orderBy("_digest", *ties))
+    found = rows.withColumn("_inside", inside).join(before, F.col("_group").eqNullSafe(F.col("_of")) & (F.col("_cell") == F.col("_in")))
+    return found.withColumn(out, F.col("_before") + F.col("_inside")).drop("_group", "_digest", "_cell", "_of", "_in", "_before", "_inside")
+
+
+def quantile(rows: DataFrame, keys: list[str], score: str, q: float, out: str) -> DataFrame:
+    """(keys, out): the linear-interpolated quantile of the group's scores, nulls left out; exact, and without a buffer of a group's values."""
+    points = rows.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    ranked = sum_below(points, keys, score, "_n", "_below")
+    total = points.groupBy(*keys).agg(F.sum("_n").alias("_total")).select(F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keys]).alias("_of"), "_total")
+    found = ranked.withColumn("_group", F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keys])).join(total, F.col("_group").eqNullSafe(F.col("_of")))
+    place = q * (F.col("_total") - 1)
+    holds = lambda at: F.max(F.when((F.col("_below") <= at) & (F.col("_below") + F.col("_n") > at), F.col(score).cast("double")))
+    ends = found.groupBy(*keys).agg(holds(F.floor(place)).alias("_low"), holds(F.ceil(place)).alias("_high"), F.max(place - F.floor(place)).alias("_part"))
+    return ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(out))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import cleaning, facts, marks, rewriting, spans, statistics, tokens
 from textloom.operators import assess, bench, corpus, evaluation
+from textloom.sources.shared import new_path
 from textloom.streaming import counter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,13 +129,14 @@ def sentence_count(spark, sf_dir):
 
 @query(rf"""WITH s AS (SELECT doc_id, unnest({SENTENCES_SQL}) AS s FROM documents), w AS (SELECT doc_id, regexp_extract_all(s, {LETTERS}) AS w FROM s),
     m AS (SELECT doc_id, list_sum(list_transform(w, lambda x: length(x))) / len(w) AS m FROM w WHERE len(w) >= 3)
-    SELECT doc_id, round(CASE WHEN count(*) >= 2 THEN stddev_pop(m) END, 6) AS burstiness, count(*) AS sentences FROM m GROUP BY doc_id""")
+    SELECT doc_id, round(CASE WHEN count(m) >= 2 THEN stddev_pop(m) END, 6) AS burstiness, count(m) AS sentences FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
 def burstiness(spark, sf_dir):
-    """Spread of the sentences' mean values; here a word's value is its length."""
-    s = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(tokens.sentences(F.col("text"))).alias("s")).select("doc_id", tokens.letter_words(F.col("s")).alias("w"))
-    total = F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x))
-    means = s.where(F.size("w") >= 3).select("doc_id", (total / F.size("w")).alias("m"))
-    return means.groupBy("doc_id").agg(r6(F.when(F.count("*") >= 2, F.stddev_pop("m"))).alias("burstiness"), F.count("*").alias("sentences"))
+    """Spread of the sentences' mean values, null without two that count; here a word's value is its length."""
+    words = F.transform(tokens.sentences(F.col("text")), tokens.letter_words)
+    total = lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+    means = F.transform(F.filter(words, lambda w: F.size(w) >= 3), lambda w: total(w) / F.size(w))
+    df = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode_outer(means).alias("m"))
+    return df.groupBy("doc_id").agg(r6(F.when(F.count("m") >= 2, F.stddev_pop("m"))).alias("burstiness"), F.count("m").alias("sentences"))
 
 
 # ---- cleaning. The tables hold none of what these operators look for, so both sides put the same characters in first.
@@ -147,7 +149,8 @@ def injected(spark, sf_dir):
     text = F.col("text")
     for a, b in INJECTED:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.alias("text"))
+    # Behind a generator the text is a column, and the replaces are not written into every expression that reads it.
+    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.array(text)).alias("text"))
 
 
 @query(f"""WITH t AS (SELECT {INJECT_SQL} AS t FROM documents), c AS (SELECT unnest([chr(160), chr(8203), chr(8201), chr(65039), chr(173)]) AS c, unnest(['NO-BREAK SPACE', 'ZERO WIDTH SPACE', 'THIN SPACE', 'VARIATION SELECTOR-16', 'SOFT HYPHEN']) AS name)
@@ -175,20 +178,9 @@ def rule_typography(spark, sf_dir):
     return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), cleaning.typography(t))
 
 
-@query(r"SELECT doc_id, sha256(regexp_replace(replace(text, ' the ', ', and '), '\b([\p{L}\p{N}_]+), ([\p{L}\p{N}_]+), (and|or) ([\p{L}\p{N}_]+)\b', '\1, \2 \3 \4', 'g')) AS digest FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')")
+@query(r"SELECT doc_id, sha256(regexp_replace(replace(text, ' the ', ', and '), '(^|[^\p{L}\p{N}_])([\p{L}\p{N}_]+), ([\p{L}\p{N}_]+), (and|or) ([\p{L}\p{N}_]+)', '\1\2, \3 \4 \5', 'g')) AS digest FROM documents")
 def rule_serial_comma(spark, sf_dir):
-    ascii_only = read(spark, sf_dir, "documents", "doc_id", "text").where(F.octet_length("text") == F.length("text"))
-    return hashed(ascii_only, listed_with_commas())
-
-
-def listed_with_commas():
-    return cleaning.serial_comma(F.replace("text", F.lit(" the "), F.lit(", and ")))
-
-
-@query()
-def whole_rule_serial_comma(spark, sf_dir):
-    """Every document; DuckDB's word boundary knows ASCII only."""
-    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), listed_with_commas())
+    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), cleaning.serial_comma(F.replace("text", F.lit(" the "), F.lit(", and "))))
 
 
 @query("SELECT doc_id, sha256(replace(replace(text, ' of ', ' 1234567 '), ' the ', ' 12.5% ')) AS digest FROM documents")
@@ -197,26 +189,22 @@ def rule_numbers(spark, sf_dir):
     return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), cleaning.numbers(t))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(text, '([^ \t\n\r\x0b\x0c\\d,;:(\\[]) the ([^ \t\n\r\x0b\x0c\\d,;:)\\]])', '\\1, \\2', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, ' the (. )?the ') AND NOT contains(text, '–') AND NOT contains(text, '—')")
-def rule_dashes(spark, sf_dir):
-    df = read(spark, sf_dir, "documents", "doc_id", "text").where(~F.col("text").rlike(" the (. )?the ") & ~F.contains("text", F.lit("–")) & ~F.contains("text", F.lit("—")))
-    return hashed(df, without_dashes())
-
+LEFT_SQL, RIGHT_SQL = r"([^ \t\n\r\x0b\x0c\d,;:(\[])", r"([^ \t\n\r\x0b\x0c\d,;:)\]])"
+TWICE_SQL = "regexp_replace(regexp_replace({0}, '{1}', '{2}', 'g'), '{1}', '{2}', 'g')"  # for neighbours that share a character
 
-def without_dashes():
-    return cleaning.dashes(F.regexp_replace("text", r"(?<=[^\s\d,;:(\[]) the (?=[^\s\d,;:)\]])", " — "))
 
-
-@query()
-def whole_rule_dashes(spark, sf_dir):
-    """Every document, those with dashes of their own and with neighbouring matches too, which DuckDB cannot look around."""
-    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), without_dashes())
+@query("SELECT doc_id, sha256(" + TWICE_SQL.format("replace(text, ' the ', ' — ')", rf"{LEFT_SQL}[ \t]*[—–][ \t]*{RIGHT_SQL}", r"\1, \2") + ") AS digest FROM documents")
+def rule_dashes(spark, sf_dir):
+    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), cleaning.dashes(F.replace("text", F.lit(" the "), F.lit(" — "))))
 
 
 @query()
 def rules_all(spark, sf_dir):
-    df = rewriting.apply_rules(documents(spark, sf_dir))
-    return df.select("doc_id", F.sha2(F.col("text_out").cast("binary"), 256).alias("digest"), marks.word_edit_ratio(F.col("text"), F.col("text_out")).alias("edit_ratio"))
+    """All rules for English, with how often each changed something."""
+    df = rewriting.apply_rules(documents(spark, sf_dir), counts="ruled")
+    counts = [F.element_at("ruled.counts", name).alias(f"n_{name}") for name, _, _ in rewriting.RULES]
+    digest = F.sha2(F.col("text_out").cast("binary"), 256).alias("digest")
+    return df.select("doc_id", digest, *counts, F.col("ruled.edits").alias("edits"), rewriting.density(F.col("ruled.edits"), F.col("words")).alias("density"), marks.word_edit_ratio(F.col("text"), F.col("text_out")).alias("edit_ratio"))
 
 
 @query(rf"""SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')),
@@ -225,36 +213,18 @@ def prose_lines(spark, sf_dir):
     return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), cleaning.prose(F.col("text")))
 
 
-@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(text, ' the ', ' the '), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '**')")
+@query(r"""WITH t AS (SELECT doc_id, '# A heading' || repeat(chr(10), 4) || replace(text, ' the ', ' **the** ') AS t FROM documents)
+    SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^\s*(#+\s.*|\*\*[^*]+\*\*\s*)$', '', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM t""")
 def tidy_text(spark, sf_dir):
-    df = read(spark, sf_dir, "documents", "doc_id", "text").where(~F.contains("text", F.lit("#")) & ~F.contains("text", F.lit("**")))
-    return hashed(df, tidied())
-
-
-def tidied():
-    return cleaning.tidy(F.concat(F.lit("# A heading\n\n\n\n"), F.replace("text", F.lit(" the "), F.lit(" **the** "))))
+    df = read(spark, sf_dir, "documents", "doc_id", "text")
+    return hashed(df, cleaning.tidy(F.concat(F.lit("# A heading\n\n\n\n"), F.replace("text", F.lit(" the "), F.lit(" **the** ")))))
 
 
-@query()
-def whole_tidy_text(spark, sf_dir):
-    """Every document, those with marks of their own too."""
-    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), tidied())
-
-
-@query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+([,.;:!?)»%])', '\1', 'g'), '([(«])\s+', '\1', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents WHERE NOT contains(text, '''')")
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, ',', ' ,'), '.', ' .'), '\s+([,.;:!?)»%])', '\1', 'g'), '([(«])\s+', '\1', 'g'),
+    '([\p{L}\p{N}_])\s+''\s*([\p{L}\p{N}_])', '\1''\2', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""")
 def detokenize_text(spark, sf_dir):
-    df = read(spark, sf_dir, "documents", "doc_id", "text").where(~F.contains("text", F.lit("'")))
-    return hashed(df, detokenized())
-
-
-def detokenized():
-    return cleaning.detokenize(F.replace(F.replace("text", F.lit(","), F.lit(" ,")), F.lit("."), F.lit(" .")))
-
-
-@query()
-def whole_detokenize_text(spark, sf_dir):
-    """Every document, those with apostrophes too."""
-    return hashed(read(spark, sf_dir, "documents", "doc_id", "text"), detokenized())
+    df = read(spark, sf_dir, "documents", "doc_id", "text")
+    return hashed(df, cleaning.detokenize(F.replace(F.replace("text", F.lit(","), F.lit(" ,")), F.lit("."), F.lit(" ."))))
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n\s*\n'), lambda s: trim(s) <> '')) AS paragraphs FROM documents")
@@ -267,8 +237,8 @@ def paragraph_count(spark, sf_dir):
     f AS (SELECT doc_id, min(k) AS sentences, min(words) AS words FROM w WHERE words >= 40 + doc_id % 60 GROUP BY doc_id)
     SELECT doc_id, CAST(words AS BIGINT) AS words, CAST(sentences AS BIGINT) AS sentences FROM f WHERE words <= 300""")
 def excerpt_cut(spark, sf_dir):
-    got = corpus.cut(F.col("text"), 40 + F.col("doc_id") % 60, F.lit(300))
-    df = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", got.alias("g")).where("g is not null")
+    got = F.explode(F.array(corpus.cut(F.col("text"), 40 + F.col("doc_id") % 60, F.lit(300)))).alias("g")
+    df = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", got).where("g is not null")
     return df.select("doc_id", F.col("g.words").cast("long").alias("words"), F.col("g.sentences").cast("long").alias("sentences"))
 
 
@@ -298,10 +268,10 @@ def quantifier_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents", "lang", "text").groupBy("lang").agg(F.sum(counts["more than"]).alias("more_than"), F.sum(counts["less than"]).alias("less_than"))
 
 
-@query(rf"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, {LETTERS}))) AS w FROM documents WHERE lang = 'en')
+@query(rf"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, {LETTERS}))) AS w FROM documents)
     SELECT CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS name_key, count(*) AS n, count(DISTINCT w) AS forms FROM w GROUP BY 1""")
 def name_key_groups(spark, sf_dir):
-    w = read(spark, sf_dir, "documents", "lang", "text").where("lang = 'en'").select(F.explode(tokens.letter_words(F.col("text"))).alias("w")).select(F.lower("w").alias("w"))
+    w = read(spark, sf_dir, "documents", "text").select(F.explode(tokens.letter_words(F.col("text"))).alias("w")).select(F.lower("w").alias("w"))
     once = w.groupBy("w").agg(F.count("*").alias("n"))
     return once.groupBy(cleaning.name_key(F.col("w")).alias("name_key")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
@@ -321,13 +291,15 @@ def fact_diff_adjacent(spark, sf_dir):
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
-    n AS (SELECT conv_id, turn, list_sort(regexp_extract_all(b, '[0-9]+')) AS x, list_sort(regexp_extract_all(text, '[0-9]+')) AS y FROM a WHERE b IS NOT NULL AND text IS NOT NULL),
+    n AS (SELECT conv_id, turn, regexp_extract_all(b || ' 12 7 12 ' || turn, '[0-9]+') AS x, regexp_extract_all(text || ' 12 ' || (turn % 3) || ' 5', '[0-9]+') AS y FROM a WHERE b IS NOT NULL AND text IS NOT NULL),
     l AS (SELECT conv_id, turn, unnest(x) AS v, 1 AS k FROM n UNION ALL SELECT conv_id, turn, unnest(y), -1 FROM n),
     m AS (SELECT conv_id, turn, v, sum(k) AS k FROM l GROUP BY ALL)
     SELECT conv_id, turn, CAST(sum(greatest(k, 0)) AS BIGINT) AS missing, CAST(sum(greatest(-k, 0)) AS BIGINT) AS added FROM m GROUP BY ALL HAVING sum(abs(k)) > 0""")
 def multiset_difference(spark, sf_dir):
     digits = lambda c: facts.counted(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
-    df = adjacent(spark, sf_dir).select("conv_id", "turn", digits(F.col("before")).alias("a"), digits(F.col("text")).alias("b"))
+    turn = F.col("turn")
+    before, after = F.concat("before", F.lit(" 12 7 12 "), turn.cast("string")), F.concat("text", F.lit(" 12 "), (turn % 3).cast("string"), F.lit(" 5"))  # the turns have few numbers of their own
+    df = adjacent(spark, sf_dir).select("conv_id", "turn", digits(before).alias("a"), digits(after).alias("b"))
     out = df.select("conv_id", "turn", facts.size_of(facts.surplus(F.col("a"), F.col("b"))).alias("missing"), facts.size_of(facts.surplus(F.col("b"), F.col("a"))).alias("added"))
     return out.where("missing + added > 0")
 
@@ -348,8 +320,10 @@ def split_calib_test(spark, sf_dir):
 
 @query(f"WITH {SCORED_SQL}, {SPLIT_SQL} SELECT bucket, round(quantile_cont(score, 0.99), 6) AS threshold, count(*) AS n FROM p WHERE part = 'calib' AND NOT positive GROUP BY bucket")
 def quantile_threshold(spark, sf_dir):
-    rows = split(spark, sf_dir).where("part = 'calib' and not positive").groupBy("bucket")
-    return rows.agg(r6(F.percentile("score", F.lit(0.99))).alias("threshold"), F.count("*").alias("n"))
+    rows = split(spark, sf_dir).where("part = 'calib' and not positive")
+    sizes = rows.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n"))
+    limits = evaluation.thresholds(rows, ["bucket"]).join(sizes, F.col("bucket").eqNullSafe(F.col("of")))
+    return limits.select("bucket", r6("threshold").alias("threshold"), "n")
 
 
 RANKED_SQL = "SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY {0}, score) - 1) / 2.0 AS rk FROM {1} WINDOW w AS (PARTITION BY {0} ORDER BY score)"
@@ -411,7 +385,7 @@ def cell_gate(spark, sf_dir):
     return joined.select("lang", "bucket", allowed.alias("allowed"), why.alias("why"))
 
 
-@query(f"""WITH {SCORED_SQL}, o AS (SELECT lang, positive, score, row_number() OVER (PARTITION BY lang, positive ORDER BY doc_id) - 1 AS ordinal, count(*) OVER (PARTITION BY lang, positive) AS n FROM s),
+@query(f"""WITH {SCORED_SQL}, o AS (SELECT lang, positive, score, row_number() OVER (PARTITION BY lang, positive ORDER BY md5('o-' || doc_id), doc_id) - 1 AS ordinal, count(*) OVER (PARTITION BY lang, positive) AS n FROM s),
     d AS (SELECT lang, positive, rep, CAST(('0x' || left(md5(lang || '-' || positive::INT || '-' || rep || '-' || ordinal), 8)) AS BIGINT) % n AS ordinal FROM o, range(10) t(rep)),
     x AS (SELECT d.lang || '#' || d.rep AS g, d.lang, d.rep, o.score, o.positive FROM d JOIN o ON d.lang = o.lang AND d.positive = o.positive AND d.ordinal = o.ordinal),
     k AS ({RANKED_SQL.format("g", "x")}), a AS (SELECT lang, rep, {AUROC_SQL} FROM k GROUP BY ALL)
@@ -502,17 +476,11 @@ GRAMS_SQL = rf"""t AS (SELECT doc_id, regexp_extract_all(lower(text), {LETTERS})
     g AS (SELECT doc_id, k, array_to_string(t[k:k + 4], ' ') AS gram, array_to_string(t[k:k + 3], ' ') AS ctx FROM n), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ctx ORDER BY k) = 1 AS first FROM g)"""
 
 
-def grams(spark, sf_dir):
-    """(doc_id, k, gram, first): five-word grams and whether their first four words come for the first time."""
-    t = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tokens.letter_words(F.lower("text")).alias("t"))
-    g = t.select("doc_id", F.posexplode(marks.ngrams(F.col("t"))).alias("k", "gram"))
-    first = F.row_number().over(Window.partitionBy("doc_id", F.regexp_replace("gram", r" \S+$", "")).orderBy("k")) == 1
-    return g.withColumn("first", first)
-
-
-@query(f"WITH {GRAMS_SQL} SELECT doc_id, count(*) AS grams, sum(first::INT)::BIGINT AS scored FROM m GROUP BY doc_id")
+@query(f"WITH {GRAMS_SQL}, a AS (SELECT doc_id, count(*) AS grams, sum(first::INT)::BIGINT AS scored FROM m GROUP BY doc_id) SELECT t.doc_id, coalesce(grams, 0) AS grams, CASE WHEN len(t) > 5 THEN scored ELSE 0 END AS scored FROM t LEFT JOIN a USING (doc_id)")
 def ngram_repetition_mask(spark, sf_dir):
-    return grams(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum(F.col("first").cast("long")).alias("scored"))
+    """Five-word grams of a text, and how many have their first four words for the first time; none counts in a text of five words or fewer."""
+    s = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", marks.mark_score(F.col("text"), "key").alias("s"))
+    return s.select("doc_id", F.col("s.grams").cast("long").alias("grams"), F.col("s.scored").cast("long").alias("scored"))
 
 
 BITS_SQL = "+".join(f"(CAST('0x' || md5('key/' || gram)[{2 * k + 1}:{2 * k + 2}] AS INT) % 2)" for k in range(marks.DEPTH))
@@ -520,17 +488,14 @@ WEIGHTED_SQL = "+".join(f"{w!r}*(CAST('0x' || md5('key/' || gram)[{2 * k + 1}:{2
 SD_W = (0.25 * sum(w * w for w in marks.layer_weights()) / marks.DEPTH**2) ** 0.5
 
 
-@query(f"""WITH {GRAMS_SQL}, a AS (SELECT doc_id, count(*) AS scored, avg(({BITS_SQL}) / 8.0) AS mean_g, avg(({WEIGHTED_SQL}) / 8.0) AS mean_w FROM m WHERE first GROUP BY doc_id)
-    SELECT doc_id, scored, round(mean_g, 6) AS mean_g, round((mean_g - 0.5) / (0.5 / sqrt(scored * 8)), 6) AS z, round((mean_w - 0.5) / ({SD_W!r} / sqrt(scored)), 6) AS z_w FROM a""")
+@query(f"""WITH {GRAMS_SQL}, a AS (SELECT doc_id, count(*) AS n, avg(({BITS_SQL}) / 8.0) AS g, avg(({WEIGHTED_SQL}) / 8.0) AS w FROM m WHERE first GROUP BY doc_id),
+    b AS (SELECT t.doc_id, CASE WHEN len(t) > 5 THEN n ELSE 0 END AS n, g, w FROM t LEFT JOIN a USING (doc_id))
+    SELECT doc_id, n AS scored, round(CASE WHEN n > 0 THEN g ELSE 0.5 END, 6) AS mean_g, round(CASE WHEN n > 0 THEN (g - 0.5) / (0.5 / sqrt(n * 8)) ELSE 0 END, 6) AS z,
+    round(CASE WHEN n > 0 THEN (w - 0.5) / ({SD_W!r} / sqrt(n)) ELSE 0 END, 6) AS z_w FROM b""")
 def mark_score(spark, sf_dir):
-    """Mean of the keyed bits over unmasked grams and layers, its z, and z with layers weighted from ten to one."""
-    bits = marks.g_bits(F.col("gram"), "key")
-    w = marks.layer_weights()
-    mean = F.aggregate(bits, F.lit(0.0), lambda a, x: a + x) / marks.DEPTH
-    weighted = F.aggregate(F.zip_with(bits, F.array(*[F.lit(x) for x in w]), lambda b, x: b * x), F.lit(0.0), lambda a, x: a + x) / marks.DEPTH
-    a = grams(spark, sf_dir).where("first").groupBy("doc_id").agg(F.count("*").alias("scored"), F.avg(mean).alias("g"), F.avg(weighted).alias("w"))
-    z = (F.col("g") - 0.5) / (0.5 / F.sqrt(F.col("scored") * marks.DEPTH))
-    return a.select("doc_id", "scored", r6("g").alias("mean_g"), r6(z).alias("z"), r6((F.col("w") - 0.5) / (SD_W / F.sqrt("scored"))).alias("z_w"))
+    """Mean of the keyed bits over unmasked grams and layers, its z, and z with layers weighted from ten to one; short texts are neutral."""
+    s = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", marks.mark_score(F.col("text"), "key").alias("s"))
+    return s.select("doc_id", F.col("s.scored").cast("long").alias("scored"), r6("s.mean_g").alias("mean_g"), r6("s.z").alias("z"), r6("s.z_w").alias("z_w"))
 
 
 @query()
@@ -625,7 +590,7 @@ def quota_fill(spark, sf_dir):
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 3 AS way FROM documents")
 def round_robin(spark, sf_dir):
-    return corpus.round_robin(read(spark, sf_dir, "documents", "doc_id", "lang"), 3, ["doc_id"], ["lang"]).select("doc_id", "way")
+    return corpus.round_robin(read(spark, sf_dir, "documents", "doc_id", "lang"), 3, "doc_id", ["lang"]).select("doc_id", "way")
 
 
 @query("""SELECT doc_id, lang, (row_number() OVER (ORDER BY md5('b-' || doc_id), doc_id) - 1) // 10 AS batch FROM
@@ -642,9 +607,11 @@ def sentence_regroup(spark, sf_dir):
     return g.select("conv_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "parts")
 
 
-@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@query("SELECT user_id, event_id, event_type FROM events WHERE event_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def latest_wins(spark, sf_dir):
-    return corpus.latest(read(spark, sf_dir, "events", "user_id", "event_id", "event_type"), "user_id", "event_id")
+    """Every seventh event stands for a row with an error."""
+    rows = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").withColumn("error", F.when(F.col("event_id") % 7 == 0, "failed"))
+    return corpus.latest(rows, "user_id", "event_id", "error").drop("error")
 
 
 @query("SELECT d.doc_id, d.lang, d.source, t.topic_source FROM documents d LEFT JOIN (SELECT lang, max(source) AS topic_source FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) t USING (lang) WHERE d.source <> 'src1'")
@@ -688,11 +655,7 @@ def event_counts_daily(spark, sf_dir):
 @query(COUNTS_SQL)
 def event_counts_stream(spark, sf_dir):
     """The same counts by a streaming query that runs over what is there; its state and its counters lie in the shared folder."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-    at = f"{root}/counter-{uuid.uuid4().hex}"
+    at = new_path(spark, "counter")
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counter.start_upsert(stream.select("ts", "event_type"), ["event_type"], f"{at}/counters", f"{at}/checkpoint").awaitTermination()
@@ -705,51 +668,34 @@ def json_fields(spark, sf_dir):
     return e.groupBy("event_type").agg(F.sum("p.k").alias("total"), F.count("*").alias("n"))
 
 
-@query(r"SELECT conv_id, turn, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM conversations WHERE NOT contains(text, chr(34))")
-def clean_reply(spark, sf_dir):
-    df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").where(~F.contains("text", F.lit('"')))
-    return replies(df)
-
-
-def replies(turns):
-    raw = F.concat(F.lit("<think>a plan</think>\nHere is the text:\n\n"), "text")
-    return turns.select("conv_id", "turn", F.sha2(cleaning.clean_reply(raw).cast("binary"), 256).alias("digest"))
-
-
 @query()
-def whole_clean_reply(spark, sf_dir):
-    """Every turn, those with quotes too."""
-    return replies(read(spark, sf_dir, "conversations", "conv_id", "turn", "text"))
+def clean_reply(spark, sf_dir):
+    """Every turn as a model would wrap it."""
+    raw = F.concat(F.lit("<think>a plan</think>\nHere is the text:\n\n"), "text", F.lit("\n\n---\nLet me know what you think."))
+    return read(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.sha2(cleaning.clean_reply(raw).cast("binary"), 256).alias("digest"))
 
 
 # ---- spans, pairs of paragraphs, disputes, verdicts
 
 #: The texts of the tables have no marks, so some are put in front and behind, in the oracle as well.
-MARKED_UP = ("# A heading\n```\ncode ", "\n```\nsee `x` at https://example.org/a_(b) or ~/notes.txt\n- ")
+MARKED_UP = ("# A heading\n````````````\ncode ", "\n````````````\nsee `x` at https://example.org/a_(b) or ~/notes.txt\n- ")
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, length(replace(text, '`', '')) AS n FROM conversations)
-    SELECT conv_id, turn, 12 AS fence_start, CAST(12 + 9 + n + 5 AS BIGINT) AS fence_end, 11 AS heading_end, 3 AS inside_tail FROM t""")
+@query(r"""SELECT conv_id, turn, 12 AS fence_start, CAST(12 + 18 + length(text) + 14 AS BIGINT) AS fence_end, 11 AS heading_end, 3 AS inside_tail FROM conversations""")
 def span_kinds(spark, sf_dir):
     head, tail = MARKED_UP
-    flat = F.concat(F.lit(head), F.replace("text", F.lit("`")), F.lit(tail))
+    flat = F.concat(F.lit(head), "text", F.lit(tail))
     df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.length(flat).alias("n"), spans.fence_spans(flat).alias("f"), spans.protected_spans(flat).alias("p"), spans.heading_spans(flat).alias("h"))
     # The tail holds code, an address and a path.
     inside = F.size(F.array_distinct(F.transform(F.filter("p", lambda s: s["start"] >= F.col("f")[0]["end"]), lambda s: s["start"])))
     return df.select("conv_id", "turn", F.col("f")[0]["start"].alias("fence_start"), F.col("f")[0]["end"].cast("long").alias("fence_end"), F.col("h")[0]["end"].alias("heading_end"), inside.alias("inside_tail"))
 
 
-@query(rf"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-    SELECT conv_id, turn, CAST(len(regexp_extract_all(before, {LETTERS})) AS BIGINT) AS words FROM a WHERE before IS NOT NULL AND text IS NOT NULL
-    AND trim(before) <> '' AND trim(text) <> '' AND NOT regexp_matches(before || text, '\n\s*\n') AND len(regexp_extract_all(before, {LETTERS})) >= 30""")
+@query(rf"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+    p AS (SELECT conv_id, turn, list_filter(string_split_regex(before, '\n\s*\n'), lambda s: trim(s) <> '') AS b, list_filter(string_split_regex(text, '\n\s*\n'), lambda s: trim(s) <> '') AS t FROM a WHERE before IS NOT NULL AND text IS NOT NULL),
+    e AS (SELECT conv_id, turn, unnest(b) AS o, unnest(range(len(b))) AS paragraph FROM p WHERE len(b) = len(t))
+    SELECT conv_id, turn, CAST(paragraph AS INTEGER) AS paragraph, len(regexp_extract_all(o, {LETTERS})) AS words FROM e WHERE len(regexp_extract_all(o, {LETTERS})) >= 30""")
 def paragraph_pairs(spark, sf_dir):
-    """Of turns with one paragraph."""
-    pairs = evaluation.paragraph_pairs(adjacent(spark, sf_dir).where(~F.concat("before", "text").rlike(r"\n\s*\n")), "before", "text")
-    return pairs.select("conv_id", "turn", tokens.word_count(F.col("original")).cast("long").alias("words"))
-
-
-@query()
-def whole_paragraph_pairs(spark, sf_dir):
     """Of all neighbouring turns, by paragraph."""
     pairs = evaluation.paragraph_pairs(adjacent(spark, sf_dir), "before", "text")
     return pairs.select("conv_id", "turn", "paragraph", tokens.word_count(F.col("original")).cast("long").alias("words"))
@@ -806,14 +752,11 @@ def changed_word_share(spark, sf_dir):
     return pairs.select("conv_id", "turn", "changed", F.try_divide("changed", "n").alias("share"))
 
 
-@query("SELECT conv_id, turn, md5('- ' || ltrim(text, ' ' || chr(9))) AS kept FROM conversations WHERE NOT contains(text, chr(10)) AND NOT regexp_matches(text, '^[ \t]*(?:[-*+]|[0-9]+[.)]|#{1,6}|>)[ \t]+')")
-def layout_kept(spark, sf_dir):
-    df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").where(~F.contains("text", F.lit("\n")) & ~F.col("text").rlike(spans.MARKER))
-    return df.select("conv_id", "turn", F.md5(spans.keep_layout(F.lit("- a line"), F.concat(F.lit("# "), "text")).cast("binary")).alias("kept"))
+LAYOUT_SQL = "list_transform(string_split('# ' || text, chr(10)), lambda l: '- ' || regexp_replace(regexp_replace(l, '^[ \t]*(?:[-*+]|[0-9]+[.)]|#{1,6}|>)[ \t]+', ''), '^[ \t]+', ''))"
 
 
-@query()
-def whole_layout_kept(spark, sf_dir):
+@query(f"SELECT conv_id, turn, md5(array_to_string({LAYOUT_SQL}, chr(10))) AS kept FROM conversations")
+def layout_kept(spark, sf_dir):
     """Every turn, by lines: each takes the mark of a list item from a text of as many lines."""
     items = F.array_join(F.transform(F.split("text", "\n", -1), lambda _: F.lit("- a line")), "\n")
     df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 #: The fields of an event and what they may hold.
 VOCABULARY = {"v": ("1",), "e": ("page", "model_download", "facts", "detect", "rewrite"), "f": ("home", "app", "privacy", "-"), "m": ("qwen2.5-0.5b", "gemma-3-1b", "-")}
@@ -20,6 +23,36 @@ def allowed(body: Column, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY, l
     return F.coalesce(ok, F.lit(False))
 
 
+# How the service answers.
+ALLOWED, PREFLIGHT, MALFORMED, FOREIGN, NOWHERE, TOO_LONG = 200, 204, 400, 403, 404, 413
+
+
+def status(method: Column, path: Column, origin: Column, body: Column, site: str, at: str = "/e") -> Column:
+    """The answer to a request: only a POST from the site's own pages to the counter's path, short enough and allowed, counts. The first rule that fails decides."""
+    return (
+        F.when(method == "OPTIONS", PREFLIGHT)
+        .when(~(method.eqNullSafe(F.lit("POST")) & path.eqNullSafe(F.lit(at))), NOWHERE)
+        .when(~origin.eqNullSafe(F.lit(site)), FOREIGN)
+        .when(F.length(body) > LONGEST, TOO_LONG)
+        .when(~allowed(body), MALFORMED)
+        .otherwise(ALLOWED)
+    )
+
+
+def opted_out(privacy_control: Column, *do_not_track: Column) -> Column:
+    """Whether a browser asks not to be counted, by either signal."""
+    out = F.coalesce(privacy_control, F.lit(False))
+    for signal in do_not_track:
+        out = out | F.coalesce(signal == "1", F.lit(False))
+    return out
+
+
+def sent(events: DataFrame, locks: DataFrame, at: str = "ts") -> DataFrame:
+    """events with sent_at: an event of a locked stretch (a row of locks: locked_from, locked_to) waits for its end, null while there is none; all others go at once. locks do not overlap and are few."""
+    held = events.join(F.broadcast(locks), (F.col(at) >= F.col("locked_from")) & (F.col("locked_to").isNull() | (F.col(at) < F.col("locked_to"))), "left")
+    return held.withColumn("sent_at", F.when(F.col("locked_from").isNull(), F.col(at)).otherwise(F.col("locked_to"))).drop("locked_from", "locked_to")
+
+
 def daily(events: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     return events.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day"), *keys).agg(F.count("*").alias("n"))
 
@@ -30,8 +63,39 @@ def counts(stream: DataFrame, keys: list[str], late: str = "1 day", ts: str = "t
     return timed.groupBy(F.window("_ts", "1 day").alias("w"), *keys).agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), *keys, "n")
 
 
-def refused(stream: DataFrame, body: str = "body") -> DataFrame:
-    return stream.where(~allowed(F.col(body)))
+def refused(stream: DataFrame, site: str) -> DataFrame:
+    """Requests (method, path, origin, body) that do not count, each with its status."""
+    answer = status(F.col("method"), F.col("path"), F.col("origin"), F.col("body"), site)
+    return stream.withColumn("status", answer).where(F.col("status") != ALLOWED)
+
+
+def append_new(stream: DataFrame, key: str, path: str, checkpoint: str, late: str = "1 day", ts: str = "ts") -> StreamingQuery:
+    """Appends rows whose key has not come within `late`, and skips what the checkpoint says is there, so that a run that broke off can be repeated."""
+    once = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark([key]).drop("_ts")
+    return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+class ProgressLines(StreamingQueryListener):
+    """Each event of a streaming query as a line of JSON, given to write()."""
+
+    def __init__(self, write: Callable[[str], None]):
+        self.write = write
+
+    def line(self, event: str, **values) -> None:
+        self.write(json.dumps({"v": 1, "event": event} | {k: v for k, v in values.items() if v is not None}))
+
+    def onQueryStarted(self, event) -> None:
+        self.line("started", id=str(event.id), name=event.name)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.line("progress", id=str(p.id), batch=p.batchId, rows=p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        self.line("idle", id=str(event.id))
+
+    def onQueryTerminated(self, event) -> None:
+        self.line("ended", id=str(event.id), error=event.exception)
 
 
 def start_upsert(stream: DataFrame, keys: list[str], table_path: str, checkpoint: str) -> StreamingQuery:
