@@ -89,6 +89,52 @@ def test_sharding_is_even_gapless_and_moves_little(spark):
     assert sharding.shard_rows(empty(spark)).count() == 0
 
 
+def test_sharding_moves_little_when_the_ring_grows(spark):
+    """From 8 to 9 shards at least a ninth of all rows must move; the ring moves little more."""
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    at = [{r["doc_id"]: r["shard"] for r in sharding.shard_rows(rows, shards=n).collect()} for n in (8, 9)]
+    moved = sum(at[0][k] != at[1][k] for k in at[0]) / 9000
+    assert 1 / 9 - 0.001 <= moved < 0.16
+    loose = [{r["doc_id"]: r["shard"] for r in sharding.shard_rows(rows, shards=n, slack=0.25).collect()} for n in (8, 9)]
+    assert sum(loose[0][k] != loose[1][k] for k in loose[0]) / 9000 < moved + 0.02
+
+
+def test_sharding_is_the_walk_on_counts_by_hand(spark):
+    """Against a walk row by row: a place's rows go to the first shard clockwise with room; slots are gapless also for null and repeated ids and long texts."""
+    rows = [(k % 700 if k % 11 else None, "long " * 200_000 if k == 5 else None if k % 5 == 0 else f"é{k % 3}") for k in range(2000)] + [(7, "same")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("place", F.lit("p"))
+    got = sharding.shard_rows(df, shards=5, positions=64).collect()
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == sorted(((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows), key=str)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sorted(map(len, by.values())) == [500] * 5
+    order = sharding.ring(5, positions=64)
+    counts = {}
+    for r in got:
+        counts.setdefault(r["home_shard"], []).append(r["hops"])
+    assert sum(h == 0 for hs in counts.values() for h in hs) > 1000 and all(sorted(o) == list(range(5)) for o in order)
+    # No row walks on while its home has room: a shard that took rows from others is full of its own or had room left.
+    for home, hops in counts.items():
+        assert max(hops) == 0 or len(by[home]) == 500
+
+
+def test_packing_takes_as_few_sequences_as_best_fit(spark):
+    path = tokenizer_file("word_bpe_49k.json")
+    rng = random.Random(3)
+    texts = ["word " * rng.randint(0, 2500) for _ in range(60)]
+    df = docs(spark, texts + texts[:3]).union(docs(spark, [None]))
+    got = packing.pack(df, path).collect()
+    room = []
+    for n in sorted((r["length"] for r in got), reverse=True):
+        fit = [k for k, free in enumerate(room) if free >= n]
+        if fit:
+            room[min(fit, key=lambda k: room[k])] -= n
+        else:
+            room.append(2048 - n)
+    assert len({r["sequence_id"] for r in got}) == len(room)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/">Home</a></nav><!-- <p>no</p> -->
 <div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p><b>The first of the paragraphs is long enough to be decided by its words, and it is in the article.<br><p>Short one.</p>
 <form><input name=q><button>Go</button></form><aside>Related</aside></article><section id="comments"><p>The reader says that this is what the reader says and it is long enough to pass.</p></section><footer>&copy; x</footer>"""
@@ -593,3 +639,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == df.columns and {900, 901} <= ids
     assert sum(k % 5 == 0 and k in ids for k in held) <= 2 and sum(k % 5 > 0 and k not in ids for k in held) <= 2
     assert toxicity.keep_clean(df, labels.limit(0)).count() == len(rows) and toxicity.keep_clean(df.limit(0), labels).count() == 0
+
+
+def test_toxicity_scores_are_the_models_by_hand_and_repeats_count_once(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(12)) + (" scumbag wordy" if k % 3 == 0 else ""), int(k % 3 == 0), int(k % 5 > 0)) for k in range(240)]
+    df = spark.createDataFrame([r[:2] for r in rows] + [(0, "other text of the same id"), (None, None), (1000, "scumbag " * 20_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3], r[2]) for r in rows] + [(3, 1, 0), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    models = toxicity.train(df, labels)
+    assert [len(m.earlier) for m in models] == [0, 1]
+    got = df.union(df.limit(4)).withColumn("p", toxicity.probabilities(F.col("text"), models)).collect()
+    for r in got:
+        found = {x for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()) for x in toxicity.slots(w)}
+        ps = []
+        for m in models:
+            z = m.constant + sum(w for slot, w in zip(m.taken, m.weights) if slot in found) + sum(w * np.log(p / (1 - p)) for w, p in zip(m.earlier, ps))
+            ps.append(float(np.clip(1 / (1 + np.exp(-z)), 1e-12, 1)))
+        assert r["p"] == pytest.approx(ps, abs=1e-6)
+    twice = toxicity.train(df.union(df), labels.union(labels))
+    assert [m.taken for m in twice] == [m.taken for m in models]

@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = tempfile.mkdtemp(prefix="textloom-")
-    return f"file://{own}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["filesystem", "new_path", "rows_per_cell_salt", "selector", "shared_dir", "store", "text_or_empty"]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
