@@ -385,9 +385,10 @@ def test_exact_dedup(spark):
     assert exact_dedup.decide(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("hot_rows,bits", [(10**6, 64), (2, 64), (10**6, 1), (2, 1), (10**6, 0)])
-def test_exact_dedup_in_hot_groups_and_chains_of_collisions(spark, hot_rows, bits):
-    """Keys cut down to a few bits collide: only bytes tell texts apart."""
+@pytest.mark.parametrize("hot_rows,bits,sent", [(10**6, 64, 10**6), (2, 64, 0), (10**6, 1, 10**6), (2, 1, 10**6), (10**6, 0, 0)])
+def test_exact_dedup_in_hot_groups_and_chains_of_collisions(spark, hot_rows, bits, sent, monkeypatch):
+    """Keys cut down to a few bits collide: only bytes tell texts apart. Tables of keys are sent to the tasks or joined by shuffle."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", sent)
     rng = random.Random(bits)
     rows = [(k if k % 9 else None, rng.choice(["A copy", "a COPY", "other", "é", None, "", f"text {k}"]), k) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, key int")

@@ -114,18 +114,21 @@ def repeated(
     keys = store(keys.withColumn("hot", (F.col("n") > hot_rows) | (F.col("bytes") > hot_bytes)), "dedup-keys")
     known, hot_keys = keys.agg(F.count("*"), F.coalesce(F.sum(F.col("hot").cast("long")), F.lit(0))).first()
     slim = ("_row", "doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    rows = pages.select("_row", "doc_id", "key", "norm", "text_sha256").join(sent(keys.select("key", "hot"), known), "key")
+    rows = pages.select("_row", "doc_id", "key", "norm", "text_sha256")
+    listed = F.broadcast(keys.where("hot").select("key"))  # one for hot_rows rows or hot_bytes bytes at most
+    calm = rows.join(listed, "key", "left_anti") if hot_keys else rows
+    calm = calm.join(sent(keys.where("not hot").select("key"), known - hot_keys), "key")
 
     chain = Window.partitionBy("owner", "key", "norm").orderBy(F.desc_nulls_last("doc_id"), "_row")
     whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cold = with_owner(rows.where("not hot").drop("hot"), keys.where("not hot"), capacity, owner_bytes, max_depth)
+    cold = with_owner(calm, keys.where("not hot"), capacity, owner_bytes, max_depth)
     cold = cold.select("_row", "doc_id", F.first("doc_id").over(whole).alias("keep_id"), F.count("*").over(whole).alias("group_size"), (F.row_number().over(chain) == 1).alias("kept"), "text_sha256")
     if not hot_keys:
         return pages, keys, cold.select(*slim)
-    hot = rows.where("hot")
+    hot = rows.join(listed, "key")
     best = F.coalesce(F.max_by("_row", "doc_id"), F.max("_row")).alias("keeper")
     folded = store(hot.groupBy("key", "norm", "text_sha256").agg(best, F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm"), "dedup-hot")
-    hot = hot.drop("norm", "hot").join(sent(folded, folded.count()), ["key", "text_sha256"])
+    hot = hot.drop("norm").join(sent(folded, folded.count()), ["key", "text_sha256"])
     return pages, keys, cold.select(*slim).unionByName(hot.withColumn("kept", F.col("_row") == F.col("keeper")).select(*slim))
 
 
@@ -135,7 +138,8 @@ def decide(
 ) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of docs."""
     pages, keys, found = repeated(docs, id_col, text_col, False, capacity, owner_bytes, max_depth, hot_rows, hot_bytes, key_of)
-    alone = pages.select("doc_id", "key", "text_sha256").join(sent(keys.select("key"), keys.count()), "key", "left_anti")
+    alone = pages.select("doc_id", "key", "text_sha256").join(F.broadcast(keys.where("hot").select("key")), "key", "left_anti")  # few, as above
+    alone = alone.join(sent(keys.where("not hot").select("key"), keys.count()), "key", "left_anti")
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return found.drop("_row").unionByName(alone)
 
