@@ -139,14 +139,18 @@ def forest(a, b, same: bool, radius: int, wide_radius: int | None = None) -> lis
     order_a, order_b = np.argsort(count_a, kind="stable"), np.argsort(count_b, kind="stable")
     sorted_a, sorted_b, count_a, count_b = a[order_a, 0], b[order_b, 0], count_a[order_a], count_b[order_b]
     step = min(64, max(1, BLOCK // max(1, len(b))))
+    dense = False
     for at in range(0, len(a), step):
         low, high = np.searchsorted(count_b, [count_a[at] - radius, count_a[min(at + step, len(a)) - 1] + radius + 1])
-        # What is joined already needs no link, so that a tile full of near copies costs no loop over its links.
-        tops_a, tops_b = roots(order_a[at : at + step]), roots(order_b[low:high] + shift)
-        if (tops_b == tops_a[0]).all() and (tops_a == tops_a[0]).all():
-            continue
+        if dense:  # among near copies most pairs are joined already: they need no link, and no loop
+            tops_a, tops_b = roots(order_a[at : at + step]), roots(order_b[low:high] + shift)
+            if (tops_b == tops_a[0]).all() and (tops_a == tops_a[0]).all():
+                continue
         near = np.bitwise_count(sorted_a[at : at + step, None] ^ sorted_b[None, low:high]) <= radius
-        near &= tops_a[:, None] != tops_b[None, :]
+        many = 8 * np.count_nonzero(near) > near.size
+        if dense:
+            near &= tops_a[:, None] != tops_b[None, :]
+        dense = many
         rows, cols = np.nonzero(near)
         rows, cols = order_a[rows + at], order_b[cols + low]
         if same:
@@ -155,6 +159,8 @@ def forest(a, b, same: bool, radius: int, wide_radius: int | None = None) -> lis
         if wide_radius is not None and len(rows):
             fits = np.bitwise_count(a[rows] ^ b[cols]).sum(axis=1, dtype=int) <= wide_radius
             rows, cols = rows[fits], cols[fits]
+        apart = roots(rows) != roots(cols + shift)
+        rows, cols = rows[apart], cols[apart]
         for i in np.unique(rows).tolist():
             others = cols[rows == i]
             tops, first = np.unique(roots(others + shift), return_index=True)
