@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.sources.shared import new_path, shared_dir
 
-__all__ = ["filesystem", "new_path", "rows_per_cell_salt", "selector", "shared_dir", "store", "text_or_empty"]
+__all__ = ["filesystem", "join_groups", "new_path", "rows_per_cell_salt", "selector", "shared_dir", "store", "text_or_empty"]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -43,3 +43,25 @@ def rows_per_cell_salt(total: int, rows_per_cell: int = 200_000, least: int = 16
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Groups up to this many are sent to every task; beyond it only those are that salt a shuffled join, which are fewer than SALTED.
+SENT_GROUPS, SALTED, GROUP_ROWS = 200_000, 100_000, 100_000
+
+
+def join_groups(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, how: str = "left") -> DataFrame:
+    """rows with the columns of facts, which has one row a group of keys and, in size, about how many of rows are in it. Null keys are equal. A group of any
+    size is dealt over many tasks: where facts are too many to be sent, rows of large groups are salted, and their facts copied for each salt."""
+    facts = store(facts, "facts")
+    groups, total = facts.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    named = facts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in facts.columns if c not in keys])
+    same = lambda a: [F.col(k).eqNullSafe(F.col(f"{a}_{k}")) for k in keys]
+    if groups <= SENT_GROUPS:
+        return rows.join(F.broadcast(named), same("_of"), how).drop(*[f"_of_{k}" for k in keys])
+    each = max(GROUP_ROWS, total // SALTED)  # so fewer than SALTED groups are larger
+    copies = F.greatest(F.ceil(F.col(size) / each), F.lit(1)).cast("int")
+    large = facts.where(F.col(size) > each).select(*[F.col(k).alias(f"_large_{k}") for k in keys], copies.alias("_copies"))
+    salted = rows.join(F.broadcast(large), same("_large"), "left").drop(*[f"_large_{k}" for k in keys])
+    salted = salted.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_copies", F.lit(1)).cast("long"))).drop("_copies")
+    named = named.withColumn("_as", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return salted.join(named, [*same("_of"), F.col("_salt") == F.col("_as")], how).drop("_salt", "_as", *[f"_of_{k}" for k in keys])

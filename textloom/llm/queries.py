@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import exact_dedup, html_text, packing, pieces, pii, sharding, simhash, topk, toxicity, warc
+from textloom.llm import exact_dedup, html_text, packing, pieces, pii, sharding, simhash, topk, toxicity, vector_codes, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -81,7 +81,33 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *named, toxic.alias("toxic"), (~toxic).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ring_sharding, op3_html_main_text, op4_pii_weak_supervision, op5_sentencepiece, op5_sentencepiece_turns, op6_warc_index, op7_exact_dedup, op8_exact_top_k, op9_simhash, op10_toxicity_chain)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ring_sharding, op3_html_main_text, op4_pii_weak_supervision, op5_sentencepiece, op5_sentencepiece_turns, op6_warc_index, op7_exact_dedup, op8_exact_top_k, op9_simhash, op10_toxicity_chain, op13_vector_codes)}
+
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of training, written out one after the other."""
+    width = f"(dim // {parts})"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, len(embedding) AS dim FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c AS MATERIALIZED (SELECT vec_id, (j - 1) // {width} AS p, (j - 1) % {width} AS i, q[j] AS x FROM (SELECT vec_id, q, dim, unnest(range(1, dim + 1)) AS j FROM v)),
+        b0 AS MATERIALIZED (SELECT p, r - 1 AS e, i, x FROM c JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM v) USING (vec_id) WHERE r <= {entries})"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"d{k} AS (SELECT c.vec_id, c.p, b.e, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS far FROM c JOIN b{k} b USING (p, i) GROUP BY ALL)")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, far * 256 + e) AS e, min(far) AS far FROM d{k} GROUP BY ALL)")
+        steps.append(f"m{k} AS (SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM c JOIN a{k} USING (vec_id, p) GROUP BY ALL)")
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, i, CASE WHEN m.n IS NULL THEN b.x ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS x FROM b{k} b LEFT JOIN m{k} m USING (p, e, i))")
+    return f"""WITH {", ".join(steps)},
+        f AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} JOIN v USING (vec_id) GROUP BY ALL)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256 FROM f"""
+
 
 ORACLE_SQL = {
     "op6_warc_index": """
@@ -103,4 +129,5 @@ ORACLE_SQL = {
               FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
+    "op13_vector_codes": vector_codes_sql(),
 }
