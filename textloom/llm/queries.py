@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import exact_dedup, html_text, packing, pieces, pii, sharding, simhash, topk, toxicity, vector_codes, warc
+from textloom.llm import exact_dedup, html_text, packing, pieces, pii, prefix_trie, sharding, simhash, topk, toxicity, vector_codes, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -81,13 +81,26 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *named, toxic.alias("toxic"), (~toxic).alias("kept"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.branched(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    nodes = prefix_trie.trie(turns, convs)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ring_sharding, op3_html_main_text, op4_pii_weak_supervision, op5_sentencepiece, op5_sentencepiece_turns, op6_warc_index, op7_exact_dedup, op8_exact_top_k, op9_simhash, op10_toxicity_chain, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ring_sharding, op3_html_main_text, op4_pii_weak_supervision, op5_sentencepiece, op5_sentencepiece_turns, op6_warc_index, op7_exact_dedup, op8_exact_top_k, op9_simhash, op10_toxicity_chain, op11_prefix_trie, op13_vector_codes)}
+
+
 
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII text, byte by byte and bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(ord(substr({text}, k, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {bits}), 4294967295)"
 
 
 def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
@@ -129,5 +142,17 @@ ORACLE_SQL = {
               FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
+    "op11_prefix_trie": f"""
+        WITH c AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS a FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h, a FROM c),
+        r AS (SELECT h.conv_id, list_concat(coalesce(b.a[1:h.h], []), h.a[h.h + 1:]) AS a FROM h LEFT JOIN c b ON b.conv_id = h.base),
+        p AS (SELECT conv_id, d, a[1:d] AS k, d = len(a) AS e FROM (SELECT conv_id, a, unnest(range(0, len(a) + 1)) AS d FROM r)),
+        n AS (SELECT d, k, k[1:d - 1] AS up, count(*) AS n, min(conv_id) AS conv_id, CASE WHEN d = 0 THEN 0 ELSE strlen(k[d].t) END AS bytes,
+                     coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE e), '') AS ends FROM p GROUP BY d, k),
+        kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+        f AS (SELECT n.*, coalesce(kids.n, 0) AS kids FROM n LEFT JOIN kids USING (d, k)),
+        s AS (SELECT j AS d, k[1:j] AS k, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * bytes) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM f) GROUP BY ALL)
+        SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN s USING (d, k) LEFT JOIN n u ON f.d > 0 AND u.d = f.d - 1 AND u.k = f.up""",
     "op13_vector_codes": vector_codes_sql(),
 }
