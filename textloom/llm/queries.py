@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import exact_dedup, html_text, packing, pieces, pii, prefix_trie, sharding, simhash, topk, toxicity, vector_codes, warc
+from textloom.llm import exact_dedup, html_text, packing, pieces, pii, prefix_trie, sharding, simhash, suffix_tree, topk, toxicity, vector_codes, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -87,12 +87,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ring_sharding, op3_html_main_text, op4_pii_weak_supervision, op5_sentencepiece, op5_sentencepiece_turns, op6_warc_index, op7_exact_dedup, op8_exact_top_k, op9_simhash, op10_toxicity_chain, op11_prefix_trie, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ring_sharding, op3_html_main_text, op4_pii_weak_supervision, op5_sentencepiece, op5_sentencepiece_turns, op6_warc_index, op7_exact_dedup, op8_exact_top_k, op9_simhash, op10_toxicity_chain, op11_prefix_trie, op12_suffix_tree, op13_vector_codes)}
 
 
 
