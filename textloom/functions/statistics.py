@@ -22,28 +22,61 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     return F.when(n > 0, F.greatest(F.lit(0.0), (mid - half) / d)), F.when(n > 0, F.least(F.lit(1.0), (mid + half) / d))
 
 
-def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
-    """P(X <= k), by the terms' ratio, from the logarithm of the first."""
-    first = F.struct((n * F.log1p(-p)).alias("log"), F.exp(n * F.log1p(-p)).alias("sum"))
-    step = lambda acc, i: F.struct(
-        (acc["log"] + F.log((n - i + 1) / i.cast("double")) + F.log(p) - F.log1p(-p)).alias("log"),
-        (acc["sum"] + F.exp(acc["log"] + F.log((n - i + 1) / i.cast("double")) + F.log(p) - F.log1p(-p))).alias("sum"),
-    )
-    terms = F.when(k >= 1, F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(terms, first, step, lambda acc: acc["sum"])
-
-
-def clopper_pearson_upper(k: Column, n: Column, alpha: float = 0.05, rounds: int = 60) -> Column:
-    """One-sided upper bound: the p at which P(X <= k) is alpha, by bisection; 1 for k >= n, null for n = 0."""
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-
-    def half(acc: Column, _: Column) -> Column:
-        mid = (acc["low"] + acc["high"]) / 2
-        over = binomial_cdf(k, n, mid) > alpha
-        return F.struct(F.when(over, mid).otherwise(acc["low"]).alias("low"), F.when(over, acc["high"]).otherwise(mid).alias("high"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, half, lambda acc: (acc["low"] + acc["high"]) / 2)
-    return F.when(n > 0, F.when(k >= n, F.lit(1.0)).otherwise(found))
+def beta_fraction(x: float, a: float, b: float) -> float:
+    """The continued fraction of the regularised incomplete beta function, for x under (a + 1) / (a + b + 2); it takes about the root of the larger of a and b steps."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0) or tiny)
+    found = d
+    for m in range(1, 10_000 + 10 * math.isqrt(int(max(a, b)))):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for step in (even, odd):
+            d = 1.0 / (1.0 + step * d or tiny)
+            c = 1.0 + step / c or tiny
+            found *= c * d
+        if abs(c * d - 1.0) < 1e-14:
+            break
+    return found
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    log = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    if x < (a + 1) / (a + b + 2):
+        return math.exp(log) * beta_fraction(x, a, b) / a
+    return 1 - math.exp(log) * beta_fraction(1 - x, b, a) / b
+
+
+def upper_bound(k: int, n: int, alpha: float) -> float | None:
+    """The p at which a binomial number of n is k at most with probability alpha."""
+    if n <= 0:
+        return None
+    if k >= n:
+        return 1.0
+    low, high = k / n, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if 1 - beta_share(middle, k + 1, n - k) > alpha else (low, middle)
+        if high - low < 1e-15:
+            break
+    return (low + high) / 2
+
+
+def clopper_pearson_upper(k: Column, n: Column, alpha: float = 0.05) -> Column:
+    """One-sided upper bound: the p at which P(X <= k) is alpha; 1 for k >= n, null for n = 0. Its work and memory do not grow with k but for the steps of a fraction."""
+
+    @F.arrow_udf(T.DoubleType())
+    def bound(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ks, ns in batches:
+            known: dict[tuple, float | None] = {}
+            pairs = list(zip(ks.to_pylist(), ns.to_pylist()))
+            for pair in set(pairs):
+                known[pair] = None if None in pair else upper_bound(*pair, alpha)
+            yield pa.array([known[p] for p in pairs], pa.float64())
+
+    return bound(k.cast("long"), n.cast("long"))
 
 
 @F.arrow_udf(T.DoubleType())

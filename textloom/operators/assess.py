@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from textloom.functions import statistics, tokens
 from textloom.operators import ranks
+from textloom.sources.shared import stored
 
 LANGUAGES = ("en", "it", "es")
 
 
 def calibration(rows: DataFrame, q: float = 0.99) -> DataFrame:
     """(bucket, human_score, n, threshold) of negatives: a row per distinct score and how often it comes, with its bucket's threshold."""
-    counted = rows.where(~F.col("positive") & F.col("score").isNotNull()).groupBy("bucket", F.col("score").alias("human_score")).agg(F.count("*").alias("n"))
-    limits = ranks.quantile(rows.where(~F.col("positive")), ["bucket"], "score", q, "threshold")
+    counted = stored(rows.where(~F.col("positive") & F.col("score").isNotNull()).groupBy("bucket", F.col("score").alias("human_score")).agg(F.count("*").alias("n")), "calibration")
+    limits = ranks.quantile_of_counts(counted, ["bucket"], "human_score", "n", q, "threshold")
     return counted.join(F.broadcast(limits), "bucket")  # a row per bucket
 
 
@@ -23,15 +24,16 @@ def tails(scores: DataFrame, humans: DataFrame) -> DataFrame:
     Equal scores are summed first, so no score is too frequent; buckets without humans are left out."""
     h = humans.where("score is not null").groupBy("bucket", "score").agg(F.sum("n").alias("n"))
     asked = scores.where("score is not null").select("bucket", "score").distinct().withColumn("n", F.lit(0).cast("long"))
-    points = h.unionByName(asked).groupBy("bucket", "score").agg(F.sum("n").alias("n"))
-    total = h.groupBy("bucket").agg(F.sum("n").alias("total"))
-    found = ranks.sum_below(points, ["bucket"], "score", "n").join(F.broadcast(total), "bucket")  # a row per bucket
-    return found.select("bucket", "score", (F.col("total") - F.col("below")).alias("tail_k"))
+    points = ranks.sum_below(h.unionByName(asked).groupBy("bucket", "score").agg(F.sum("n").alias("n")), ["bucket"], "score", "n")
+    total = points.groupBy("bucket").agg(F.sum("n").alias("total")).where("total > 0")
+    return points.join(F.broadcast(total), "bucket").select("bucket", "score", (F.col("total") - F.col("below")).alias("tail_k"))  # a row per bucket
 
 
 def assess(texts: DataFrame, calib: DataFrame, language: str = "language") -> DataFrame:
     """texts (words, language, sentences, score) with bucket, refused, human tail and verdict, by calibration()'s
-    table. Scores at or over the text's count to its tail; a verdict needs a score strictly over the threshold."""
+    table. Scores at or over the text's count to its tail; a verdict needs a score strictly over the threshold.
+
+    Texts and calibration are put in one order by bucket and score, texts before humans of an equal score, and one running sum tells each text how many humans are below it."""
     bucket = tokens.assess_bucket(F.col("words"))
     refused = (
         F.when(F.col("words") < tokens.BUCKETS[0][1], "too short")
@@ -39,10 +41,15 @@ def assess(texts: DataFrame, calib: DataFrame, language: str = "language") -> Da
         .when(F.col("sentences") < 2, "too few sentences")
     )
     rows = texts.withColumn("bucket", bucket).withColumn("refused", refused)
+    humans = calib.select("bucket", F.col("human_score").cast("double").alias("_score"), F.col("n").alias("_n"))
+    both = rows.select("bucket", F.col("score").cast("double").alias("_score"), F.lit(0).cast("long").alias("_n"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_text"))
+    both = both.unionByName(humans.withColumn("_text", F.lit(None).cast(both.schema["_text"].dataType)))
+    below = ranks.running(both, ["bucket"], ["_score", F.col("_text").isNotNull().desc()], {"_below": F.col("_n")}).where("_text is not null")
+    rows = below.select("_text.*", "_below")
     rows = rows.join(F.broadcast(calib.groupBy("bucket").agg(F.first("threshold").alias("threshold"), F.sum("n").alias("tail_n"))), "bucket", "left")  # a row per bucket
-    rows = rows.join(tails(rows.where("refused is null"), calib.select("bucket", F.col("human_score").alias("score"), "n")), ["bucket", "score"], "left")
     measured = F.col("refused").isNull()
-    rows = rows.withColumn("tail_k", F.when(measured, F.col("tail_k"))).withColumn("tail_n", F.when(measured, F.col("tail_n")))
+    tail = F.when(measured & F.col("score").isNotNull(), F.col("tail_n") - F.col("_below"))
+    rows = rows.withColumn("tail_k", tail).withColumn("tail_n", F.when(measured, F.col("tail_n"))).drop("_below")
     low, high = statistics.wilson(F.col("tail_k"), F.col("tail_n"))
     verdict = F.when(measured & F.col("threshold").isNotNull(), F.when(F.col("score") > F.col("threshold"), "machine-like").otherwise("no evidence"))
     return rows.withColumn("tail_low", low).withColumn("tail_high", high).withColumn("verdict", verdict)

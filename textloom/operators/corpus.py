@@ -51,29 +51,44 @@ def quota(rows: DataFrame, cells: list[str], genre: str, each: int, seed: str =
 
 def longest_open(rows: DataFrame, cell: str, genre: str, words: str, each: int, seed: str = "l", id_col: str = "doc_id") -> DataFrame:
     """rows that find a place, with bucket and pass. Taken in the order of a digest, a document goes to the longest bucket that it can fill and that is still open
-    for its cell and genre. As all that can fill a long bucket try it before any shorter one, that is: the first `each` of them get it, of
-    the rest the first of the next bucket, and so on. In a second pass what a genre lacks of a bucket is added to the room of the cell's other genres."""
-
-    def deal(left: DataFrame, room: DataFrame | None) -> DataFrame:
-        left = left.withColumn("bucket", F.lit(None).cast("string"))
-        for name, low, _ in reversed(BUCKETS):
-            left = ranks.numbered(left.withColumn("_able", F.col("bucket").isNull() & (F.col(words) >= low)), [cell, genre, "_able"], digest_of(seed, id_col), [id_col], "_rn")
-            if room is None:
-                limit = F.lit(each)
-            else:
-                left = left.join(F.broadcast(room.where(F.col("_in") == name).drop("_in")), [cell, genre], "left")
-                limit = F.coalesce("_room", F.lit(0))
-            left = left.withColumn("bucket", F.when(F.col("_able") & (F.col("_rn") <= limit), name).otherwise(F.col("bucket"))).drop("_able", "_rn", "_room")
-        return left
-
-    first = deal(rows, None)
-    genres = rows.select(cell, genre).distinct().withColumn("_in", F.explode(F.array(*[F.lit(b) for b, _, _ in BUCKETS])))
-    taken = first.where("bucket is not null").groupBy(cell, genre, F.col("bucket").alias("_in")).agg(F.count("*").alias("_n"))
-    lacks = genres.join(taken, [cell, genre, "_in"], "left").withColumn("_lacks", each - F.coalesce("_n", F.lit(0)))
-    whole = F.sum("_lacks").over(Window.partitionBy(cell, "_in"))
-    room = lacks.select(cell, genre, "_in", F.when(F.col("_lacks") == 0, whole).otherwise(F.lit(0)).alias("_room"))  # a row a cell, genre and bucket
-    second = deal(first.where("bucket is null").drop("bucket"), room)
-    return first.where("bucket is not null").withColumn("pass", F.lit(1)).unionByName(second.where("bucket is not null").withColumn("pass", F.lit(2)))
+    for its cell and genre. In a second pass what a genre lacks of a bucket is added to the room of the cell's other genres.
+
+    A pass needs one order. Up to a document, those that have asked for a bucket are those that can fill no longer one, and what the next longer bucket
+    had no room for; so running counts by longest bucket tell, row by row, where each document ends up."""
+    names = [b for b, _, _ in reversed(BUCKETS)]
+    longest = F.coalesce(*[F.when(F.col(words) >= low, F.lit(k)) for k, (_, low, _) in enumerate(reversed(BUCKETS))])
+    rows = rows.withColumns({"_longest": longest, "_digest": digest_of(seed, id_col)})
+
+    def counted(some: DataFrame) -> DataFrame:
+        """some with _up_k: how many so far, itself included, have their longest bucket at k."""
+        own = {f"_up_{k}": (F.col("_longest") == k).cast("long") for k in range(len(names))}
+        found = ranks.running(some, [cell, genre], ["_digest", id_col], own)
+        return found.withColumns({c: F.col(c) + F.coalesce(v, F.lit(0)) for c, v in own.items()})
+
+    def asked(room: list[Column]) -> list[Column]:
+        out = []
+        for k in range(len(names)):
+            over = F.greatest(out[k - 1] - room[k - 1], F.lit(0)) if k else F.lit(0)
+            out.append(F.col(f"_up_{k}") + over)
+        return out
+
+    def deal(some: DataFrame, room: list[Column]) -> DataFrame:
+        turns = [F.when((F.col("_longest") <= k) & (a <= r), name) for k, (name, a, r) in enumerate(zip(names, asked(room), room))]
+        return some.withColumn("bucket", F.coalesce(*turns))
+
+    all_open = [F.lit(each)] * len(names)
+    first = counted(rows)
+    lacking = lambda most: [F.greatest(each - a, F.lit(0)).alias(f"_lacks_{k}") for k, a in enumerate(most)]
+    lacks = first.groupBy(cell, genre).agg(*[F.max(f"_up_{k}").alias(f"_up_{k}") for k in range(len(names))]).select(cell, genre, *lacking(asked(all_open)))
+    whole = Window.partitionBy(cell)
+    room = [F.when(F.col(f"_lacks_{k}") == 0, F.sum(f"_lacks_{k}").over(whole)).otherwise(F.lit(0)).alias(f"_room_{k}") for k in range(len(names))]
+    room = lacks.select(F.col(cell).alias("_in_cell"), F.col(genre).alias("_in_genre"), *room)  # a row a cell and genre
+    first = deal(first, all_open).drop(*[f"_up_{k}" for k in range(len(names))])
+    left = first.where("bucket is null and _longest is not null").drop("bucket")
+    again = counted(left).join(F.broadcast(room), F.col(cell).eqNullSafe(F.col("_in_cell")) & F.col(genre).eqNullSafe(F.col("_in_genre")))
+    second = deal(again, [F.col(f"_room_{k}") for k in range(len(names))])
+    shown = [c for c in first.columns if c not in ("_longest", "_digest")]
+    return first.where("bucket is not null").select(*shown, F.lit(1).alias("pass")).unionByName(second.where("bucket is not null").select(*shown, F.lit(2).alias("pass")))
 
 
 def round_robin(rows: DataFrame, ways: int, order: str, by: list[str]) -> DataFrame:

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from textloom.functions import cleaning, statistics, tokens
 from textloom.operators import ranks
+from textloom.sources.shared import stored
 
 FPR_BOUND, LEAST_AUROC, LEAST_TPR, LEAST_CLASS = 0.02, 0.85, 0.5, 5
+#: Humans of a cell whose scores a calibration ships.
+CALIBRATION_HUMANS = 100
 
 
 def auroc(scores: DataFrame, keys: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
     """Mann-Whitney with average ranks, per group of keys; null if a class is empty. Equal scores are summed first, so a
     score shared by a third of all rows is one row, and the running sum cuts large groups into ranges."""
-    by_score = scores.groupBy(*keys, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("q"))
-    wins = ranks.sum_below(by_score, keys, score, "q").withColumn("wins", F.col("p") * (F.col("below") + F.col("q") / 2.0))
-    total = wins.groupBy(*keys).agg(F.sum("wins").alias("wins"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
-    return total.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("wins"), F.col("n_pos") * F.col("n_neg")).alias("auroc"))
+    return auroc_of_counts(score_counts(scores, keys, score, positive), keys, score)
+
+
+def score_counts(scores: DataFrame, keys: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
+    """(keys, score, p, q): how many of each class have a score."""
+    return scores.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+
+
+def auroc_of_counts(counts: DataFrame, keys: list[str], score: str = "score", sums: tuple[str, ...] = ()) -> DataFrame:
+    """auroc() of counts by score (keys, score, p, q), a row each; with the groups' totals of other columns."""
+    wins = ranks.sum_below(counts, keys, score, "q").withColumn("wins", F.col("p") * (F.col("below") + F.col("q") / 2.0))
+    total = wins.groupBy(*keys).agg(F.sum("wins").alias("wins"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), *[F.sum(c).alias(c) for c in sums])
+    return total.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("wins"), F.col("n_pos") * F.col("n_neg")).alias("auroc"), *sums)
 
 
 def seeded(seed: str, id_col: str) -> Column:
@@ -31,10 +48,9 @@ def split_half(rows: DataFrame, strata: list[str], id_col: str, most: int | None
     not given) `most` rows at most. Rows of which test_only holds are all test and count for no stratum."""
     apart = F.coalesce(test_only, F.lit(False)) if test_only is not None else F.lit(False)
     rows = rows.withColumn("_apart", apart)
-    sizes = rows.where("not _apart").groupBy(*strata).agg(F.count("*").alias("_size"))
-    group = F.struct(F.lit(0).alias("_"), *[F.col(k) for k in strata])
-    ranked = ranks.numbered(rows, [*strata, "_apart"], seeded(seed, id_col), [id_col], "_rn").withColumn("_stratum", group)
-    found = ranked.join(sizes.select(group.alias("_of"), "_size"), F.col("_stratum").eqNullSafe(F.col("_of")), "left")
+    ranked = ranks.numbered(rows, [*strata, "_apart"], seeded(seed, id_col), [id_col], "_rn").withColumn("_stratum", ranks.group_key(strata))
+    sizes = ranked.where("not _apart").groupBy(F.col("_stratum").alias("_of")).agg(F.count("*").alias("_size"))
+    found = ranked.join(sizes, F.col("_stratum") == F.col("_of"), "left")
     half = F.floor(F.col("_size") / 2)
     if most is not None:
         half = F.when(capped if capped is not None else F.lit(True), F.least(half, F.lit(most))).otherwise(half)
@@ -53,8 +69,12 @@ def rates(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
         F.sum((F.col("positive") & over).cast("long")).alias("tp"), F.sum((~F.col("positive") & over).cast("long")).alias("fp"),
         F.sum(F.col("positive").cast("long")).alias("n_pos"), F.sum((~F.col("positive")).cast("long")).alias("n_neg"),
     )
-    low, high = statistics.wilson(F.col("tp"), F.col("n_pos"))
-    return out.select("*", F.try_divide("tp", "n_pos").alias("tpr"), F.try_divide("fp", "n_neg").alias("fpr"), low.alias("tpr_low"), high.alias("tpr_high"), statistics.clopper_pearson_upper(F.col("fp"), F.col("n_neg")).alias("fpr_upper"))
+    return out.select("*", *[v.alias(c) for c, v in rates_of(*[F.col(c) for c in ("tp", "fp", "n_pos", "n_neg")]).items()])
+
+
+def rates_of(tp: Column, fp: Column, n_pos: Column, n_neg: Column) -> dict[str, Column]:
+    low, high = statistics.wilson(tp, n_pos)
+    return {"tpr": F.try_divide(tp, n_pos), "fpr": F.try_divide(fp, n_neg), "tpr_low": low, "tpr_high": high, "fpr_upper": statistics.clopper_pearson_upper(fp, n_neg)}
 
 
 def gate(auroc_low: Column, tpr: Column, fpr_upper: Column) -> tuple[Column, Column]:
@@ -70,19 +90,85 @@ def gate(auroc_low: Column, tpr: Column, fpr_upper: Column) -> tuple[Column, Col
 
 
 def bootstrap(scores: DataFrame, keys: list[str], replicates: int, id_col: str = "id") -> DataFrame:
-    """AUROC of each replicate: as many draws as there are rows of each class, by MD5 of key, class, replicate and draw, so that any engine draws the same."""
-    ordered = ranks.numbered(scores, [*keys, "positive"], seeded("o", id_col), [id_col], "_rn").withColumn("ordinal", (F.col("_rn") - 1).cast("long")).drop("_rn")
-    sizes = scores.groupBy(*keys, "positive").agg(F.count("*").alias("n"))
-    draws = ordered.join(sizes, [*keys, "positive"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    name = F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.col("positive").cast("int").cast("string"), F.col("rep").cast("string"), F.col("ordinal").cast("string"))
-    pick = F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long"), F.col("n"))
-    drawn = draws.select(*keys, "positive", "rep", pick.alias("ordinal"))
-    return auroc(drawn.join(ordered.select(*keys, "positive", "ordinal", "score"), [*keys, "positive", "ordinal"]), [*keys, "rep"])
+    """(keys, rep, auroc): AUROC of resampled rows, replicates from 0 on.
+
+    It is the histogram of scores that is resampled: in each replicate a score of n rows of a class comes as often as a Poisson number of mean n, drawn from the digest
+    of key, class and the smallest id among these rows, so that any engine draws the same. Each task turns the scores it holds, in order, into arrays of running counts over all
+    replicates, and gives three numbers a group and replicate; what moves is the distinct scores, and these."""
+    name = lambda c: F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.lit(c), F.min(F.when(F.col("positive") == (c == "1"), F.col(id_col))).cast("string"))
+    seed = lambda c: F.conv(F.substring(F.md5(name(c).cast("binary")), 1, 8), 16, 10).cast("long")
+    counts = scores.groupBy(*keys, "score").agg(F.count_if(F.col("positive")).alias("p"), F.count_if(~F.col("positive")).alias("q"), seed("1").alias("p_seed"), seed("0").alias("q_seed"))
+    counts = stored(counts.withColumn("_key", ranks.group_key(keys)), "bootstrap-scores")
+    dealt = counts.repartitionByRange("_key", "score").sortWithinPartitions("_key", "score")
+    lists = T.ArrayType(T.LongType())
+    schema = T.StructType([counts.schema["_key"], *[counts.schema[k] for k in keys], T.StructField("part", T.IntegerType()), *[T.StructField(c, lists) for c in ("p", "q", "wins")]])
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        part, draw = TaskContext.get().partitionId(), poisson_draws(replicates)
+        key, first, p, q, wins = None, None, None, None, None
+
+        def done():
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a))
+            return pa.RecordBatch.from_arrays([*first, pa.array([part], pa.int32()), one(p), one(q), one(wins)], names=schema.names)
+
+        for batch in batches:
+            names, numbers = batch.column("_key").to_pylist(), [batch.column(c).to_pylist() for c in ("p", "q", "p_seed", "q_seed")]
+            for i, (now, n_p, n_q, seed_p, seed_q) in enumerate(zip(names, *numbers)):
+                if now != key:
+                    if key is not None:
+                        yield done()
+                    key, first = now, [batch.column(c).slice(i, 1) for c in ("_key", *keys)]
+                    p, q, wins = (np.zeros(replicates, np.int64) for _ in range(3))
+                drawn_p, drawn_q = draw(n_p, seed_p), draw(n_q, seed_q)
+                wins += drawn_p * (2 * q + drawn_q)  # twice the pairs won, a tie being half a win
+                p, q = p + drawn_p, q + drawn_q
+        if key is not None:
+            yield done()
+
+    parts = dealt.mapInArrow(resample, schema)
+    each = parts.select("_key", *keys, "part", F.posexplode(F.arrays_zip("p", "q", "wins")).alias("rep", "r"))
+    lower = F.coalesce(F.sum("r.q").over(Window.partitionBy("_key", "rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = each.select("_key", *keys, "rep", "r.p", "r.q", (F.col("r.wins") + 2 * F.col("r.p") * lower).alias("wins"))
+    total = won.groupBy("_key", "rep").agg(*[F.first(k).alias(k) for k in keys], F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("wins").alias("wins"))
+    return total.select(*keys, "rep", F.try_divide(F.col("wins") / 2.0, F.col("p") * F.col("q")).alias("auroc"))
+
+
+def poisson_draws(replicates: int):
+    """draw(n, seed): that many Poisson numbers of mean n, from a hash of seed and replicate."""
+    import numpy as np
+
+    known: dict[int, tuple[int, object]] = {}
+    steps = np.arange(replicates, dtype=np.uint64) * np.uint64(0x9E3779B9)
+
+    def below(n: int):
+        """(least, P(X <= k) for k from least on): as far as 12 deviations."""
+        if n not in known:
+            reach = 12 * math.isqrt(n) + 20
+            least = max(0, n - reach)
+            k = np.arange(least, n + reach + 1)
+            log = -n + least * math.log(n) - math.lgamma(least + 1) + np.concatenate([[0.0], np.cumsum(np.log(n / k[1:]))])
+            known[n] = least, np.cumsum(np.exp(log))
+        return known[n]
+
+    def draw(n: int, seed: int | None):
+        if not n:
+            return np.zeros(replicates, np.int64)
+        h = (steps + np.uint64(seed)) & np.uint64(0xFFFFFFFF)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
+        h ^= h >> np.uint64(16)
+        least, cdf = below(n)
+        return least + np.searchsorted(cdf, h / 2.0**32, side="right")
+
+    return draw
 
 
 def interval(replicates: DataFrame, keys: list[str]) -> DataFrame:
     """The 2.5 and 97.5 per cent order statistics."""
-    ordered = replicates.groupBy(*keys).agg(F.sort_array(F.collect_list("auroc")).alias("a"))
+    ordered = replicates.where("auroc is not null").groupBy(*keys).agg(F.sort_array(F.collect_list("auroc")).alias("a"))
     n = F.size("a")
     at = lambda k: F.get("a", F.greatest(k.cast("int"), F.lit(0)))
     return ordered.select(*keys, at(F.floor(n * 0.025)).alias("auroc_low"), at(F.floor(n * 0.975) - 1).alias("auroc_high"))
@@ -104,13 +190,17 @@ def families(rows: DataFrame, generators: list[str]) -> DataFrame:
     return rows.select("*", F.explode(F.concat(*[F.coalesce(g, none) for g in groups])).alias("_g")).select(*rows.columns, "_g.*")
 
 
-def block(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: counts and, from five texts of each class on, AUROC and, where rows have a threshold, rates with their intervals."""
-    enough = (F.col("n_pos") >= LEAST_CLASS) & (F.col("n_neg") >= LEAST_CLASS)
-    known = rates(rows.where("threshold is not null"), keys)
-    shown = [c for c in known.columns if c not in (*keys, "n_pos", "n_neg")]
-    out = auroc(rows, keys).join(known.drop("n_pos", "n_neg"), keys, "left")
-    return out.select(*keys, "n_pos", "n_neg", *[F.when(enough, F.col(c)).alias(c) for c in ("auroc", *shown)])
+def block(rows: DataFrame, keys: list[str], n: str | None = None) -> DataFrame:
+    """Per group: counts and, from five texts of each class on, AUROC and, where rows have a threshold, rates with their intervals. n: a column that says for how many texts a row stands."""
+    many = F.col(n) if n else F.lit(1)
+    of = lambda when: F.sum(F.when(when, many).otherwise(0))
+    over, known = F.col("score") > F.col("threshold"), F.col("threshold").isNotNull()
+    sums = {"p": F.col("positive"), "q": ~F.col("positive"), "tp": F.col("positive") & over, "fp": ~F.col("positive") & over, "k_pos": F.col("positive") & known, "k_neg": ~F.col("positive") & known}
+    counts = rows.groupBy(*keys, "score").agg(*[of(when).alias(c) for c, when in sums.items()])
+    out = auroc_of_counts(counts, keys, sums=("tp", "fp", "k_pos", "k_neg"))
+    enough, some = (F.col("n_pos") >= LEAST_CLASS) & (F.col("n_neg") >= LEAST_CLASS), F.col("k_pos") + F.col("k_neg") > 0
+    shown = {"auroc": F.col("auroc")} | {c: F.when(some, v) for c, v in ({"tp": F.col("tp"), "fp": F.col("fp")} | rates_of(F.col("tp"), F.col("fp"), F.col("k_pos"), F.col("k_neg"))).items()}
+    return out.select(*keys, "n_pos", "n_neg", *[F.when(enough, v).alias(c) for c, v in shown.items()])
 
 
 def choose(candidates: DataFrame, prefer: str, margin: float = 0.005) -> DataFrame:
@@ -171,14 +261,19 @@ def paragraph_pairs(rows: DataFrame, before: str, after: str, least_words: int =
     return each.select(*rows.columns, "paragraph", "_p.original", "_p.rewrite").where(tokens.word_count(F.col("original")) >= least_words)
 
 
-def calibration_export(humans: DataFrame, limits: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row that assessments ship with: buckets and cells as maps. humans (bucket, score), limits (bucket, threshold), cells (cell, allowed, why, ...), a row each.
-    At most CALIBRATION_HUMANS of a bucket are shipped, which the caller's split sees to."""
-    tails = humans.where("score is not null").groupBy("bucket").agg(F.array_sort(F.collect_list("score")).alias("human_scores"))
+def calibration_export(humans: DataFrame, limits: DataFrame, cells: DataFrame, id_col: str = "id", most: int = CALIBRATION_HUMANS, seed: str = "c") -> DataFrame:
+    """One row that assessments ship with: buckets and cells as maps. humans (bucket, score, and cell and id if they have one), limits (bucket, threshold), cells (cell, allowed, why, ...), a row each.
+
+    At most `most` humans of a cell are shipped, the first by a digest of seed and id, so the row is as large as there are cells, whatever the corpus; a threshold is that of all of them.
+    allowed and why are the gate's, as given."""
+    by = id_col if id_col in humans.columns else "score"
+    order = Window.partitionBy("bucket", *[c for c in ("cell",) if c in humans.columns]).orderBy(seeded(seed, by), by)
+    shipped = humans.where("score is not null").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most)  # tasks keep `most` a cell before they shuffle
+    tails = shipped.groupBy("bucket").agg(F.array_sort(F.collect_list("score")).alias("human_scores"))
     entry = limits.join(tails, "bucket", "left").select("bucket", F.struct("threshold", F.coalesce("human_scores", F.array().cast("array<double>")).alias("human_scores")).alias("entry"))
     buckets = entry.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "entry")))).alias("buckets"))
     rest = F.struct(*[c for c in cells.columns if c != "cell"])
-    return buckets.join(cells.agg(F.map_from_entries(F.collect_list(F.struct("cell", rest.alias("entry")))).alias("cells")), F.lit(True), "inner")  # one row each
+    return buckets.join(cells.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cell", rest.alias("entry"))))).alias("cells")), F.lit(True), "inner")  # one row each
 
 
 def publish(export: DataFrame, path: str, verdicts_before: int, dry_run: bool = False) -> bool:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import cleaning, facts, marks, rewriting, spans, statistics, tokens
 from textloom.operators import assess, bench, corpus, evaluation
-from textloom.sources.shared import new_path
+from textloom.sources.shared import new_path, stored
 from textloom.streaming import counter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,14 +63,19 @@ def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("guess", guess).withColumn("share", share)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with labels: class positive (low quality) and a score, characters a word."""
-    rows = documents(spark, sf_dir).withColumn("score", F.length("text") / F.greatest("words", F.lit(1))).drop("text")
+def scored(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
+    """Documents with labels: class positive (low quality) and a score, characters a word; and other columns made from the text."""
+    rows = documents(spark, sf_dir).withColumns({"score": F.length("text") / F.greatest("words", F.lit(1)), **columns}).drop("text")
     return rows.join(read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), "doc_id").withColumn("positive", F.col("quality") == 0).withColumn("bucket", tokens.assess_bucket(F.col("words")))
 
 
-def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.split_half(scored(spark, sf_dir), ["lang", "bucket", "positive"], "doc_id")
+def slim(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
+    """scored(), written once for queries that go over it more often than once."""
+    return stored(scored(spark, sf_dir, **columns), "scored")
+
+
+def split(rows: DataFrame) -> DataFrame:
+    return evaluation.split_half(rows, ["lang", "bucket", "positive"], "doc_id")
 
 
 # ---- words, sentences, languages, buckets
@@ -315,12 +320,12 @@ def facts_rate(spark, sf_dir):
 
 @query(f"WITH {SCORED_SQL}, {SPLIT_SQL} SELECT doc_id, part FROM p")
 def split_calib_test(spark, sf_dir):
-    return split(spark, sf_dir).select("doc_id", "part")
+    return split(slim(spark, sf_dir)).select("doc_id", "part")
 
 
 @query(f"WITH {SCORED_SQL}, {SPLIT_SQL} SELECT bucket, round(quantile_cont(score, 0.99), 6) AS threshold, count(*) AS n FROM p WHERE part = 'calib' AND NOT positive GROUP BY bucket")
 def quantile_threshold(spark, sf_dir):
-    rows = split(spark, sf_dir).where("part = 'calib' and not positive")
+    rows = split(slim(spark, sf_dir)).where("part = 'calib' and not positive")
     sizes = rows.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n"))
     limits = evaluation.thresholds(rows, ["bucket"]).join(sizes, F.col("bucket").eqNullSafe(F.col("of")))
     return limits.select("bucket", r6("threshold").alias("threshold"), "n")
@@ -342,7 +347,8 @@ def eval_grouping_sets(spark, sf_dir):
     """Each row counts in its cell, its bucket and, but for short ones, its language; ranks are taken anew in each."""
     b = F.coalesce("bucket", F.lit("-"))
     keys = F.array_compact(F.array(F.concat(F.lit("cell:"), "lang", F.lit("/"), b), F.concat(F.lit("bucket:"), b), F.when(F.col("bucket") != "short", F.concat(F.lit("lang:"), "lang"))))
-    out = evaluation.auroc(scored(spark, sf_dir).withColumn("grouping_key", F.explode(keys)), ["grouping_key"])
+    counts = evaluation.score_counts(scored(spark, sf_dir), ["lang", "bucket"]).select("score", "p", "q", F.explode(keys).alias("grouping_key"))
+    out = evaluation.auroc_of_counts(counts.groupBy("grouping_key", "score").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), ["grouping_key"])
     enough = (F.col("n_pos") >= evaluation.LEAST_CLASS) & (F.col("n_neg") >= evaluation.LEAST_CLASS)
     return out.withColumn("auroc", r6(F.when(enough, F.col("auroc"))))
 
@@ -352,15 +358,15 @@ RATES_SQL = "r AS (SELECT lang, bucket, sum((positive AND score > threshold)::IN
 WILSON_SQL = "({0} / {1} + 1.9208 / {1} {2} 1.96 * sqrt({0} / {1} * (1 - {0} / {1}) / {1} + 0.9604 / ({1} * {1}))) / (1 + 3.8416 / {1})"
 
 
-def at_threshold(spark, sf_dir):
-    p = split(spark, sf_dir)
+def at_threshold(rows, p=None):
+    p = split(rows) if p is None else p
     limits = evaluation.thresholds(p.where("part = 'calib'"), ["bucket"], 0.9)
     return evaluation.rates(p.where("part = 'test'").join(F.broadcast(limits), "bucket"), ["lang", "bucket"])  # a row per bucket
 
 
 @query(f"""WITH {SCORED_SQL}, {SPLIT_SQL}, {THRESHOLD_SQL}, {RATES_SQL} SELECT lang, bucket, tp, fp, n_pos, n_neg, round(CASE WHEN n_pos > 0 THEN tp / n_pos END, 6) AS tpr, round(CASE WHEN n_neg > 0 THEN fp / n_neg END, 6) AS fpr FROM r""")
 def tpr_fpr_at_threshold(spark, sf_dir):
-    return at_threshold(spark, sf_dir).select("lang", "bucket", "tp", "fp", "n_pos", "n_neg", r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
+    return at_threshold(slim(spark, sf_dir)).select("lang", "bucket", "tp", "fp", "n_pos", "n_neg", r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
 
 
 @query(f"""WITH {SCORED_SQL}, c AS (SELECT lang, bucket, sum(positive::INT) AS k, count(*) AS n FROM s GROUP BY ALL)
@@ -371,28 +377,66 @@ def wilson_interval(spark, sf_dir):
     return c.select("lang", "bucket", "k", "n", r6(low).alias("low"), r6(high).alias("high"))
 
 
-@query()
+def upper_sql(k: str, n: str) -> str:
+    """The one-sided bound by bisection over the sum of the binomial's terms."""
+    terms = f"list_sum(list_transform(range({k} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln((a.lo + a.hi) / 2) + ({n} - i) * ln(1 - (a.lo + a.hi) / 2))))"
+    halved = f"CASE WHEN {terms} > 0.05 THEN {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} END"
+    found = f"list_reduce(list_transform(range(50), lambda i: {{'lo': 0.0::DOUBLE, 'hi': 1.0::DOUBLE}}), lambda a, b: {halved})"
+    return f"CASE WHEN {n} > 0 THEN CASE WHEN {k} >= {n} THEN 1.0 ELSE ({found}).lo END END"
+
+
+@query(f"""WITH {SCORED_SQL}, c AS (SELECT lang, bucket, CAST(sum(toxic::INT) AS BIGINT) AS k, count(*) AS n FROM s GROUP BY ALL) SELECT lang, bucket, k, n, round({upper_sql("k", "n")}, 6) AS upper FROM c""")
 def clopper_pearson_upper(spark, sf_dir):
     c = scored(spark, sf_dir).groupBy("lang", "bucket").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("k"), F.count("*").alias("n"))
     return c.select("lang", "bucket", "k", "n", r6(statistics.clopper_pearson_upper(F.col("k"), F.col("n"))).alias("upper"))
 
 
-@query()
-def cell_gate(spark, sf_dir):
-    cells = evaluation.bootstrap(scored(spark, sf_dir).select("lang", "bucket", "positive", "score", F.col("doc_id").alias("id")), ["lang", "bucket"], 40)
-    joined = at_threshold(spark, sf_dir).join(evaluation.interval(cells, ["lang", "bucket"]), ["lang", "bucket"], "left")
+REPLICATES = 2000
+
+
+def bootstrap_sql(*keys: str, rows: str = "s", replicates: int = REPLICATES) -> str:
+    """Ends in ba (keys, rep, auroc): the histogram of scores, a hash for each of its numbers and replicates, and the Poisson number whose interval it falls into."""
+    by, also = ", ".join(keys), "".join(f"{k}, " for k in keys)
+    steps = [f"xor(bh, bh >> 16) * {0x85EBCA6B}::UBIGINT & 4294967295::UBIGINT", f"xor(bh, bh >> 13) * {0xC2B2AE35}::UBIGINT & 4294967295::UBIGINT", "xor(bh, bh >> 16)"]
+    chain, of = [], "b2"
+    for i, step in enumerate(steps):
+        chain.append(f"b2{i} AS (SELECT * REPLACE ({step} AS bh) FROM {of})")
+        of = f"b2{i}"
+    return f"""b0 AS (SELECT {also}score, CAST(count_if(positive) AS BIGINT) AS p, CAST(count_if(NOT positive) AS BIGINT) AS q, min(doc_id) FILTER (positive) AS ip, min(doc_id) FILTER (NOT positive) AS iq FROM {rows} GROUP BY ALL),
+    b1 AS (SELECT {also}score, c, n, CAST('0x' || left(md5(concat_ws('-', {by}, c, id)), 8) AS UBIGINT) AS seed FROM (SELECT {also}score, 1 AS c, p AS n, ip AS id FROM b0 WHERE p > 0 UNION ALL SELECT {also}score, 0, q, iq FROM b0 WHERE q > 0)),
+    b2 AS (SELECT {also}score, c, n, rep, (seed + rep::UBIGINT * {0x9E3779B9}::UBIGINT) & 4294967295::UBIGINT AS bh FROM b1, range({replicates}) r(rep)), {", ".join(chain)},
+    bp AS (SELECT n, k, sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) - exp(-n + k * ln(n) - lgamma(k + 1)) AS least FROM (SELECT n, CAST(unnest(range(n + 12 * CAST(floor(sqrt(n)) AS BIGINT) + 21)) AS BIGINT) AS k FROM (SELECT DISTINCT n FROM b1))),
+    bd AS (SELECT {", ".join(f"x.{k}" for k in keys)}, x.score, x.rep, x.c, bp.k FROM {of} x ASOF JOIN bp ON x.n = bp.n AND x.bh / 4294967296.0 >= bp.least),
+    br AS (SELECT {also}rep, score, sum(CASE WHEN c = 1 THEN k ELSE 0 END) AS p, sum(CASE WHEN c = 0 THEN k ELSE 0 END) AS q FROM bd GROUP BY ALL),
+    bb AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY {also}rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM br),
+    ba AS (SELECT {also}rep, CASE WHEN sum(p) * sum(q) > 0 THEN sum(p * (below + q / 2.0)) / (sum(p) * sum(q)) END AS auroc FROM bb GROUP BY ALL)"""
+
+
+INTERVAL_SQL = "bi AS (SELECT {0}, l[CAST(floor(len(l) * 0.025) AS BIGINT) + 1] AS auroc_low, l[greatest(CAST(floor(len(l) * 0.975) AS BIGINT), 1)] AS auroc_high FROM (SELECT {0}, list_sort(list(auroc)) AS l FROM ba WHERE auroc IS NOT NULL GROUP BY ALL))"
+GATE_SQL = f"""g AS (SELECT r.*, auroc_low, CASE WHEN n_pos > 0 THEN tp / n_pos END AS tpr, {upper_sql("fp", "n_neg")} AS fpr_upper FROM r LEFT JOIN bi USING (lang, bucket)),
+    v AS (SELECT *, CASE WHEN auroc_low IS NULL OR tpr IS NULL OR fpr_upper IS NULL THEN 'not enough measured texts' WHEN auroc_low < 0.85 THEN 'AUROC lower bound under 0.85' WHEN tpr < 0.5 THEN 'the threshold catches under half of the positives'
+        WHEN fpr_upper > 0.02 THEN 'the false-positive rate could be over 2%' ELSE 'allowed' END AS why FROM g)"""
+GATES_SQL = f"""{SCORED_SQL}, {SPLIT_SQL}, {THRESHOLD_SQL}, {RATES_SQL}, {bootstrap_sql("lang", "bucket")}, {INTERVAL_SQL.format("lang, bucket")}, {GATE_SQL}"""
+
+
+def gated(rows, p=None):
+    """The gate's verdict on each cell, from 2,000 replicates and the rates of the test half."""
+    cells = evaluation.bootstrap(rows.select("lang", "bucket", "positive", "score", F.col("doc_id").alias("id")), ["lang", "bucket"], REPLICATES)
+    joined = at_threshold(rows, p).join(evaluation.interval(cells, ["lang", "bucket"]), ["lang", "bucket"], "left")
     allowed, why = evaluation.gate(F.col("auroc_low"), F.col("tpr"), F.col("fpr_upper"))
-    return joined.select("lang", "bucket", allowed.alias("allowed"), why.alias("why"))
+    return joined.withColumns({"allowed": allowed, "why": why})
 
 
-@query(f"""WITH {SCORED_SQL}, o AS (SELECT lang, positive, score, row_number() OVER (PARTITION BY lang, positive ORDER BY md5('o-' || doc_id), doc_id) - 1 AS ordinal, count(*) OVER (PARTITION BY lang, positive) AS n FROM s),
-    d AS (SELECT lang, positive, rep, CAST(('0x' || left(md5(lang || '-' || positive::INT || '-' || rep || '-' || ordinal), 8)) AS BIGINT) % n AS ordinal FROM o, range(10) t(rep)),
-    x AS (SELECT d.lang || '#' || d.rep AS g, d.lang, d.rep, o.score, o.positive FROM d JOIN o ON d.lang = o.lang AND d.positive = o.positive AND d.ordinal = o.ordinal),
-    k AS ({RANKED_SQL.format("g", "x")}), a AS (SELECT lang, rep, {AUROC_SQL} FROM k GROUP BY ALL)
-    SELECT lang, rep, round(CASE WHEN n1 * n0 > 0 THEN (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0) END, 6) AS auroc FROM a""")
+@query(f"WITH {GATES_SQL} SELECT lang, bucket, why = 'allowed' AS allowed, why, round(auroc_low, 6) AS auroc_low, round(fpr_upper, 6) AS fpr_upper FROM v")
+def cell_gate(spark, sf_dir):
+    return gated(slim(spark, sf_dir)).select("lang", "bucket", "allowed", "why", r6("auroc_low").alias("auroc_low"), r6("fpr_upper").alias("fpr_upper"))
+
+
+@query(f"WITH {SCORED_SQL}, {bootstrap_sql('lang')} SELECT lang, CAST(rep AS BIGINT) AS rep, round(auroc, 6) AS auroc FROM ba")
 def bootstrap_auroc(spark, sf_dir):
+    """2,000 replicates."""
     rows = scored(spark, sf_dir).select("lang", "positive", "score", F.col("doc_id").alias("id"))
-    return evaluation.bootstrap(rows, ["lang"], 10).select("lang", F.col("rep").cast("long").alias("rep"), r6("auroc").alias("auroc"))
+    return evaluation.bootstrap(rows, ["lang"], REPLICATES).select("lang", F.col("rep").cast("long").alias("rep"), r6("auroc").alias("auroc"))
 
 
 @query(f"""WITH {SCORED_SQL} SELECT lang, CAST(sum((a AND b)::INT) AS BIGINT) AS both, round(CASE WHEN pe >= 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM
@@ -427,7 +471,7 @@ def choose_detector(spark, sf_dir):
 @query(f"""WITH {SCORED_SQL}, {SPLIT_SQL}, h AS (SELECT bucket, quantile_cont(score, 0.9) AS t FROM p WHERE part = 'calib' AND NOT positive GROUP BY bucket)
     SELECT lang, bucket, sum((score > t)::INT)::BIGINT AS flagged, count(*) AS n FROM p JOIN h USING (bucket) WHERE part = 'test' AND NOT positive AND toxic = 1 GROUP BY ALL""")
 def learner_fpr(spark, sf_dir):
-    p = split(spark, sf_dir)
+    p = split(slim(spark, sf_dir))
     limits = evaluation.thresholds(p.where("part = 'calib'"), ["bucket"], 0.9)
     rows = p.where("part = 'test' and not positive and toxic = 1").join(F.broadcast(limits), "bucket")
     return rows.groupBy("lang", "bucket").agg(F.sum((F.col("score") > F.col("threshold")).cast("long")).alias("flagged"), F.count("*").alias("n"))
@@ -438,10 +482,8 @@ def learner_fpr(spark, sf_dir):
     SELECT doc_id, s.bucket, refused, CASE WHEN refused IS NULL THEN len(list_filter(hs, lambda v: v >= score)) END AS tail_k, CASE WHEN refused IS NULL AND t IS NOT NULL THEN CASE WHEN score > t THEN 'machine-like' ELSE 'no evidence' END END AS verdict
     FROM (SELECT s.*, CASE WHEN words < 40 THEN 'too short' WHEN lang NOT IN ('en', 'it', 'es') THEN 'language not measured' WHEN len(se) < 2 THEN 'too few sentences' END AS refused FROM s JOIN g0 USING (doc_id)) s LEFT JOIN h ON s.bucket = h.bucket""")
 def assess_verdict(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    sentences = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(tokens.sentences(F.col("text"))).alias("sentences"))
-    texts = rows.drop("bucket").join(sentences, "doc_id").withColumnRenamed("lang", "language")
-    return assess.assess(texts, assess.calibration(rows)).select("doc_id", "bucket", "refused", "tail_k", "verdict")
+    rows = slim(spark, sf_dir, sentences=F.size(tokens.sentences(F.col("text"))))
+    return assess.assess(rows.drop("bucket").withColumnRenamed("lang", "language"), assess.calibration(rows)).select("doc_id", "bucket", "refused", "tail_k", "verdict")
 
 
 @query(f"""WITH {SCORED_SQL} SELECT lang, count(*) AS n, count_if(toxic = 1 AND positive AND words <= 300) AS outside, round(count_if(toxic = 1 AND positive AND words <= 300) / count(*), 6) AS share FROM s GROUP BY lang""")
@@ -727,14 +769,21 @@ def rewriter_verdicts(spark, sf_dir):
     return df.groupBy(bench.verdict(F.col("v"), F.col("z")).alias("verdict")).agg(F.count_if(bench.marked(F.col("words"), F.col("z"))).alias("marked"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {GATES_SQL}, hm AS (SELECT *, row_number() OVER (PARTITION BY bucket, lang ORDER BY md5('c-' || doc_id), doc_id) AS rn FROM p WHERE part = 'calib' AND NOT positive AND bucket IS NOT NULL),
+    lm AS (SELECT bucket, round(quantile_cont(score, 0.99), 6) AS threshold, count_if(rn <= 100) AS n, round(sum(score) FILTER (rn <= 100), 6) AS total FROM hm GROUP BY bucket)
+    SELECT 'bucket' AS kind, bucket AS name, threshold, n, total, CAST(NULL AS BOOLEAN) AS allowed, CAST(NULL AS VARCHAR) AS why FROM lm
+    UNION ALL SELECT 'cell', lang || '/' || bucket, NULL, n_neg, NULL, why = 'allowed', why FROM v""")
 def calibration_export(spark, sf_dir):
-    """By length; a cell is allowed from 20 humans on."""
-    rows = split(spark, sf_dir).where("part = 'calib' and not positive and bucket is not null")
-    limits = evaluation.thresholds(rows, ["bucket"])
-    cells = rows.groupBy(F.concat_ws("/", "lang", "bucket").alias("cell")).agg(F.count("*").alias("n_human")).withColumn("allowed", F.col("n_human") >= 20)
-    out = evaluation.calibration_export(rows.select("bucket", "score"), limits.select("bucket", "threshold"), cells)
-    return out.select(F.to_json("buckets").alias("buckets"), F.to_json("cells").alias("cells"))
+    """The row that assessments ship with, unfolded: its buckets' thresholds and scores, at most 100 of each language, and what the gate says of its cells."""
+    rows = slim(spark, sf_dir)
+    p = split(rows)
+    humans = p.where("part = 'calib' and not positive and bucket is not null").select("bucket", F.col("lang").alias("cell"), "score", F.col("doc_id").alias("id"), "positive")
+    cells = gated(rows, p).select(F.concat_ws("/", "lang", "bucket").alias("cell"), "allowed", "why", F.col("n_neg").alias("n_human"))
+    out = evaluation.calibration_export(humans, evaluation.thresholds(humans, ["bucket"]), cells)
+    none = F.lit(None)
+    b = out.select(F.explode("buckets").alias("name", "e")).select(F.lit("bucket").alias("kind"), "name", r6("e.threshold").alias("threshold"), F.size("e.human_scores").cast("long").alias("n"), r6(F.aggregate("e.human_scores", F.lit(0.0), lambda x, y: x + y)).alias("total"), none.cast("boolean").alias("allowed"), none.cast("string").alias("why"))
+    c = out.select(F.explode("cells").alias("name", "e")).select(F.lit("cell").alias("kind"), "name", none.cast("double").alias("threshold"), F.col("e.n_human").alias("n"), none.cast("double").alias("total"), F.col("e.allowed").alias("allowed"), F.col("e.why").alias("why"))
+    return b.unionByName(c)
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from textloom.functions import cleaning, marks, registry, rewriting, spans, tokens
 from textloom.operators import assess, bench, corpus, evaluation, runs
 from textloom.plans.catalogue import (
-    AUROC_SQL, LETTERS, RANKED_SQL, SCORED_SQL, SENTENCES_SQL, SPLIT_SQL, WORDS_SQL, at_threshold, documents, query, r6, read, scored, split,
+    AUROC_SQL, INTERVAL_SQL, LETTERS, RANKED_SQL, REPLICATES, SCORED_SQL, SENTENCES_SQL, SPLIT_SQL, WORDS_SQL, at_threshold, bootstrap_sql, documents, query, r6, read, scored, slim, split,
 )
 from textloom.sources import reports, requests
 from textloom.streaming import counter
@@ -33,13 +33,20 @@ FAMILY_SQL = f"""kd AS (SELECT *, {KIND_SQL} AS kind, 'g' || (doc_id % 2) AS gen
 
 def judged(spark, sf_dir):
     """The test half with kinds, genres and thresholds: every fifth low-quality document stands for a rewritten one."""
-    p = split(spark, sf_dir)
+    p = split(slim(spark, sf_dir))
     limits = evaluation.thresholds(p.where("part = 'calib'"), ["bucket"], 0.9)
     kind = F.when(~F.col("positive"), "human").when(F.col("doc_id") % 5 == 0, "rewritten").otherwise("ai")
     rows = p.where("part = 'test'").withColumns({"kind": kind, "genre": F.concat(F.lit("g"), (F.col("doc_id") % 2).cast("string")), "generator": F.col("source")})
     return rows.join(F.broadcast(limits), "bucket", "left")  # a row a bucket
 
 
+def family_blocks(spark, sf_dir):
+    """All families from one table of counts by finest group and score."""
+    finest = judged(spark, sf_dir).groupBy("kind", "lang", "bucket", "generator", "genre", "positive", "threshold", "score").agg(F.count("*").alias("n"))
+    grouped = evaluation.families(finest, GENERATORS)
+    return evaluation.block(grouped.withColumn("threshold", F.when(F.col("by_threshold"), F.col("threshold"))), ["family", "of"], "n")
+
+
 @query(f"""WITH {SCORED_SQL}, {SPLIT_SQL}, {FAMILY_SQL}, k AS ({RANKED_SQL.format("g", "fg")}),
     a AS (SELECT family, of, {AUROC_SQL}, count_if(positive AND score > threshold) AS tp, count_if(NOT positive AND score > threshold) AS fp, count(threshold) AS nt FROM k GROUP BY family, of)
     SELECT family, of, CAST(n1 AS BIGINT) AS n_pos, CAST(n0 AS BIGINT) AS n_neg, round(CASE WHEN n1 >= 5 AND n0 >= 5 THEN (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0) END, 6) AS auroc,
@@ -47,23 +54,15 @@ def judged(spark, sf_dir):
     round(CASE WHEN n1 >= 5 AND n0 >= 5 AND nt > 0 THEN tp / n1 END, 6) AS tpr, round(CASE WHEN n1 >= 5 AND n0 >= 5 AND nt > 0 THEN fp / n0 END, 6) AS fpr FROM a""")
 def eval_families(spark, sf_dir):
     """The evaluation block by all six families of groups."""
-    grouped = evaluation.families(judged(spark, sf_dir), GENERATORS)
-    found = evaluation.block(grouped.withColumn("threshold", F.when(F.col("by_threshold"), F.col("threshold"))), ["family", "of"])
+    found = family_blocks(spark, sf_dir)
     return found.select("family", "of", "n_pos", "n_neg", r6("auroc").alias("auroc"), "tp", "fp", r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
 
 
-REPLICATES = 2000
-
-
-@query(f"""WITH {SCORED_SQL}, o AS (SELECT lang, positive, score, row_number() OVER (PARTITION BY lang, positive ORDER BY md5('o-' || doc_id), doc_id) - 1 AS ordinal, count(*) OVER (PARTITION BY lang, positive) AS n FROM s),
-    d AS (SELECT lang, positive, rep, CAST(('0x' || left(md5(lang || '-' || positive::INT || '-' || rep || '-' || ordinal), 8)) AS BIGINT) % n AS ordinal FROM o, range({REPLICATES}) t(rep)),
-    x AS (SELECT d.lang || '#' || d.rep AS g, d.lang, d.rep, o.score, o.positive FROM d JOIN o ON d.lang = o.lang AND d.positive = o.positive AND d.ordinal = o.ordinal),
-    k AS ({RANKED_SQL.format("g", "x")}), a AS (SELECT lang, rep, {AUROC_SQL} FROM k GROUP BY ALL), v AS (SELECT lang, list_sort(list((r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0))) AS l FROM a WHERE n1 * n0 > 0 GROUP BY lang)
-    SELECT lang, round(l[{int(0.025 * REPLICATES)} + 1], 6) AS auroc_low, round(l[{int(0.975 * REPLICATES)}], 6) AS auroc_high FROM v""")
+@query(f"WITH {SCORED_SQL}, {bootstrap_sql('lang')}, {INTERVAL_SQL.format('lang')} SELECT lang, round(auroc_low, 6) AS auroc_low, round(auroc_high, 6) AS auroc_high FROM bi")
 def bootstrap_interval(spark, sf_dir):
     """The 51st and 1950th of 2,000 resampled AUROCs."""
     rows = scored(spark, sf_dir).select("lang", "positive", "score", F.col("doc_id").alias("id"))
-    found = evaluation.interval(evaluation.bootstrap(rows, ["lang"], REPLICATES).where("auroc is not null"), ["lang"])
+    found = evaluation.interval(evaluation.bootstrap(rows, ["lang"], REPLICATES), ["lang"])
     return found.select("lang", r6("auroc_low").alias("auroc_low"), r6("auroc_high").alias("auroc_high"))
 
 
@@ -78,8 +77,7 @@ def split_capped(spark, sf_dir):
 @query()
 def eval_tables(spark, sf_dir):
     """The report's tables as lines."""
-    grouped = evaluation.families(judged(spark, sf_dir), GENERATORS)
-    found = evaluation.block(grouped.withColumn("threshold", F.when(F.col("by_threshold"), F.col("threshold"))), ["family", "of"])
+    found = family_blocks(spark, sf_dir)
     lines = reports.cell_table(found) + reports.side_table(found, "rewritten") + reports.side_table(found, "generator") + reports.side_table(found, "genre")
     return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
 
@@ -93,10 +91,8 @@ WRITERS = [("en", "medium", 2, 130, 2 / 130, 0.059)]
     SELECT doc_id, coalesce(r0, CASE WHEN NOT coalesce(allowed, FALSE) THEN 'cell not allowed: ' || coalesce(why, 'not measured') END) AS refused, r0 IS NULL AND coalesce(allowed, FALSE) AS judged FROM r LEFT JOIN c USING (lang, bucket)""")
 def assess_cells(spark, sf_dir):
     """Verdicts are given in cells that allow it."""
-    rows = scored(spark, sf_dir)
-    sentences = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(tokens.sentences(F.col("text"))).alias("sentences"))
-    texts = rows.drop("bucket").join(sentences, "doc_id").withColumnRenamed("lang", "language")
-    return told(spark, texts, rows).select("doc_id", "refused", F.col("verdict").isNotNull().alias("judged"))
+    rows = slim(spark, sf_dir, sentences=F.size(tokens.sentences(F.col("text"))))
+    return told(spark, rows.drop("bucket").withColumnRenamed("lang", "language"), rows).select("doc_id", "refused", F.col("verdict").isNotNull().alias("judged"))
 
 
 def told(spark, texts, rows):
@@ -107,9 +103,8 @@ def told(spark, texts, rows):
 
 @query()
 def assess_sentences(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    sentences = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(tokens.sentences(F.col("text"))).alias("sentences"))
-    found = told(spark, rows.drop("bucket").join(sentences, "doc_id").withColumnRenamed("lang", "language"), rows)
+    rows = slim(spark, sf_dir, sentences=F.size(tokens.sentences(F.col("text"))))
+    found = told(spark, rows.drop("bucket").withColumnRenamed("lang", "language"), rows)
     return found.select("doc_id", assess.spoken(found).alias("said"))
 
 
