@@ -117,7 +117,7 @@ def scores_by_hand(docs, folds=10, depth=2, least=8, gain=4.0, prior=16.0):
         new = {}
         for context, counts in after[size].items():
             total = sum(counts.values())
-            rounded = lambda w, c=context: 10 ** (-round(-1000 * math.log10(p(c[1:], w))) / 1000)
+            rounded = lambda w, c=context: 10 ** (-round(-100 * math.log10(p(c[1:], w))) / 100)
             if total >= least and sum(k * math.log((k - 1 + prior * rounded(w)) / ((total - 1 + prior) * rounded(w))) for w, k in counts.items()) > gain:
                 new[context] = counts
         kept |= new

@@ -28,8 +28,10 @@ from textloom.llm.common import filesystem, new_path, selector, store
 
 DEPTH, LEAST, GAIN, PRIOR = 2, 8, 4.0, 16.0
 ALPHA = 0.1
+#: In the divergence test, probabilities of suffixes are rounded to so many steps a power of ten.
+LOG_STEPS = 100
 #: Words in a chunk, unless one text has more; words a bucket of a level.
-CHUNK_WORDS, BUCKET_WORDS = 2_500_000, 2_000_000
+CHUNK_WORDS, BUCKET_WORDS = 1_250_000, 1_000_000
 #: Contexts of more occurrences are split, or, if they are more, of those beyond a part in SPLIT_MOST of all words, so that there are fewer than SPLIT_MOST of them.
 SPLIT, SPLIT_MOST = 200_000, 4_000_000
 CHUNKS = "part int, chunk long, n_words long, n_train long, n_listed long, ids array<long>, docs binary, words binary, codes binary"
@@ -44,7 +46,7 @@ def frozen(*arrays) -> bytes:
     head, bodies = [], []
     for a in arrays:
         planes = np.ascontiguousarray(np.ascontiguousarray(a).view("u1").reshape(len(a), a.itemsize).T).tobytes()
-        bodies.append(pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+        bodies.append(pa.Codec("zstd", 3).compress(planes, asbytes=True) if planes else b"")
         head += [len(a), len(bodies[-1])]
     return np.array(head, "<i8").tobytes() + b"".join(bodies)
 
@@ -61,6 +63,62 @@ def thawed(blob: bytes, *kinds: str) -> list:
     return out
 
 
+def with_steps(values, starts):
+    """Ascending runs as their first values and steps."""
+    import numpy as np
+
+    steps = np.diff(values, prepend=values[:1])
+    steps[starts] = values[starts]
+    return steps
+
+
+def without_steps(steps, starts):
+    import numpy as np
+
+    up = np.cumsum(steps, dtype=steps.dtype)
+    return up - np.repeat(up[starts] - steps[starts], np.diff(np.append(starts, len(steps))))
+
+
+def stepped(columns: list) -> list:
+    """Columns of rows in ascending order: each as steps wherever those before it stay."""
+    import numpy as np
+
+    out, new = [], np.arange(len(columns[0])) == 0
+    for c in columns:
+        out.append(with_steps(c, np.flatnonzero(new)))
+        new = new | changes(c)
+    return out
+
+
+def unstepped(columns: list) -> list:
+    import numpy as np
+
+    out, new = [], np.arange(len(columns[0])) == 0
+    for c in columns:
+        out.append(without_steps(c, np.flatnonzero(new)))
+        new = new | changes(out[-1])
+    return out
+
+
+def changes(x):
+    """Where a value differs from the one before it, and at the first."""
+    import numpy as np
+
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def context_of(words: list):
+    """A hash of the numbers of a context's words."""
+    import numpy as np
+
+    out = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) + np.uint64(1))
+    return out
+
+
 def mixed(x):
     """A 64-bit hash of 64-bit numbers."""
     import numpy as np
@@ -127,11 +185,11 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, chunk_words
     return docs.select(key, F.col(text_col).cast("string"), held).mapInArrow(read, CHUNKS)
 
 
-def grouped_by(bucket):
-    """(order of entries by bucket, [(bucket, first, end)])."""
+def grouped_by(bucket, *values):
+    """(order of entries by bucket and values, [(bucket, first, end)])."""
     import numpy as np
 
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((*values[::-1], bucket)) if values else np.argsort(bucket, kind="stable")
     found = bucket[order]
     starts = np.flatnonzero(np.diff(found, prepend=-1))
     return order, list(zip(found[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(found)]))
@@ -151,29 +209,29 @@ def ask_words(buckets: int):
         for batch in batches:
             for part, chunk, words in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes, counts = thawed(words, "<u8", "<i8")
-                order, cuts = grouped_by((hashes % np.uint64(buckets)).astype(int))
-                yield batch_of([(b, part, chunk, frozen(hashes[order[low:high]], counts[order[low:high]])) for b, low, high in cuts], ASKED)
+                order, cuts = grouped_by((hashes % np.uint64(buckets)).astype(int), hashes)
+                yield batch_of([(b, part, chunk, frozen(with_steps(hashes[order[low:high]], [0]), counts[order[low:high]])) for b, low, high in cuts], ASKED)
 
     return ask
 
 
-def answer_words(buckets: int):
-    """For each word asked for its training count and a number, small if it is frequent. gain has a bucket's words that are in training texts, once."""
+def answer_words():
+    """For each word asked for its training count and its rank in the bucket, the most frequent first. gain has a bucket's words that are in training texts, once."""
 
     def answer(asked: pa.Table) -> pa.Table:
         import numpy as np
 
         rows = asked.to_pylist()
-        hashes, counts = zip(*(thawed(r["asked"], "<u8", "<i8") for r in rows))
+        steps, counts = zip(*(thawed(r["asked"], "<u8", "<i8") for r in rows))
+        hashes = [np.cumsum(x, dtype=x.dtype) for x in steps]
         found, at = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype("<i8")
-        number = np.empty(len(found), "<i8")
-        number[np.argsort(-total, kind="stable")] = np.arange(len(found))
-        number = number * buckets + rows[0]["bucket"]
+        rank = np.empty(len(found), "<i8")
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(found))
         out, low = [], 0
         for r, h in zip(rows, hashes):
             own, low = at[low : low + len(h)], low + len(h)
-            out.append((r["part"], r["chunk"], r["bucket"], frozen(total[own], number[own]), None, None))
+            out.append((r["part"], r["chunk"], r["bucket"], frozen(total[own], rank[own]), None, None))
         out.append((-1, -1, rows[0]["bucket"], None, None, float((total > 0).sum())))
         return pa.Table.from_batches([batch_of(out, ANSWERS)])
 
@@ -188,16 +246,22 @@ class Chunk:
 
         self.model, self.part, self.chunk = model, row["part"], row["chunk"]
         self.sizes, self.out = thawed(row["docs"], "<i8", "u1")
-        (codes,) = thawed(row["codes"], "<i4")
-        self.codes, (hashes, _) = codes.astype(np.int64), thawed(row["words"], "<u8", "<i8")
+        (codes,), (hashes, _) = thawed(row["codes"], "<i4"), thawed(row["words"], "<u8", "<i8")
         self.first = np.cumsum(self.sizes) - self.sizes
         self.inside = np.ones(len(codes), bool)
         self.inside[self.first] = False
         self.trained = np.repeat(self.out == 0, self.sizes)
-        order, _ = grouped_by((hashes % np.uint64(model["word_buckets"])).astype(int))
-        self.count, self.number = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        bucket = (hashes % np.uint64(model["word_buckets"])).astype(int)
+        order, _ = grouped_by(bucket, hashes)
         got = [thawed(a, "<i8", "<i8") for a in self.told(answers[0])]
-        self.count[order], self.number[order] = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        count, number = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        count[order], number[order] = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        number = number * model["word_buckets"] + bucket  # a word's number in all chunks, small if it is frequent
+        # Words by their numbers, so that whatever is in order here is so for all.
+        order = np.argsort(number)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.codes, self.count, self.number = rank[codes], count[order], number[order]
         self.p = (self.count[self.codes] + ALPHA) / (model["n"] + ALPHA * (model["v"] + 1))
         self.base = self.p.copy()
         self.gram, self.seen, self.level = self.codes, self.count[self.codes], 0
@@ -218,7 +282,7 @@ class Chunk:
         return [a for _, a in sorted(found, key=lambda x: x[0])]
 
     def ask(self):
-        """The next level's pairs: sets places, pair (of each place) and the pairs' facts, ordered by bucket."""
+        """The next level's pairs: sets places, pair (of each place) and the pairs' facts, ordered by bucket, context and next word."""
         import numpy as np
 
         self.level += 1
@@ -226,30 +290,29 @@ class Chunk:
         self.places = np.flatnonzero(self.inside & (before >= 0) & (seen >= self.model["least"]))
         key = before[self.places] * len(self.count) + self.codes[self.places]
         _, first, self.pair = np.unique(key, return_index=True, return_inverse=True)
-        at = self.places[first]  # a place of each pair
-        context = np.zeros(len(at), np.uint64)
-        for back in range(1, self.level + 1):
-            context = mixed(context + mixed(self.number[self.codes[at - back]]) + np.uint64(back))
-        following, n = self.number[self.codes[at]], seen[at]
+        at = self.places[first]  # a place of each pair; pairs are in the order of their words' numbers
+        words = [self.number[self.codes[at - back]] for back in range(self.level, 0, -1)]
+        context, following, n = context_of(words), self.number[self.codes[at]], seen[at]
         pieces = -(-n // self.model["split"])
-        bucket = (mixed(context + (following % np.maximum(pieces, 1)).astype(np.uint64)) % np.uint64(self.model["buckets"])).astype(int)
-        order, self.cuts = grouped_by(bucket)
-        self.order, self.n = order, n
+        bucket = (mixed(context + (following % np.maximum(pieces, 1)).astype(np.uint64)) % np.uint64(self.model["buckets"])).astype(np.int32)
+        self.order, self.cuts = grouped_by(bucket)
         count = np.bincount(self.pair, weights=self.trained[self.places], minlength=len(at)).astype(np.int64)
-        dear = np.clip(np.round(-1000 * np.log10(self.p[at])), 0, 32767).astype("<i2")
-        self.asked = [x[order] for x in (context, n, following, count, dear)]
-        self.starts = np.flatnonzero((np.diff(bucket[order], prepend=-1) != 0) | (np.diff(self.asked[0], prepend=np.uint64(0)) != 0) | (np.arange(len(order)) == 0))
+        dear = np.clip(np.round(-LOG_STEPS * np.log10(self.p[at])), 0, 32767).astype("<i2")
+        self.n, self.words = n, [w[self.order] for w in words]
+        self.context, self.following, self.asked_n, self.asked_count, self.dear = (x[self.order] for x in (context, following, n, count, dear))
+        self.starts = np.flatnonzero((np.diff(bucket[self.order], prepend=-1) != 0) | changes(self.context))
 
     def questions(self) -> list[tuple]:
         import numpy as np
 
         self.ask()
-        context, n, following, count, dear = self.asked
-        out, ends = [], np.append(self.starts, len(context))
+        out, ends = [], np.append(self.starts, len(self.context))
         for b, low, high in self.cuts:
             i, j = np.searchsorted(self.starts, (low, high))
             runs = self.starts[i:j]
-            out.append((b, self.part, self.chunk, frozen(context[runs], n[runs], np.diff(ends[i : j + 1]).astype("<i4"), following[low:high], count[low:high], dear[low:high])))
+            large = np.where(self.asked_n[runs] > self.model["split"], self.asked_n[runs], 0)
+            facts = (np.diff(ends[i : j + 1]).astype("<i4"), large, with_steps(self.following[low:high], runs - low), self.asked_count[low:high], self.dear[low:high])
+            out.append((b, self.part, self.chunk, frozen(*stepped([w[runs] for w in self.words]), *facts)))
         return out
 
     def step(self, path: str, retained) -> None:
@@ -263,8 +326,8 @@ class Chunk:
         if got:
             total[self.order] = np.concatenate([g[0] for g in got])
             runs = np.concatenate([g[1] for g in got]).astype(bool)
-            large = self.asked[1][self.starts] > self.model["split"]
-            runs[large] = np.isin(self.asked[0][self.starts][large], retained)
+            large = self.asked_n[self.starts] > self.model["split"]
+            runs[large] = np.isin(self.context[self.starts][large], retained)
             kept[self.order] = np.repeat(runs, np.diff(np.append(self.starts, len(self.order))))
         prior = self.model["prior"]
         at = kept[self.pair]
@@ -282,32 +345,35 @@ def gain_of(total, n, p, prior: float):
     return total * np.log((seen - 1 + prior * p) / ((n - 1 + prior) * p))
 
 
-def answer_pairs(model: dict):
+def answer_pairs(model: dict, level: int):
     """For each pair asked for its training count, for each context whether it is retained. Contexts that are split get their part of the gain instead."""
 
     def answer(asked: pa.Table) -> pa.Table:
         import numpy as np
 
         rows = asked.to_pylist()
-        got = [thawed(r["asked"], "<u8", "<i8", "<i4", "<i8", "<i8", "<i2") for r in rows]
+        got = []
+        for r in rows:
+            *words, lengths, n, steps, count, dear = thawed(r["asked"], *["<i8"] * level, "<i4", "<i8", "<i8", "<i8", "<i2")
+            got.append((context_of(unstepped(words)), n, lengths, without_steps(steps, np.cumsum(lengths) - lengths), count, dear))
         runs, n, lengths, following, count, dear = (np.concatenate([g[k] for g in got]) for k in range(6))
         context = np.repeat(runs, lengths)
         order = np.lexsort((following, context))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(context[order]) != 0) | (np.diff(following[order]) != 0)
+        new = changes(context[order]) | changes(following[order])
         starts = np.flatnonzero(new)
         total = np.add.reduceat(count[order], starts)
         pair = np.empty(len(order), np.int64)
         pair[order] = np.cumsum(new) - 1
         at = order[starts]
-        gains = gain_of(total, np.repeat(n, lengths)[at], 10.0 ** (dear[at] / -1000.0), model["prior"])
-        heads = np.flatnonzero(np.diff(context[at], prepend=np.uint64(0)) != 0) if len(at) else np.array([], int)
-        if len(at) and (not len(heads) or heads[0] != 0):
-            heads = np.insert(heads, 0, 0)
+        heads = np.flatnonzero(changes(context[at]))
+        # A context's occurrences: what is here of it, unless it is split; then chunks say.
+        sums, large = np.add.reduceat(total, heads), np.repeat(n, lengths)[at]
+        size = np.where(large > 0, large, np.repeat(sums, np.diff(np.append(heads, len(at)))))
+        gains = gain_of(total, size, 10.0 ** (dear[at] / -LOG_STEPS), model["prior"])
         gain, of = np.add.reduceat(gains, heads), context[at][heads]
         retained = gain > model["gain"]
         known = retained[np.searchsorted(of, runs)].astype("u1")
-        large, where = np.unique(runs[n > model["split"]]), rows[0]["bucket"]
+        large, where = np.unique(runs[n > 0]), rows[0]["bucket"]
         out = [(-1, -1, where, None, int(c), float(g)) for c, g in zip(large.astype(np.int64), gain[np.searchsorted(of, large)])]
         low, first = 0, 0
         for r, g in zip(rows, got):
@@ -337,11 +403,11 @@ def score(
     if not words:
         return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     model = {"least": least, "gain": gain, "prior": prior, "n": n, "split": max(split, n // SPLIT_MOST), "buckets": -(-words // bucket_words), "word_buckets": -(-listed // bucket_words), "retained": []}
-    told, path = exchanged(chunks.select("part", "chunk", "words").mapInArrow(ask_words(model["word_buckets"]), ASKED), answer_words(model["word_buckets"]), "tree-words")
+    told, path = exchanged(chunks.select("part", "chunk", "words").mapInArrow(ask_words(model["word_buckets"]), ASKED), answer_words(), "tree-words")
     model["v"] = int(told.where("part = -1").agg(F.coalesce(F.sum("gain"), F.lit(0))).first()[0])
     answers = [path]
-    for _ in range(depth):
-        told, path = exchanged(chunks.select("part", "chunk", "docs", "words", "codes").mapInArrow(asker(answers, model), ASKED), answer_pairs(model), "tree-level")
+    for level in range(1, depth + 1):
+        told, path = exchanged(chunks.select("part", "chunk", "docs", "words", "codes").mapInArrow(asker(answers, model), ASKED), answer_pairs(model, level), "tree-level")
         large = told.where("part = -1").groupBy("context").agg(F.sum("gain").alias("gain")).where(F.col("gain") > gain).select("context")
         answers, model = [*answers, path], {**model, "retained": [*model["retained"], numbers(large)]}
     return chunks.select("part", "chunk", "ids", "docs", "words", "codes").mapInArrow(scorer(answers, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
