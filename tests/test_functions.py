@@ -1,11 +1,15 @@
 """Column expressions against hand-made cases."""
 
 import math
+import difflib
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import cleaning, facts, guarded, marks, rewriting, spans, statistics, tokens
+from textloom.functions import cleaning, facts, guarded, marks, matching, rewriting, spans, statistics, tokens
+from textloom.functions.expressions import pieces_of
 
 
 def one(spark, column, **values):
@@ -104,18 +108,18 @@ PATHS = ["C:\\Users\\color\\favorite (final).docx", "D:\\Program Files (x86)\\ce
 
 
 @pytest.mark.parametrize("path", PATHS)
-def test_rules_and_rewriters_leave_paths_of_every_shape(path):
+def test_rules_and_rewriters_leave_paths_of_every_shape(spark, path):
     text = f"The colour report is at {path} and the theatre programme follows."
-    out, edits = rewriting.outside_guarded(text, rewriting.spelling)
-    assert path in out and edits == 2
+    out = one(spark, rewriting.ruled(F.col("t"), ("spelling",)), t=text)
+    assert path in out["text"] and out["edits"] == 2
     assert any(text[a:b].startswith(path) for scan in guarded.FROM_REWRITERS for a, b in guarded.every(scan, text))
 
 
-def test_places_between_paths_stay_prose():
-    text = "Run ./scripts/build.sh and ../other/file.md today."
-    assert [text[a:b] for a, b in guarded.leftmost(text, guarded.FROM_RULES)] == ["./scripts/build.sh", "../other/file.md"]
+def test_places_between_paths_stay_prose(spark):
+    places = lambda t: one(spark, pieces_of(F.col("t"), guarded.FROM_RULES), t=t)[1::2]
+    assert places("Run ./scripts/build.sh and ../other/file.md today.") == ["./scripts/build.sh", "../other/file.md"]
     text = "a@b c@d.ef. `x` ``` y ``` www. https://e.org/(a) ](q(w)e) `` z`` /"
-    assert [text[a:b] for a, b in guarded.leftmost(text, guarded.FROM_RULES)] == ["c@d.ef.", "`x`", "``` y ```", "https://e.org/(a)", "` z`"]
+    assert places(text) == ["c@d.ef.", "`x`", "``` y ```", "https://e.org/(a)", "` z`"]
     assert [[text[a:b] for a, b in guarded.every(scan, text)] for scan in (guarded.code_run, guarded.mail_in_prose, guarded.link_target)] == [["`x`", "``` y ```", "`` z``"], ["c@d.ef"], ["](q(w)e)"]]
 
 
@@ -124,14 +128,51 @@ def test_rules_count_what_they_change(spark):
     got = rewriting.apply_rules(df, counts="ruled").select("text_out", "ruled.edits", "ruled.counts", rewriting.density(F.col("ruled.edits"), F.lit(5)).alias("d")).collect()
     assert got[0]["text_out"] == "Do not use the colour red." and got[0]["edits"] == 2 and got[0]["counts"]["contractions"] == 1 and got[0]["d"] == 40.0
     assert got[1]["edits"] == 0 and got[1]["text_out"] == df.collect()[1][0] and got[2]["text_out"] is None and got[3]["edits"] == 0
-    assert rewriting.contractions("I'd say he's fine and that's it.")[1] == 0 and rewriting.contractions("DON'T. Can't we? i am")[0] == "DO NOT. Cannot we? i'm"
+    assert one(spark, rewriting.contractions(F.col("t"))["n"], t="I'd say he's fine and that's it.") == 0 and one(spark, rewriting.contractions(F.col("t"))["text"], t="DON'T. Can't we? i am") == "DO NOT. Cannot we? i'm"
     both = df.select(rewriting.ruled(F.lit("Non c’è — davvero. Additionally, color."), language="it")["text"]).first()[0]
     assert both == "Non c'è, davvero. Additionally, color."
 
 
-@pytest.mark.parametrize("edit,column,text", [(rewriting.dashes, cleaning.dashes, "one — two – three, 1–2"), (rewriting.typography, cleaning.typography, "“a”… b‑c"), (rewriting.serial_comma, cleaning.serial_comma, "a, b, and c, d, or é"), (rewriting.numbers, cleaning.numbers, "5 percent of 1,234,567 not 1,23")])
-def test_both_forms_of_a_rule_agree(spark, edit, column, text):
-    assert one(spark, column(F.col("t")), t=text) == edit(text)[0]
+@pytest.mark.parametrize("name,column,text,n", [("dashes", cleaning.dashes, "one — two – three, 1–2", 2), ("typography", cleaning.typography, "“a”… b‑c", 4), ("serial_comma", cleaning.serial_comma, "a, b, and c, d, or é", 1), ("numbers", cleaning.numbers, "5 percent of 1,234,567 not 1,23", 2)])
+def test_both_forms_of_a_rule_agree(spark, name, column, text, n):
+    got = one(spark, rewriting.ruled(F.col("t"), (name,)), t=text)
+    assert (got["text"], got["edits"], got["counts"]) == (one(spark, column(F.col("t")), t=text), n, {name: n})
+
+
+def test_odd_texts_come_back_whole(spark):
+    odd = ["", "x" * 10_000, "a " * 20_000, "`" * 3_000, "a@" * 3_000, "/a b" * 2_000, "``` open\n``` `x", "\U0010ffff1 \U0010ffff0 \U0010ffff\x01", "a\r\nb", "שלום 👍🏽 e\u0301", "C:\\a (b) [c](d(e)f)", "word " * 40_000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string").select("k", "t", rewriting.ruled(F.col("t")).alias("r")).collect()
+    assert all(r["r"]["text"] == r["t"] and r["r"]["edits"] == 0 for r in rows) and len(rows) == len(odd)
+
+
+def test_a_rule_that_makes_or_ends_a_place_is_seen_by_the_next(spark):
+    assert one(spark, rewriting.ruled(F.col("t")), t="so…~/color is color")["text"] == "so...~/colour is colour"
+    assert one(spark, rewriting.ruled(F.col("t")), t="see ~/color, color")["text"] == "see ~/color, colour"
+
+
+def test_shared_runs_are_those_of_the_standard_matcher():
+    rng = random.Random(3)
+    for listed in (matching.LISTED_PAIRS, 0):
+        for _ in range(400):
+            k = rng.choice([1, 2, 3, 8, 40])
+            a = [rng.randrange(k) for _ in range(rng.randint(0, 40))]
+            b = list(a) if rng.random() < 0.5 else [rng.randrange(k) for _ in range(rng.randint(0, 40))]
+            for _ in range(rng.randint(0, 4) if b else 0):
+                b[rng.randrange(len(b))] = rng.randrange(k)
+            want = [tuple(x) for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()][:-1]
+            kept, matching.LISTED_PAIRS = matching.LISTED_PAIRS, listed
+            try:
+                assert matching.shared_runs(a, b) == want
+            finally:
+                matching.LISTED_PAIRS = kept
+
+
+def test_texts_that_repeat_themselves_are_matched_in_seconds():
+    began = time.time()
+    assert matching.shared_runs(["x"] * 20_000, ["x"] * 20_000) == [(0, 0, 20_000)]
+    a = [f"w{k}" for k in range(10)] * 2_000
+    b = [w if k % 400 else "z" for k, w in enumerate(a)]
+    assert sum(size for _, _, size in matching.shared_runs(a, b)) >= 19_900 and time.time() - began < 20
 
 
 def test_replies_are_cleaned(spark):

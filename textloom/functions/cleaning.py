@@ -55,23 +55,40 @@ def typography(text: Column) -> Column:
     return F.replace(F.translate(text, "".join(TYPOGRAPHY), "".join(TYPOGRAPHY.values())), F.lit(ELLIPSIS), F.lit("..."))
 
 
+# Where a dash parts a sentence, a list of three, percentages and grouped digits.
+_W = r"[\p{L}\p{N}_]"
+DASH = r"(?<=[^\s\d,;:(\[])[ \t]*[\x{2014}\x{2013}][ \t]*(?=[^\s\d,;:)\]])"
+SERIAL = rf"(?<!{_W})({_W}+), ({_W}+), (and|or) ({_W}+)(?!{_W})"
+PERCENT = rf"(?<!{_W})([0-9]+(?:\.[0-9]+)?) percent(?!{_W})"
+GROUPED = r"(?<![0-9.,:/])[0-9]{1,3}(?:,[0-9]{3})+(?![0-9,:/])"
+TYPED = "[" + "".join(TYPOGRAPHY) + ELLIPSIS + "]"
+
+
+def literal(c: str) -> str:
+    """A character as a pattern that means itself."""
+    return c if c.isalnum() or c in " ',_" else f"\\{c}"
+
+
 def dashes(text: Column) -> Column:
     """A long dash between words becomes a comma."""
-    return F.regexp_replace(text, r"(?<=[^\s\d,;:(\[])[ \t]*[\x{2014}\x{2013}][ \t]*(?=[^\s\d,;:)\]])", ", ")
+    return F.regexp_replace(text, DASH, ", ")
 
 
-_W = r"[\p{L}\p{N}_]"
+def serial_comma(text: Column) -> Column:
+    return F.regexp_replace(text, SERIAL, r"$1, $2 $3 $4")
 
 
-def serial_comma(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<!{_W})({_W}+), ({_W}+), (and|or) ({_W}+)(?!{_W})", r"$1, $2 $3 $4")
+def without_commas(text: Column) -> Column:
+    """Every comma between digit groups of a number that is nothing but groups goes."""
+    return F.regexp_replace(text, r"(?:(?<![0-9.,:/])(?=[0-9]{1,3}(?:,[0-9]{3})+(?![0-9,:/]))|(?<!^)\G(?<=,))([0-9]{1,3}),(?=[0-9]{3})", "$1")
 
 
 def numbers(text: Column) -> Column:
     """"5 percent" to "5%", and thousands without commas."""
-    percent = F.regexp_replace(text, rf"(?<!{_W})([0-9]+(?:\.[0-9]+)?) percent(?!{_W})", "$1%")
-    # Every comma between digit groups of a number that is nothing but groups.
-    return F.regexp_replace(percent, r"(?:(?<![0-9.,:/])(?=[0-9]{1,3}(?:,[0-9]{3})+(?![0-9,:/]))|(?<!^)\G(?<=,))([0-9]{1,3}),(?=[0-9]{3})", "$1")
+    return without_commas(F.regexp_replace(text, PERCENT, "$1%"))
+
+
+# The patterns of tidy(), detokenize() and prose() are fixed values: results depend on them.
 
 
 def tidy(text: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from textloom.functions import lexicon, numerals
 from textloom.functions.cleaning import name_key
 
+#: Fixed value: a number in digits or a word.
 TOKEN = r"[0-9]+(?:[.,'\x{A0}\x{202F}][0-9]{3})*(?:[.,][0-9]+)?%?|[\p{L}\p{Nl}\p{No}]+(?:['’-][\p{L}\p{Nl}\p{No}]+)*"
 NEGATIONS = lexicon.NEGATIONS
 QUANTIFIERS = lexicon.QUANTIFIERS["en"]

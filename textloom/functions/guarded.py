@@ -1,7 +1,6 @@
 """Places of a text that no edit may touch, found by scanners: code, addresses, mail, link targets and file paths.
 
-A scanner takes a text and a position and gives the next place at or after it, or nothing. leftmost() runs several side by side: the place that begins first
-counts, of two that begin together the one listed first, and scanning goes on behind it.
+Wording rules cut texts by one pattern. What rewriters must hand back is found by scanners: each takes a text and a position and gives the next place at or after it, or nothing.
 """
 
 from __future__ import annotations
@@ -32,22 +31,6 @@ def name_char(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
-def fenced(text: str, at: int) -> Span | None:
-    """Between two triple backticks, over lines."""
-    start = text.find("```", at)
-    end = text.find("```", start + 3) if start >= 0 else -1
-    return (start, end + 3) if end >= 0 else None
-
-
-def coded(text: str, at: int) -> Span | None:
-    """Something between two backticks on one line."""
-    while (start := text.find("`", at)) >= 0 and (end := text.find("`", start + 1)) >= 0:
-        if end > start + 1 and "\n" not in text[start:end]:
-            return start, end + 1
-        at = start + 1
-    return None
-
-
 def code_run(text: str, at: int) -> Span | None:
     """The same between runs of backticks of any length."""
     while (start := text.find("`", at)) >= 0:
@@ -59,17 +42,6 @@ def code_run(text: str, at: int) -> Span | None:
     return None
 
 
-def address(text: str, at: int) -> Span | None:
-    """From its head to the next white space."""
-    while m := ADDRESS_HEAD.search(text, at):
-        space = SPACE.search(text, m.end())
-        end = space.start() if space else len(text)
-        if end > m.end():
-            return m.start(), end
-        at = m.end()
-    return None
-
-
 def bracketed(text: str, at: int, stop: str) -> int:
     """Behind a pair of parentheses that opens at `at` and holds neither white space nor characters of stop; `at` if there is none."""
     end = run(text, at + 1, lambda c: not c.isspace() and c not in stop)
@@ -106,14 +78,6 @@ def mail_parts(text: str, at: int) -> Iterator[tuple[int, int, int]]:
         at = sign + 1
 
 
-def mail(text: str, at: int) -> Span | None:
-    """The host runs on over stops, a last one included."""
-    for start, _, label in mail_parts(text, at):
-        if (end := run(text, label + 1, lambda c: name_char(c) or c in ".-")) > label + 1:
-            return start, end
-    return None
-
-
 def mail_in_prose(text: str, at: int) -> Span | None:
     """The host ends with a label."""
     for start, _, end in mail_parts(text, at):
@@ -221,21 +185,29 @@ def every(scan: Scanner, text: str) -> list[Span]:
     return out
 
 
-def leftmost(text: str, scanners: tuple[Scanner, ...]) -> Iterator[Span]:
-    at = 0
-    ahead = [scan(text, 0) for scan in scanners]
-    while True:
-        for k, scan in enumerate(scanners):
-            if ahead[k] and ahead[k][0] < at:
-                ahead[k] = scan(text, at)
-        found = min((a for a in ahead if a), key=lambda a: a[0], default=None)
-        if not found:
-            return
-        yield found
-        at = found[1]
-
-
-#: What wording rules leave alone.
-FROM_RULES = (fenced, coded, address, mail, windows_path, unix_path)
 #: What a rewriter must hand back as it was, beside fences and placeholders.
 FROM_REWRITERS = (code_run, address_in_prose, mail_in_prose, link_target, windows_path, unix_path)
+
+
+def rules_pattern() -> str:
+    """What wording rules leave alone: code, addresses, mail and paths. The place that begins first counts, of two that begin together the one listed first. Runs
+    are possessive, so that no text is gone over more than a few times."""
+    space, word, bare = r"\s\x1c-\x1f\x85\p{Z}", r"\p{L}\p{N}_", "<>\\[\\]"
+    end = f"(?=[{space}]|\\z)"
+    named = f" ++[^{space}{bare}/\\\\:]*\\.[A-Za-z0-9]{{1,8}}{end}"  # a word with an extension, the last of a path
+    onward = lambda inner, separators: f"(?: ++(?=[{word}(])[{inner}]++){{1,{SPACED_WORDS}}}(?=[{separators}])"  # noqa: E731  words up to a separator
+    parts = f"(?:[^{space}{bare}]++|{onward(f'^{space}{bare}/{chr(92)}{chr(92)}:', '/' + chr(92) * 2)}|{named})*+"
+    segment = f"(?:[{word}.-]++|\\([^{space}{bare}()]*+\\)|{onward(f'{word}.()-', '/')}|{named})"
+    return "|".join([
+        "```(?s:.*?)```",
+        "`[^`\\n]+`",
+        f"(?:https?://|www\\.)[^{space}]++",
+        f"(?<![{word}.+-])[{word}.+-]++@[{word}-]++\\.[{word}.-]++",
+        f"(?:(?<![A-Za-z0-9])[A-Za-z]:[/\\\\]|\\\\\\\\[^{space}{bare}/\\\\:]++\\\\){parts}",
+        f"(?<![{word}/:~.])(?:~|\\.{{1,2}})?/{segment}++(?:/{segment}++)*+/?",
+    ])
+
+
+FROM_RULES = rules_pattern()
+#: What every text with such a place has.
+HINT = r"[`@/\\]|www\."

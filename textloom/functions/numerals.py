@@ -41,7 +41,7 @@ def kinds(lang: str) -> dict[str, tuple[str, float]]:
         letter = lambda v: "D" if 0 < v < 10 else "T" if v >= 30 and v % 10 == 0 else "U"
         table = {w: (letter(v), v) for w, v in lex.ES_UNITS.items()} | {w: ("C", v) for w, v in lex.ES_HUNDREDS.items()} | {w: ("O", 1) for w in lex.ES_ONE}
     else:
-        table = {w: ("U", v) for w, v in (lex.IT_SMALL | lex.IT_TENS).items()} | {w: ("H", 100) for w in lex.IT_HUNDRED} | {lex.IT_THOUSAND: ("K", 1000), lex.IT_THOUSANDS: ("S", 1000)}
+        table = {w: ("U", v) for w, v in lex.IT_UNITS.items()} | {w: ("H", 100) for w in lex.IT_HUNDRED} | {lex.IT_THOUSAND: ("K", 1000), lex.IT_THOUSANDS: ("S", 1000)}
     table |= {w: ("S", v) for w, v in lex.SCALES[lang].items()}
     return table | ({"mil": ("M", 1000)} if lang == "es" else {}) | {lex.JOINER[lang]: ("J", 0)}
 

@@ -7,7 +7,6 @@ functions that read a text once.
 from __future__ import annotations
 
 import bisect
-import difflib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -21,24 +20,38 @@ from pyspark.sql.pandas.types import to_arrow_type
 from textloom.functions import facts as fact
 from textloom.functions import guarded, lexicon
 from textloom.functions.marks import edit_words
+from textloom.functions.matching import shared_runs
 
 Span = tuple[int, int]
 SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
 
 #: A fence opens with three or more of one mark and closes with as many of them at least, or at the end of the text.
 FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})[^\n]*(?:\n|\Z)(?s:.*?)(?:^[ \t]{0,3}\1[^\n]*(?:\n|\Z)|\Z)", re.MULTILINE)
-#: What a template leaves to be filled in, by kind of bracket.
-PLACEHOLDER = re.compile(r"\[[^\]\n]{1,40}\]|\{[^}\n]{1,40}\}|<[^>\n]{1,40}>")
+#: The brackets of what a template leaves to be filled in, and how much may stand in them on one line.
+BRACKETS, MOST_INSIDE = {"[": "]", "{": "}", "<": ">"}, 40
 
 
 def fences_of(text: str) -> list[Span]:
     return [m.span() for m in FENCE.finditer(text)]
 
 
+def placeholders_of(text: str) -> list[Span]:
+    """Brackets up to the next one that closes them."""
+    out, at = [], 0
+    while at < len(text):
+        close = BRACKETS.get(text[at])
+        end = text.find(close, at + 1, at + MOST_INSIDE + 2) if close else -1
+        if end > at + 1 and "\n" not in text[at:end]:
+            out.append((at, end + 1))
+            at = end
+        at += 1
+    return out
+
+
 def protected_of(text: str) -> list[Span]:
     """Code, addresses, mail, link targets, paths and placeholders, by start; overlaps stay."""
     places = [place for scan in guarded.FROM_REWRITERS for place in guarded.every(scan, text)]
-    return sorted(fences_of(text) + places + [m.span() for m in PLACEHOLDER.finditer(text)])
+    return sorted(fences_of(text) + places + placeholders_of(text))
 
 
 def as_column(find: Callable[[str], list[Span]]):
@@ -96,8 +109,7 @@ def overlaps(spans: Column, start: Column, end: Column) -> Column:
 def changed_of(before: str, after: str) -> list[int]:
     """Which of after's words are in no run kept from before."""
     b = edit_words(after)
-    same = difflib.SequenceMatcher(a=edit_words(before), b=b, autojunk=False).get_matching_blocks()
-    kept = {k for block in same for k in range(block.b, block.b + block.size)}
+    kept = {k for _, start, size in shared_runs(edit_words(before), b) for k in range(start, start + size)}
     return [k for k in range(len(b)) if k not in kept]
 
 

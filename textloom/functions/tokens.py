@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word with inner apostrophes; a run of letters and letter-like numbers. Python's \w and Java's differ, hence the explicit classes.
+#: Fixed values. A word with inner apostrophes; a run of letters and letter-like numbers. Python's \w and Java's differ, hence the explicit classes.
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
+#: Fixed value: where a sentence ends.
 SENTENCE = r"[.!?…]+[\"'”’»)\]]*(?=\s|$)"
 
 #: Other places at which texts are cut, for facts and for rewriters. Results depend on their differences.
@@ -19,9 +20,9 @@ OTHER_SPLITS = {
 
 #: The stop words that vote for a language, in the order in which ties are decided.
 LANGUAGE_VOTES = {
-    "en": "the and of to is in that it was for with as on are this be by have not but from at which".split(),
-    "it": "il di che per un una non sono del della con gli nel alla anche come più dei delle questo".split(),
-    "es": "el que los las del por una con es para al su se como pero más sus este entre fue".split(),
+    "en": ["the", "and", "of", "to", "is", "in", "that", "it", "was", "for", "with", "as", "on", "are", "this", "be", "by", "have", "not", "but", "from", "at", "which"],
+    "it": ["il", "di", "che", "per", "un", "una", "non", "sono", "del", "della", "con", "gli", "nel", "alla", "anche", "come", "più", "dei", "delle", "questo"],
+    "es": ["el", "que", "los", "las", "del", "por", "una", "con", "es", "para", "al", "su", "se", "como", "pero", "más", "sus", "este", "entre", "fue"],
 }
 #: Words of each bucket, both ends included.
 BUCKETS = (("short", 40, 99), ("medium", 100, 300), ("long", 301, 600))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import cleaning, facts, marks, rewriting, spans, statistics, tokens
 from textloom.operators import assess, bench, corpus, evaluation
-from textloom.sources.shared import new_path, stored
+from textloom.sources.shared import new_path, spread, stored
 from textloom.streaming import counter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,7 +206,7 @@ def rule_dashes(spark, sf_dir):
 @query()
 def rules_all(spark, sf_dir):
     """All rules for English, with how often each changed something."""
-    df = rewriting.apply_rules(documents(spark, sf_dir), counts="ruled")
+    df = rewriting.apply_rules(spread(documents(spark, sf_dir)), counts="ruled")
     counts = [F.element_at("ruled.counts", name).alias(f"n_{name}") for name, _, _ in rewriting.RULES]
     digest = F.sha2(F.col("text_out").cast("binary"), 256).alias("digest")
     return df.select("doc_id", digest, *counts, F.col("ruled.edits").alias("edits"), rewriting.density(F.col("ruled.edits"), F.col("words")).alias("density"), marks.word_edit_ratio(F.col("text"), F.col("text_out")).alias("edit_ratio"))
