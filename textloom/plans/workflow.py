@@ -136,15 +136,24 @@ def bench_rows(spark, sf_dir):
     """Runs over all documents; a third of the results is in the cache already, every seventeenth text is missing."""
     text = F.when(F.col("doc_id") % 17 > 0, F.col("text"))
     samples = read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), text.alias("text"))
-    todo, _ = runs.asked(samples, "rules,unicode", registry.transforms)
+    known = registry.transforms.with_function("picky", picky)
+    todo, _ = runs.asked(samples, "rules,unicode,picky", known)
     empty = spark.createDataFrame([], f"transform string, id long, digest string, text_sha1 string, entry {runs.ENTRY}")
-    stored = runs.new_entries(runs.run(todo.where(F.col("id") % 3 == 0), registry.transforms, empty))
-    return runs.run(todo, registry.transforms, stored), samples
+    stored = runs.new_entries(runs.run(todo.where(F.col("id") % 3 == 0), known, empty))
+    return runs.run(todo, known, stored), samples
 
 
-@query("SELECT label, count(*) FILTER (doc_id % 17 > 0) AS n, count(*) FILTER (doc_id % 17 = 0) AS errors, count(*) FILTER (doc_id % 17 > 0 AND doc_id % 3 = 0) AS cached FROM documents, (SELECT unnest(['rules', 'unicode']) AS label) GROUP BY label")
+def picky(text: str, options: registry.Options) -> str:
+    """A transform that fails on every text of a length that five divides."""
+    if len(text) % 5 == 0:
+        raise ValueError(f"{len(text)} characters")
+    return text.upper()
+
+
+@query("""WITH r AS (SELECT label, doc_id, doc_id % 17 = 0 OR (label = 'picky' AND length(text) % 5 = 0) AS failed FROM documents, (SELECT unnest(['rules', 'unicode', 'picky']) AS label))
+    SELECT label, count(*) FILTER (NOT failed) AS n, count(*) FILTER (failed) AS errors, count(*) FILTER (NOT failed AND doc_id % 3 = 0) AS cached FROM r GROUP BY label""")
 def bench_run(spark, sf_dir):
-    """A text that is missing is a row with an error, no failure."""
+    """A text that is missing, or on which a transform fails, is a row with an error; all others are done."""
     rows, _ = bench_rows(spark, sf_dir)
     ok = F.col("error").isNull()
     return rows.groupBy("label").agg(F.count_if(ok & F.col("entry").isNotNull()).alias("n"), F.count_if(~ok).alias("errors"), F.count_if(F.col("cached")).alias("cached"))
@@ -156,8 +165,37 @@ def bench_measure(spark, sf_dir):
     rows, samples = bench_rows(spark, sf_dir)
     plain = runs.controls(samples.where("id % 4 = 0")).withColumns({"digest": F.lit(None).cast("string"), "text_sha1": F.lit(None).cast("string")})
     both = rows.unionByName(plain)
-    measured = runs.measured(both).withColumns({c: F.lit(None).cast("double") for c in ("seconds", "prompt_tokens", "completion_tokens")})
-    return runs.summary(measured)
+    measured = runs.measured(both).withColumns({c: F.lit(None).cast("double") for c in ("prompt_tokens", "completion_tokens")})
+    return runs.summary(measured).drop("seconds_mean")
+
+
+def shared_words(before: str, after: str) -> float:
+    """A metric that fails on long texts."""
+    if len(before) > 4000:
+        raise MemoryError(f"{len(before)} characters")
+    return float(len(after))
+
+
+@query("""WITH f AS (SELECT min(doc_id) AS first FROM documents WHERE length(text) > 4000) SELECT doc_id, CASE WHEN first IS NULL OR doc_id < first THEN CAST(length(text) AS DOUBLE) END AS size,
+    CASE WHEN doc_id = first THEN 'MemoryError: ' || length(text) || ' characters' END AS size_error FROM documents, f""")
+def metric_breaker(spark, sf_dir):
+    """A metric that fails is null from its first failure on, in the order of ids, however rows are dealt."""
+    rows = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("after", F.col("text"))
+    return runs.optional_metrics(rows, {"size": shared_words}, "doc_id", "text", "after").select("doc_id", "size", "size_error")
+
+
+def lengths_or_failure(texts: list[str]) -> list[float]:
+    if any(len(t) % 7 == 0 for t in texts):
+        raise ValueError("a length that seven divides")
+    return [float(len(t)) for t in texts]
+
+
+@query("""SELECT doc_id AS id, CASE WHEN length(text) % 7 > 0 THEN CAST(length(text) AS DOUBLE) END AS score, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: a length that seven divides' END AS error FROM documents""")
+def score_resumed(spark, sf_dir):
+    """Scores by batches; a third is done already, and what failed then is tried anew."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    done = runs.scores(docs.where("doc_id % 3 = 0"), lengths_or_failure, "doc_id")
+    return runs.scored_so_far(docs, done, lengths_or_failure, "doc_id")
 
 
 @query("SELECT doc_id, len(regexp_extract_all(replace(replace(text, '. ', '… '), ' the ', ' “the” '), '[“”„‘’‚…‑‐]')) AS changed FROM documents")
