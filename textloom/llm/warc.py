@@ -16,6 +16,7 @@ percent-encoded in its header.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ LINES_PER_BLOCK = 512
 TASK_BYTES = 128 << 20
 #: Directories of more rows than this are searched by joining on ranges instead of being sent to the tasks (about 100 bytes a row).
 DIRECTORY_ROWS = 200_000
+#: Blocks in a run of the second level at least.
+RUN_BLOCKS = 1_000
 #: Groups of equal payloads up to this number are sent to every task (about 70 bytes a row), so that pages are not shuffled.
 GROUP_ROWS = 200_000
 DATE = "2000-01-01T00:00:00Z"
@@ -141,14 +144,19 @@ def index_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_index(spark: SparkSession, path: str, lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
-    """The stored blocks: (first_key, last_key, lines, block). Without the column block it is the directory."""
+    """The stored blocks: (first_key, last_key, number, lines, block), numbered in order. Without the column block it is the directory."""
     lines = store(index_lines(spark, path), "warc-lines")  # else the sample for the ranges would read the archives once more
     dealt = lines.repartitionByRange("key", "page_id", "path", "offset").sortWithinPartitions("key", "page_id", "path", "offset")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
+
         def block(rows):
             lines = "\n".join("\t".join(map(str, r)) for r in rows).encode()
-            return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)], pa.int64()), pa.array([zlib.compress(lines)], pa.binary())], names=["first_key", "last_key", "lines", "block"])
+            values = (rows[0][0], rows[-1][0], next(numbers), len(rows), zlib.compress(lines))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["first_key", "last_key", "number", "lines", "block"])
 
         held: list[tuple] = []
         for batch in batches:
@@ -159,7 +167,7 @@ def build_index(spark: SparkSession, path: str, lines_per_block: int = LINES_PER
         if held:
             yield block(held)
 
-    return store(dealt.mapInArrow(pack, "first_key string, last_key string, lines long, block binary"), "warc-index")
+    return store(dealt.mapInArrow(pack, "first_key string, last_key string, number long, lines long, block binary"), "warc-index")
 
 
 LINES = "key string, page_id long, path string, offset long, length long"
@@ -182,28 +190,51 @@ def lines_of(blocks: DataFrame) -> DataFrame:
 
 def look_up(index: DataFrame, urls: DataFrame, url_col: str = "url", most: int = DIRECTORY_ROWS) -> DataFrame:
     """The index lines of the captures of urls."""
-    spark = index.sparkSession
     keys = urls.select(surt(F.col(url_col)).alias("key")).distinct()
-    if index.count() > most:
-        hit = index.join(keys, (keys["key"] >= index["first_key"]) & (keys["key"] <= index["last_key"]), "left_semi")
-        return lines_of(hit).join(keys, "key", "left_semi")
-    directory = sorted((r["first_key"], r["last_key"]) for r in index.select("first_key", "last_key").collect())
-    firsts, lasts = [d[0] for d in directory], [d[1] for d in directory]
+    blocks = index.count()
+    if blocks > most:
+        return lines_of(blocks_by_runs(index, keys, max(RUN_BLOCKS, blocks // max(1, most)))).join(keys, "key", "left_semi")
+    directory = sorted((r["first_key"], r["last_key"], r["number"]) for r in index.select("first_key", "last_key", "number").collect())
+    hits = keys.mapInArrow(finder(directory), "number long, key string").select("number").distinct()
+    return lines_of(index.join(hits, "number", "left_semi")).join(keys, "key", "left_semi")
+
+
+def finder(directory: list[tuple[str, str, int]]):
+    """The numbers of directory's ranges (first key, last key, number), in order, that hold a key, by binary search."""
+    firsts, lasts, numbers = ([d[k] for d in directory] for k in range(3))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key in batch.column(0).to_pylist():
-                at = bisect.bisect_left(lasts, key)
-                while at < len(firsts) and firsts[at] <= key:
-                    out.append((firsts[at], lasts[at], key))
-                    at += 1
-            columns = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["first_key", "last_key", "key"])
-
-    hits = keys.mapInArrow(find, "first_key string, last_key string, key string")
-    blocks = index.join(hits.select("first_key", "last_key").distinct(), ["first_key", "last_key"], "left_semi")
-    return lines_of(blocks).join(keys, "key", "left_semi")
+            out = [(numbers[at], key) for key in batch.column(0).to_pylist() for at in holding(firsts, lasts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([k for _, k in out], pa.string())], names=["number", "key"])
+
+    return find
+
+
+def holding(firsts: list[str], lasts: list[str], key: str) -> Iterator[int]:
+    at = bisect.bisect_left(lasts, key)
+    while at < len(firsts) and firsts[at] <= key:
+        yield at
+        at += 1
+
+
+def blocks_by_runs(index: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """The blocks that hold one of keys, over a directory that is too large for the driver: a second, sparser level has a row for each run of `size` blocks of a range. A key finds
+    its run in it by binary search, and its blocks in the part of the directory that is the run's, in the run's own task."""
+    # A block's number is its range's and its own within the range.
+    run = F.shiftleft(F.shiftright("number", 32), 32) + F.floor(F.col("number").bitwiseAND(0xFFFFFFFF) / size)
+    directory = store(index.select("first_key", "last_key", "number", run.cast("long").alias("run")), "warc-directory")
+    sparse = directory.groupBy("run").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    runs = sorted((r["first_key"], r["last_key"], r["run"]) for r in sparse.toLocalIterator())  # a row for `size` blocks, and one for each range
+    asked = keys.mapInArrow(finder(runs), "number long, key string").withColumnRenamed("number", "run")
+
+    def search(ask: pa.Table, own: pa.Table) -> pa.Table:
+        found = sorted(zip(own.column("first_key").to_pylist(), own.column("last_key").to_pylist(), own.column("number").to_pylist()))
+        firsts, lasts = [f[0] for f in found], [f[1] for f in found]
+        return pa.table({"number": pa.array(sorted({found[at][2] for key in ask.column("key").to_pylist() for at in holding(firsts, lasts, key)}), pa.int64())})
+
+    hits = asked.groupBy("run").cogroup(directory.groupBy("run")).applyInArrow(search, "number long")
+    return index.join(hits.distinct(), "number", "left_semi")
 
 
 CAPTURE = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
