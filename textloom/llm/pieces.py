@@ -294,9 +294,9 @@ def write_books(texts: DataFrame, model: Model, path: str) -> None:
     listed = store(part_units(texts, model.units), "pieces-units")
     total = listed.count()
     tasks = max(1, total // TASK_UNITS)
-    # A number of tasks of its own, as few bytes become many edges. A unit's parts go along with it through the lattice.
-    units = listed.repartition(tasks, "word").groupBy("word").agg(F.collect_set("part").alias("parts"))
-    rows = word_ids(units, model).select(F.explode("parts").alias("part"), "word", "ids")
+    # A number of tasks of its own, as few bytes become many edges. The lattice holds words alone; where a word is asked for meets its ids in the partition both are in.
+    asked = listed.repartition(tasks, "word")
+    rows = asked.join(word_ids(asked.select("word").distinct(), model).hint("shuffle_hash"), "word").select("part", "word", "ids")
     rows.repartition(max(1, total // BOOK_UNITS), "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
 
 
