@@ -26,9 +26,11 @@ from textloom.llm.common import rows_per_cell_salt, store
 
 CAPACITY = 2048
 END_ID = 0
-#: A plan of more rows than this is joined by shuffle instead of being broadcast (48 bytes a row). A plan has some rows for each length and each kind of room that is filled, at most
-#: capacity * capacity / 2, however many documents there are.
+#: A plan of more rows than this is joined by shuffle, cell of ranks by cell, instead of being broadcast (48 bytes a row). A plan has some rows for each length and each kind of room that is
+#: filled, at most capacity * capacity / 2, however many documents there are.
 BROADCAST_PLAN_ROWS = 200_000
+#: Ranks of a length in a cell of that join: no length is hot, and a piece meets only the plan's rows in its cell.
+CELL_RANKS = 1_024
 #: Distinct words whose ids a Python worker keeps; beyond it the memo starts anew, which costs time only.
 MEMO_WORDS = 700_000
 
@@ -200,10 +202,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     plan = best_fit_plan(counts, capacity)
     slots = spark.createDataFrame(plan, PLAN)
+    rows, keys = ranked(pieces, sum(counts.values())), ["length"]
     if len(plan) <= BROADCAST_PLAN_ROWS:
         slots = F.broadcast(slots)
-    p, s = ranked(pieces, sum(counts.values())).alias("p"), slots.alias("s")
-    placed = p.join(s, (F.col("p.length") == F.col("s.length")) & (F.col("p.rank") >= F.col("s.rank_from")) & (F.col("p.rank") < F.col("s.rank_to")))
+    else:
+        cell = lambda rank: F.floor(rank / CELL_RANKS)
+        slots = slots.withColumn("cell", F.explode(F.sequence(cell(F.col("rank_from")), cell(F.col("rank_to") - 1))))
+        rows, keys = rows.withColumn("cell", cell(F.col("rank"))), ["length", "cell"]
+    p, s = rows.alias("p"), slots.alias("s")
+    here = (F.col("p.rank") >= F.col("s.rank_from")) & (F.col("p.rank") < F.col("s.rank_to"))
+    placed = p.join(s, [here, *[F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys]])
     nth = F.col("p.rank") - F.col("s.rank_from")
     return placed.select(
         "p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32",
