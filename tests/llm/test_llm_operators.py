@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import exact_dedup, html_text, packing, pieces, pii, sharding, simhash, topk, toxicity, warc
+from textloom.llm import common, exact_dedup, html_text, packing, pieces, pii, sharding, simhash, topk, toxicity, warc
 from textloom.llm.queries import tokenizer_file
 
 ODD = "doc_id long, text string, key int, fps string, _text string, spans int, rank int"
@@ -388,7 +388,7 @@ def test_exact_dedup(spark):
 @pytest.mark.parametrize("hot_rows,bits,sent", [(10**6, 64, 10**6), (2, 64, 0), (10**6, 1, 10**6), (2, 1, 10**6), (10**6, 0, 0)])
 def test_exact_dedup_in_hot_groups_and_chains_of_collisions(spark, hot_rows, bits, sent, monkeypatch):
     """Keys cut down to a few bits collide: only bytes tell texts apart. Tables of keys are sent to the tasks or joined by shuffle."""
-    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", sent)
     rng = random.Random(bits)
     rows = [(k if k % 9 else None, rng.choice(["A copy", "a COPY", "other", "é", None, "", f"text {k}"]), k) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, key int")
@@ -659,3 +659,47 @@ def test_toxicity_scores_are_the_models_by_hand_and_repeats_count_once(spark):
         assert r["p"] == pytest.approx(ps, abs=1e-6)
     twice = toxicity.train(df.union(df), labels.union(labels))
     assert [m.taken for m in twice] == [m.taken for m in models]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_plan_is_joined_by_cells_of_ranks(spark, monkeypatch):
+    path = tokenizer_file("word_bpe_49k.json")
+    rows = docs(spark).union(docs(spark)).union(docs(spark))
+    want = sorted(map(tuple, packing.pack(rows, path, capacity=64).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_PLAN_ROWS", 0)
+    monkeypatch.setattr(packing, "CELL_RANKS", 3)
+    found = packing.pack(rows, path, capacity=64)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "cell" in plan_of(found) and "NestedLoop" not in plan_of(found)
+
+
+def test_a_directory_of_many_blocks_is_searched_by_runs(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://h{k % 7}.org/p{k % 40}", f"<p>{k % 3}</p>" * 200) for k in range(200)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/archive"
+    warc.write(pages, path)
+    index = warc.build_index(spark, path, lines_per_block=3)
+    asked = pages.where("page_id % 3 = 0").select("url").union(spark.createDataFrame([("http://none.org/",)], "url string"))
+    want = sorted(warc.look_up(index, asked).collect())
+    monkeypatch.setattr(warc, "RUN_BLOCKS", 4)
+    found = warc.look_up(index, asked, most=0)
+    assert sorted(found.collect()) == want and len(want) >= 67 and {len(set(r["key"] for r in want))} == {len({r["url"] for r in asked.collect()}) - 1}
+    assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
+
+
+def test_members_beyond_a_size_are_not_sent(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(60)) for _ in range(12)]
+    rows = spark.createDataFrame([(k, base[k % 12] + (" more" if k > 20 else "")) for k in range(40)], "doc_id long, text string")
+    want = sorted(r["doc_id"] for r in simhash.survivors(rows).collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(r["doc_id"] for r in simhash.survivors(rows).collect()) == want and len(want) == 12
+
+
+def test_the_lattice_holds_words_alone(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pieces, "lattice", lambda distinct, *a, f=pieces.lattice: seen.append(distinct.columns) or f(distinct, *a))
+    pieces.encode(docs(spark), pieces.Model(tokenizer_file("piece_bpe_32k.model")), keep=("doc_id",)).count()
+    assert seen == [["word"]]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.sources.shared import new_path, shared_dir
 
-__all__ = ["filesystem", "join_groups", "new_path", "rows_per_cell_salt", "selector", "shared_dir", "store", "text_or_empty"]
+__all__ = ["filesystem", "join_groups", "new_path", "rows_per_cell_salt", "selector", "sent", "shared_dir", "store", "text_or_empty"]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of row or key numbers up to which it is sent to every task (8 to 24 bytes a row); larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent(small: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+
+
 def filesystem(path: str):
     """(file system, path in it) by which Python tasks read files of the shared folder."""
     from pyarrow import fs

@@ -25,14 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import store
+from textloom.llm.common import sent, store
 
 BUCKET_BYTES = 4 << 20
 OWNER_BYTES = 64 << 20
 HOT_ROWS, HOT_BYTES = 50_000, 64 << 20
 MAX_DEPTH = 20
-#: Rows of a table of row or key numbers up to which it is sent to every task (8 to 24 bytes a row); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,10 +83,6 @@ def index_pages(docs: DataFrame, id_col: str, text_col: str, carry: bool, key_of
     return store(pages.drop("norm"), "dedup-pages").withColumn("norm", norm(F.col("_carried")[text_col]))
 
 
-def sent(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
-
-
 def with_owner(rows: DataFrame, keys: DataFrame, capacity: int, owner_bytes: int, max_depth: int) -> DataFrame:
     """rows dealt to their owner tasks, with the column owner."""
     total = keys.agg(F.sum("bytes")).first()[0] or 0
@@ -115,7 +109,7 @@ def repeated(
     known, hot_keys = keys.agg(F.count("*"), F.coalesce(F.sum(F.col("hot").cast("long")), F.lit(0))).first()
     slim = ("_row", "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     rows = pages.select("_row", "doc_id", "key", "norm", "text_sha256")
-    listed = F.broadcast(keys.where("hot").select("key"))  # one for hot_rows rows or hot_bytes bytes at most
+    listed = sent(keys.where("hot").select("key"), hot_keys)  # one for hot_rows rows or hot_bytes bytes at most
     calm = rows.join(listed, "key", "left_anti") if hot_keys else rows
     calm = calm.join(sent(keys.where("not hot").select("key"), known - hot_keys), "key")
 
@@ -138,8 +132,9 @@ def decide(
 ) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of docs."""
     pages, keys, found = repeated(docs, id_col, text_col, False, capacity, owner_bytes, max_depth, hot_rows, hot_bytes, key_of)
-    alone = pages.select("doc_id", "key", "text_sha256").join(F.broadcast(keys.where("hot").select("key")), "key", "left_anti")  # few, as above
-    alone = alone.join(sent(keys.where("not hot").select("key"), keys.count()), "key", "left_anti")
+    known, hot_keys = keys.agg(F.count("*"), F.count_if(F.col("hot"))).first()
+    alone = pages.select("doc_id", "key", "text_sha256").join(sent(keys.where("hot").select("key"), hot_keys), "key", "left_anti")
+    alone = alone.join(sent(keys.where("not hot").select("key"), known - hot_keys), "key", "left_anti")
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return found.drop("_row").unionByName(alone)
 

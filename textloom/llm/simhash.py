@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import store
+from textloom.llm.common import sent, store
 
 #: Near-duplicates proper: a similarity of 0.8 of the sets of five-word shingles turns 9.7 of 64 bits and 39 of 256 on average. The radii
 #: only admit pairs to the comparison of the sets, so they are wide: 22 and 64 are more than four deviations above these means, and
@@ -269,8 +269,8 @@ def confirmed(
     """(a, b) of nodes: links of the similarity within the components of admitted pairs, as forests. texts: (_row, text)."""
     members = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     members = store(members.join(prints, "node").select("node", "fps", "root", F.col("first._row").alias("_row")), "simhash-members")
-    # Texts of the members alone are moved, by a broadcast of their row numbers.
-    held = texts.join(F.broadcast(members.select("_row", "node", "root")), "_row").select("node", "root", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    # Texts of the members alone are moved while their row numbers are few enough to be sent; beyond that both sides are dealt by row number, of which there is one a text.
+    held = texts.join(sent(members.select("_row", "node", "root"), members.count()), "_row").select("node", "root", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     held = store(held.join(members.select("node", "fps"), "node"), "simhash-members")
     parts = F.ceil(F.greatest(F.count("*") / part_rows, F.sum(F.octet_length("text")) / part_bytes)).cast("int")
     large = held.groupBy("root").agg(parts.alias("parts")).where("parts > 1")  # one row for part_bytes or part_rows at most
