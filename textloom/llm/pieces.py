@@ -219,9 +219,9 @@ def word_ids(distinct: DataFrame, model: Model) -> DataFrame:
 
 
 def by_part(table: DataFrame, text_col: str, keep: tuple[str, ...], part_rows: int) -> DataFrame:
-    """(_keep, _text, part) of a table of files; part names a run of rows of a file."""
+    """(_keep, _text, part) of a table of files; part names a run of rows of a file by a hash; runs of one hash would share a dictionary."""
     block = F.concat_ws("#", "_metadata.file_path", F.floor(F.col("_metadata.row_index") / part_rows).cast("string"))
-    return table.select(F.struct(F.lit(0).alias("_"), *keep).alias("_keep"), F.col(text_col).alias("_text"), F.md5(block.cast("binary")).alias("part"))
+    return table.select(F.struct(F.lit(0).alias("_"), *keep).alias("_keep"), F.col(text_col).alias("_text"), F.xxhash64(block).alias("part"))
 
 
 class Splitter:
@@ -272,7 +272,7 @@ def part_units(texts: DataFrame, pattern: str) -> DataFrame:
             listed = list(seen)
             for at in range(0, len(listed), 1 << 16):
                 some = listed[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), pa.array(some, pa.string())], names=["part", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int64()), pa.array(some, pa.string())], names=["part", "word"])
 
         for batch in batches:
             for now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -286,7 +286,7 @@ def part_units(texts: DataFrame, pattern: str) -> DataFrame:
                         seen.update(splitter.of_text(text))
         yield from flush()
 
-    return texts.select("part", "_text").mapInArrow(split, "part string, word string")
+    return texts.select("part", "_text").mapInArrow(split, "part long, word string")
 
 
 def write_books(texts: DataFrame, model: Model, path: str) -> None:
@@ -296,14 +296,15 @@ def write_books(texts: DataFrame, model: Model, path: str) -> None:
     tasks = max(1, total // TASK_UNITS)
     # A number of tasks of its own, as few bytes become many edges. The lattice holds words alone; where a word is asked for meets its ids in the partition both are in.
     asked = listed.repartition(tasks, "word")
-    rows = asked.join(word_ids(asked.select("word").distinct(), model).hint("shuffle_hash"), "word").select("part", "word", "ids")
+    words = asked.groupBy("word").agg(F.min("part").alias("_some")).where("_some is not null").select("word")  # asks for both columns, so that both sides read one exchange
+    rows = asked.join(word_ids(words, model).hint("shuffle_hash"), "word").select("part", "word", "ids")
     rows.repartition(max(1, total // BOOK_UNITS), "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
 
 
 def put_together(texts: DataFrame, pattern: str, path: str, schema: T.StructType) -> DataFrame:
     """The texts with their ids from their parts' dictionaries."""
 
-    def book_of(part: str) -> dict[str, bytes]:
+    def book_of(part: int) -> dict[str, bytes]:
         import numpy as np
         import pyarrow.parquet as pq
 
