@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom import cli
 from textloom.functions import facts, marks, numerals, spans, tokens
 from textloom.operators import bench, evaluation
-from textloom.sources.paged import PagedReader, PagedRows
+from textloom.sources.paged import LostPage, PagedReader, PagedRows, lost_pages
 
 
 @pytest.mark.parametrize(
@@ -103,7 +103,12 @@ def test_paged_source(spark):
     server.shutdown()
     server.server_close()
     reader = PagedReader(df.schema, {"url": url, "wait": "0", "tries": "2", "timeout": "1"})
-    assert [list(reader.read(p)) for p in reader.partitions()] == [[]]
+    with pytest.raises(LostPage, match="rows 0 to 99"):
+        [list(reader.read(p)) for p in reader.partitions()]
+    with pytest.raises(ValueError, match="_error"):
+        PagedReader(df.schema, {"url": url, "strict": "false"})
+    lost = spark.read.format("paged_rows").schema("row_idx long, text string, _error string").options(url=url, rows=250, wait="0", tries="1", timeout="1", strict="false").load()
+    assert [(r["row_idx"], r["_error"].split(":")[0]) for r in lost_pages(lost).orderBy("row_idx").collect()] == [(0, "rows 0 to 99"), (100, "rows 100 to 199"), (200, "rows 200 to 249")]
 
 
 def test_pairs_disputes_and_verdicts(spark):

@@ -540,6 +540,16 @@ def mark_score(spark, sf_dir):
     return s.select("doc_id", F.col("s.scored").cast("long").alias("scored"), r6("s.mean_g").alias("mean_g"), r6("s.z").alias("z"), r6("s.z_w").alias("z_w"))
 
 
+@query(ORACLE["mark_score"])
+def mark_from_ids(spark, sf_dir):
+    """The same score from stored ids and g-values: words as numbers of their digests, and for each gram its array of bits."""
+    number = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
+    words = spread(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", tokens.letter_words(F.lower("text")).alias("w"))
+    rows = words.select("doc_id", F.transform("w", number).alias("ids"), F.transform(marks.ngrams(F.col("w")), lambda gram: marks.g_bits(gram, "key")).alias("g"))
+    s = rows.select("doc_id", marks.mark_score_of_ids(F.col("ids"), F.col("g")).alias("s"))
+    return s.select("doc_id", F.col("s.scored").cast("long").alias("scored"), r6("s.mean_g").alias("mean_g"), r6("s.z").alias("z"), r6("s.z_w").alias("z_w"))
+
+
 @query()
 def mark_p_value(spark, sf_dir):
     m = mark_score(spark, sf_dir)
@@ -704,6 +714,35 @@ def event_counts_stream(spark, sf_dir):
     return counter.read_counters(spark, f"{at}/counters", ["event_type"])
 
 
+BATCHES_SQL = """e AS (SELECT *, (event_id * 7) % 3 AS k FROM events), h AS (SELECT k, max(ts) AS high FROM e GROUP BY k), m AS (SELECT a.k, max(b.high) AS before FROM h a JOIN h b ON b.k < a.k GROUP BY a.k),
+    c AS (SELECT e.*, coalesce(ts < before - INTERVAL 3 DAY, FALSE) AS late FROM e LEFT JOIN m USING (k))"""
+
+
+def three_batches(spark, sf_dir):
+    """Events in three arrivals, so that many come late; those more than three days behind are told apart. Each arrival is a run of its own over the folder."""
+    at = new_path(spark, "counter")
+    events = read(spark, sf_dir, "events", "event_id", "ts", "event_type")
+    counters = counter.Counters(spark, f"{at}/counters", ["event_type"], "3 days")
+    for k in range(3):
+        events.where(F.pmod(F.col("event_id") * 7, F.lit(3)) == k).write.mode("append").parquet(f"{at}/source")
+        counters.start(spark.readStream.schema(events.schema).parquet(f"{at}/source"), f"{at}/checkpoint").awaitTermination()
+    return counters
+
+
+@query(f"WITH {BATCHES_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM c WHERE NOT late GROUP BY ALL")
+def counters_in_batches(spark, sf_dir):
+    """Counters over three arrivals, closed days and open ones."""
+    return three_batches(spark, sf_dir).counts()
+
+
+@query(f"WITH {BATCHES_SQL} SELECT event_id, 'more than 3 days late' AS reason, CAST(k AS BIGINT) AS arrival FROM c WHERE late")
+def late_events(spark, sf_dir):
+    """Events that came too late, with the reason."""
+    found = three_batches(spark, sf_dir).late_events()
+    rows = read(spark, sf_dir, "events", "event_id").limit(0).select("event_id", F.lit("").alias("reason"), F.lit(0).alias("batch")) if found is None else found
+    return rows.select("event_id", "reason", F.col("batch").cast("long").alias("arrival"))
+
+
 @query("SELECT event_type, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY event_type")
 def json_fields(spark, sf_dir):
     e = read(spark, sf_dir, "events", "event_type", "props").withColumn("p", F.from_json("props", "k long"))

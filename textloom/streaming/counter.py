@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -98,16 +98,90 @@ class ProgressLines(StreamingQueryListener):
         self.line("ended", id=str(event.id), error=event.exception)
 
 
-def start_upsert(stream: DataFrame, keys: list[str], table_path: str, checkpoint: str) -> StreamingQuery:
-    """Runs what is there: each batch's changed counters are written beside the old ones under its number, so a repeated batch overwrites itself;
-    read_counters() takes the latest of each key."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
-
-    return counts(stream, keys).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_counters(spark, table_path: str, keys: list[str]) -> DataFrame:
-    """The counters as the last batch that touched each left them."""
-    return spark.read.parquet(table_path).groupBy("day", *keys).agg(F.max_by("n", "batch").alias("n"))
+class Counters:
+    """Counters of a stream, kept in a folder in three tables, each by the number of the batch that wrote it, so that a batch that is repeated writes the same again.
+
+    open: the counters of days that can still change, with `high`, the latest time seen; each batch reads the one before it and writes its own, and those before these two go. closed: the
+    counters of a day, once, when it is `late` behind. late: events that come more than `late` behind what earlier batches have seen, each with a reason; they count
+    nowhere. A batch that closes no day, or has no late event, writes no such file, so the files that stay follow days and late events, not batches."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], late: str = "1 day", ts: str = "ts"):
+        self.spark, self.path, self.keys, self.late, self.ts = spark, path.rstrip("/"), keys, late, ts
+
+    def numbers(self, table: str) -> list[int]:
+        """The batches that a table has, in order."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in system.listStatus(folder)]
+        done = [n for n in names if n.startswith("batch=") and system.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{n}/_SUCCESS"))]
+        return sorted(int(n.removeprefix("batch=")) for n in done)
+
+    def drop(self, table: str, number: int) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/batch={number}")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def before(self, number: int) -> DataFrame | None:
+        """The open counters as batch `number` finds them."""
+        earlier = [n for n in self.numbers("open") if n < number]
+        return self.spark.read.parquet(f"{self.path}/open/batch={earlier[-1]}") if earlier else None
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        old = self.before(number)
+        high = old.agg(F.max("high")).first()[0] if old is not None else None
+        limit = F.lit(high).cast("timestamp") - F.expr(f"INTERVAL {self.late}")
+        time = F.col(self.ts).cast("timestamp")
+        behind = F.coalesce(time < limit, F.lit(False)) if high is not None else F.lit(False)
+        reason = F.when(time.isNull(), "no time").when(behind, f"more than {self.late} late")
+        rows = batch.withColumn("reason", reason)
+        rows.persist()
+        day = F.date_format(time, "yyyy-MM-dd").alias("day")
+        fresh = rows.where("reason is null").groupBy(day, *self.keys).agg(F.count("*").cast("long").alias("n"), F.max(time).alias("high"))
+        both = fresh if old is None else fresh.unionByName(old.where("day is not null"))
+        counted = both.groupBy("day", *self.keys).agg(F.sum("n").alias("n"), F.max("high").alias("high"))
+        counted.persist()
+        seen = [t for t in (high, counted.agg(F.max("high")).first()[0]) if t is not None]
+        high = F.lit(max(seen, default=None)).cast("timestamp")
+        over = F.coalesce(F.to_timestamp(F.date_add(F.col("day").cast("date"), 1)) <= high - F.expr(f"INTERVAL {self.late}"), F.lit(False))
+        for table, part in (("late", rows.where("reason is not null")), ("closed", counted.where(over).drop("high"))):
+            if not part.isEmpty():
+                part.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={number}")
+        still = counted.where(~over & F.col("day").isNotNull()).withColumn("high", high)
+        # A row of no day keeps the latest time where every day is closed.
+        mark = self.spark.range(1).select(*[(high if f.name == "high" else F.lit(None)).cast(f.dataType).alias(f.name) for f in still.schema])
+        still.unionByName(mark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/open/batch={number}")  # days that are open and a closed vocabulary: few rows
+        for n in [n for n in self.numbers("open") if n < number][:-1]:  # the one before stays, for this batch may be repeated
+            self.drop("open", n)
+        rows.unpersist()
+        counted.unpersist()
+
+    def table(self, name: str) -> DataFrame | None:
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}") if self.numbers(name) else None
+
+    def counts(self) -> DataFrame:
+        """(day, keys, n) of all days, closed or open."""
+        last = self.numbers("open")
+        if not last:
+            raise ValueError(f"no batch has been counted in {self.path}")
+        now = self.spark.read.parquet(f"{self.path}/open/batch={last[-1]}").where("day is not null").select("day", *self.keys, "n")
+        closed = self.table("closed")
+        return now if closed is None else now.unionByName(closed.select("day", *self.keys, "n"))
+
+    def late_events(self) -> DataFrame | None:
+        """Events that came too late, with their reason and the batch in which they came; None if there are none."""
+        return self.table("late")
+
+    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Runs what is there."""
+        return stream.writeStream.foreachBatch(lambda batch, number: self.add(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_upsert(stream: DataFrame, keys: list[str], table_path: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
+    """Counters of what is there, added to those of the folder."""
+    return Counters(stream.sparkSession, table_path, keys, late).start(stream, checkpoint)
+
+
+def read_counters(spark: SparkSession, table_path: str, keys: list[str]) -> DataFrame:
+    return Counters(spark, table_path, keys).counts()
