@@ -146,3 +146,45 @@ def test_bench_and_corpus_from_the_command_line(spark, tmp_path, capsys):
     assert cli.main(["facts-eval", "score", "--pairs", str(pairs), "--settled", f"{tmp_path}/none"], spark) == 2
     (tmp_path / "settled.jsonl").write_text('{"id": "1", "kind": "names", "value": true}')
     assert cli.main(["facts-eval", "score", "--pairs", str(pairs), "--settled", f"{tmp_path}/settled.jsonl"], spark) == 0 and json.loads(capsys.readouterr().out)["precision"] == 1.0
+
+
+def test_scores_evaluation_and_marks_from_the_command_line(spark, tmp_path, capsys):
+    features = tmp_path / "f.jsonl"
+    features.write_text("\n".join(json.dumps({"id": str(k), "binoculars": None if k == 3 else k / 10, "nll_obs": 1.0, "error": "OSError: gone" if k == 4 else None}) for k in range(6)))
+    for _ in range(2):
+        assert cli.main(["score", str(features), "--detectors", "binoculars,perplexity", "--out", f"{tmp_path}/scores"], spark) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(x["detector"], x["scored"], x["errors"]) for x in lines] == [("binoculars", 6, 2), ("perplexity", 6, 1), ("binoculars", 2, 2), ("perplexity", 1, 1)]
+    rows = [{"id": str(k), "kind": "ai" if k % 2 else "human", "lang": "en", "bucket": "long", "generator": "m" if k % 2 else None, "genre": "news", "score": k % 2 * 2 + (k * 37 % 100) / 100} for k in range(1200)]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    asked = ["evaluate", f"{tmp_path}/s.jsonl", "--out", f"{tmp_path}/e", "--replicates", "50", "--publish", f"{tmp_path}/cal"]
+    assert cli.main(asked, spark) == 0
+    out = capsys.readouterr().out
+    assert "| en/long | 1.00 |" in out and "published" in out and spark.read.json(f"{tmp_path}/e/gates").first()["allowed"]
+    assert cli.main(asked, spark) == 0 and "not published" in capsys.readouterr().out
+    text = tmp_path / "t.txt"
+    text.write_text("one two three four five six seven eight nine ten eleven twelve")
+    assert cli.main(["detect", str(text), "--watermark-only", "--watermark-keys", "a,b", "--json"], spark) == 0
+    assert [json.loads(x)["key"] for x in capsys.readouterr().out.splitlines()] == ["a", "b"]
+    assert cli.main(["detect", str(text), "--watermark-only", "--watermark-keys", "a"], spark) == 0 and "no mark found" in capsys.readouterr().out
+    assert cli.main(["detect", str(text), "--watermark-only"], spark) == 1 and cli.main(["detect", str(text)], spark) == 1
+    at = spark.read.text(str(text)).select(F.input_file_name()).first()[0]
+    path = cli.read_text(spark, str(text)).first()["path"]
+    ids = spark.range(1).select(F.lit(path).alias("path"), F.expr("sequence(1L, 30L)").alias("ids")).withColumn("g", F.array_repeat(F.array_repeat(F.lit(1), 8), 26))
+    ids.write.parquet(f"{tmp_path}/ids")
+    assert at and cli.main(["detect", str(text), "--watermark-only", "--watermark-ids", f"{tmp_path}/ids", "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["score"]["mean_g"] == 1.0
+
+
+def test_bench_options_sweeps_and_folders(spark, tmp_path, capsys):
+    samples, plain = tmp_path / "s.jsonl", tmp_path / "p.jsonl"
+    samples.write_text(json.dumps({"id": "1", "text": "We don't know the color, shape, and size of it — or do we?", "lang": "en", "watermarked": True}))
+    plain.write_text(json.dumps({"id": "2", "text": "It is plain.", "lang": "en"}))
+    asked = ["bench", str(samples), "--plain", str(plain), "--transforms", "none", "--sweep", "rules:2,3", "--rules", "dashes", "--timed", "--out", f"{tmp_path}/o"]
+    assert cli.main(asked, spark) == 0
+    out = capsys.readouterr().out
+    assert "| rules@2 | 1 |" in out and "| rules@3 | 1 |" in out and "control(plain)" in out
+    rows = {r["label"]: r for r in spark.read.json(f"{tmp_path}/o/rows").collect()}
+    assert "don't" in rows["rules@2"]["entry"]["text"] and "—" not in rows["rules@2"]["entry"]["text"] and rows["none"]["seconds"] > 0
+    assert cli.main([*asked, "--seed", "7"], spark) == 1 and "--force" in capsys.readouterr().err
+    assert cli.main([*asked, "--seed", "7", "--force"], spark) == 0
