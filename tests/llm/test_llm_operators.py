@@ -329,6 +329,23 @@ def test_viterbi_is_the_best_path(spark):
         assert "".join(path) == r["word"] and sum(score[p] for p in path) == pytest.approx(best(r["word"]))
 
 
+def test_viterbi_takes_long_words_and_characters_without_a_piece(spark):
+    rng = random.Random(4)
+    score = {p: -rng.random() * 5 for p in ("a", "b", "ab", "ba", "aab", "bbb", "abab")}
+    rows = list(score.items())
+    table = spark.createDataFrame([(p, k, s) for k, (p, s) in enumerate(rows)], "piece string, id int, score double")
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(60)] + ["ab" * 1500]
+    got = pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), table, 4).select("word", pieces.viterbi(F.col("word"), F.col("edges"), list(range(1000, 1256)), -9.0).alias("ids")).collect()
+    assert len(got) == len(set(words))
+    for r in got:
+        w, best = r["word"], [0.0]
+        for end in range(1, len(w) + 1):
+            ways = [best[end - k] + score[w[end - k : end]] for k in range(1, 5) if end >= k and w[end - k : end] in score]
+            best.append(max(ways if w[end - 1] in score else [*ways, best[end - 1] - 9.0]))
+        path = [rows[k][0] if k < 1000 else chr(k - 1000) for k in r["ids"]]
+        assert "".join(path) == w and sum(score.get(p, -9.0) for p in path) == pytest.approx(best[-1])
+
+
 def test_warc_round_trip_and_look_up(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 80
     rows = [(1, "http://www.Example.com/a b", big, 0), (2, "https://example.com:80/?q", big, 0), (3, None, "", 0), (4, "http://x.org/\n", None, 0), (5, "http://www.example.com/a b", "small", 0), (6, "http://y.org", "small", 0), (9, "http://z.org", big, 0)]

@@ -133,23 +133,26 @@ def piece_or_bytes(word: Column, start: Column, end: Column, id_: Column, byte_i
 
 
 def viterbi(word: Column, edges: Column, byte_ids: list[int], unknown_score: float) -> Column:
-    """Ids of the path with the best sum of scores; a character without a piece costs unknown_score. Ties go to the longer last piece."""
-    n, edges = F.length(word), F.filter(edges, lambda e: e["id"].isNotNull())
-    start = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(-1).alias("from"), F.lit(None).cast("int").alias("id")))
-    STATE = "array<struct<best:double,from:int,id:int>>"
-
-    def step(state: Column, end: Column) -> Column:
-        into = F.transform(
-            F.filter(edges, lambda e: e["end"] == end),
-            lambda e: F.struct((F.element_at(state, e["start"] + 1)["best"] + e["score"]).alias("best"), (-e["start"]).alias("order"), e["start"].alias("from"), e["id"].alias("id")),
-        )
-        plain = F.struct((F.element_at(state, -1)["best"] + F.lit(unknown_score)).alias("best"), (-(end - 1)).alias("order"), (end - 1).cast("int").alias("from"), F.lit(None).cast("int").alias("id"))
-        single = F.exists(edges, lambda e: (e["end"] == end) & (e["start"] == end - 1))
-        all_ = F.when(single, into).otherwise(F.concat(into, F.array(plain)))
-        top = F.array_max(all_)
-        return F.concat(state, F.array(F.struct(top["best"].alias("best"), top["from"].alias("from"), top["id"].alias("id")))).cast(STATE)
-
-    states = F.aggregate(F.sequence(F.lit(1), n), start.cast(STATE), step)
+    """Ids of the path with the best sum of scores; a character without a piece costs unknown_score. Ties go to the longer last piece. One fold over the edges by their ends: the state has the best way to each
+    place so far, and the best one yet to the place that the edges now end at."""
+    n = F.length(word)
+    WAY = "struct<best:double,from:int,id:int>"
+    way = lambda best, start, id_: F.struct(best.alias("best"), start.cast("int").alias("from"), id_.cast("int").alias("id")).cast(WAY)
+    bind = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computes a value once that fn uses often
+    by_end = F.array_sort(F.transform(edges, lambda e: F.struct(e["end"].alias("end"), e["start"].alias("start"), e["id"].alias("id"), F.coalesce(e["score"], F.lit(unknown_score)).alias("score"))))
+    start = F.struct(F.array().cast(f"array<{WAY}>").alias("done"), way(F.lit(0.0), F.lit(-1), F.lit(None)).alias("now"), F.lit(0).alias("end")).cast(f"struct<done:array<{WAY}>,now:{WAY},end:int>")
+
+    def step(acc: Column, e: Column) -> Column:
+        moved = e["end"] > acc["end"]
+        done = F.when(moved, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
+
+        def taken(d: Column) -> Column:
+            new = way(F.element_at(d, e["start"] + 1)["best"] + e["score"], e["start"], e["id"])
+            return F.struct(d.alias("done"), F.when(moved | (new["best"] > acc["now"]["best"]), new).otherwise(acc["now"]).alias("now"), e["end"].cast("int").alias("end"))
+
+        return bind(done, taken).cast(f"struct<done:array<{WAY}>,now:{WAY},end:int>")
+
+    states = F.aggregate(by_end, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
     back = F.aggregate(
         F.sequence(F.lit(1), n),
         F.struct(n.cast("int").alias("at"), F.array().cast("array<int>").alias("out"), states.alias("s")),
@@ -294,10 +297,11 @@ def write_books(texts: DataFrame, model: Model, path: str) -> None:
     listed = store(part_units(texts, model.units), "pieces-units")
     total = listed.count()
     tasks = max(1, total // TASK_UNITS)
-    # A number of tasks of its own, as few bytes become many edges. The lattice holds words alone; where a word is asked for meets its ids in the partition both are in.
+    # A number of tasks of its own, as few bytes become many edges. The lattice holds words alone; where a word is asked for meets its ids in the partition both are in, by sorting, so that
+    # rows of a word go on side by side and take little room.
     asked = listed.repartition(tasks, "word")
     words = asked.groupBy("word").agg(F.min("part").alias("_some")).where("_some is not null").select("word")  # asks for both columns, so that both sides read one exchange
-    rows = asked.join(word_ids(words, model).hint("shuffle_hash"), "word").select("part", "word", "ids")
+    rows = asked.join(word_ids(words, model).hint("merge"), "word").select("part", "word", "ids")
     rows.repartition(max(1, total // BOOK_UNITS), "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
 
 
