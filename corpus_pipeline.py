@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences. Each stage's result is written as Parquet and is the next one's input."""
+"""From raw documents to packed sequences. Each stage's result is written as Parquet and is the next one's input.
+
+Defined cases: a null text is an empty one, is not toxic unless the model says so of empty texts, and is packed as its end alone; null ids stay, as rows of their own; of repeated ids each row
+counts; equal texts and near copies leave one row, that with the largest and that with the smallest id; columns of documents other than id and text go along unchanged
+up to the last stage, whatever their names; an empty table, or one without labels, gives an empty result or one of which nothing is rejected.
+"""
 
 from __future__ import annotations
 
