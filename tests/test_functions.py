@@ -1,7 +1,7 @@
 """Column expressions against hand-made cases."""
 
-import math
 import difflib
+import math
 import random
 import time
 
