@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a step of fitting holds as numbers at a time.
+FIT_ROWS = 1024
 #: The bound on labelled rows that are fitted.
 SAMPLE_ROWS = 8000
 FOLDS = 3
@@ -84,27 +86,37 @@ def fit(rows, offsets, y, earlier, ridge: float = 0.3) -> Linear:
     if not n or pos in (0, n):
         share = pos / n if n else 0.0
         return Linear(earlier=[0.0] * earlier.shape[1], constant=float(logits(np.array(share))))
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    a = np.bincount(rows[y[owner] == 1], minlength=SLOTS)
-    b = np.bincount(rows[y[owner] == 0], minlength=SLOTS)
+    runs = [(low, min(low + FIT_ROWS, n)) for low in range(0, n, FIT_ROWS)]  # some rows at a time, so that the driver holds no copies of all
+    a, b = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    for low, high in runs:
+        toxic = np.repeat(y[low:high] == 1, np.diff(offsets[low : high + 1]))
+        some = rows[offsets[low] : offsets[high]]
+        a += np.bincount(some[toxic], minlength=SLOTS)
+        b += np.bincount(some[~toxic], minlength=SLOTS)
     often = np.flatnonzero(a + b >= MIN_DOCS)
     g = root_of_g(a[often], b[often], pos, n - pos)
     order = np.argsort(-g, kind="stable")[:FEATURES]
     taken = np.sort(often[order[g[order] >= MIN_ROOT_G]])
     at = np.full(SLOTS, -1, np.int32)
     at[taken] = np.arange(len(taken))
-    hit = at[rows] >= 0
-    x = np.zeros((n, len(taken) + earlier.shape[1] + 1))
-    x[owner[hit], at[rows[hit]]] = 1.0
-    x[:, len(taken) : -1] = logits(earlier)
-    x[:, -1] = 1.0
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    x = np.zeros((n, len(taken)), np.int8)
+    for low, high in runs:
+        column = at[rows[offsets[low] : offsets[high]]]
+        owner = np.repeat(np.arange(low, high), np.diff(offsets[low : high + 1]))
+        x[owner[column >= 0], column[column >= 0]] = 1
+    more = np.column_stack([logits(earlier), np.ones(n)])
+    w = np.zeros(len(taken) + more.shape[1])
+    penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-4)
-        step = np.linalg.solve(x.T @ (x * s[:, None]) + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        bend, slope = np.diag(penalty), -penalty * w
+        for low, high in runs:
+            part = slice(low, high)
+            xs = np.hstack([x[part], more[part]])
+            p = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
+            bend += xs.T @ (xs * np.maximum(p * (1 - p), 1e-4)[:, None])
+            slope += xs.T @ (y[part] - p)
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-4:
             break
@@ -116,8 +128,12 @@ def predict(model: Linear, rows, offsets, earlier):
 
     weights = np.zeros(SLOTS)
     weights[model.taken] = model.weights
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    z = np.bincount(owner, weights[rows], minlength=len(offsets) - 1) + model.constant
+    n = len(offsets) - 1
+    z = np.zeros(n)
+    for low in range(0, n, FIT_ROWS):
+        high = min(low + FIT_ROWS, n)
+        owner = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+        z[low:high] = np.bincount(owner, weights[rows[offsets[low] : offsets[high]]], minlength=high - low) + model.constant
     if len(model.earlier):
         z = z + logits(earlier) @ np.array(model.earlier)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -182,10 +198,12 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: int = SA
     found = sorted(once.collect(), key=lambda r: r["_id"])
     order = np.random.default_rng(0).permutation(len(found))
     found = [found[k] for k in order]
-    parts = [np.frombuffer(r["f"], "<i4") for r in found]
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    rows = np.concatenate(parts) if parts else np.zeros(0, "<i4")
+    offsets = np.concatenate([[0], np.cumsum([len(r["f"]) // 4 for r in found])]).astype(np.int64)
+    rows = np.zeros(offsets[-1], "<i4")
+    for k, r in enumerate(found):
+        rows[offsets[k] : offsets[k + 1]] = np.frombuffer(r["f"], "<i4")
     y = np.array([[int(r[c] == v) for _, c, v in chain] for r in found]).reshape(len(found), len(chain))
+    del found
     return fit_chain(rows, offsets, y)
 
 
