@@ -604,9 +604,12 @@ def bench_summary(spark, sf_dir):
     return s.withColumns({c: r6(c) for c in ("z_mean", "z_median", "share_below", "tokens_per_1000_words")})
 
 
-@query("SELECT unnest(['rules', 'infill@3', 'infill@4', 'hybrid']) AS label, unnest(['rules', 'infill', 'infill', 'hybrid']) AS base, CAST(unnest([NULL, 3, 4, NULL]) AS INTEGER) AS stride")
+@query("""SELECT doc_id, label, base, stride FROM (SELECT doc_id, unnest([source, source || '@' || doc_id % 7, lang]) AS label, unnest([source, source, lang]) AS base, unnest([NULL, doc_id % 7, NULL])::INTEGER AS stride FROM documents)""")
 def spec_expansion(spark, sf_dir):
-    return spark.range(1).select(F.explode(bench.specs(F.lit("rules, infill@3,infill@4,rules,,hybrid"))).alias("s")).select("s.*")
+    """Each document asks for its source, its source at a stride, and its language, with repeats and blanks between."""
+    stride = F.concat("source", F.lit("@"), (F.col("doc_id") % 7).cast("string"))
+    listing = F.concat_ws(",", "source", F.concat(F.lit(" "), stride), F.lit(""), "source", F.concat("lang", F.lit(" ")))
+    return read(spark, sf_dir, "documents", "doc_id", "source", "lang").select("doc_id", F.explode(bench.specs(listing)).alias("s")).select("doc_id", "s.*")
 
 
 @query("SELECT doc_id, left(sha1(lang || '|' || source || '|' || (doc_id % 5)), 12) AS digest FROM documents")

@@ -273,13 +273,12 @@ def rewrites_beside_originals(spark, sf_dir):
     return found.select("id", "source", F.length("text").cast("long").alias("n"), F.length("original").cast("long").alias("n_original"))
 
 
-PLACES_SQL = ", ".join(f"('{r[3]}', '{r[4]}', {r[8]})" for r in requests.CATALOGUE)
-
-
-@query(f"""SELECT dataset, config, CAST(t AS INTEGER) AS try, CAST(('0x' || left(md5('0-' || dataset || '-' || config || '-' || t), 12)) AS BIGINT) % greatest(1, r - 100) AS "offset" FROM (VALUES {PLACES_SQL}) v(dataset, config, r), range(1, 41) u(t)""")
+@query("""WITH v AS (SELECT source AS dataset, lang AS config, count(*) AS r FROM documents GROUP BY ALL)
+    SELECT dataset, config, CAST(t AS INTEGER) AS try, CAST(('0x' || left(md5('0-' || dataset || '-' || config || '-' || t), 12)) AS BIGINT) % greatest(1, r - 10) AS "offset" FROM v, range(1, 41) u(t)""")
 def random_page_offsets(spark, sf_dir):
-    """Where pages of each source are read, the second round's sources too."""
-    return requests.random_pages(requests.catalogue(spark, second_round=True)).select("dataset", "config", "try", "offset")
+    """Where pages of ten are read from each source and language, whose documents are its rows."""
+    sources = read(spark, sf_dir, "documents", "source", "lang").groupBy(F.col("source").alias("dataset"), F.col("lang").alias("config")).agg(F.count("*").alias("rows"))
+    return requests.random_pages(sources, page=10).select("dataset", "config", "try", "offset")
 
 
 @query("SELECT DISTINCT source FROM documents ORDER BY source")
