@@ -6,12 +6,11 @@ import hashlib
 import json
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions import cleaning, marks, registry, rewriting, spans, tokens
-from textloom.operators import assess, bench, corpus, evaluation, runs
+from textloom.operators import assess, corpus, evaluation, runs
 from textloom.plans.catalogue import (
-    AUROC_SQL, INTERVAL_SQL, LETTERS, RANKED_SQL, REPLICATES, SCORED_SQL, SENTENCES_SQL, SPLIT_SQL, WORDS_SQL, at_threshold, bootstrap_sql, documents, query, r6, read, scored, slim, split,
+    AUROC_SQL, INTERVAL_SQL, RANKED_SQL, REPLICATES, SCORED_SQL, SENTENCES_SQL, SPLIT_SQL, WORDS_SQL, bootstrap_sql, documents, query, r6, read, scored, slim, split,
 )
 from textloom.sources import reports, requests
 from textloom.streaming import counter
