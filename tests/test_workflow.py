@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import cli
-from textloom.functions import registry
+from textloom.functions import marks, registry, tokens
 from textloom.operators import assess, corpus, evaluation, ranks, runs
 from textloom.sources import reports, requests
 from textloom.streaming import counter
@@ -188,3 +188,26 @@ def test_bench_options_sweeps_and_folders(spark, tmp_path, capsys):
     assert "don't" in rows["rules@2"]["entry"]["text"] and "—" not in rows["rules@2"]["entry"]["text"] and rows["none"]["seconds"] > 0
     assert cli.main([*asked, "--seed", "7"], spark) == 1 and "--force" in capsys.readouterr().err
     assert cli.main([*asked, "--seed", "7", "--force"], spark) == 0
+
+
+def test_a_bench_measures_each_text_once_and_as_by_single_functions(spark):
+    texts = ["", "one two", "A b c d e f g h", "the colour of a thing is not the color of it " * 4, None, "é à ü Straße a b c d e f", "İ x y z a b c d e", "x" * 50, "I don't know what it is and I don't care at all"]
+    samples = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    known = registry.transforms.with_function("loud", lambda t, _: t.upper())
+    marked = runs.marked(samples)
+    cache = runs.new_entries(runs.run(runs.asked(marked.where("id % 2 = 0"), "rules,loud", known)[0], known))
+    todo = runs.asked(runs.with_cached(marked, cache.union(cache)), "rules,none,loud", known)[0]
+    results = runs.run(todo, known)
+    by_key = runs.run(runs.asked(samples, "rules,none,loud", known)[0], known, cache)
+    shown = lambda df: sorted((r["id"], r["label"], r["cached"], r["error"] or "", r["entry"] and r["entry"]["text"] or "") for r in df.collect())
+    assert shown(results) == shown(by_key) and sum(r[2] for r in shown(results)) == 8
+    got = {(r["id"], r["label"]): r for r in runs.measured(results).collect()}
+    words = lambda c: tokens.letter_words(F.lower(c))
+    rows = runs.stored(results.select("id", "label", "text", F.col("entry.text").alias("after")), "rows")
+    want = rows.select("id", "label", marks.mark_score("text", "key").alias("b"), marks.mark_score("after", "key").alias("a"), F.round(marks.intact_fraction()(words("text"), words("after")), 4).alias("intact"), F.round(marks.word_edit_ratio("text", "after"), 4).alias("ratio"))
+    assert len(got) == 27
+    for r in want.collect():
+        g = got[r["id"], r["label"]]
+        assert (g["intact"], g["edit_ratio"]) == (r["intact"], r["ratio"])
+        for score, end in ((r["b"], "before"), (r["a"], "after")):
+            assert [g[f"{c}_{end}"] for c in ("tokens", "scored", "z", "zw")] == ([score[c] for c in ("tokens", "scored", "z", "z_w")] if score else [None] * 4)

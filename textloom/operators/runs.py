@@ -52,32 +52,42 @@ def problem(samples: DataFrame, text: str = "text") -> Column:
     return F.when(F.col(text).isNull(), F.lit("ValueError: no text"))
 
 
-def outcome(catches: bool) -> Callable[[Column], Column]:
-    """What a transform gave as struct<entry, error, seconds>."""
+def entry_of(found: Column) -> Column:
+    return F.struct(found["text"].alias("text"), found["edits"].cast("int").alias("edits"), found["counts"].alias("counts")).cast(ENTRY)
 
-    def row(f: Column) -> Column:
-        entry = F.struct(f["text"].alias("text"), f["edits"].cast("int").alias("edits"), f["counts"].alias("counts")).cast(ENTRY)
-        error, seconds = (f["error"], f["seconds"]) if catches else (F.lit(None).cast("string"), F.lit(None).cast("double"))
-        return F.struct(F.when(error.isNull(), entry).alias("entry"), error.alias("error"), seconds.alias("seconds"))
 
-    return row
+def with_cached(samples: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
+    """samples with _held, all that cache holds for each one's id and text, from which run() takes what it needs. So a sample meets the cache once, whole, and not once for each specification."""
+    keyed = samples.withColumn("text_sha1", F.sha1(F.col(text).cast("binary")))
+    each = cache.groupBy("id", "text_sha1", F.col("transform").alias("base"), "digest").agg(F.first("entry").cast(ENTRY).alias("entry"))  # as many for a sample as there are options
+    held = each.groupBy("id", "text_sha1").agg(F.collect_list(F.struct("base", "digest", "entry")).alias("_held"))
+    return keyed.join(held, ["id", "text_sha1"], "left").select(*samples.columns, "_held")
 
 
-def run(todo: DataFrame, known: Registry, cache: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
+def run(todo: DataFrame, known: Registry, cache: DataFrame | None = None, options: Options = Options(), text: str = "text") -> DataFrame:
     """todo (id, base, label, text, ...) with digest, text_sha1, cached, error, seconds and entry. What cache (transform, id, digest, text_sha1, entry) holds for the very
-    text is taken from it; only the rest is transformed. A text on which a transform fails is a row with an error and no entry, and enters no cache."""
+    text is taken from it, or from _held where with_cached() has been asked; only the rest is transformed. A text on which a transform fails is a row with an error and no entry, and enters no cache."""
     given = {n: F.lit(v) if not isinstance(v, tuple) else F.array(*[F.lit(x) for x in v]).cast("array<string>") for n, v in asdict(options).items() if v is not None}
     keyed = todo.withColumn("digest", digest(F.col("base"), given | {"stride": F.col("stride")})).withColumn("text_sha1", F.sha1(F.col(text).cast("binary")))
-    held = cache.select(F.col("transform").alias("base"), "id", "digest", "text_sha1", F.col("entry").cast(ENTRY).alias("held")).dropDuplicates(["base", "id", "digest", "text_sha1"])
-    probed = keyed.join(held, ["base", "id", "digest", "text_sha1"], "left").withColumn("cached", F.col("held").isNotNull())
-    none = F.lit(None)
-    made = none.cast(f"struct<entry:{ENTRY},error:string,seconds:double>")
+    if cache is not None:
+        held = cache.select(F.col("transform").alias("base"), "id", "digest", "text_sha1", F.col("entry").cast(ENTRY).alias("held")).dropDuplicates(["base", "id", "digest", "text_sha1"])
+        probed = keyed.join(held, ["base", "id", "digest", "text_sha1"], "left")
+    elif "_held" in todo.columns:
+        probed = keyed.withColumn("held", F.get(F.filter("_held", lambda h: (h["base"] == F.col("base")) & (h["digest"] == F.col("digest"))), F.lit(0))["entry"]).drop("_held")
+    else:
+        probed = keyed.withColumn("held", F.lit(None).cast(ENTRY))
+    probed = probed.withColumn("cached", F.col("held").isNotNull())
+    made, failed, seconds = F.lit(None).cast(ENTRY), F.lit(None).cast("string"), F.lit(None).cast("double")
     for base in known.names():
         # Only its own rows reach a transform: a Python function would be called for all of them.
         found = known.get(base)(F.when(~F.col("cached") & (F.col("base") == base), F.col(text)), options)
-        made = F.when(F.col("base") == base, bind(found, outcome(getattr(known.get(base), "catches", False)))).otherwise(made)
-    out = probed.withColumn("_made", made).withColumn("error", F.when(~F.col("cached"), F.coalesce(problem(todo, text), F.col("_made.error"))))
-    return out.withColumn("entry", F.coalesce("held", F.when(F.col("error").isNull(), F.col("_made.entry")))).withColumn("seconds", F.col("_made.seconds")).drop("held", "_made")
+        its = F.col("base") == base
+        if getattr(known.get(base), "catches", False):
+            made, failed, seconds = F.when(its, entry_of(found)).otherwise(made), F.when(its, found["error"]).otherwise(failed), F.when(its, found["seconds"]).otherwise(seconds)
+        else:  # stands in the entry alone, so that no plan has it twice
+            made = F.when(its, bind(found, entry_of)).otherwise(made)
+    error = F.when(~F.col("cached"), F.coalesce(problem(todo, text), failed))
+    return probed.withColumns({"error": error, "entry": F.coalesce("held", F.when(error.isNull(), made)), "seconds": seconds}).drop("held")
 
 
 def timed(todo: DataFrame, known: Registry, cache: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
@@ -172,19 +182,24 @@ def controls(plain: DataFrame, text: str = "text") -> DataFrame:
     return plain.withColumns({"label": F.lit(CONTROL), "base": F.lit("none"), "stride": F.lit(None).cast("int"), "cached": F.lit(False), "error": F.lit(None).cast("string"), "seconds": F.lit(None).cast("double"), "entry": entry})
 
 
+def marked(samples: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """samples with _before, the mark's score of each text, and _words, their number: what measured() needs of a text however many results it has."""
+    return samples.withColumns({"_before": marks.mark_score(F.col(text), key), "_words": tokens.word_count(F.col(text))})
+
+
 def measured(results: DataFrame, key: str = "key", text: str = "text", cosine: Column | None = None, perplexity: tuple[Column, Column] | None = None) -> DataFrame:
-    """results with the mark's score before and after, what stays intact and the edit ratio. A metric whose model is not at hand is null in every row."""
-    results = stored(results, "results")  # made once, measured several times
-    before, after = marks.mark_score(F.col(text), key), marks.mark_score(F.col("entry.text"), key)
-    words = lambda c: tokens.letter_words(F.lower(c))
+    """results with the mark's score before and after, what stays intact and the edit ratio. A metric whose model is not at hand is null in every row. Samples that were marked() with the same key before they were run
+    are not scored again."""
+    rows = results if {"_before", "_words"} <= set(results.columns) else marked(results, key, text)
     none = F.lit(None).cast("double")
-    rows = results.withColumns({"_b": before, "_a": after})
+    rows = rows.withColumnRenamed("_before", "_b").withColumn("_after", F.col("entry.text"))
+    rows = marks.compared(rows, text, "_after", "_b", key, "_c").withColumn("_a", F.col("_c.score"))
     return rows.select(
-        *results.columns, F.col("_b.tokens").alias("tokens_before"), F.col("_a.tokens").alias("tokens_after"), F.col("_b.scored").alias("scored_before"), F.col("_a.scored").alias("scored_after"),
+        *[c for c in results.columns if c not in ("_before", "_words")], F.col("_b.tokens").alias("tokens_before"), F.col("_a.tokens").alias("tokens_after"), F.col("_b.scored").alias("scored_before"), F.col("_a.scored").alias("scored_after"),
         F.col("_b.z").alias("z_before"), F.col("_a.z").alias("z_after"), F.col("_b.z_w").alias("zw_before"), F.col("_a.z_w").alias("zw_after"), F.col("_a.p").alias("p_after"),
-        F.round(marks.intact_fraction()(words(F.col(text)), words(F.col("entry.text"))), 4).alias("intact"), (cosine if cosine is not None else none).alias("cosine"),
-        F.round(marks.word_edit_ratio(F.col(text), F.col("entry.text")), 4).alias("edit_ratio"),
-        *(p.alias(n) for p, n in zip(perplexity or (none, none), ("ppl_before", "ppl_after"))), tokens.word_count(F.col(text)).alias("input_words"),
+        F.round("_c.intact", 4).alias("intact"), (cosine if cosine is not None else none).alias("cosine"),
+        F.round("_c.edit_ratio", 4).alias("edit_ratio"),
+        *(p.alias(n) for p, n in zip(perplexity or (none, none), ("ppl_before", "ppl_after"))), F.col("_words").alias("input_words"),
     )
 
 

@@ -131,15 +131,14 @@ def specs_by_samples(spark, sf_dir):
     return rows
 
 
-def bench_rows(spark, sf_dir):
+def bench_rows(spark, sf_dir, of=lambda samples: samples):
     """Runs over all documents; a third of the results is in the cache already, every seventeenth text is missing."""
     text = F.when(F.col("doc_id") % 17 > 0, F.col("text"))
-    samples = read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), text.alias("text"))
+    samples = of(read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), text.alias("text")))
     known = registry.transforms.with_function("picky", picky)
-    todo, _ = runs.asked(samples, "rules,unicode,picky", known)
-    empty = spark.createDataFrame([], f"transform string, id long, digest string, text_sha1 string, entry {runs.ENTRY}")
-    stored = runs.new_entries(runs.run(todo.where(F.col("id") % 3 == 0), known, empty))
-    return runs.run(todo, known, stored), samples
+    asked = lambda rows: runs.asked(rows, "rules,unicode,picky", known)[0]
+    cache = runs.new_entries(runs.run(asked(samples.where(F.col("id") % 3 == 0)), known))
+    return runs.run(asked(runs.with_cached(samples, cache)), known), samples
 
 
 def picky(text: str, options: registry.Options) -> str:
@@ -161,9 +160,9 @@ def bench_run(spark, sf_dir):
 @query()
 def bench_measure(spark, sf_dir):
     """The mark before and after, and how much stays; controls are unmarked texts as they are."""
-    rows, samples = bench_rows(spark, sf_dir)
+    rows, samples = bench_rows(spark, sf_dir, runs.marked)
     plain = runs.controls(samples.where("id % 4 = 0")).withColumns({"digest": F.lit(None).cast("string"), "text_sha1": F.lit(None).cast("string")})
-    both = rows.unionByName(plain)
+    both = rows.unionByName(plain).withColumn("entry", F.struct("entry.text"))
     measured = runs.measured(both).withColumns({c: F.lit(None).cast("double") for c in ("prompt_tokens", "completion_tokens")})
     return runs.summary(measured).drop("seconds_mean")
 
