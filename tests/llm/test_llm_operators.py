@@ -48,6 +48,19 @@ def test_packing_is_the_tokenizers_ids_gapless_and_tight(spark):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_words_share_ids_with_their_letters_as_the_tokenizer_has_them():
+    enc, rng = packing.WordEncoder(tokenizer_file("word_bpe_49k.json")), random.Random(5)
+    assert all(list(np.frombuffer(b"".join(enc.encode_all([t])), "<u4")) == enc.tokenizer.encode(t, add_special_tokens=False).ids for t in ("raİ,", "raİ^@", "a<|endoftext|>", "it's,", "ab%%%̸"))
+    signs = [*"abcABCstTdmlLreV019'.,%&#$*()<|>_-!?/ \n", "é", "ß", "İ", "́", "̸", "’", "…", "中", "<|endoftext|>"]
+    for _ in range(2000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+        assert list(np.frombuffer(b"".join(enc.encode_all([text])), "<u4")) == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    made = packing.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    alone, made.ids = [], lambda text, f=made.ids: alone.append(text) or f(text)
+    b"".join(made.encode_all(["Abc%%% abd,%%% ABE&& abf. (abg) abh"]))
+    assert sorted(alone) == sorted({"%%%", ",%%%", "&&", ".", "(abg)"})  # the rest is learned in one call
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_best_fit_over_counts_is_best_fit_over_pieces(seed):
     rng = random.Random(seed)

@@ -33,6 +33,8 @@ BROADCAST_PLAN_ROWS = 200_000
 CELL_RANKS = 1_024
 #: Distinct words whose ids a Python worker keeps; beyond it the memo starts anew, which costs time only.
 MEMO_WORDS = 700_000
+#: Signs that end a run of letters for the tokenizer. An apostrophe may begin a token with letters, a less-than sign a special one, and signs beyond ASCII may be composed with a letter.
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,9 +45,13 @@ class WordEncoder:
 
     def __init__(self, path: str):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.np, self.tokenizer, self.memo = np, Tokenizer.from_file(path), {"": b""}
+        # Runs of small ASCII letters are units as they are: neither its normalizer nor its pattern changes them.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
@@ -54,29 +60,38 @@ class WordEncoder:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Puts words into the memo. A stop or comma after letters is a token run of its own, and ASCII letters lose
-        their case, so such words share their ids with the bare lower-case word."""
+        """Puts words into the memo. What follows the letters a word begins with is a token run of its own if it is of printable ASCII signs without
+        apostrophes, and ASCII letters lose their case, so such words share their ids with the bare lower-case word."""
         memo = self.memo
         if len(memo) + len(words) > MEMO_WORDS:
             memo.clear()
             memo[""] = b""
-        parts = {}
+        parts, cores = [], set()
         for word in words:
-            core, tail = (word[:-1], word[-1]) if word[-1:] in (",", ".") and word[:-1].isalpha() else (word, "")
-            parts[word] = (core.lower() if core.isascii() else core, tail)
-        cores = list({core for core, _ in parts.values() if core.isalpha() and core not in memo})
-        for at in range(0, len(cores), 4000):
-            self._learn_letters(cores[at : at + 4000])
-        for word, (core, tail) in parts.items():
-            for part in (core, tail):
-                if part not in memo:
-                    memo[part] = self.ids(part)
+            core = word.rstrip(SIGNS)
+            if not (core.isalpha() and (core.isascii() or core.lower().isalpha())):  # a dotted capital I becomes two characters, the second no letter
+                memo[word] = self.ids(word)
+                continue
+            tail = word[len(core) :]
+            if tail not in memo:
+                memo[tail] = self.ids(tail)
+            if core.isascii():
+                core = core.lower()
+            if core not in memo:
+                cores.add(core)
+            if core != word:
+                parts.append((word, core, tail))
+        plain = [core for core in cores if core.isascii()]
+        for tokenizer, some in ((self.plain, plain), (self.tokenizer, list(cores.difference(plain)))):
+            for at in range(0, len(some), 1000):
+                self._learn_letters(tokenizer, some[at : at + 1000])
+        for word, core, tail in parts:
             memo[word] = memo[core] + memo[tail]
 
-    def _learn_letters(self, cores: list[str]) -> None:
+    def _learn_letters(self, tokenizer, cores: list[str]) -> None:
         """A run of letters is one unit of the tokenizer, whose last token alone is a word's end."""
         np = self.np
-        ids = np.array(self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(cores):
             raw, start = ids.tobytes(), 0
