@@ -13,6 +13,7 @@ from textloom.plans.catalogue import (
     AUROC_SQL, INTERVAL_SQL, RANKED_SQL, REPLICATES, SCORED_SQL, SENTENCES_SQL, SPLIT_SQL, WORDS_SQL, bootstrap_sql, documents, query, r6, read, scored, slim, split,
 )
 from textloom.sources import reports, requests
+from textloom.sources.shared import spread
 from textloom.streaming import counter
 
 # ---- evaluation
@@ -134,7 +135,7 @@ def specs_by_samples(spark, sf_dir):
 def bench_rows(spark, sf_dir, of=lambda samples: samples):
     """Runs over all documents; a third of the results is in the cache already, every seventeenth text is missing."""
     text = F.when(F.col("doc_id") % 17 > 0, F.col("text"))
-    samples = of(read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), text.alias("text")))
+    samples = of(spread(read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), text.alias("text"))))
     known = registry.transforms.with_function("picky", picky)
     asked = lambda rows: runs.asked(rows, "rules,unicode,picky", known)[0]
     cache = runs.new_entries(runs.run(asked(samples.where(F.col("id") % 3 == 0)), known))
