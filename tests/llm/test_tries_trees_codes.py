@@ -243,3 +243,49 @@ def test_a_code_stands_for_its_entries(spark):
     for r in found.where("vec_id between 6 and 119 and vec_id != 3").collect():
         back = vector_codes.decode(r["code"], books[16])
         assert sum((int(x) - y) ** 2 for x, y in zip(back, whole[r["vec_id"]])) == r["error"]
+
+
+def test_a_chunk_takes_few_bytes_a_word_and_goes_before_the_next(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng, each = np.random.default_rng(3), 100_000
+    rows, told = [], {}
+    for k in range(2):
+        codes = (rng.zipf(1.3, each) % 20_000).astype("<i4")
+        hashes, counts = suffix_tree.mixed(np.arange(20_000)), np.bincount(codes, minlength=20_000).astype("<i8")
+        frozen = suffix_tree.frozen
+        rows.append({"part": k, "chunk": k, "ids": pa.array(range(each // 100)), "docs": frozen(np.full(each // 100, 100, "<i8"), np.zeros(each // 100, "u1")), "words": frozen(hashes, counts), "codes": frozen(codes)})
+    model = {"least": 8, "gain": 4.0, "prior": 16.0, "n": 2 * each, "v": 20_000, "split": 200_000, "buckets": 2, "word_buckets": 2, "retained": []}
+    monkeypatch.setattr(suffix_tree.Chunk, "told", lambda self, path: [a for _, a in sorted(told[path, self.chunk])])
+
+    def answered(path, asked, answer):
+        for b in range(2):
+            for r in answer(pa.Table.from_batches(asked).filter(pc.field("bucket") == b)).to_pylist():
+                if r["part"] >= 0:
+                    told.setdefault((path, r["chunk"]), []).append((r["bucket"], r["answer"]))
+
+    words = pa.RecordBatch.from_pylist([{"part": r["part"], "chunk": r["chunk"], "words": r["words"]} for r in rows])
+    answered("0", list(suffix_tree.ask_words(2)(iter([words]))), suffix_tree.answer_words())
+    for k in (1, 2):
+        asked = [suffix_tree.batch_of(suffix_tree.Chunk(r, [str(x) for x in range(k)], model).questions(), suffix_tree.ASKED) for r in rows]
+        answered(str(k), asked, suffix_tree.answer_pairs(model, k))
+        model = {**model, "retained": [*model["retained"], np.array([], np.uint64)]}
+    monkeypatch.setattr(suffix_tree, "rows_of", lambda batches: iter(rows))
+    tracemalloc.start()
+    assert sum(b.num_rows for b in suffix_tree.scorer(["0", "1", "2"], model)([])) == 2 * each // 100
+    most = tracemalloc.get_traced_memory()[1] / each
+    tracemalloc.stop()
+    assert most < 90
+
+
+def test_texts_are_cut_into_words_by_runs_of_few_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "text": ["aa", None, "b" * 9, "", "ccc", "dd"]})
+    runs = list(suffix_tree.by_bytes(batch, 1, 5))
+    assert [r.column(0).to_pylist() for r in runs] == [[0, 1], [2], [3, 4, 5]]
+    assert list(suffix_tree.by_bytes(batch.slice(0, 0), 1, 5)) == []

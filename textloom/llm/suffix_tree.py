@@ -19,6 +19,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ ALPHA = 0.1
 LOG_STEPS = 100
 #: Words in a chunk, unless one text has more; words a bucket of a level.
 CHUNK_WORDS, BUCKET_WORDS = 1_250_000, 1_000_000
+#: Bytes of texts that are cut into words at once, unless one text has more.
+READ_BYTES = 4 << 20
 #: Contexts of more occurrences are split, or, if they are more, of those beyond a part in SPLIT_MOST of all words, so that there are fewer than SPLIT_MOST of them.
 SPLIT, SPLIT_MOST = 200_000, 4_000_000
 CHUNKS = "part int, chunk long, n_words long, n_train long, n_listed long, ids array<long>, docs binary, words binary, codes binary"
@@ -129,6 +132,18 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch by runs of rows that hold up to `most` bytes in a column of texts, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, chunk_words: int) -> DataFrame:
     """The chunks: ids of documents, docs (words of each, whether it is held out), words (hash and training count of each distinct word) and codes (the words' numbers, most frequent first). An
     end is the word of no letters."""
@@ -163,7 +178,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, chunk_words
             columns = [pa.array([v], t) if t is not None else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v, t in zip(row, kinds)]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CHUNKS.split(", ")])
 
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_bytes(whole, 1, READ_BYTES)):
             lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(1), "")))
             words = lists.flatten()
             full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
@@ -239,7 +254,8 @@ def answer_words():
 
 
 class Chunk:
-    """A chunk in a task, with what is known so far."""
+    """A chunk in a task, with what is known so far. gram: for each place the number of the words that end there, or -1; seen: the training count of each number. Two chunks are in memory on an executor of
+    two cores, so what one level needs goes when the level is done, and columns of places are 32 bits wide where numbers allow it."""
 
     def __init__(self, row: dict, answers: list[str], model: dict):
         import numpy as np
@@ -248,9 +264,6 @@ class Chunk:
         self.sizes, self.out = thawed(row["docs"], "<i8", "u1")
         (codes,), (hashes, _) = thawed(row["codes"], "<i4"), thawed(row["words"], "<u8", "<i8")
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.inside = np.ones(len(codes), bool)
-        self.inside[self.first] = False
-        self.trained = np.repeat(self.out == 0, self.sizes)
         bucket = (hashes % np.uint64(model["word_buckets"])).astype(int)
         order, _ = grouped_by(bucket, hashes)
         got = [thawed(a, "<i8", "<i8") for a in self.told(answers[0])]
@@ -259,12 +272,13 @@ class Chunk:
         number = number * model["word_buckets"] + bucket  # a word's number in all chunks, small if it is frequent
         # Words by their numbers, so that whatever is in order here is so for all.
         order = np.argsort(number)
-        rank = np.empty_like(order)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         self.codes, self.count, self.number = rank[codes], count[order], number[order]
-        self.p = (self.count[self.codes] + ALPHA) / (model["n"] + ALPHA * (model["v"] + 1))
-        self.base = self.p.copy()
-        self.gram, self.seen, self.level = self.codes, self.count[self.codes], 0
+        del got, codes, hashes, bucket, count, number, order, rank
+        self.p = ((self.count + ALPHA) / (model["n"] + ALPHA * (model["v"] + 1)))[self.codes]
+        self.base = np.add.reduceat(np.log10(self.p), self.first)
+        self.gram, self.seen, self.level = self.codes, self.count, 0
         for path, retained in zip(answers[1:], model["retained"]):
             self.step(path, retained)
 
@@ -281,60 +295,77 @@ class Chunk:
                         found += [(b, a) for c, b, a in zip(*(x.to_pylist() for x in batch.columns)) if c == self.chunk]
         return [a for _, a in sorted(found, key=lambda x: x[0])]
 
-    def ask(self):
-        """The next level's pairs: sets places, pair (of each place) and the pairs' facts, ordered by bucket, context and next word."""
+    def ask(self) -> SimpleNamespace:
+        """The next level's pairs: places, pair (of each place), order (the pairs by bucket, context and next word), cuts (of the buckets) and, in that order, at (a place of each pair), context, n (of the
+        context) and starts (of the runs of a context)."""
         import numpy as np
 
         self.level += 1
-        before, seen = np.roll(self.gram, 1), np.roll(self.seen, 1)
-        self.places = np.flatnonzero(self.inside & (before >= 0) & (seen >= self.model["least"]))
-        key = before[self.places] * len(self.count) + self.codes[self.places]
-        _, first, self.pair = np.unique(key, return_index=True, return_inverse=True)
-        at = self.places[first]  # a place of each pair; pairs are in the order of their words' numbers
-        words = [self.number[self.codes[at - back]] for back in range(self.level, 0, -1)]
-        context, following, n = context_of(words), self.number[self.codes[at]], seen[at]
-        pieces = -(-n // self.model["split"])
-        bucket = (mixed(context + (following % np.maximum(pieces, 1)).astype(np.uint64)) % np.uint64(self.model["buckets"])).astype(np.int32)
-        self.order, self.cuts = grouped_by(bucket)
-        count = np.bincount(self.pair, weights=self.trained[self.places], minlength=len(at)).astype(np.int64)
-        dear = np.clip(np.round(-LOG_STEPS * np.log10(self.p[at])), 0, 32767).astype("<i2")
-        self.n, self.words = n, [w[self.order] for w in words]
-        self.context, self.following, self.asked_n, self.asked_count, self.dear = (x[self.order] for x in (context, following, n, count, dear))
-        self.starts = np.flatnonzero((np.diff(bucket[self.order], prepend=-1) != 0) | changes(self.context))
+        able, frequent = np.zeros(len(self.codes), bool), np.append(self.seen >= self.model["least"], False)  # the last is for -1
+        able[1:] = frequent[self.gram[:-1]]
+        able[self.first] = False
+        places = np.flatnonzero(able).astype(np.int32)
+        key = self.gram[places - 1].astype(np.int64) * len(self.count) + self.codes[places]
+        order = np.argsort(key)
+        new = changes(key[order])
+        pair = np.empty(len(places), np.int32)
+        pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        at = places[order[new]]  # pairs are in the order of their words' numbers
+        del able, key, order, new
+        n = self.seen[self.gram[at - 1]]
+        context, piece = context_of(self.words(at)), self.number[self.codes[at]] % np.maximum(-(-n // self.model["split"]), 1)
+        bucket = (mixed(context + piece.astype(np.uint64)) % np.uint64(self.model["buckets"])).astype(np.int32)
+        order, cuts = grouped_by(bucket)
+        order, context, bucket = order.astype(np.int32), context[order], bucket[order]
+        starts = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | changes(context))
+        return SimpleNamespace(places=places, pair=pair, order=order, cuts=cuts, at=at[order], context=context, n=n[order], starts=starts)
+
+    def words(self, at) -> list:
+        """The numbers of the words of the contexts before some places."""
+        return [self.number[self.codes[at - back]] for back in range(self.level, 0, -1)]
 
     def questions(self) -> list[tuple]:
         import numpy as np
 
-        self.ask()
-        out, ends = [], np.append(self.starts, len(self.context))
-        for b, low, high in self.cuts:
-            i, j = np.searchsorted(self.starts, (low, high))
-            runs = self.starts[i:j]
-            large = np.where(self.asked_n[runs] > self.model["split"], self.asked_n[runs], 0)
-            facts = (np.diff(ends[i : j + 1]).astype("<i4"), large, with_steps(self.following[low:high], runs - low), self.asked_count[low:high], self.dear[low:high])
-            out.append((b, self.part, self.chunk, frozen(*stepped([w[runs] for w in self.words]), *facts)))
+        asked = self.ask()
+        trained = np.repeat(self.out == 0, self.sizes)
+        count = np.bincount(asked.pair[trained[asked.places]], minlength=len(asked.at))[asked.order]
+        out, ends = [], np.append(asked.starts, len(asked.at))
+        for b, low, high in asked.cuts:
+            i, j = np.searchsorted(asked.starts, (low, high))
+            at, runs = asked.at[low:high], asked.starts[i:j]
+            large = np.where(asked.n[runs] > self.model["split"], asked.n[runs], 0)
+            dear = np.clip(np.round(-LOG_STEPS * np.log10(self.p[at])), 0, 32767).astype("<i2")
+            facts = (np.diff(ends[i : j + 1]).astype("<i4"), large, with_steps(self.number[self.codes[at]], runs - low), count[low:high], dear)
+            out.append((b, self.part, self.chunk, frozen(*stepped(self.words(asked.at[runs])), *facts)))
         return out
 
     def step(self, path: str, retained) -> None:
         """Takes a level's answers in. retained: the split contexts that are retained."""
         import numpy as np
 
-        self.ask()
-        got = [thawed(a, "<i8", "u1") for a in self.told(path)]
-        total, kept = np.zeros(len(self.n), np.int64), np.zeros(len(self.n), bool)
-        self.seen, gram = np.zeros(len(self.codes), np.int64), np.full(len(self.codes), -1)
-        if got:
-            total[self.order] = np.concatenate([g[0] for g in got])
-            runs = np.concatenate([g[1] for g in got]).astype(bool)
-            large = self.asked_n[self.starts] > self.model["split"]
-            runs[large] = np.isin(self.context[self.starts][large], retained)
-            kept[self.order] = np.repeat(runs, np.diff(np.append(self.starts, len(self.order))))
-        prior = self.model["prior"]
-        at = kept[self.pair]
-        places, pairs = self.places[at], self.pair[at]
-        self.p[places] = (total[pairs] + prior * self.p[places]) / (self.n[pairs] + prior)
-        gram[self.places], self.seen[self.places] = self.pair, total[self.pair]
-        self.gram = gram
+        asked, told = self.ask(), self.told(path)
+        total, kept = np.zeros(len(asked.at), np.int64), np.zeros(len(asked.at), bool)
+        ends = np.append(asked.starts, len(asked.at))
+        if len(told) != len(asked.cuts):
+            raise ValueError(f"{len(told)} answers to {len(asked.cuts)} questions in {path}")
+        for (_, low, high), answer in zip(asked.cuts, told):
+            (sums, runs), (i, j) = thawed(answer, "<i8", "u1"), np.searchsorted(asked.starts, (low, high))
+            runs, starts = runs.astype(bool), asked.starts[i:j]
+            large = asked.n[starts] > self.model["split"]
+            runs[large] = np.isin(asked.context[starts][large], retained)
+            total[asked.order[low:high]], kept[asked.order[low:high]] = sums, np.repeat(runs, np.diff(ends[i : j + 1]))
+        places, pair = asked.places, asked.pair
+        del asked, told, ends
+        taken = kept[pair]
+        at, prior = places[taken], self.model["prior"]
+        p = self.p[at]
+        p *= prior
+        p += total[pair[taken]]
+        p /= self.seen[self.gram[at - 1]] + prior
+        self.p[at] = p
+        self.gram, self.seen = np.full(len(self.codes), -1, np.int32), total
+        self.gram[places] = pair
 
 
 def gain_of(total, n, p, prior: float):
@@ -435,14 +466,17 @@ def asker(answers: list[str], model: dict):
 
 
 def scorer(answers: list[str], model: dict):
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(row: dict) -> pa.RecordBatch:
         import numpy as np
 
+        c = Chunk(row, answers, model)
+        sums = lambda x: pa.array(np.add.reduceat(x, c.first))
+        known = (c.count > 0)[c.codes].astype(np.int64)
+        columns = [row["ids"], pa.array(c.out.astype(bool)), pa.array(c.sizes), sums(known), pa.array(np.full(len(c.sizes), model["n"], "<i8")), pa.array(c.base), sums(np.log10(c.p))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            c = Chunk(row, answers, model)
-            sums = lambda x, c=c: pa.array(np.add.reduceat(x, c.first))
-            known = (c.count[c.codes] > 0).astype(np.int64)
-            columns = [row["ids"], pa.array(c.out.astype(bool)), pa.array(c.sizes), sums(known), pa.array(np.full(len(c.sizes), model["n"], "<i8")), sums(np.log10(c.base)), sums(np.log10(c.p))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield scored(row)  # a function of its own, so that no chunk is held while the next is made
 
     return scores
