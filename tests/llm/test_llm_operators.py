@@ -733,3 +733,36 @@ def test_the_lattice_holds_words_alone(spark, monkeypatch):
     monkeypatch.setattr(pieces, "lattice", lambda distinct, *a, f=pieces.lattice: seen.append(distinct.columns) or f(distinct, *a))
     pieces.encode(docs(spark), pieces.Model(tokenizer_file("piece_bpe_32k.model")), keep=("doc_id",)).count()
     assert seen == [["word"]]
+
+
+def test_the_round_trip_needs_no_expression_over_ids(spark, tmp_path):
+    """The query decodes ids as decode() does, a batch at a time, and sees where they give another text."""
+    import pyarrow as pa
+
+    from textloom.llm.queries import QUERIES
+
+    model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
+    docs(spark, PIECE_TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
+    frame = QUERIES["op5_sentencepiece"](spark, str(tmp_path))
+    assert "transform(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    rows = frame.withColumn("back", pieces.decode(F.col("ids"), model)).collect()
+    assert len(rows) == len(PIECE_TEXTS) and all(r["round_trip"] == (r["back"] == PIECE_TEXTS[r["doc_id"]]) for r in rows)
+    table = pa.array([bytes.fromhex(x) for x in model.hex], pa.large_binary())
+    ids = pa.array([r["ids"] for r in rows], pa.list_(pa.int32()))
+    wrong = pa.array([None if r["back"] is None else r["back"] + "x" for r in rows])
+    assert pieces.returned(ids, wrong, table).to_pylist() == [r["back"] is None for r in rows]
+    assert pieces.returned(pa.array([None, [5]], pa.list_(pa.int32())), pa.array(["a", None]), table).to_pylist() == [False, False]
+
+
+@pytest.mark.parametrize("n", [1, 60, 61, 62, 63, 64, 65, 130])
+def test_words_about_as_long_as_a_number_has_bits_are_merged_as_the_library_does(spark, n):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model(path)
+    rng = random.Random(n)
+    made = ["".join(rng.choice(["th", "e", "in", "ing", "er", "Z", "é", "語", "a", "tion"]) for _ in range(n))[:n] for _ in range(30)] + [" " * (n - 1)]
+    words = sorted({pieces.marked(t) for t in made if t})
+    assert n < 2 or {len(w) for w in words} & {n, n + 1}
+    got = pieces.word_ids(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()
+    assert len(got) == len(words) and all(r["ids"] == lib.encode(r["word"][1:].replace("▁", " ")) for r in got)

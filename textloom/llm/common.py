@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.sources.shared import new_path, shared_dir
 
-__all__ = ["filesystem", "join_groups", "new_path", "rows_per_cell_salt", "selector", "sent", "shared_dir", "store", "text_or_empty"]
+__all__ = ["by_bytes", "filesystem", "join_groups", "new_path", "rows_per_cell_salt", "selector", "sent", "shared_dir", "store", "text_or_empty"]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +47,18 @@ def selector(folder: str):
     return fs.FileSelector(folder, allow_not_found=True)
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch by runs of rows that hold up to `most` bytes in a column of texts, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def rows_per_cell_salt(total: int, rows_per_cell: int = 200_000, least: int = 16) -> int:
     """How many salted cells hold about rows_per_cell rows each."""
     return max(least, -(-total // rows_per_cell))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import filesystem, new_path, selector, store
+from textloom.llm.common import by_bytes, filesystem, new_path, selector, store
 
 MARK = "▁"
 #: Rows of a part.
@@ -38,6 +38,8 @@ PART_ROWS = 32768
 TASK_UNITS = 40_000
 #: Units of the dictionaries that a task writes.
 BOOK_UNITS = 400_000
+#: Bytes of texts that are put together at once, unless one text has more.
+TEXT_BYTES = 4 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -109,7 +111,14 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-EDGE = "array<struct<start:int,end:int,id:int,score:double>>"
+#: both: the bits of the places that an edge starts and ends at; span: these and the bits between. They hold in words of up to BIT_PLACES characters.
+EDGE = "array<struct<start:int,end:int,id:int,score:double,both:bigint,span:bigint>>"
+BIT_PLACES = 62
+
+
+def bits_from(place: Column) -> Column:
+    """All bits from a place on."""
+    return F.call_function("shiftleft", F.lit(-1).cast("long"), place.cast("int"))
 
 
 def lattice(distinct: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -119,7 +128,10 @@ def lattice(distinct: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     parts = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("at") + 1))).alias("n"))
     parts = parts.select("word", *others, F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"), F.substring("word", F.col("at"), F.col("n")).alias("piece"))
     found = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
-    edge = F.struct((F.col("at") - 1).alias("start"), (F.col("at") + F.col("n") - 1).alias("end"), "id", "score")
+    start, end = F.col("at") - 1, F.col("at") + F.col("n") - 1
+    span = bits_from(start).bitwiseAND(F.bitwise_not(bits_from(end + 1)))
+    both = span.bitwiseAND(F.bitwise_not(bits_from(start + 1).bitwiseAND(F.bitwise_not(bits_from(end)))))
+    edge = F.struct(start.alias("start"), end.alias("end"), "id", "score", both.alias("both"), span.alias("span"))
     return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).cast(EDGE).alias("edges"), *[F.first(c).alias(c) for c in others])
 
 
@@ -168,23 +180,32 @@ def viterbi(word: Column, edges: Column, byte_ids: list[int], unknown_score: flo
     return back
 
 
-def in_order(word: Column, edges: Column, byte_ids: list[int], late: list[int]) -> Column:
-    """Ids of the BPE path by one pass over the edges, best score and leftmost first. The state is a string of a 1 for each place that is cut
-    and a 0 for each that is not; an edge merges if it spans two cut places with one between. A merge makes no edge of a better score able, but for
-    those of late pieces around it, which are asked right after it."""
-    EDGES = "array<struct<order:double,start:int,end:int>>"
-    sized = lambda es: F.array_sort(F.transform(es, lambda e: F.struct((-e["score"]).alias("order"), e["start"].alias("start"), e["end"].alias("end")))).cast(EDGES)
+def in_order(word: Column, edges: Column, byte_ids: list[int], late: list[int], has_late: Column | None = None) -> Column:
+    """Ids of the BPE path by one pass over the edges, best score and leftmost first. The state has a 1 for each place that is cut and a 0 for each that is not, as the bits of a number or, in words of more
+    places, as a string; an edge merges if it spans two cut places with one between. A merge makes no edge of a better score able, but for those of late pieces around it, which are asked right after it.
+    has_late: whether a word has late pieces, if that is known."""
+    EDGES = "array<struct<order:double,start:int,end:int,both:bigint,span:bigint>>"
+    sized = lambda es: F.sort_array(F.transform(es, lambda e: F.struct((-e["score"]).alias("order"), e["start"].alias("start"), e["end"].alias("end"), e["both"].alias("both"), e["span"].alias("span")))).cast(EDGES)
     by_score = sized(F.filter(edges, lambda e: e["end"] - e["start"] > 1))
     if late:
         around = sized(F.filter(edges, lambda e: e["id"].isin(late)))
         asked = lambda e: F.concat(F.array(e), F.filter(around, lambda u: (u["order"] <= e["order"]) & (u["start"] <= e["start"]) & (u["end"] >= e["end"])))
-        by_score = F.when(F.exists(edges, lambda e: e["id"].isin(late)), F.flatten(F.transform(by_score, asked))).otherwise(by_score)
+        has_late = F.exists(edges, lambda e: e["id"].isin(late)) if has_late is None else has_late
+        by_score = F.when(has_late, F.flatten(F.transform(by_score, asked))).otherwise(by_score)
 
     def step(cuts: Column, e: Column) -> Column:
         able = F.substring(cuts, e["start"] + 1, e["end"] - e["start"] + 1).rlike("^10*10*1$")
         return F.when(able, F.concat(F.substring(cuts, F.lit(1), e["start"] + 1), F.repeat(F.lit("0"), e["end"] - e["start"] - 1), F.substring(cuts, e["end"] + 1, F.length(cuts)))).otherwise(cuts)
 
-    return path_ids(word, edges, F.aggregate(by_score, F.repeat(F.lit("1"), F.length(word) + 1), step), byte_ids)
+    def bit_step(cuts: Column, e: Column) -> Column:
+        able = (cuts.bitwiseAND(e["both"]) == e["both"]) & (F.bit_count(cuts.bitwiseAND(e["span"])) == 3)
+        return F.when(able, cuts.bitwiseAND(e["both"].bitwiseOR(F.bitwise_not(e["span"])))).otherwise(cuts)
+
+    bits = F.aggregate(by_score, F.bitwise_not(bits_from(F.length(word) + 1)), bit_step)
+    bind = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computes a value once that fn uses often
+    short = bind(bits, lambda c: F.filter(edges, lambda e: (c.bitwiseAND(e["both"]) == e["both"]) & (F.bit_count(c.bitwiseAND(e["span"])) == 2)))
+    long = path_ids(word, edges, F.aggregate(by_score, F.repeat(F.lit("1"), F.length(word) + 1), step), byte_ids)
+    return F.when(F.length(word) <= BIT_PLACES, ids_of(word, short, byte_ids)).otherwise(long)
 
 
 def merges(word: Column, edges: Column, byte_ids: list[int]) -> Column:
@@ -203,7 +224,14 @@ def path_ids(word: Column, edges: Column, cuts: Column, byte_ids: list[int]) ->
     """The ids of the edges, sorted by place, between neighbouring cuts."""
     bind = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computes a value once that fn uses often
     path = bind(cuts, lambda c: F.filter(edges, lambda e: F.substring(c, e["start"] + 1, e["end"] - e["start"] + 1).rlike("^10*1$")))
-    return F.flatten(F.transform(path, lambda e: piece_or_bytes(word, e["start"], e["end"], e["id"], byte_ids)))
+    return ids_of(word, path, byte_ids)
+
+
+def ids_of(word: Column, path: Column, byte_ids: list[int]) -> Column:
+    """The ids of edges that follow each other."""
+    bind = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computes a value once that fn uses often
+    parts = lambda p: F.flatten(F.transform(p, lambda e: piece_or_bytes(word, e["start"], e["end"], e["id"], byte_ids)))
+    return bind(path, lambda p: F.when(F.exists(p, lambda e: e["id"].isNull()), parts(p)).otherwise(F.transform(p, lambda e: e["id"])))
 
 
 def word_ids(distinct: DataFrame, model: Model) -> DataFrame:
@@ -217,7 +245,7 @@ def word_ids(distinct: DataFrame, model: Model) -> DataFrame:
         ids = merges(w, e, model.byte_ids)
     else:
         at = {piece: k for piece, k, _ in model.pieces}
-        ids = in_order(w, e, model.byte_ids, [at[piece] for piece in model.late])
+        ids = in_order(w, e, model.byte_ids, [at[piece] for piece in model.late], functools.reduce(Column.__or__, [w.contains(piece) for piece in model.late], F.lit(False)))
     return found.select(*distinct.columns, ids.alias("ids"))
 
 
@@ -305,8 +333,25 @@ def write_books(texts: DataFrame, model: Model, path: str) -> None:
     rows.repartition(max(1, total // BOOK_UNITS), "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
 
 
-def put_together(texts: DataFrame, pattern: str, path: str, schema: T.StructType) -> DataFrame:
-    """The texts with their ids from their parts' dictionaries."""
+def returned(ids: pa.ListArray, texts: pa.Array, table: pa.Array) -> pa.Array:
+    """Whether the texts that ids stand for, decoded as decode() does, are these; true where both are null. table: the bytes of each id."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    flat, offsets = table.take(ids.values), ids.offsets.to_numpy()
+    ends = np.frombuffer(flat.buffers()[1], "<i8", len(flat) + 1, 8 * flat.offset)[offsets]  # of each text in the pieces' bytes, which follow each other
+    found = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends)), flat.buffers()[2]])
+    found = pc.replace_substring(found, MARK.encode(), b" ")
+    texts = texts.cast(pa.large_string()).cast(pa.large_binary())
+    # Of a space in front, which decode() takes away, the given text knows nothing.
+    blank = pa.scalar(b"", pa.large_binary())
+    same = pc.equal(found, pc.if_else(pc.starts_with(found, b" "), pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), texts, blank), texts))
+    return pc.if_else(pc.and_(ids.is_null(), texts.is_null()), True, pc.fill_null(pc.if_else(ids.is_null(), False, same), False))
+
+
+def put_together(texts: DataFrame, model: Model, path: str, schema: T.StructType, check: bool) -> DataFrame:
+    """The texts with their ids from their parts' dictionaries. check: whether the ids give the text again, in place of the text."""
+    pattern, pieces = model.units, [bytes.fromhex(x) for x in model.hex] if check else []
 
     def book_of(part: int) -> dict[str, bytes]:
         import numpy as np
@@ -326,22 +371,24 @@ def put_together(texts: DataFrame, pattern: str, path: str, schema: T.StructType
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        splitter, part, book = Splitter(pattern), None, None
-        for batch in batches:
+        splitter, part, book, table = Splitter(pattern), None, None, pa.array(pieces, pa.large_binary())
+        for batch in (b for whole in batches for b in by_bytes(whole, 1, TEXT_BYTES)):
             out = []
             for now, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
                 if text and now != part:
-                    part, book = now, Book(book_of(now), splitter)
+                    part, book = now, None  # not two dictionaries at once
+                    book = Book(book_of(now), splitter)
                 out.append(None if text is None else book.ids(text) if text else b"")
             offsets = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in out])]).astype("<i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(x or b"" for x in out), "<i4")), mask=pa.array([x is None for x in out], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), batch.column(1), ids], names=schema.names)
+            shown = returned(ids, batch.column(1), table) if check else batch.column(1)
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), shown, ids], names=schema.names)
 
     return texts.select("_keep", "_text", "part").mapInArrow(encode, schema)
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), stored: bool = False, part_rows: int = PART_ROWS) -> DataFrame:
-    """keep's columns with text (as `_text`) and ids of every row. stored: docs is a table of files as read, which does not change."""
+def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), stored: bool = False, part_rows: int = PART_ROWS, check: bool = False) -> DataFrame:
+    """keep's columns with text (as `_text`) and ids of every row. stored: docs is a table of files as read, which does not change. check: in place of the text, `round_trip`, whether the ids give it again."""
     spark = docs.sparkSession
     kept = docs.select(*keep).schema
     if not stored:
@@ -349,8 +396,8 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
         docs, keep, text_col = docs, tuple(f"k.`{c}`" for c in keep), "_text"
     texts, path = by_part(docs, text_col, keep, part_rows), new_path(spark, "pieces-books")
     write_books(texts, model, path)
-    out = T.StructType([T.StructField("_", T.IntegerType()), *kept.fields, T.StructField("_text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return put_together(texts, model.units, path, out).drop("_")
+    out = T.StructType([T.StructField("_", T.IntegerType()), *kept.fields, T.StructField("round_trip", T.BooleanType()) if check else T.StructField("_text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return put_together(texts, model, path, out, check).drop("_")
 
 
 def decode(ids: Column, model: Model) -> Column:

@@ -52,8 +52,8 @@ def op5_sentencepiece_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pieces_of(rows: DataFrame, *keys: str) -> DataFrame:
     model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
-    coded = pieces.encode(rows, model, keep=keys, stored=True)
-    return coded.select(*keys, "ids", F.size("ids").cast("long").alias("n_tokens"), pieces.decode(F.col("ids"), model).eqNullSafe(F.col("_text")).alias("round_trip"))
+    coded = pieces.encode(rows, model, keep=keys, stored=True, check=True)
+    return coded.select(*keys, "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

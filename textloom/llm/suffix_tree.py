@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import filesystem, new_path, selector, store
+from textloom.llm.common import by_bytes, filesystem, new_path, selector, store
 
 DEPTH, LEAST, GAIN, PRIOR = 2, 8, 4.0, 16.0
 ALPHA = 0.1
@@ -132,18 +132,6 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch by runs of rows that hold up to `most` bytes in a column of texts, one row at least."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, chunk_words: int) -> DataFrame:
     """The chunks: ids of documents, docs (words of each, whether it is held out), words (hash and training count of each distinct word) and codes (the words' numbers, most frequent first). An
     end is the word of no letters."""
